@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tallyweave.llm.common import table, written
+from tallyweave.llm.common import table, text_pieces, written
 from tallyweave.llm.tokens import encoder
 
 LENGTH, END, TOKENIZER = 2048, 0, "word_bpe_49k.json"
@@ -103,10 +103,12 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH, en
         tail, at = b"" if end is None else np.array([end], "<u4").tobytes(), 0
         enc = encoder(tokenizer)
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                some, rows = batch.slice(a, 500), []
-                for doc, ids in zip(some.column(0).to_pylist(), enc.ids(some.column(1).to_pylist()), strict=True):
-                    ids += tail
+            docs = batch.column(0).to_pylist()
+            for a, b, data, offsets in text_pieces(batch, "text"):
+                rows = []
+                every, bounds = enc.batch(data, offsets)
+                for doc, i, j in zip(docs[a:b], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    ids = every[i:j].tobytes() + tail
                     for k, s in enumerate(range(0, len(ids), 4 * length)):
                         own = ids[s : s + 4 * length]
                         rows.append((doc, k, s // 4, len(own) // 4, zlib.crc32(own), at))

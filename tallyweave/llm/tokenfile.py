@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tallyweave.llm.common import partitions, table, written
+from tallyweave.llm.common import partitions, table, text_pieces, written
 from tallyweave.llm.tokens import encoder
 
 TOKENIZER, END, BLOCK, RECORD, PERCENTILE = "byte_bpe_50k.json", 0, 1024, 1 << 18, 90
@@ -117,12 +117,13 @@ def write_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, end: int | None =
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before]), pa.array([size]), pa.array([write_record(*held)], pa.binary())], names=["part", "seq", "before", "n_ids", "payload"])
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                some = batch.slice(a, 500)
-                for doc, ids in zip(some.column(0).to_pylist(), enc.ids(some.column(1).to_pylist()), strict=True):
+            docs = batch.column(0).to_pylist()
+            for a, b, data, offsets in text_pieces(batch, "text"):
+                every, bounds = enc.batch(data, offsets)
+                for doc, i, j in zip(docs[a:b], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     held[0].append(doc)
-                    held[1].append(ids + tail)
-                    size += len(ids + tail) // 4
+                    held[1].append(every[i:j].tobytes() + tail)
+                    size += len(held[1][-1]) // 4
                     if size >= RECORD:
                         yield record()
                         held, seq, before, size = ([], []), seq + 1, before + size, 0

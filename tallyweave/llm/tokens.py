@@ -2,9 +2,10 @@
 
 Pre-tokenizers of both vocabularies never join characters across a space or line feed that has a
 character other than white space on at least one side, except that it belongs to what follows it,
-and never join a letter and a full stop or comma. So a text is cut there, each cut is encoded by
-the tokenizers library alone, and the ids are concatenated; cuts repeat a lot, so most come from a
-bounded memo. A text with a longer run of white space, where the cut would matter, goes to the
+and never join a letter and a full stop or comma after it. So texts are cut before these, and cuts
+repeat a lot: a batch's cuts are told apart by 128 bits of hashes, the tokenizers library encodes
+those alone that a bounded memo (sorted arrays) doesn't hold, and the ids are gathered back into
+place. A text with a longer run of white space, where the cut would matter, goes to the
 library whole.
 """
 
@@ -14,15 +15,32 @@ import os
 import re
 from array import array
 
-
+import numpy as np
 import public_tokenizers
 
+from tallyweave.llm.common import Polynomial
+
 #: White space of any engine, and what any engine might take for it.
 _WS = "[\\s\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
 ODD = re.compile(f"{_WS}[ \\n](?:{_WS}|$)")
-#: No text holds a lone surrogate, so one marks the cuts.
-CUT = "\ud800"
-MEMO = 1_500_000
+MEMO = 4_000_000
+_LETTER = np.zeros(256, bool)
+_LETTER[list(range(65, 91)) + list(range(97, 123))] = True
+#: Second bytes of the letters U+00C0 to U+00FF after their first byte C3 (not the two signs there).
+_SECOND = np.zeros(256, bool)
+_SECOND[128:192] = True
+_SECOND[[0x97, 0xB7]] = False
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Whether a cut may stand before each byte."""
+    at = (data == 32) | (data == 10)
+    stop = np.flatnonzero((data == 46) | (data == 44))
+    stop = stop[stop > 0]
+    before = data[stop - 1]
+    lead = data[np.maximum(stop - 2, 0)]
+    at[stop[_LETTER[before] | _SECOND[before] & (lead == 0xC3) & (stop > 1)]] = True
+    return at
 
 
 class Encoder:
@@ -32,37 +50,80 @@ class Encoder:
 
         self.library = Tokenizer.from_file(public_tokenizers.path(name))
         self.library.encode_special_tokens = True
-        self.most, self.memo = memo, {}
+        self.most, self.hash, self.hash2 = memo, Polynomial(11), Polynomial(12)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.checks = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.begin, self.size = np.empty(0, np.int64), np.empty(0, np.int32)
+        self.tokens, self.used = np.empty(1 << 20, np.uint32), 0
+
+    def _keep(self, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Puts ids at the end of the held tokens: where each begins, and its length."""
+        size = np.array([len(x) for x in ids], np.int64) // 4
+        begin = self.used + np.cumsum(size) - size
+        self.used += int(size.sum())
+        if self.used > len(self.tokens):
+            self.tokens = np.resize(self.tokens, 2 * self.used)
+        self.tokens[self.used - int(size.sum()) : self.used] = np.frombuffer(b"".join(ids), "<u4")
+        return begin, size.astype(np.int32)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids (unsigned 32-bit) of UTF-8 texts that lie one after the other in data, and where
+        each text's ids start and the last one's end."""
+        n = len(offsets) - 1
+        raw = data.tobytes()
+        at = cuts(data)
+        at[offsets[:-1][offsets[:-1] < len(data)]] = True
+        own: dict[int, bytes] = {}
+        for i in range(n):  # the few texts that go whole
+            if ODD.search(raw[offsets[i] : offsets[i + 1]].decode()):
+                at[offsets[i] + 1 : offsets[i + 1]] = False
+                own[int(offsets[i])] = self._encode([raw[offsets[i] : offsets[i + 1]].decode()])[0]
+        start = np.flatnonzero(at)
+        end = np.append(start[1:], len(data))[: len(start)]
+        key = self.hash.of(self.hash.prefix(data), start, end) + (end - start).astype(np.uint64)
+        check = self.hash2.of(self.hash2.prefix(data), start, end)
+        u, first, which = np.unique(key, return_index=True, return_inverse=True)
+        if (check[first][which] != check).any():  # two cuts with one hash: each place for itself
+            order = np.argsort(key, kind="stable")
+            u, first, which = key[order], order, np.argsort(order, kind="stable")
+        c, a, b = check[first], start[first], end[first]
+        if len(self.keys) > self.most:
+            self._forget()
+        pos = np.searchsorted(self.keys, u)
+        hit = np.zeros(len(u), bool)
+        if len(self.keys):
+            near = np.minimum(pos, len(self.keys) - 1)
+            hit = (self.keys[near] == u) & (self.checks[near] == c)
+        begin, size = np.zeros(len(u), np.int64), np.zeros(len(u), np.int32)
+        begin[hit], size[hit] = self.begin[pos[hit]], self.size[pos[hit]]
+        new = np.flatnonzero(~hit)
+        whole = np.isin(a[new], np.fromiter(own, np.int64, len(own)))
+        once, new = new[whole], new[~whole]
+        for x in range(0, len(new), 20_000):
+            some = new[x : x + 20_000]
+            begin[some], size[some] = self._keep(self._encode([raw[i:j].decode() for i, j in zip(a[some].tolist(), b[some].tolist(), strict=True)]))
+        used = self.used
+        if len(once):
+            begin[once], size[once] = self._keep([own[i] for i in a[once].tolist()])
+        tokens, self.used = self.tokens, used  # whole texts don't come again
+        self.keys, self.checks = np.insert(self.keys, pos[new], u[new]), np.insert(self.checks, pos[new], c[new])
+        self.begin, self.size = np.insert(self.begin, pos[new], begin[new]), np.insert(self.size, pos[new], size[new])
+        each = size[which]
+        ends = np.cumsum(each)
+        ids = tokens[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[which] - ends + each, each)]
+        return ids, np.concatenate(([0], ends))[np.searchsorted(start, offsets)]
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut, whole = [], []
-        for i, t in enumerate(texts):
-            t = t or ""
-            if ODD.search(t):
-                whole.append(i)
-                cut.append([])
-            else:
-                parts = []
-                for p in t.replace(" ", CUT + " ").replace("\n", CUT + "\n").split(CUT):
-                    if p[-1:] in (".", ",") and p[-2:-1].isalpha() and p[-2] < "\u0250":
-                        parts += (p[:-1], p[-1])
-                    elif p:
-                        parts.append(p)
-                cut.append(parts)
-        if len(self.memo) > self.most:
-            self.memo.clear()
-        memo = self.memo
-        new = list({p for parts in cut for p in parts if p not in memo})
-        for a in range(0, len(new), 20_000):
-            memo.update(zip(new[a : a + 20_000], self._encode(new[a : a + 20_000]), strict=True))
-        out = [b"".join([memo[p] for p in parts]) for parts in cut]
-        for i in whole:
-            out[i] = self._encode([texts[i]])[0]
-        return out
+        parts = [(t or "").encode() for t in texts]
+        offsets = np.cumsum([0, *map(len, parts)])
+        ids, at = self.batch(np.frombuffer(b"".join(parts), np.uint8), offsets)
+        return [ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 _made: dict[str, Encoder] = {}
