@@ -1,11 +1,11 @@
-"""Connected components of links, distributed: no link or label reaches the driver."""
+"""Connected components of links, distributed (no link or label reaches the driver), and an order of rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import written
+from tallyweave.llm.common import partitions, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,3 +25,14 @@ def components(links: DataFrame) -> DataFrame:
     if mapped is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return mapped
+
+
+def ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with _doc, a number that orders them: the id where ids are unique, or else the place in
+    a written copy that is sorted by id and text."""
+    ids = docs.select(F.col(id_col).cast("long").alias("i"))
+    if ids.groupBy("i").count().where("count > 1 or i is null").isEmpty():
+        return docs.withColumn("_doc", F.col(id_col).cast("long"))
+    n = max(partitions(docs.sparkSession), 2)
+    by = [F.col(id_col).asc_nulls_first(), F.col(text_col).asc_nulls_first()]
+    return written(docs.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_doc", F.monotonically_increasing_id()), "ordered")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm.common import Polynomial, mix, partitions, table, text_pieces, written
-from tallyweave.llm.components import components
+from tallyweave.llm.components import components, ordered
 
 DIMS, HEAVY, GROUP, LEAF = 256, 1 << 16, 2048, 32
 _WHITE = np.zeros(256, bool)
@@ -344,5 +344,14 @@ def jaccard_join(docs: DataFrame, *, k: int = 4, per_cent: int = 85, id_col: str
     return named.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def without_near_duplicates(docs: DataFrame, *, k: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of near duplicates, that with the smallest id (of equal ids,
+    the first by text); rows without words all stay."""
+    d = ordered(docs, id_col, text_col)
+    linked = jaccard_join(d.select(F.col("_doc"), F.col(f"`{text_col}`").alias("_text")), k=k, per_cent=per_cent, id_col="_doc", text_col="_text")
+    gone = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("_doc"))
+    return d.join(gone, "_doc", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))

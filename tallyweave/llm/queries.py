@@ -1,13 +1,16 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from tallyweave.llm import chat, packing, pieces, pii, quality, tokenfile, topk
+from tallyweave.llm import chat, ctw, jaccard, packing, pieces, pii, quality, substrings, tokenfile, topk
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_exact_topk": topk.op2_exact_topk,
+    "op3_suffix_array_dedup": substrings.op3_suffix_array_dedup,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_context_tree": ctw.op5_context_tree,
     "op6_token_files": tokenfile.op6_token_files,
     "op7_chat_formatting": chat.op7_chat_formatting,
+    "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_pii": pii.op9_pii,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
