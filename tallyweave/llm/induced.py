@@ -16,7 +16,7 @@ import tempfile
 
 import numpy as np
 
-MEMORY, CAP = 256 << 20, 120
+MEMORY, CAP, FEED = 256 << 20, 120, 1 << 22
 
 
 class Queue:
@@ -138,12 +138,19 @@ class Sweep:
         """Takes what is queued for symbol c, induces from it until no more comes; all of it in order."""
         out, seam = [], True
         while chunks := self.queues[c].pop():
-            for pos, lcp in chunks:
+            at = 0
+            while at < len(chunks):  # chunks follow each other, so many small ones are fed as one
+                end, size = at, 0
+                while end < len(chunks) and (end == at or size + len(chunks[end][0]) <= FEED):
+                    size += len(chunks[end][0])
+                    end += 1
+                pos = np.concatenate([p for p, _ in chunks[at:end]])
+                lcp = np.concatenate([x for _, x in chunks[at:end]])
                 if seam:
-                    lcp = lcp.copy()
                     lcp[0], seam = 0, False
                 self.feed(pos, lcp)
                 out.append((pos, lcp))
+                at = end
         return out
 
 

@@ -31,7 +31,7 @@ from tallyweave.llm.components import ordered
 from tallyweave.llm.induced import suffix_array
 from tallyweave.llm.jaccard import grouped
 
-LENGTH, GRAM, SHARD = 100, 28, 1 << 20
+LENGTH, GRAM, SHARD = 100, 28, 2 << 20
 #: Window starts of one long text that are looked at together (their places take 24 bits).
 SEGMENT = 1 << 23
 _grams, _blocks = Polynomial(31), Polynomial(32)
@@ -80,7 +80,18 @@ def blocks(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     return row, first - offsets[row], last - first + 1, h[anchor[first]], name
 
 
+def joined_runs(doc: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of a document that follow each other, as one: document, start, windows."""
+    if not len(doc):
+        return doc, s, n
+    order = np.lexsort((s, doc))
+    doc, s, n = doc[order], s[order], n[order]
+    heads = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (s[1:] != s[:-1] + n[:-1])))
+    return doc[heads], s[heads], np.add.reduceat(n.astype(np.int64), heads)
+
+
 BLOCKS = "kind int, h long, c long, doc long, s int, n int"
+BLOCK_NAMES = ("kind", "h", "c", "doc", "s", "n")
 _BLOCKS = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("s", pa.int32()), ("n", pa.int32())])
 
 
@@ -98,9 +109,13 @@ def _found(docs: DataFrame) -> DataFrame:
             h, c, doc, s, n = (np.concatenate(x) for x in zip(*out, strict=True))
             order = np.lexsort((s, doc, c, h))
             h, c, doc, s, n = (x[order] for x in (h, c, doc, s, n))
-            again = np.zeros(len(h), np.int32)
+            again = np.zeros(len(h), bool)
             again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((again, h, c, doc, s.astype(np.int32), n.astype(np.int32)), _BLOCKS, strict=True)], schema=_BLOCKS)
+            d, x, y = joined_runs(doc[again], s[again], n[again])
+            spread = mix(d.astype(np.uint64)).view(np.int64)
+            kind = np.concatenate((np.zeros(int((~again).sum()), np.int32), np.ones(len(d), np.int32)))
+            columns = kind, np.concatenate((h[~again], spread)), np.concatenate((c[~again], spread)), np.concatenate((doc[~again], d)), np.concatenate((s[~again], x)).astype(np.int32), np.concatenate((n[~again], y)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, _BLOCKS, strict=True)], schema=_BLOCKS)
 
     return docs.mapInArrow(stream, BLOCKS)
 
@@ -111,19 +126,25 @@ def _named(found: DataFrame) -> DataFrame:
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, "h"):
-            h, c, doc, s, n = (t.column(x).to_numpy() for x in ("h", "c", "doc", "s", "n"))
+            known, h, c, doc, s, n = (t.column(x).to_numpy() for x in BLOCK_NAMES)
+            out = [(known[known == 1], h[known == 1], c[known == 1], doc[known == 1], s[known == 1], n[known == 1])]
+            h, c, doc, s, n = (x[known == 0] for x in (h, c, doc, s, n))
             order = np.lexsort((s, doc, c, h))
             h, c, doc, s, n = (x[order] for x in (h, c, doc, s, n))
-            new_h = np.append(True, h[1:] != h[:-1])
-            new_c = new_h | np.append(True, c[1:] != c[:-1])
-            names = np.add.reduceat(new_c.astype(np.int64), np.flatnonzero(new_h))
-            several = names[np.cumsum(new_h) - 1] > 1
-            kind = np.where(~new_c, 1, np.where(several, 2, 0)).astype(np.int32)
-            keep = kind > 0
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep], f.type) for x, f in zip((kind, h, c, doc, s, n), _BLOCKS, strict=True)], schema=_BLOCKS)
-
-    dealt = found.where("kind = 0").repartition(max(partitions(found.sparkSession), 2), "h").sortWithinPartitions("h")
+            if len(h):
+                new_h = np.append(True, h[1:] != h[:-1])
+                new_c = new_h | np.append(True, c[1:] != c[:-1])
+                names = np.add.reduceat(new_c.astype(np.int64), np.flatnonzero(new_h))
+                several = names[np.cumsum(new_h) - 1] > 1
+                d, x, y = joined_runs(doc[~new_c], s[~new_c], n[~new_c])
+                out.append((np.ones(len(d), np.int32), d, d, d, x, y))
+                keep = new_c & several
+                out.append((np.full(int(keep.sum()), 2, np.int32), *(x[keep] for x in (h, c, doc, s, n))))
+            columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type, safe=False) for x, f in zip(columns, _BLOCKS, strict=True)], schema=_BLOCKS)
+
+    dealt = found.repartition(max(partitions(found.sparkSession), 2), "h").sortWithinPartitions("h")
     return dealt.mapInArrow(stream, BLOCKS)
 
 
@@ -183,13 +204,11 @@ def _partial(edges: DataFrame, texts: DataFrame, shards: int) -> DataFrame:
 
 def repeats(texts: DataFrame) -> DataFrame:
     """texts (doc, text), doc unique, to (doc, spans): the runs of starts of repeated windows."""
-    spark = texts.sparkSession
-    found = written(_found(texts), "blocks")
-    named = written(_named(found), "named")
+    named = written(_named(_found(texts)), "named")
     edges = named.where("kind = 2")
     size = edges.agg(F.sum(F.col("n") + LENGTH).alias("b")).first()["b"] or 0
     partial = _partial(edges, texts, size // SHARD + 1)
-    whole = found.where("kind = 1").select("doc", "s", "n").union(named.where("kind = 1").select("doc", "s", "n")).select("doc", "s", (F.col("s") + F.col("n") - 1).alias("e"))
+    whole = named.where("kind = 1").select("doc", "s", (F.col("s") + F.col("n") - 1).alias("e"))
     return whole.union(partial).groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
