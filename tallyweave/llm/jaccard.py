@@ -10,9 +10,11 @@ with the node's upper corner, and with the size rule prunes what can't link; sur
 verified on the whole sets.
 
 Only components are asked for, so not all pairs of a group are: a first round verifies for each
-class its best survivor, and a second one every survivor whose classes are still apart; each link
-between different components is found then. Groups of more than ``GROUP`` members are dealt to
-pairs of blocks, each pair of members in one task at least. Links and labels stay distributed.
+class its best survivor. For a second one the classes that still have survivors in other components
+are brought together, each once, and all those pairs are verified where they meet, without being
+sent anywhere; each link between different components is found then. Groups of more than ``GROUP``
+members are dealt to pairs of blocks, each pair of members in one task at least. Links and labels
+stay distributed.
 
 Defined cases: texts without words, empty or null, have empty sets and link with nothing; with fewer
 words than a shingle the whole sequence is the one shingle; repeated rows are one class.
@@ -234,7 +236,8 @@ class RTree:
 
 def _survivors(members: DataFrame, per_cent: int, every: bool) -> DataFrame:
     """members (g, n, c, point, label) to (a, b, gain): pairs of a group that may link and have
-    different labels; a comes before b by (n, c). For each b and group the best one, or every one."""
+    different labels; a comes before b by (n, c). For each b and group the best one; or, with
+    `every`, instead of all pairs a star that joins the members of a group that are in any."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, "g"):
@@ -256,17 +259,21 @@ def _survivors(members: DataFrame, per_cent: int, every: bool) -> DataFrame:
                     continue
                 own, size, who, names = v[s].astype(np.int16), n[s], label[s], c[s]
                 own[full[s]] = 32767  # a cell that may hold more than it can say bounds nothing
-                tree = RTree(own, size)
+                tree, involved = RTree(own, size), np.zeros(m, bool)
                 for j in range(1, m):
                     i, b = tree.survivors(own[j], int(size[j]), per_cent)
                     ok = (i < j) & (who[i] != who[j])
                     i, b = i[ok], b[ok]
                     if len(i):
                         gain = b / (size[i] + size[j])
-                        if not every:
+                        if every:
+                            involved[i] = involved[j] = True
+                        else:
                             best = np.lexsort((i, -gain))[:1]
-                            i, gain = i[best], gain[best]
-                        out.append((names[i], np.full(len(i), names[j]), gain))
+                            out.append((names[i[best]], names[j : j + 1], gain[best]))
+                if involved.any():
+                    star = names[involved]
+                    out.append((np.full(len(star) - 1, star[0]), star[1:], np.zeros(len(star) - 1)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b", "gain"])
 
@@ -304,6 +311,58 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, per_cent: int) -> Data
     return dealt.mapInArrow(stream, "a long, b long")
 
 
+def _within(routed: DataFrame, k: int, per_cent: int) -> DataFrame:
+    """routed (key, c, label, text) to links (a, b) that join all labels which links between members
+    of one key join: R-tree survivors of different labels are verified until they are joined."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, "key"):
+            t = t.combine_chunks()
+            key, c, label = (t.column(x).to_numpy() for x in ("key", "c", "label"))
+            sets = [u for b in t.to_batches() for _, _, data, offsets in text_pieces(b, "text") for u in shingles(data, offsets, k)]
+            heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            out = []
+            for x, y in zip(heads.tolist(), np.append(heads[1:], len(key)).tolist(), strict=True):
+                order = sorted(range(x, y), key=lambda i: (len(sets[i]), c[i]))
+                own, size = [sets[i] for i in order], np.array([len(sets[i]) for i in order])
+                up = {int(label[i]): int(label[i]) for i in order}
+                who = [int(label[i]) for i in order]
+
+                def root(v: int, up=up) -> int:
+                    while up[v] != v:
+                        up[v] = v = up[up[v]]
+                    return v
+
+                v = np.stack([np.frombuffer(point(u), np.uint8).astype(np.int16) for u in own])
+                v[(v == 255).any(1)] = 32767
+                tree = RTree(v, size)
+                for j in range(1, len(own)):
+                    i, bound = tree.survivors(v[j], int(size[j]), per_cent)
+                    i, bound = i[i < j], bound[i < j]
+                    for i in i[np.argsort(-bound / (size[i] + size[j]), kind="stable")].tolist():
+                        if root(who[i]) != root(who[j]):
+                            both = len(np.intersect1d(own[i], own[j], assume_unique=True))
+                            if 100 * both >= per_cent * (int(size[i]) + int(size[j]) - both):
+                                up[root(who[i])] = root(who[j])
+                                out.append((int(c[order[i]]), int(c[order[j]])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out, strict=True)], names=["a", "b"])
+
+    dealt = routed.repartition(max(partitions(routed.sparkSession), 2), "key").sortWithinPartitions("key", "c")
+    return dealt.mapInArrow(stream, "a long, b long")
+
+
+def _routed(stars: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, c, label, text): members of the stars that hang together have one key; more than GROUP
+    of them are dealt to pairs of blocks, each with a key, in which every pair of members meets."""
+    route = written(components(stars), "routes")
+    sizes = route.groupBy("root").count().select("root", F.when(F.col("count") > GROUP, F.ceil(F.col("count") / (GROUP // 2))).otherwise(1).cast("int").alias("blocks"))
+    m = route.join(sizes, "root").select("root", F.col("node").alias("c"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("own")))
+    m = m.withColumn("other", F.explode(other)).select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "c")
+    return m.join(labels.select("c", "label"), "c").join(texts, "c").select("key", "c", "label", "text")
+
+
 def jaccard_join(docs: DataFrame, *, k: int = 4, per_cent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest id that links reach)."""
     spark = docs.sparkSession
@@ -334,9 +393,9 @@ def jaccard_join(docs: DataFrame, *, k: int = 4, per_cent: int = 85, id_col: str
     links = written(_verified(best, texts, k, per_cent), "verified")
     roots = components(links)
     labels = points.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("c", "point", F.coalesce("root", "c").alias("label"))
-    rest = _survivors(groups.join(written(labels, "labels"), "c"), per_cent, every=True).select("a", "b").distinct()
-    tried = best.select("a", "b")
-    more = written(_verified(written(rest.join(written(tried, "tried"), ["a", "b"], "left_anti"), "rest"), texts, k, per_cent), "verified")
+    labels = written(labels, "labels")
+    stars = _survivors(groups.join(labels, "c"), per_cent, every=True)
+    more = written(_within(_routed(stars, labels, texts), k, per_cent), "verified")
     if not more.isEmpty():
         roots = components(links.union(more))
     named = rows.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
