@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm.common import mix, table, text_pieces, written
 
-DEPTH, TOP, PART, MODULUS, HELD = 5, 3, 8 << 20, 7, 2
+DEPTH, TOP, PART, ROWS, MODULUS, HELD = 5, 3, 8 << 20, 1 << 16, 7, 2
 PAD = 255  # no byte of UTF-8
 LOG_HALF = math.log(0.5)
 _K = np.arange(1 << 14)
@@ -78,59 +78,61 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     x[spot] = np.where((data >= 65) & (data <= 90), data + 32, data)
     ends = offsets[1:] + DEPTH * np.arange(1, n + 1)
     at = np.concatenate((spot, ends))
-    wide = x.astype(np.uint64)
-    code = wide.copy()
-    for k in range(1, DEPTH + 1):
-        code[k:] |= wide[:-k] << np.uint64(8 * (DEPTH + 1 - k))
+    two = np.zeros(len(x) + 1, np.uint16)  # two[i]: the bytes before i and before that
+    two[1:] = x
+    two[1:] <<= np.uint16(8)
+    two[2:] |= x[:-1]
+    code = two[:-1].astype(np.uint64)
+    code <<= np.uint64(32)
+    low = np.zeros(len(x), np.uint32)
+    low[2:] = two[:-3]
+    low <<= np.uint32(16)
+    last = x.astype(np.uint16)
+    last[DEPTH:] |= x[:-DEPTH].astype(np.uint16) << np.uint16(8)
+    low |= last
+    code |= low
     return code[at], np.concatenate((row, np.arange(n)))
 
 
 class Part:
-    """The rows of a part: their grams sorted with the row, as distinct grams and how often each
-    row holds them, and their words."""
+    """The rows of a part: their grams sorted with the row, the distinct grams, and their words."""
 
     def __init__(self, t: pa.Table):
         t = t.combine_chunks()
         self.ids = t.column("doc_id").to_pylist()
         self.held = held_out(self.ids)
-        found, self.words = [], []
-        for b in t.to_batches() or []:
+        # Grams have 48 bits; they are sorted with 16 bits of the row, for about 2 MB of text at once.
+        self.words, self.runs, us = [], [], []
+        for b in t.to_batches():
             base = len(self.words)
             for first, end, data, offsets in text_pieces(b, "text"):
-                code, row = grams(data, offsets)
-                found.append((code, row + base + first))
+                for a in range(0, end - first, ROWS):
+                    some = offsets[a : a + ROWS + 1]
+                    code, row = grams(data[some[0] : some[-1]], some - some[0])
+                    code <<= np.uint64(16)
+                    code |= row.astype(np.uint64)
+                    code.sort()
+                    c = code >> np.uint64(16)
+                    heads = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+                    us.append(c[heads])
+                    self.runs.append((base + first + a, len(some) - 1, (code & np.uint64(0xFFFF)).astype(np.uint16), heads.astype(np.int32), us[-1]))
                 raw = data.tobytes().lower()
                 self.words += [raw[i:j].split() for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        code = np.concatenate([c for c, _ in found]) if found else np.empty(0, np.uint64)
-        row = np.concatenate([r for _, r in found]) if found else np.empty(0, np.int64)
-        del found
-        # The gram has 48 bits; sorted with 16 bits of the row, in runs of 65,536 rows if need be.
-        us, self.runs = [], []
-        for a in range(0, len(self.ids), 1 << 16):
-            own = (row >= a) & (row < a + (1 << 16)) if len(self.ids) > 1 << 16 else slice(None)
-            key = np.sort(code[own] << np.uint64(16) | (row[own] - a).astype(np.uint64))
-            self.runs.append((a, key))
-            us.append(np.unique(key >> np.uint64(16)))
-        self.u = np.unique(np.concatenate(us)) if len(us) != 1 else us[0]
+        self.u = np.unique(np.concatenate(us)) if us else np.empty(0, np.uint64)
 
     def train_counts(self) -> np.ndarray:
         out = np.zeros(len(self.u), np.int64)
-        for a, key in self.runs:
-            c = key >> np.uint64(16)
-            train = ~self.held[(key & np.uint64(0xFFFF)).astype(np.int64) + a]
-            heads = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
-            out[np.searchsorted(self.u, c[heads])] += np.add.reduceat(train.astype(np.int64), heads)
+        for a, n, row, heads, codes in self.runs:
+            train = ~self.held[a : a + n][row]
+            out[np.searchsorted(self.u, codes)] += np.add.reduceat(train, heads, dtype=np.int64)
         return out
 
     def sums(self, value: np.ndarray) -> np.ndarray:
         """The sum of value (of each distinct gram) by row."""
         out = np.zeros(len(self.ids))
-        for a, key in self.runs:
-            c = key >> np.uint64(16)
-            new = np.concatenate(([True], c[1:] != c[:-1]))
-            which = np.searchsorted(self.u, c[new])[np.cumsum(new) - 1]
-            got = np.bincount((key & np.uint64(0xFFFF)).astype(np.int64), value[which])
-            out[a : a + len(got)] += got
+        for a, n, row, heads, codes in self.runs:
+            own = np.repeat(value[np.searchsorted(self.u, codes)], np.diff(np.append(heads, len(row))))
+            out[a : a + n] += np.bincount(row, own, n)
         return out
 
 
@@ -316,7 +318,7 @@ def finish(buckets: int, n: int, v: int, ends: int):
         value[order] = np.concatenate([np.frombuffer(got[k][0], np.float32) for k in range(buckets)])
         score = part.sums(value)
         lists: list[list[bytes]] = [[] for _ in range(buckets)]
-        for w in sorted({w for words in part.words for w in words}):
+        for w in sorted(set().union(*part.words)):
             lists[word_bucket(w, buckets)].append(w)
         count = {w: c for k in range(buckets) for w, c in zip(lists[k], np.frombuffer(got[k][1], np.int64).tolist(), strict=True)}
         total = math.log10(n + v + 1)
@@ -324,7 +326,8 @@ def finish(buckets: int, n: int, v: int, ends: int):
         end = math.log10(ends + 1) - total
         rows = len(part.ids)
         base = [sum(map(log.__getitem__, words)) + end for words in part.words]
-        known = [sum(map(bool, map(count.__getitem__, words))) + (ends > 0) for words in part.words]
+        new = {w for w, c in count.items() if not c}  # no word of a training row is one
+        known = [len(words) - (sum(map(new.__contains__, words)) if held else 0) + (ends > 0) for held, words in zip(part.held, part.words, strict=True)]
         return pa.table({"doc_id": pa.array(part.ids, pa.int64()), "held_out": pa.array(part.held), "n_tokens": pa.array([len(w) + 1 for w in part.words], pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([n] * rows, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score)})
 
     return one
