@@ -137,10 +137,11 @@ def write_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, end: int | None =
 
 def read_tokens(files: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
-    # One row for each part, of which there are as many as partitions when the files were written.
+    # One row for each part, of which there are as many as shuffle partitions when the files were
+    # written, a setting of the session: a bounded table.
     totals = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     first = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
-    placed = files.join(first, "part").select((F.col("_first") + F.col("before")).alias("start"), "payload")
+    placed = files.join(F.broadcast(first), "part").select((F.col("_first") + F.col("before")).alias("start"), "payload")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
