@@ -255,7 +255,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """docs with the repeats taken out of their texts; of a character that a run covers in part all
     bytes stay. All other columns and rows stay as they are."""
     names = docs.columns
-    kept = docs.withColumn("_all", F.struct(*[F.col(f"`{c}`") for c in names])).select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), "_all")
+    kept = docs.withColumn("_all", F.struct(F.lit(0).alias("_none"), *[F.col(f"`{c}`") for c in names if c != text_col])).select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), "_all")
     d = ordered(kept, "_id", "_text")
     spans = repeats(d.select(F.col("_doc").alias("doc"), F.col("_text").alias("text")))
 
