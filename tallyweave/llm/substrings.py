@@ -56,7 +56,7 @@ def blocks(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     none = np.empty(0, np.int64)
     if n < length:
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    if n > SEGMENT and len(offsets) == 2:  # one long text, by ranges of window starts
+    if n >= SEGMENT + length and len(offsets) == 2:  # one long text, by ranges of window starts
         found = [(blocks(own := data[a : a + SEGMENT + length - 1], np.array([0, len(own)]), length, gram), a) for a in range(0, n - length + 1, SEGMENT)]
         return tuple(np.concatenate([x[i] + a * (i == 1) for x, a in found]) for i in range(5))
     at = np.arange(n - gram + 1)

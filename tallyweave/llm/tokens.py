@@ -23,7 +23,7 @@ from tallyweave.llm.common import Polynomial
 #: White space of any engine, and what any engine might take for it.
 _WS = "[\\s\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
 ODD = re.compile(f"{_WS}[ \\n](?:{_WS}|$)")
-MEMO = 4_000_000
+MEMO = 1_500_000
 _LETTER = np.zeros(256, bool)
 _LETTER[list(range(65, 91)) + list(range(97, 123))] = True
 #: Second bytes of the letters U+00C0 to U+00FF after their first byte C3 (not the two signs there).
