@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.operators import graph
+from tallyweave.operators import graph, models
 from tallyweave.plans import relational
 from tallyweave.sources import ledger as src
 
@@ -121,7 +121,33 @@ def g_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.features(src.handoff_ledger(spark, sf_dir))
 
 
+def ml_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = src.scored_frame(spark, sf_dir)
+    return models.logistic(f.where("split = 'train'"), ["score"], f.where("split = 'test'").select("id", "score", "y"))
+
+
+def ml_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = src.scored_frame(spark, sf_dir)
+    return models.boosted(f.where("split = 'train'"), ["score"], f.where("split = 'test'").select("id", "score", "y"))
+
+
+def m_platt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slope, intercept = models.platt(src.scored_frame(spark, sf_dir).where("split = 'val'"))
+    return spark.createDataFrame([(slope, intercept)], "slope double, intercept double")
+
+
+def m_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = src.scored_frame(spark, sf_dir).where("split = 'test'")
+    cluster = F.when(F.col("ring_id") >= 0, F.concat(F.lit("ring:"), "ring_id")).otherwise(F.concat(F.lit("acct:"), "id"))
+    r = models.bootstrap_auc(f.select(cluster.alias("cluster"), "score", "y"), 100)
+    return r.agg(F.percentile("auc", F.lit(0.025)).alias("low"), F.percentile("auc", F.lit(0.975)).alias("high"), F.count("*").alias("rounds"))
+
+
 QUERIES = dict(relational.QUERIES) | {
+    "ml_logreg": ml_logreg,
+    "ml_train": ml_train,
+    "m_platt_fit": m_platt_fit,
+    "m_bootstrap_ci": m_bootstrap_ci,
     "top_pass_through": top_pass_through,
     "f_local_commerce": _local(src.commerce_ledger),
     "f_local_handoff": _local(src.handoff_ledger),
