@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.operators import graph, models
-from tallyweave.plans import relational
+from tallyweave.plans import evaluation, relational
 from tallyweave.sources import ledger as src
 
 
@@ -143,7 +143,7 @@ def m_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.agg(F.percentile("auc", F.lit(0.025)).alias("low"), F.percentile("auc", F.lit(0.975)).alias("high"), F.count("*").alias("rounds"))
 
 
-QUERIES = dict(relational.QUERIES) | {
+QUERIES = relational.QUERIES | evaluation.QUERIES | {
     "ml_logreg": ml_logreg,
     "ml_train": ml_train,
     "m_platt_fit": m_platt_fit,
@@ -162,7 +162,7 @@ QUERIES = dict(relational.QUERIES) | {
     "g_louvain": g_louvain,
     "g_features": g_features,
 }
-SQL = dict(relational.SQL) | {
+SQL = relational.SQL | evaluation.SQL | {
     "top_pass_through": f"select node, in_degree, out_degree, in_amount_sum, out_amount_sum, flow_passthrough from ({_local_sql('ledger')}) order by flow_passthrough desc, node limit 20",
     "f_local_commerce": _local_sql("ledger"),
     "f_local_handoff": _local_sql("handoff"),

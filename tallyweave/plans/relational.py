@@ -15,11 +15,22 @@ P_STAR = FP / (FP + FN)
 
 _PAIRS = "select sender, receiver, count(*) as weight, sum(amount) as total from {ledger} group by sender, receiver"
 _CONF = "count_if(y = 1 and score >= t) as tp, count_if(y = 0 and score >= t) as fp, count_if(y = 1 and score < t) as fn, count_if(y = 0 and score < t) as tn"
-#: Every distinct threshold, strictest first, with cumulative counts; ties are one row.
-_SWEEP = """by_score as (select score, sum(y) as p, sum(1 - y) as n from {scored} where split = 'SPLIT' group by score),
-tot as (select sum(p) as np, sum(n) as nn from by_score),
-sweep as (select score as threshold, cast(sum(p) over (order by score desc rows between unbounded preceding and current row) as bigint) as tp,
-  cast(sum(n) over (order by score desc rows between unbounded preceding and current row) as bigint) as fp, cast(np as bigint) as np, cast(nn as bigint) as nn from by_score cross join tot)"""
+#: Every distinct threshold, strictest first, with cumulative counts; ties are one row. Running sums are
+#: taken within 1,024 score buckets and over the buckets' totals, so no task gets all the scores. `sweep`
+#: has the thresholds that flag someone, `cuts` also the one that flags nobody.
+_SWEEP = """by_score as (select score, floor(score * 1024) as b, sum(y) as p, sum(1 - y) as n from {scored} where split = 'SPLIT' group by score, floor(score * 1024)),
+buckets as (select b, max(score) as top, sum(p) as bp, sum(n) as bn, count(*) as bk from by_score group by b),
+tot as (select cast(sum(bp) as bigint) as np, cast(sum(bn) as bigint) as nn, max(top) as top from buckets),
+above as (select b, sum(bp) over w as ap, sum(bn) over w as an, sum(bk) over w as ak, lead(top) over (order by b desc) as next_top from buckets window w as (order by b desc rows between unbounded preceding and 1 preceding)),
+sweep as (select score as threshold, cast(p as bigint) as p, cast(coalesce(ap, 0) + sum(p) over w as bigint) as tp, cast(coalesce(an, 0) + sum(n) over w as bigint) as fp, np, nn,
+  cast(coalesce(ak, 0) + row_number() over (partition by s.b order by score desc) as bigint) as rn, coalesce(lead(score) over (partition by s.b order by score desc), next_top) as lower
+  from by_score s join above on s.b = above.b cross join tot window w as (partition by s.b order by score desc rows between unbounded preceding and current row)),
+cuts as (select threshold, tp, fp, np, nn, rn, lower from sweep union all select NEXTUP(top), cast(0 as bigint), cast(0 as bigint), np, nn, cast(0 as bigint), top from tot)"""
+#: From c (g, threshold, lower, rn, cost): of each g the widest run of cheapest rows, the strictest of equals,
+#: and the middle of its range (lo, hi].
+_BEST = """m as (select *, coalesce(lower, NEXTDOWN(threshold)) as low, rn - row_number() over (partition by g order by rn) as island from (select *, min(cost) over (partition by g) as least_cost from c) x where cost = least_cost),
+i as (select g, island, max(threshold) as hi, min(low) as lo, min(cost) as cost, count(*) as n from m group by g, island),
+opt as (select g, case when (hi + lo) / 2 > lo then (hi + lo) / 2 else hi end as t, hi, lo, cost, n from (select *, row_number() over (partition by g order by hi - lo desc, hi desc) as k from i) x where k = 1)"""
 
 
 def _sweep(split: str = "val") -> str:
@@ -95,16 +106,16 @@ TEXTS: dict[str, str] = {
     # evaluation
     "m_cost_config": f"select cast({FN} as double) / {FP} as fn_fp_ratio, round(cast({FP} as double) / ({FP} + {FN}), 9) as break_even",
     "m_prf": "select split, round(tp / nullif(tp + fp, 0), 9) as p, round(tp / nullif(tp + fn, 0), 9) as r, round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 9) as f1 from (select split, " + _CONF + " from (select *, 0.7 as t from {scored}) x group by split) y",
-    "m_auc": "select split, round((sum(case when y = 1 then r end) - np * (np + 1) / 2.0) / nullif(np * (n - np), 0), 9) as auc from (select split, y, rank() over (partition by split order by score) + (count(*) over (partition by split, score) - 1) / 2.0 as r, cast(sum(y) over (partition by split) as bigint) as np, count(*) over (partition by split) as n from {scored}) x group by split, np, n",
-    "m_ap": "with " + _sweep("test") + " select round(sum((tp - lag_tp) * 1.0 / np * tp / (tp + fp)), 9) as ap from (select *, lag(tp, 1, 0) over (order by threshold desc) as lag_tp from sweep) x",
+    "m_auc": "with s as (select split, score, floor(score * 1024) as b, sum(y) as p, sum(1 - y) as n from {scored} group by split, score, floor(score * 1024)), k as (select split, b, sum(sum(n)) over (partition by split order by b rows between unbounded preceding and 1 preceding) as below from s group by split, b), r as (select s.split, p, n, coalesce(below, 0) + sum(n) over (partition by s.split, s.b order by score rows between unbounded preceding and current row) - n / 2.0 as beaten from s join k on s.split = k.split and s.b = k.b) select split, round(sum(p * beaten) / nullif(sum(p) * sum(n), 0), 9) as auc from r group by split",
+    "m_ap": "with " + _sweep("test") + " select round(sum(p * 1.0 / np * tp / (tp + fp)), 9) as ap from sweep",
     "m_brier": "select split, round(avg((score - y) * (score - y)), 9) as brier from {scored} group by split",
     "m_reliability": "with b as (select 0 as bin, 0.0 as lo, 0.2 as hi union all select 1, 0.2, 0.4 union all select 2, 0.4, 0.6 union all select 3, 0.6, 0.8 union all select 4, 0.8, 1.0) select bin, count(id) as n, round(avg(score), 9) as predicted, round(avg(cast(y as double)), 9) as observed from b left join {scored} s on s.score >= lo and (s.score < hi or bin = 4 and s.score <= 1) group by bin",
     "m_ece": "select round(sum(n * abs(p - o)) / sum(n), 9) as ece from (select least(floor(score * 5), 4) as bin, count(*) as n, avg(score) as p, avg(cast(y as double)) as o from {scored} group by 1) x",
     "m_compute_cost": f"select split, fn * {FN} + fp * {FP} as total_cost from (select split, " + _CONF + " from (select *, 0.5 as t from {scored}) x group by split) y",
-    "m_sweep": "with " + _sweep() + f" select threshold, tp, fp, nn - fp as tn, np - tp as fn, {_cost()} as total_cost, tp + fp as n_flagged, round((tp + fp) * 1.0 / (np + nn), 9) as alert_rate, round(tp * 1.0 / (tp + fp), 9) as p, round(tp * 1.0 / np, 9) as r from sweep",
-    "m_opt_threshold": "with " + _sweep() + ", c as (select threshold, lead(threshold) over (order by threshold desc) as lo, " + _cost() + " as cost, row_number() over (order by threshold desc) as rn from sweep), m as (select *, rn - row_number() over (order by threshold desc) as island from c where cost = (select min(cost) from c)), i as (select island, max(threshold) as hi, min(coalesce(lo, threshold)) as lo, min(cost) as cost, count(*) as n from m group by island) select round((hi + lo) / 2, 9) as threshold, hi, lo, cost, n as n_equivalent from i order by hi - lo desc, hi desc limit 1",
-    "m_alert_budget": "with " + _sweep() + " select min(threshold) as threshold, count(*) as affordable from sweep where (tp + fp) * 1000 <= 20 * (np + nn)",
-    "m_ratio_sensitivity": "with " + _sweep() + ", k as (select 2 as ratio union all select 5 union all select 10 union all select 25 union all select 50), c as (select ratio, threshold, (np - tp) * ratio + fp as cost, row_number() over (partition by ratio order by (np - tp) * ratio + fp, threshold desc) as r from sweep cross join k) select ratio, threshold, cast(cost as bigint) as cost from c where r = 1",
+    "m_sweep": "with " + _sweep() + f" select threshold, tp, fp, nn - fp as tn, np - tp as fn, {_cost()} as total_cost, (np - tp) * {FN} as fn_cost_total, fp * {FP} as fp_cost_total, tp + fp as n_flagged, round((tp + fp) * 1.0 / (np + nn), 9) as alert_rate, round(tp * 1.0 / nullif(tp + fp, 0), 9) as p, round(tp * 1.0 / nullif(np, 0), 9) as r, round(2.0 * tp / nullif(tp + fp + np, 0), 9) as f1 from cuts",
+    "m_opt_threshold": "with " + _sweep() + ", c as (select 1 as g, threshold, lower, rn, " + _cost() + " as cost from cuts), " + _BEST + " select t as threshold, hi, lo, cost, n as n_equivalent from opt",
+    "m_alert_budget": "with " + _sweep() + " select coalesce(min(case when rn > 0 and (tp + fp) * 1000 <= 20 * (np + nn) then threshold end), max(threshold)) as threshold, count_if(rn > 0 and (tp + fp) * 1000 <= 20 * (np + nn)) as affordable, count_if(rn > 0 and (tp + fp) * 1000 <= 20 * (np + nn)) > 0 as budget_feasible, round(min(case when rn > 0 then (tp + fp) * 1.0 / (np + nn) end), 9) as strictest_rate from cuts",
+    "m_ratio_sensitivity": "with " + _sweep() + f", k as (select 2.0 as g union all select 5.0 union all select 10.0 union all select 25.0 union all select 50.0 union all select {FN}.0 / {FP}), c as (select g, threshold, lower, rn, (np - tp) * g + fp as cost from cuts cross join k), " + _BEST + ", e as (select g, t, " + _CONF + " from opt cross join (select y, score from {scored} where split = 'test') s group by g, t) select round(g, 6) as ratio, t as threshold, round(1.0 / (1.0 + g), 9) as break_even, tp, fp, fn, round(tp * 1.0 / nullif(tp + fp, 0), 9) as p, round(tp * 1.0 / nullif(tp + fn, 0), 9) as r, round(fn * g + fp, 6) as cost from e",
     "m_prec_at_prev": "with c as (select tp * 1.0 / (tp + fn) as tpr, fp * 1.0 / (fp + tn) as fpr from (select " + _CONF + " from (select *, 0.7 as t from {scored}) x) y), pi as (select 0.02 as pi union all select 0.01 union all select 0.005 union all select 0.002 union all select 0.001) select cast(pi as double) as pi, round(pi * tpr / nullif(pi * tpr + (1 - pi) * fpr, 0), 9) as projected from c cross join pi",
     "m_prev_for_prec": f"select round({P_STAR} * fpr / (tpr * (1 - {P_STAR}) + {P_STAR} * fpr), 9) as prevalence from (select cast(tp as double) / (tp + fn) as tpr, cast(fp as double) / (fp + tn) as fpr from (select " + _CONF + " from (select *, 0.7 as t from {scored}) x) y) z",
     "m_rates": "select split, round(tp * 1.0 / nullif(tp + fn, 0), 9) as tpr, round(fp * 1.0 / nullif(fp + tn, 0), 9) as fpr from (select split, " + _CONF + " from (select *, 0.7 as t from {scored}) x group by split) y",
@@ -143,11 +154,17 @@ _LITERAL = re.compile(r"(?<![\w.])\d+\.\d+(?![\w.])")
 def _spark(text: str) -> str:
     text = _LITERAL.sub(lambda m: m[0] + "D", text)
     text = re.sub(r"MICROS\(", "unix_micros(", text)
+    text = re.sub(r"SERIES\((\d+)\)", r"(select explode(sequence(0, \1)) as k)", text)
+    text = re.sub(r"SETTEXT\((\w+)\)", r"array_join(array_sort(collect_set(\1)), '|')", text)
+    text = re.sub(r"NEXT(UP|DOWN)\((\w+)\)", lambda m: f"cast(java_method('java.lang.Math', 'next{m[1].capitalize()}', {m[2]}) as double)", text)
     return re.sub(r"PCT\(", "percentile(", text).replace("varchar(20)", "string")
 
 
 def _other(text: str) -> str:
     text = re.sub(r"MICROS\(", "epoch_us(", text)
+    text = re.sub(r"SERIES\((\d+)\)", lambda m: f"(select unnest(range(0, {int(m[1]) + 1})) as k)", text)
+    text = re.sub(r"SETTEXT\((\w+)\)", r"string_agg(distinct \1, '|' order by \1)", text).replace("{orders}", "orders")
+    text = re.sub(r"NEXT(UP|DOWN)\((\w+)\)", lambda m: f"nextafter({m[2]}, cast('{'' if m[1] == 'UP' else '-'}inf' as double))", text)
     text = _LITERAL.sub(lambda m: f"cast({m[0]} as double)", text)
     # The other engine's count_if is wider than a bigint.
     while (at := text.find("count_if(")) >= 0:
@@ -166,11 +183,11 @@ def _other(text: str) -> str:
     return f"with {ctes}, {text[5:]}" if text.startswith("with ") else f"with {ctes} {text}"
 
 
-_FRAMES = {"ledger": src.commerce_ledger, "handoff": src.handoff_ledger, "scored": src.scored_frame}
+_FRAMES = {"orders": lambda spark, d: src.table(spark, d, "orders").selectExpr("o_orderkey", "cast(o_orderdate as timestamp) as o_orderdate"), "ledger": src.commerce_ledger, "handoff": src.handoff_ledger, "scored": src.scored_frame}
 
 
-def query(name: str):
-    text = _spark(TEXTS[name])
+def query(text: str):
+    text = _spark(text)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         frames = {n: f(spark, sf_dir) for n, f in _FRAMES.items() if "{" + n + "}" in text}
@@ -179,5 +196,9 @@ def query(name: str):
     return run
 
 
-QUERIES = {name: query(name) for name in TEXTS}
-SQL = {name: _other(text) for name, text in TEXTS.items()}
+def registered(texts: dict[str, str]) -> tuple[dict, dict[str, str]]:
+    """Queries and SQL of texts by name."""
+    return {name: query(t) for name, t in texts.items()}, {name: _other(t) for name, t in texts.items()}
+
+
+QUERIES, SQL = registered(TEXTS)
