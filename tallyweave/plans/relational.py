@@ -30,7 +30,7 @@ cuts as (select threshold, tp, fp, np, nn, rn, lower from sweep union all select
 #: and the middle of its range (lo, hi].
 _BEST = """m as (select *, coalesce(lower, NEXTDOWN(threshold)) as low, rn - row_number() over (partition by g order by rn) as island from (select *, min(cost) over (partition by g) as least_cost from c) x where cost = least_cost),
 i as (select g, island, max(threshold) as hi, min(low) as lo, min(cost) as cost, count(*) as n from m group by g, island),
-opt as (select g, case when (hi + lo) / 2 > lo then (hi + lo) / 2 else hi end as t, hi, lo, cost, n from (select *, row_number() over (partition by g order by hi - lo desc, hi desc) as k from i) x where k = 1)"""
+opt as (select g, case when (hi + lo) / 2 > lo then (hi + lo) / 2 + 0.0 else hi end as t, hi, lo, cost, n from (select *, row_number() over (partition by g order by hi - lo desc, hi desc) as k from i) x where k = 1)"""
 
 
 def _sweep(split: str = "val") -> str:
