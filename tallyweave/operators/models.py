@@ -38,9 +38,12 @@ def fit_boosted(train: DataFrame, features: list[str], label: str = "y", rounds:
 
 def boosted(train: DataFrame, features: list[str], test: DataFrame, label: str = "y", rounds: int = 20) -> DataFrame:
     """test with p from such trees."""
-    shaped = VectorAssembler(inputCols=features, outputCol="_x")
-    model = fit_boosted(train, features, label, rounds)
-    return model.transform(shaped.transform(test)).select(*test.columns, vector_to_array("probability")[1].alias("p"))
+    return apply(fit_boosted(train, features, label, rounds), test, features)
+
+
+def apply(model, df: DataFrame, features: list[str]) -> DataFrame:
+    """df with p from a fitted model."""
+    return model.transform(VectorAssembler(inputCols=features, outputCol="_x").transform(df)).select(*df.columns, vector_to_array("probability")[1].alias("p"))
 
 
 def platt(df: DataFrame, score: str = "score", label: str = "y", rounds: int = 100) -> tuple[float, float]:

@@ -38,8 +38,8 @@ def extend(undirected: DataFrame, partition: DataFrame) -> DataFrame:
 
     An account joins the community of its heaviest placed neighbour (ties: the smaller name). Accounts are
     placed in the order of their names, and earlier ones count for later ones; rounds repeat until none
-    is placed. The order is kept without a serial loop: in each wave those accounts decide of whose
-    smaller neighbours none is undecided. What touches no placed account gets a new community per
+    is placed. The order is kept without a serial loop: in each wave those accounts decide whose
+    best placed neighbour beats all smaller neighbours that are undecided. What touches no placed account gets a new community per
     connected component, numbered by smallest member."""
     both = cut(undirected.select("a", "b", "weight").union(undirected.select("b", "a", "weight")).toDF("x", "y", "w"))
     placed = cut(partition.select("node", F.col("community").cast("long").alias("community")))
@@ -47,11 +47,16 @@ def extend(undirected: DataFrame, partition: DataFrame) -> DataFrame:
     while not remaining.isEmpty():
         undecided, grew = remaining, False
         while not undecided.isEmpty():
-            waits = both.where("y < x").join(undecided.toDF("x"), "x", "left_semi").join(undecided.toDF("y"), "y", "left_semi").select(F.col("x").alias("node")).distinct()
-            ready = cut(undecided.join(waits, "node", "left_anti"))
-            best = cut(both.join(ready.toDF("x"), "x", "left_semi").join(placed.toDF("y", "community"), "y").groupBy("x").agg(F.min_by("community", F.struct(-F.col("w"), F.col("y"))).alias("community")))
-            grew = grew or not best.isEmpty()
-            placed = cut(placed.union(best))
+            order = F.struct((-F.col("w")).alias("w"), F.col("y").alias("y"))
+            mine = both.join(undecided.toDF("x"), "x", "left_semi")
+            best = mine.join(placed.toDF("y", "community"), "y").groupBy("x").agg(F.min(order).alias("best"), F.min_by("community", order).alias("community"))
+            rival = mine.where("y < x").join(undecided.toDF("y"), "y", "left_semi").groupBy("x").agg(F.min(order).alias("rival"))
+            state = undecided.toDF("x").join(best, "x", "left").join(rival, "x", "left")
+            # Nothing that a smaller neighbour may still become beats the best placed one.
+            ready = cut(state.where("rival is null or best < rival").select(F.col("x").alias("node"), "community"))
+            chosen = ready.where("community is not null")
+            grew = grew or not chosen.isEmpty()
+            placed = cut(placed.union(chosen))
             undecided = cut(undecided.join(ready, "node", "left_anti"))
         remaining = cut(remaining.join(placed, "node", "left_anti"))
         if not grew:
@@ -93,4 +98,4 @@ def cycles(ledger: DataFrame, most: int = 15) -> DataFrame:
         if paths.isEmpty():
             break
     shown = found.orderBy("path").limit(most)
-    return shown.crossJoin(F.broadcast(shown.agg((F.count("*") >= most).alias("truncated")))).select(F.array_join("path", ">").alias("cycle"), F.size("path").alias("n"), "truncated")
+    return shown.crossJoin(F.broadcast(shown.agg((F.count("*") >= most).alias("truncated")))).select(F.array_join("path", ">").alias("cycle"), F.size("path").cast("long").alias("n"), "truncated")

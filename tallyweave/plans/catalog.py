@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.operators import graph, models
-from tallyweave.plans import evaluation, relational
+from tallyweave.operators import attribution, graph, models, partition, serving
+from tallyweave.plans import evaluation, relational, report
+from tallyweave.sources import generator
 from tallyweave.sources import ledger as src
 
 
@@ -143,7 +144,88 @@ def m_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.agg(F.percentile("auc", F.lit(0.025)).alias("low"), F.percentile("auc", F.lit(0.975)).alias("high"), F.count("*").alias("rounds"))
 
 
+def _frozen(ledger: DataFrame) -> DataFrame:
+    return graph.nodes(ledger).select("node", (F.col("node").cast("bigint") % 10).alias("community"))
+
+
+def g_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(partition.fingerprint(_frozen(src.handoff_ledger(spark, sf_dir))),)], "fingerprint string")
+
+
+_PRINT_SQL = f"""with ledger as ({src.SQL['handoff']}), p as (select node, cast(node as bigint) % 10 as c from (select sender as node from ledger union select receiver from ledger)), r as (select c, row_number() over (order by min(node)) - 1 as k from p group by c)
+select concat(substr(sha256(string_agg(concat(node, ':', k), ';' order by node)), 1, 12), '/', count(distinct c), 'c/', count(*), 'n') as fingerprint from p join r using (c)"""
+
+
+def g_extend_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the accounts is unknown to the frozen partition."""
+    ledger = src.handoff_ledger(spark, sf_dir)
+    known = _frozen(ledger).where(F.col("node").cast("bigint") % 3 > 0)
+    return partition.extend(graph.undirected(graph.pairs(ledger)), known)
+
+
+def g_cycles_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partition.cycles(src.commerce_ledger(spark, sf_dir))
+
+
+_ENUM_SQL = _CORE + """, cyc(path, tip) as (select [s, r], r from core where s < r union all select list_append(path, c.r), c.r from cyc join core c on c.s = tip where c.r > path[1] and not list_contains(path, c.r) and len(path) < 8),
+shown as (select path from cyc join core on core.s = tip and core.r = path[1] where len(path) >= 3 order by path limit 15) select array_to_string(path, '>') as cycle, len(path) as n, count(*) over () >= 15 as truncated from shown"""
+
+
+def _two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.scored_frame(spark, sf_dir).withColumn("late", F.col("id").cast("double"))
+
+
+def ml_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fold and, as fold -1, the mean."""
+    c = models.cross_validate(_two(spark, sf_dir), ["score", "late"], 3)
+    return c.union(c.agg(F.lit(-1), F.avg("auc"), F.avg("ap")))
+
+
+def ml_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _two(spark, sf_dir)
+    return models.ablation(f.where("split = 'train'"), f.where("split = 'test'").select("id", "score", "late", "y"), ["score", "late"], ["late"])
+
+
+def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _two(spark, sf_dir)
+    names = ["score", "late"]
+    model = models.fit_boosted(f.where("split = 'train'"), names)
+    return attribution.contributions(models.apply(model, f.where("split = 'test'").select("id", *names), names), model, names)
+
+
+def ml_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _explained(spark, sf_dir).select("id", "p", "contributions", attribution.top_factors(["score", "late"]).alias("factors"))
+
+
+def ml_mean_abs_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.mean_absolute(_explained(spark, sf_dir), ["score", "late"])
+
+
+def s_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last day's payments are scored against all before; the label is a stand-in."""
+    ledger = src.handoff_ledger(spark, sf_dir).select(*(F.concat(F.lit("acct-"), c).alias(c) for c in ("sender", "receiver")), "amount", "ts")
+    end = ledger.agg(F.max("ts").alias("end"))
+    dated = graph.cut(ledger.crossJoin(F.broadcast(end)).withColumn("new", F.col("ts") > F.col("end") - F.expr("interval 1 day")).drop("end"))
+    context, batch = dated.where("not new").drop("new"), dated.where("new").drop("new")
+    frozen = graph.nodes(context).select("node", F.pmod(F.xxhash64("node"), F.lit(10)).alias("community"))
+    names = ["degree_balance", "fan_in_concentration", "txn_velocity", "burst_ratio", "amount_cv", "repeat_ratio", "pagerank", "clustering_coefficient", "cycle_participation", "community_internal_ratio"]
+    known = graph.cut(graph.features(context, frozen).na.fill(0.0))
+    labelled = known.withColumn("y", (F.col("pagerank") > 1).cast("int"))
+    model = models.fit_boosted(labelled, names, rounds=5)
+    return serving.score_batch(batch, context, frozen, model, names, 0.5, relational.P_STAR)
+
+
 QUERIES = relational.QUERIES | evaluation.QUERIES | {
+    "g_fingerprint": g_fingerprint,
+    "g_extend_partition": g_extend_partition,
+    "g_cycles_enum": g_cycles_enum,
+    "gen_ledger": lambda spark, d: generator.ledger(spark),
+    "m_report": report.lines,
+    "ml_cv": ml_cv,
+    "ml_ablation": ml_ablation,
+    "ml_shap": ml_shap,
+    "ml_mean_abs_shap": ml_mean_abs_shap,
+    "s_score": s_score,
     "ml_logreg": ml_logreg,
     "ml_train": ml_train,
     "m_platt_fit": m_platt_fit,
@@ -167,6 +249,8 @@ SQL = relational.SQL | evaluation.SQL | {
     "f_local_commerce": _local_sql("ledger"),
     "f_local_handoff": _local_sql("handoff"),
     **{f"f_{x}": f"select node, {x} from ({_local_sql('handoff')})" for x in LOCAL},
+    "g_fingerprint": _PRINT_SQL,
+    "g_cycles_enum": _ENUM_SQL,
     "f_clustering": _CLUSTER_SQL,
     "f_pagerank": _rank_sql(),
     "g_core_peel": _CORE + " select s as sender, r as receiver from core",
