@@ -6,8 +6,8 @@ The cross-document rule: each line with a word is normalised (A-Z lower-cased, r
 one space) and hashed; for each host the *distinct documents* that hold the line are counted. A
 document is known by its smallest line hash other than that of the line in question, so that
 copies and most near copies of one document count once and a document isn't rejected for having
-been copied. Lines of more than ``max_docs`` distinct documents of a host are removed; a document
-that loses more than ``max_removed`` per cent of its words is depleted and rejected.
+been copied. Lines of more than ``max_docs`` distinct documents of a host count as removed, and
+``quality_clean`` takes them out of the texts; a document that loses more than ``max_removed`` per cent of its words is depleted and rejected.
 
 Defined cases: a null text has no words and fails the base rules; a null host is a host of its own;
 repeated rows are rows of their own with the same results; other columns don't matter, whatever
@@ -34,6 +34,15 @@ def _windows(words: Column, n: Column, size: int = 5) -> Column:
     return hashed
 
 
+def _normal(line: Column) -> Column:
+    """The line as it is compared: trimmed, A-Z lower-cased, runs of white space one space."""
+    return F.regexp_replace(ascii_lower(F.btrim(line, F.lit(WHITE))), r"[\x20\x09-\x0D]+", " ")
+
+
+def _hash(normal: Column) -> Column:
+    return F.substring(F.md5(normal), 1, 16)
+
+
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per document: _id, _host, the base counts, and _lines: hash and words of each line."""
     d = docs.select(F.col(id_col).alias("_id"), F.col(host_col).cast("string").alias("_host"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
@@ -48,19 +57,20 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     d = d.withColumn("_p", F.sort_array(F.transform(F.filter("_s", again), lambda x: x["i"])))
     p = F.col("_p")
     covered = F.aggregate(F.transform("_p", lambda x, i: F.least(F.lit(5), F.coalesce(F.get(p, i + 1) - x, F.lit(5)))), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    lines = F.transform("_l", lambda x: F.regexp_replace(ascii_lower(F.btrim(x, F.lit(WHITE))), r"[\x20\x09-\x0D]+", " "))
+    lines = F.transform("_l", _normal)
     return d.select(
         "_id", "_host", F.size("_w").cast("bigint").alias("n_words"),
         F.length(F.translate("_t", WHITE, "")).cast("bigint").alias("word_chars"),
         (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
-        F.transform(lines, lambda x: F.struct(F.substring(F.md5(x), 1, 16).alias("h"), F.size(F.split(x, " ")).alias("w"))).alias("_lines"),
+        F.transform(lines, lambda x: F.struct(_hash(x).alias("h"), F.size(F.split(x, " ")).alias("w"))).alias("_lines"),
     )
 
 
-def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, max_removed: int = MAX_REMOVED) -> DataFrame:
-    """One row per row of docs: the id, _host, the counts, removed_words, base_failed, kept.
+def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, max_removed: int = MAX_REMOVED, gone: bool = False) -> DataFrame:
+    """One row per row of docs: the id, _host, the counts, removed_words, base_failed, kept, and where
+    `gone` says so _gone, the hashes of the lines to remove (null: none).
 
     The text is read once, into a written table of counts and line hashes; the counts by host and
     line are aggregated before they are shuffled, so that a line of a third of all documents and a
@@ -69,20 +79,36 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     lowest = F.slice(F.sort_array(F.array_distinct(F.transform("_lines", lambda x: x["h"]))), 1, 2)
     lines = m.select("_row", "_host", lowest.alias("_low"), F.explode("_lines").alias("_x")).select("_row", "_host", F.col("_x.h").alias("_h"), F.col("_x.w").alias("_n"), F.when(F.col("_low")[0] == F.col("_x.h"), F.coalesce(F.get("_low", F.lit(1)), F.lit(""))).otherwise(F.col("_low")[0]).alias("_as"))
     often = lines.select("_host", "_h", "_as").distinct().groupBy("_host", "_h").count().where(F.col("count") > max_docs).select(F.col("_host").alias("_oh"), F.col("_h").alias("_ol"))
-    lost = lines.join(often, F.col("_host").eqNullSafe(F.col("_oh")) & (F.col("_h") == F.col("_ol")), "left_semi").groupBy("_row").agg(F.sum("_n").cast("bigint").alias("removed_words"))
+    lost = lines.join(often, F.col("_host").eqNullSafe(F.col("_oh")) & (F.col("_h") == F.col("_ol")), "left_semi").groupBy("_row").agg(F.sum("_n").cast("bigint").alias("removed_words"), *([F.collect_set("_h").alias("_gone")] if gone else []))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     out = m.join(lost, "_row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("bigint"))).withColumn("base_failed", failed)
-    return out.select(F.col("_id").alias(id_col), "_host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (100 * F.col("removed_words") <= max_removed * F.col("n_words"))).alias("kept"), "removed_words")
+    return out.select(F.col("_id").alias(id_col), "_host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (100 * F.col("removed_words") <= max_removed * F.col("n_words"))).alias("kept"), "removed_words", *(["_gone"] if gone else []))
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, **limits) -> tuple[Column, DataFrame]:
+    """The key of a row of docs (rows with one id but different texts are judged each for itself), and
+    the rules' results by that key."""
+    key = F.struct(F.col(id_col).alias("a"), F.col(host_col).cast("string").alias("b"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("c"))
+    keyed = docs.select(F.col(text_col).alias("_text"), key.alias("_key"), F.col(host_col).alias("_src"))
+    return key, quality_rules(keyed, id_col="_key", text_col="_text", host_col="_src", **limits)
 
 
 def quality_filter(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
-    """docs without the rows that the rules reject, all columns as they are. Rows with one id but
-    different texts are judged each for itself."""
-    key = {"_k": F.struct(F.col(id_col).alias("a"), F.col(host_col).cast("string").alias("b"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("c"))}
-    keyed = docs.select(F.col(text_col).alias("_text"), key["_k"].alias("_key"), F.col(host_col).alias("_src"))
-    judged = quality_rules(keyed, id_col="_key", text_col="_text", host_col="_src", **limits)
+    """docs without the rows that the rules reject, all columns as they are."""
+    key, judged = _judged(docs, id_col, text_col, host_col, **limits)
     out = judged.where(~F.col("kept")).select(F.col("_key").alias("_rejected")).distinct()
-    return docs.join(out, key["_k"].eqNullSafe(F.col("_rejected")), "left_anti")
+    return docs.join(out, key.eqNullSafe(F.col("_rejected")), "left_anti")
+
+
+def quality_clean(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
+    """docs without the rows that the rules reject and, in the texts that stay, without the lines of more
+    than max_docs distinct documents of the host; other lines, blank ones too, and columns stay as they are."""
+    key, judged = _judged(docs, id_col, text_col, host_col, gone=True, **limits)
+    out = judged.where(~F.col("kept") | F.col("_gone").isNotNull()).groupBy(F.col("_key").alias("_judged")).agg(F.first("kept").alias("_kept"), F.first("_gone").alias("_gone"))
+    both = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), key.alias("_key")).join(out, F.col("_key").eqNullSafe(F.col("_judged")), "left").where(F.coalesce("_kept", F.lit(True)))
+    text = F.col(f"_doc.`{text_col}`")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("_gone", _hash(_normal(x)))), "\n")
+    return both.select(*[(F.when(F.col("_gone").isNull(), text).otherwise(left) if c == text_col else F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -240,6 +240,18 @@ def test_chat(spark):
         chat.canonical({"what": 1})
 
 
+def test_frequent_lines_are_removed(spark):
+    import corpus_pipeline
+
+    own = lambda i: " ".join(f"{chr(97 + j)}{i}" for j in range(12))
+    rows = [(i, f"{own(i)}\n\n Subscribe  to OUR letter now \nlast {i}", "en", "big", 1) for i in range(40)]
+    rows += [(50, "Subscribe to our letter now\n" + own(50), "en", "small", 1), (51, "subscribe to our letter now\n" * 8 + "x y", "en", "big", 1), (52, f"{own(52)}\n\nend", "en", None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.keep_good(spark, df.union(df), "").collect()}
+    want = {i: f"{own(i)}\n\nlast {i}" for i in range(40)} | {i: t for i, t, *_ in rows if i in (50, 52)}
+    assert {i: r.text for i, r in got.items()} == want and all(r.n_chars == len(r.text) for r in got.values())
+
+
 def brute_links(docs, k, per_cent):
     sets = {}
     for i, t in docs:
