@@ -4,10 +4,12 @@ Everything here is DataFrame functions; nothing runs in Python on an executor.
 
 The cross-document rule: each line with a word is normalised (A-Z lower-cased, runs of white space
 one space) and hashed; for each host the *distinct documents* that hold the line are counted. A
-document is known by its smallest line hash other than that of the line in question, so that
-copies and most near copies of one document count once and a document isn't rejected for having
-been copied. Lines of more than ``max_docs`` distinct documents of a host count as removed, and
-``quality_clean`` takes them out of the texts; a document that loses more than ``max_removed`` per cent of its words is depleted and rejected.
+document is known by the hash of all its normalised lines in order, so that copies count once and a
+document isn't rejected for having been copied; near copies are documents of their own. (``SQL`` knows
+a document by its smallest other line hash, which undercounts where documents share several lines.)
+Lines of more than ``max_docs`` distinct documents of a host count as removed, and
+``quality_clean`` takes them out of the texts; a document that loses more than ``max_removed`` per
+cent of its words is depleted and rejected.
 
 Defined cases: a null text has no words and fails the base rules; a null host is a host of its own;
 repeated rows are rows of their own with the same results; other columns don't matter, whatever
@@ -76,8 +78,8 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     line are aggregated before they are shuffled, so that a line of a third of all documents and a
     host of a third of all rows are as cheap as any other."""
     m = written(measured(docs, id_col, text_col, host_col).withColumn("_row", F.monotonically_increasing_id()), "quality")
-    lowest = F.slice(F.sort_array(F.array_distinct(F.transform("_lines", lambda x: x["h"]))), 1, 2)
-    lines = m.select("_row", "_host", lowest.alias("_low"), F.explode("_lines").alias("_x")).select("_row", "_host", F.col("_x.h").alias("_h"), F.col("_x.w").alias("_n"), F.when(F.col("_low")[0] == F.col("_x.h"), F.coalesce(F.get("_low", F.lit(1)), F.lit(""))).otherwise(F.col("_low")[0]).alias("_as"))
+    whole = _hash(F.concat_ws(",", F.transform("_lines", lambda x: x["h"])))
+    lines = m.select("_row", "_host", whole.alias("_as"), F.explode("_lines").alias("_x")).select("_row", "_host", F.col("_x.h").alias("_h"), F.col("_x.w").alias("_n"), "_as")
     often = lines.select("_host", "_h", "_as").distinct().groupBy("_host", "_h").count().where(F.col("count") > max_docs).select(F.col("_host").alias("_oh"), F.col("_h").alias("_ol"))
     lost = lines.join(often, F.col("_host").eqNullSafe(F.col("_oh")) & (F.col("_h") == F.col("_ol")), "left_semi").groupBy("_row").agg(F.sum("_n").cast("bigint").alias("removed_words"), *([F.collect_set("_h").alias("_gone")] if gone else []))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))

@@ -252,6 +252,15 @@ def test_frequent_lines_are_removed(spark):
     assert {i: r.text for i, r in got.items()} == want and all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_documents_of_several_shared_lines_are_distinct(spark):
+    footer = "\n".join(f"footer line number {j} of all pages" for j in range(10))
+    rows = [(i, f"{footer}\nown words {i}", "big") for i in range(100)]
+    rows += [(200 + i, "copied line of words one two three four\nand five six seven eight", "copies") for i in range(100)]
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i].removed_words == 70 and not got[i].kept for i in range(100))
+    assert all(got[200 + i].removed_words == 0 and got[200 + i].kept for i in range(100))
+
+
 def brute_links(docs, k, per_cent):
     sets = {}
     for i, t in docs:
