@@ -2,11 +2,12 @@ r"""Operator 9, personal data: base patterns, and candidates judged by boosted t
 
 DataFrame functions only on the executors. Base spans of each kind are the leftmost non-overlapping
 matches of its pattern that pass its check; they always stay. Generators with high recall propose
-further, overlapping candidates (written-out addresses, groups of digits, four numbers); gradient
+further, overlapping candidates (written-out addresses, four numbers, and of each run of digits every
+window of its groups with 7 to 24 digits); gradient
 boosted trees over features of format and context score them, and those that reach the threshold of
 their kind, calibrated for precision on held-out candidates, are added where no base span of the
-kind overlaps. The trees are fitted on the driver to a bounded sample of candidates (``SAMPLE``, the
-lowest by a hash of their place), labelled by whether the base rules find them, and become one SQL
+kind overlaps, the best first where they overlap each other. The trees are fitted on the driver to a bounded sample of candidates (``SAMPLE``, the
+lowest by a hash of their place), labelled by whether the base rules find them (digits: exactly them), and become one SQL
 expression. All else covers all rows.
 
 Patterns are written with possessive repeats, which match the same spans without backtracking, so
@@ -38,6 +39,8 @@ WIDE = {
 }
 FEATURES = ("chars", "digits", "letters", "dots", "spaces", "dashes", "brackets", "plus", "at", "groups", "luhn", "word_before", "word_after", "cue")
 CUES = "(?:mail|contact|write|tel|phone|call|fax|mobile|card|visa|payment|server|host|addr|ip)"
+#: Digits of a window of groups that is a candidate.
+LEAST, MOST = 7, 24
 SAMPLE, ROUNDS, RATE, PRECISION = 20_000, 24, 0.3, 0.97
 
 
@@ -57,6 +60,33 @@ def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
+def _windows(x: Column, prefix: bool) -> Column:
+    """array<struct<s,m>> of the windows of neighbouring digit groups of a run that have LEAST to MOST
+    digits; with `prefix` a plus or bracket right before the first group belongs to it."""
+    # A lambda's argument is computed once, an expression that is used in a lambda once a turn.
+    once = lambda value, f: F.flatten(F.transform(F.array(value), f))
+
+    def grouped(chars: Column) -> Column:
+        """Where each group starts and ends in the run."""
+        digit = lambda p: F.coalesce(F.get(chars, p).between("0", "9"), F.lit(False))
+        at = F.sequence(F.lit(0), F.size(chars) - 1)
+        starts, ends = F.filter(at, lambda p: digit(p) & ~digit(p - 1)), F.filter(at, lambda p: digit(p) & ~digit(p + 1))
+        return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda g, i: F.struct(i.alias("i"), g["a"].alias("a"), (g["b"] + 1).alias("b")))
+
+    def windows(chars: Column, groups: Column, g: Column) -> Column:
+        def of(some: Column) -> Column:
+            digits = lambda k: F.aggregate(F.slice(some, F.lit(1), k + 1), F.lit(0), lambda n, y: n + y["b"] - y["a"])
+            fit = F.filter(F.transform(some, lambda y, k: F.struct(y["b"].alias("b"), digits(k).alias("d"))), lambda y: y["d"].between(LEAST, MOST))
+            is_at = lambda p, c: F.coalesce(F.get(chars, p) == c, F.lit(False))
+            bracket = is_at(g["a"] - 1, "(")
+            back = F.when(bracket & is_at(g["a"] - 2, "+"), 2).when(bracket | is_at(g["a"] - 1, "+"), 1).otherwise(0) if prefix else F.lit(0)
+            return F.transform(fit, lambda y: F.struct((x["s"] + g["a"] - back).alias("s"), F.array_join(F.slice(chars, g["a"] - back + 1, y["b"] - g["a"] + back), "").alias("m")))
+
+        return once(F.slice(groups, g["i"] + 1, F.lit(MOST)), of)
+
+    return once(F.split(x["m"], ""), lambda chars: once(grouped(chars), lambda groups: F.flatten(F.transform(groups, lambda g: windows(chars, groups, g)))))
+
+
 def _luhn(digits: Column) -> Column:
     """Whether 1 to 40 digits pass the Luhn check."""
     n = F.length(digits)
@@ -113,15 +143,17 @@ def found(docs: DataFrame, id_col: str, text_col: str, keep: bool = False) -> Da
     d = d.withColumn("_base", F.concat(*[passing(i, k) for i, k in enumerate(KINDS)]).cast(SPAN)).drop(*[f"_{k}" for k in KINDS])
     wide = {"email": t.contains("@") | t.rlike(r"[\[(](?:at|AT)[\])]"), "ip": t.rlike("[0-9]"), "digits": t.rlike("[0-9]")}
     d = d.select("*", *[_matches(t, WIDE[k], wide[k]).alias(f"_{k}") for k in WIDE])
-    d = d.withColumn("_digits", F.filter("_digits", lambda x: F.length(_digits(x["m"])).between(7, 24)))
+    d = d.withColumn("_groups", F.flatten(F.transform("_digits", lambda x: _windows(x, False)))).withColumn("_signed", F.flatten(F.transform("_digits", lambda x: _windows(x, True))))
     base = F.col("_base")
 
     def candidates(k: int, column: str) -> Column:
         own = F.filter(base, lambda b: b["k"] == k)
         touches = lambda x: F.exists(own, lambda b: (b["s"] < x["s"] + F.length(x["m"])) & (x["s"] < b["e"]))
-        return F.transform(column, lambda x: F.struct(F.lit(k).alias("k"), x["s"].alias("s"), (x["s"] + F.length(x["m"])).alias("e"), touches(x).alias("y"), _features(t, x).alias("f")))
+        is_own = lambda x: F.exists(own, lambda b: (b["s"] == x["s"]) & (x["s"] + F.length(x["m"]) == b["e"]))
+        y = is_own if k > 1 else touches
+        return F.transform(column, lambda x: F.struct(F.lit(k).alias("k"), x["s"].alias("s"), (x["s"] + F.length(x["m"])).alias("e"), y(x).alias("y"), touches(x).alias("o"), _features(t, x).alias("f")))
 
-    more = F.concat(candidates(0, "_email"), candidates(1, "_ip"), candidates(2, "_digits"), candidates(3, "_digits"))
+    more = F.concat(candidates(0, "_email"), candidates(1, "_ip"), candidates(2, "_groups"), candidates(3, "_signed"))
     return d.select("_id", "_base", more.alias("_more"), *(["_t", "_row"] if keep else []))
 
 
@@ -191,11 +223,15 @@ def spans(made: DataFrame, models: dict[int, tuple[list, float]]) -> DataFrame:
     c = F.col("_more")
 
     def chosen(k: int, trees: list, least: float) -> Column:
-        own = F.filter(c, lambda x: (x["k"] == k) & ~x["y"])
-        return F.filter(own, lambda x: sum((tree_column(t, x["f"]) for t in trees), F.lit(0.0)) >= least)
+        own = F.filter(c, lambda x: (x["k"] == k) & ~x["o"])
+        scored = F.transform(own, lambda x: F.struct((-sum((tree_column(t, x["f"]) for t in trees), F.lit(0.0))).alias("m"), (x["s"] - x["e"]).alias("n"), x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
+        # Of candidates that overlap the one with the highest margin stays, then the longest, then the first.
+        best = F.array_sort(F.filter(scored, lambda x: x["m"] <= -least))
+        span = lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"))
+        return F.aggregate(best, F.array().cast(SPAN), lambda a, x: F.when(F.exists(a, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])), a).otherwise(F.concat(a, F.array(span(x)))))
 
     kept = [chosen(k, *model) for k, model in models.items()]
-    added = F.transform(F.concat(*kept), lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"))) if kept else F.array().cast(SPAN)
+    added = F.concat(*kept) if kept else F.array().cast(SPAN)
     return made.withColumn("_spans", F.array_sort(F.concat("_base", added.cast(SPAN))))
 
 

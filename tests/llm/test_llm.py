@@ -321,6 +321,16 @@ def test_personal_data(spark, docs):
     assert out[3] is None and out[1] == BASE and out[12].startswith("Mail <EMAIL> or <PHONE>, <CARD>, <IP>. ")
 
 
+def test_numbers_inside_longer_runs(spark):
+    card, two = "4111 1111 1111 1111", "4111 1111 1111 1111 5500 0000 0000 0004"
+    rows = [(1, f"{card} 12/27 123"), (2, two), (3, "1 " * 300), (4, "+1 (555) 123-4567 9999 8888"), (5, "7" * 3000)]
+    more = {r._id: {(x.k, x.s, x.e) for x in r._more} for r in pii.found(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert (2, 0, 19) in more[1] and {(2, 0, 19), (2, 20, 39)} <= more[2] and (3, 0, 17) in more[4] and not more[5]
+    rows = rows[:2] + [(1000 + i, f"paid by {card}, thanks") for i in range(600)] + [(100 + i, f"part {1000 + 37 * i} 5678 9012 {3450 + i % 7}, or {10000000 + 37 * i}") for i in range(60)]
+    got = {r.doc_id: r.spans.split(",") for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "card:0:19" in got[1] and {"card:0:19", "card:20:39"} <= set(got[2])
+
+
 def test_pieces_are_the_librarys():
     import sentencepiece
 
