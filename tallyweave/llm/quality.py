@@ -5,8 +5,7 @@ Everything here is DataFrame functions; nothing runs in Python on an executor.
 The cross-document rule: each line with a word is normalised (A-Z lower-cased, runs of white space
 one space) and hashed; for each host the *distinct documents* that hold the line are counted. A
 document is known by the hash of all its normalised lines in order, so that copies count once and a
-document isn't rejected for having been copied; near copies are documents of their own. (``SQL`` knows
-a document by its smallest other line hash, which undercounts where documents share several lines.)
+document isn't rejected for having been copied; near copies are documents of their own.
 Lines of more than ``max_docs`` distinct documents of a host count as removed, and
 ``quality_clean`` takes them out of the texts; a document that loses more than ``max_removed`` per
 cent of its words is depleted and rejected.
@@ -21,19 +20,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import WHITE, ascii_lower, table, written
+from tallyweave.llm.common import LOWER, UPPER, WHITE, ascii_lower, table, written
 
 #: Production parameters.
 MAX_DOCS, MAX_REMOVED, MIN_WORDS, MAX_REPEAT = 30, 70, 10, 20
 SYMBOLS = "#*$%&|<>"
 
 
-def _windows(words: Column, n: Column, size: int = 5) -> Column:
-    """Hash and start of each window of `size` words."""
-    return F.when(n < size, F.array().cast("array<struct<h:bigint,i:int>>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))), lambda i: F.struct(F.xxhash64(F.slice(words, i + 1, size)).alias("h"), i.alias("i")))
-    )
-    return hashed
+def _once(value: Column, f) -> Column:
+    """f of the value, which is computed once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _repeat_words(words: Column, n: Column, size: int = 5) -> Column:
+    """Words in windows of `size` words that occur twice or more. Windows are hashed once; only a text
+    that has an equal pair of them has its windows sorted."""
+
+    def covered(hashes: Column) -> Column:
+        again = lambda s, x, i: F.coalesce(x["h"] == F.get(s, i - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(s, i + 1)["h"], F.lit(False))
+        starts = _once(F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), lambda s: F.array_sort(F.transform(F.filter(s, lambda x, i: again(s, x, i)), lambda x: x["i"])))
+        return _once(starts, lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(size), F.coalesce(F.get(p, i + 1) - x, F.lit(size)))), F.lit(0).cast("bigint"), lambda a, x: a + x))
+
+    none = F.lit(0).cast("bigint")
+    hashes = F.transform(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))), lambda i: F.xxhash64(F.slice(words, i + 1, size)))
+    return F.when(n < size, none).otherwise(_once(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(covered(h))))
 
 
 def _normal(line: Column) -> Column:
@@ -53,19 +63,13 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
         F.filter(F.split("_t", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("_w"),
         F.filter(F.split("_t", "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "").alias("_l"),
     )
-    d = d.select("_id", "_host", "_t", "_w", "_l", F.sort_array(_windows(F.col("_w"), F.size("_w"))).alias("_s"))
-    s = F.col("_s")
-    again = lambda x, i: F.coalesce(x["h"] == F.get(s, i - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(s, i + 1)["h"], F.lit(False))
-    d = d.withColumn("_p", F.sort_array(F.transform(F.filter("_s", again), lambda x: x["i"])))
-    p = F.col("_p")
-    covered = F.aggregate(F.transform("_p", lambda x, i: F.least(F.lit(5), F.coalesce(F.get(p, i + 1) - x, F.lit(5)))), F.lit(0).cast("bigint"), lambda a, x: a + x)
     lines = F.transform("_l", _normal)
     return d.select(
         "_id", "_host", F.size("_w").cast("bigint").alias("n_words"),
         F.length(F.translate("_t", WHITE, "")).cast("bigint").alias("word_chars"),
         (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint").alias("n_dup_lines"),
-        covered.alias("n_repeat_words"),
+        _repeat_words(F.col("_w"), F.size("_w")).alias("n_repeat_words"),
         F.transform(lines, lambda x: F.struct(_hash(x).alias("h"), F.size(F.split(x, " ")).alias("w"))).alias("_lines"),
     )
 
@@ -124,12 +128,10 @@ w as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda
 g as (select r, i, ws[i:i + 4] as k from w, unnest(range(1, len(ws) - 3)) as u(i)),
 g2 as (select r, i from (select r, i, count(*) over (partition by r, k) as c from g) where c > 1),
 rep as (select r, sum(least(5, coalesce(nx - i, 5))) as n from (select r, i, lead(i) over (partition by r order by i) as nx from g2) group by r),
-l as (select r, source, regexp_replace(translate(trim(x, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g') as x from (select r, source, unnest(ls) as x from w)),
-h as (select r, source, substr(md5(x), 1, 16) as h, len(string_split(x, ' ')) as n from l),
-low as (select r, list_sort(list_distinct(list(h)))[1:2] as low from h group by r),
-a as (select h.r, source, h, n, case when low[1] = h then coalesce(low[2], '') else low[1] end as s from h join low using (r)),
-often as (select source, h from a group by 1, 2 having count(distinct s) > {MAX_DOCS}),
-lost as (select a.r, sum(n) as n from a join often o on a.h = o.h and a.source is not distinct from o.source group by 1),
+l as (select r, source, k, translate(regexp_replace(trim(ls[k], concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), '[\x20\x09-\x0D]+', ' ', 'g'), '{UPPER}', '{LOWER}') as x from w, unnest(range(1, len(ls) + 1)) as u(k)),
+whole as (select r, string_agg(x, chr(10) order by k) as whole from l group by r),
+often as (select source, x from l join whole using (r) group by 1, 2 having count(distinct whole) > {MAX_DOCS}),
+lost as (select l.r, sum(len(string_split(l.x, ' '))) as n from l join often o on l.x = o.x and l.source is not distinct from o.source group by 1),
 b as (select w.r, doc_id, len(ws) as n_words, length(translate(t, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)), '')) as word_chars,
   length(t) - length(translate(t, '{SYMBOLS}', '')) as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, coalesce(lost.n, 0) as removed_words
   from w left join rep using (r) left join lost using (r))
