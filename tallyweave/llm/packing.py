@@ -3,9 +3,9 @@
 Best-fit decreasing over all pieces of the corpus at once. A segment tree over the remaining
 capacities 0..L counts the open bins of each capacity and finds the tightest one that takes a piece
 in logarithmic time. Pieces of one length are interchangeable and so are bins of one capacity, so
-one step places a whole run of them; the plan is a list of runs (length, ranks, bins, offset) whose
-size depends on L alone: at most one run for each pair of length and capacity and each run splits
-one interval of bins at most. That bounds what the driver holds (the counts of L lengths) and what
+one step places a whole run of them, which fills bin after bin; the plan is a list of runs (length,
+ranks, bins, offset) whose size depends on L alone: at most one run for each pair of length and
+capacity, and each length splits one interval of bins at most. That bounds what the driver holds (the counts of L lengths) and what
 is broadcast, whatever the corpus holds. Each piece then finds its run by its length and its rank
 among the pieces of its length; ranks are counted in hashed buckets of bounded size first, so a
 length of a third of all pieces is spread like any other.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tallyweave.llm.common import table, text_pieces, written
+from tallyweave.llm.common import lean, table, text_pieces, written
 from tallyweave.llm.tokens import encoder
 
 LENGTH, END, TOKENIZER = 2048, 0, "word_bpe_49k.json"
@@ -64,33 +64,38 @@ class CapacityTree:
 
 def best_fit_decreasing(counts: dict[int, int], capacity: int) -> np.ndarray:
     """The runs of best-fit decreasing for counts of lengths: columns length, first rank (from 0),
-    ranks, first bin, offset."""
+    ranks, first bin, offset in the bins, pieces of a bin.
+
+    A bin that takes a piece of a length is from then on the tightest one for that length, so it takes
+    the next pieces too until none fits any more; a run fills whole bins of one capacity that way."""
     tree, bins, made, runs = CapacityTree(capacity), {}, 0, []
+
+    def put_back(rest: int, first: int, n: int) -> None:
+        tree.add(rest, n)
+        bins.setdefault(rest, deque()).appendleft((first, n))
+
     for length in sorted(counts, reverse=True):
         left, rank = counts[length], 0
         if length <= 0 or length > capacity:
             raise ValueError(f"no bin takes the length {length}")
-        placed: list[tuple[int, int, int]] = []
         while left:
             c = tree.tightest(length)
-            if c is None:  # as many new bins as these pieces fill, each up to the last that fits
-                per = capacity // length
-                new = -(-left // per)
-                tree.add(capacity, new)
-                bins.setdefault(capacity, deque()).append((made, new))
-                made += new
-                continue
-            first, n = bins[c].popleft()
-            take = min(n, left)
-            if n > take:
-                bins[c].appendleft((first + take, n - take))
-            tree.add(c, -take)
-            runs.append((length, rank, take, first, capacity - c))
-            rest = c - length
-            tree.add(rest, take)
-            bins.setdefault(rest, deque()).appendleft((first, take))
-            rank, left = rank + take, left - take
-    return np.array(runs, np.int64).reshape(-1, 5)
+            if c is None:  # new bins, no more than these pieces fill
+                c, first, n = capacity, made, -(-left // (capacity // length))
+                made += n
+            else:
+                first, n = bins[c].popleft()
+                tree.add(c, -n)
+            per = c // length
+            full = min(n, left // per)
+            for m, each in ((full, per), (int(n > full), left - full * per)):  # the last bin in part
+                if m and each:
+                    runs.append((length, rank, m * each, first, capacity - c, each))
+                    put_back(c - each * length, first, m)
+                    first, n, rank, left = first + m, n - m, rank + m * each, left - m * each
+            if n:
+                put_back(c, first, n)
+    return np.array(runs, np.int64).reshape(-1, 6)
 
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("_at", pa.int32())])
@@ -116,7 +121,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH, en
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), PIECE, strict=True)], schema=PIECE)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(stream, "doc_id long, piece int, start long, length long, ids_crc32 long, _at int")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(stream), "doc_id long, piece int, start long, length long, ids_crc32 long, _at int")
 
 
 def pack(made: DataFrame, capacity: int = LENGTH) -> DataFrame:
@@ -131,7 +136,7 @@ def pack(made: DataFrame, capacity: int = LENGTH) -> DataFrame:
     counts = {r["length"]: r["n"] for r in each.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     plan = best_fit_decreasing(counts, capacity)
     shared = spark.sparkContext.broadcast(plan)
-    ranked = bucketed.withColumn("_in", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("_row")) - 1).join(before, ["length", "_bucket"])
+    ranked = bucketed.withColumn("_in", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("_row")) - 1).join(before.hint("merge"), ["length", "_bucket"])
     ranked = ranked.withColumn("_rank", F.col("_in") + F.col("_before")).drop("_in", "_before", "_bucket", "_row")
     names = [c for c in ranked.columns if c != "_rank"]
 
@@ -143,10 +148,10 @@ def pack(made: DataFrame, capacity: int = LENGTH) -> DataFrame:
         for batch in batches:
             length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "_rank"))
             i = np.searchsorted(key, (capacity - length).astype(np.float64) * 2.0**40 + rank, "right") - 1
-            sequence = runs[i, 3] + rank - runs[i, 1]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(sequence), pa.array(runs[i, 4])], names=[*names, "sequence_id", "offset"])
+            bins, nth = np.divmod(rank - runs[i, 1], runs[i, 5])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(runs[i, 3] + bins), pa.array(runs[i, 4] + nth * length)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank") + ", sequence_id long, offset long")
+    return ranked.mapInArrow(lean(place), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank") + ", sequence_id long, offset long")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
