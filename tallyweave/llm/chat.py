@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import table
+from tallyweave.llm.common import lean, table
 
 Turn = tuple[str, str]
 CONTROL = re.compile(r"\\|###|</turn>")
@@ -137,7 +137,7 @@ def format_records(records: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict(out, FORMATTED)
 
     ordered = records.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "record").select("conv_id", "record")
-    return ordered.mapInArrow(stream, "conv_id long, first boolean, formatted string, loss_start array<long>, loss_end array<long>")
+    return ordered.mapInArrow(lean(stream), "conv_id long, first boolean, formatted string, loss_start array<long>, loss_end array<long>")
 
 
 DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
@@ -172,7 +172,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if now is not None:
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(closed(), DIGESTS, strict=True)], schema=DIGESTS)
 
-    return formatted.mapInArrow(stream, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(lean(stream), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,8 @@ def text_pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iter
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         end = min(end, n)
         yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
+        if offsets[end] - offsets[at] > 2 * most:  # a very long text
+            released()
         at = end
 
 
@@ -77,30 +80,79 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Powers:
+    """Powers of one odd base and of its inverse modulo 2**64, as far as the longest batch needs them;
+    one table for all hashes of a worker, and no more than ``KEPT`` powers of it outlive a batch."""
+
+    KEPT, base = 1 << 22, 0x5851F42D4C957F2D
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def grow(cls, n: int) -> None:
+        if len(cls.up) < n:
+            n = 1 << (n - 1).bit_length()
+            steps = np.full(n, cls.base, np.uint64)
+            steps[0] = 1
+            cls.up = np.multiply.accumulate(steps)
+            steps[1:] = pow(cls.base, -1, 1 << 64)
+            cls.down = np.multiply.accumulate(steps, out=steps)
+
+    @classmethod
+    def shrink(cls) -> None:
+        if len(cls.up) > cls.KEPT:
+            cls.up, cls.down = cls.up[: cls.KEPT].copy(), cls.down[: cls.KEPT].copy()
+
+
 class Polynomial:
     """64-bit hashes of any substrings of a byte array, all computed at once: prefix sums of byte
     values times powers of an odd base, modulo 2**64; powers of the inverse align each substring."""
 
     def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.base = int(rng.integers(1 << 62, dtype=np.uint64)) * 8 + 5 & (1 << 64) - 1
-        self.values = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def grow(self, n: int) -> None:
-        if len(self.up) < n:
-            n = 1 << (n - 1).bit_length()
-            steps = np.full(n, self.base, np.uint64)
-            steps[0] = 1
-            self.up = np.multiply.accumulate(steps)
-            steps[1:] = pow(self.base, -1, 1 << 64)
-            self.down = np.multiply.accumulate(steps)
+        self.values = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
-        self.grow(len(data) + 1)
+        Powers.grow(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.values[data] * self.up[: len(data)], out=sums[1:])
+        terms = self.values[data]
+        terms *= Powers.up[: len(data)]
+        np.cumsum(terms, out=sums[1:])
         return sums
 
     def of(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (sums[end] - sums[start]) * self.down[start]
+        out = sums[end]
+        out -= sums[start]
+        out *= Powers.down[start]
+        return out
+
+
+def released() -> None:
+    """Gives memory that a task no longer needs back to the system: workers outlive their tasks."""
+    Powers.shrink()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(stream: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The stream, with its memory released when it ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from stream(batches)
+        finally:
+            released()
+
+    return run
+
+
+def lean_group(f: Callable) -> Callable:
+    """The function of a group, with its memory released after each group."""
+
+    def run(*tables):
+        try:
+            return f(*tables)
+        finally:
+            released()
+
+    return run

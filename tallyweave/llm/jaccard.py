@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import Polynomial, mix, partitions, table, text_pieces, written
+from tallyweave.llm.common import Polynomial, lean, mix, partitions, table, text_pieces, written
 from tallyweave.llm.components import components, ordered
 
 DIMS, HEAVY, GROUP, LEAF = 256, 1 << 16, 2048, 32
@@ -110,7 +110,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
         if held:
             yield often()
 
-    return docs.mapInArrow(stream, "kind int, doc_id long, n long, c long, point binary")
+    return docs.mapInArrow(lean(stream), "kind int, doc_id long, n long, c long, point binary")
 
 
 def _prefixes(docs: DataFrame, k: int, per_cent: int, heavy) -> DataFrame:
@@ -138,7 +138,7 @@ def _prefixes(docs: DataFrame, k: int, per_cent: int, heavy) -> DataFrame:
                     each = [len(x) for x in ts]
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ts).view(np.int64)), pa.array(np.repeat(np.array(ns, np.int64), each)), pa.array(np.repeat(np.array(cs, np.int64), each))], names=["t", "n", "c"])
 
-    return docs.mapInArrow(stream, "t long, n long, c long")
+    return docs.mapInArrow(lean(stream), "t long, n long, c long")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -194,7 +194,7 @@ def _groups(prefixes: DataFrame, per_cent: int) -> DataFrame:
 
     spark = prefixes.sparkSession
     dealt = prefixes.repartition(max(partitions(spark), 2), "t").sortWithinPartitions("t", "n", "c")
-    return dealt.mapInArrow(stream, "g long, n long, c long").distinct()
+    return dealt.mapInArrow(lean(stream), "g long, n long, c long").distinct()
 
 
 class RTree:
@@ -279,7 +279,7 @@ def _survivors(members: DataFrame, per_cent: int, every: bool) -> DataFrame:
 
     spark = members.sparkSession
     dealt = members.repartition(max(partitions(spark), 2), "g").sortWithinPartitions("g", "n", "c")
-    return dealt.mapInArrow(stream, "a long, b long, gain double")
+    return dealt.mapInArrow(lean(stream), "a long, b long, gain double")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, per_cent: int) -> DataFrame:
@@ -308,7 +308,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, per_cent: int) -> Data
     second = salted.join(texts.select(F.col("c").alias("b"), "text"), "b").select("a", "b", "s", "text")
     first = salted.select("a", "s").distinct().join(texts.select(F.col("c").alias("a"), "text"), "a").select("a", F.lit(None).cast("long").alias("b"), "s", "text")
     dealt = first.union(second).repartition(max(partitions(pairs.sparkSession), 2), "a", "s").sortWithinPartitions("a", "s", F.col("b").asc_nulls_first()).select("a", "b", "text")
-    return dealt.mapInArrow(stream, "a long, b long")
+    return dealt.mapInArrow(lean(stream), "a long, b long")
 
 
 def _within(routed: DataFrame, k: int, per_cent: int) -> DataFrame:
@@ -349,7 +349,7 @@ def _within(routed: DataFrame, k: int, per_cent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out, strict=True)], names=["a", "b"])
 
     dealt = routed.repartition(max(partitions(routed.sparkSession), 2), "key").sortWithinPartitions("key", "c")
-    return dealt.mapInArrow(stream, "a long, b long")
+    return dealt.mapInArrow(lean(stream), "a long, b long")
 
 
 def _routed(stars: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
@@ -383,7 +383,7 @@ def jaccard_join(docs: DataFrame, *, k: int = 4, per_cent: int = 85, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(1).filter(ok), batch.column(0).filter(ok)], names=["c", "text"])
 
     by_id = classes.select(F.col("doc_id").alias("_d"), "c")
-    found = d.join(by_id, F.col("doc_id").eqNullSafe(F.col("_d"))).select("text", "c").mapInArrow(whole, "c long, text string")
+    found = d.join(by_id, F.col("doc_id").eqNullSafe(F.col("_d"))).select("text", "c").mapInArrow(lean(whole), "c long, text string")
     repeated = rows.groupBy("doc_id").count().where("count > 1").isEmpty()
     texts = written(found if repeated else found.dropDuplicates(["c"]), "texts")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import table
+from tallyweave.llm.common import lean, table
 
 MODEL, SPACE, MEMO, LONG, CHARS = "piece_bpe_32k.model", "▁", 800_000, 48, 400_000
 NONE = np.int32(2**31 - 1)
@@ -230,7 +230,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
                 some = batch.slice(a, 1000)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(pieces(model).encode(some.column(1).to_pylist()), pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(stream, "doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(stream), "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -241,7 +241,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             texts = [pieces(model).decode(np.frombuffer(x, "<u4")) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(stream, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(stream), "doc_id long, text string")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,4 +259,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                 same = [own.decode(np.frombuffer(x, "<u4")) == (t or "") for x, t in zip(found, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) // 4 for x in found]), pa.array([zlib.crc32(x) for x in found], pa.int64()), pa.array(same)], names=["doc_id", "n_tokens", "ids_crc32", "round_trip"])
 
-    return d.mapInArrow(stream, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
+    return d.mapInArrow(lean(stream), "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")

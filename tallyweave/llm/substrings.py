@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import Polynomial, mix, partitions, table, text_pieces, written
+from tallyweave.llm.common import Polynomial, lean, lean_group, mix, partitions, table, text_pieces, written
 from tallyweave.llm.components import ordered
 from tallyweave.llm.induced import suffix_array
 from tallyweave.llm.jaccard import grouped
@@ -117,7 +117,7 @@ def _found(docs: DataFrame) -> DataFrame:
             columns = kind, np.concatenate((h[~again], spread)), np.concatenate((c[~again], spread)), np.concatenate((doc[~again], d)), np.concatenate((s[~again], x)).astype(np.int32), np.concatenate((n[~again], y)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, _BLOCKS, strict=True)], schema=_BLOCKS)
 
-    return docs.mapInArrow(stream, BLOCKS)
+    return docs.mapInArrow(lean(stream), BLOCKS)
 
 
 def _named(found: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def _named(found: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type, safe=False) for x, f in zip(columns, _BLOCKS, strict=True)], schema=_BLOCKS)
 
     dealt = found.repartition(max(partitions(found.sparkSession), 2), "h").sortWithinPartitions("h")
-    return dealt.mapInArrow(stream, BLOCKS)
+    return dealt.mapInArrow(lean(stream), BLOCKS)
 
 
 SPANS = "doc long, s int, e int"
@@ -198,8 +198,8 @@ def _partial(edges: DataFrame, texts: DataFrame, shards: int) -> DataFrame:
         return pa.table({"doc": pa.array(doc[k]), "s": pa.array((s[k] + a - base).astype(np.int32)), "e": pa.array((s[k] + b - base).astype(np.int32))})
 
     by_doc = edges.groupBy("doc").agg(F.collect_list(F.struct("h", "s", "n")).alias("own"))
-    pieces = texts.join(by_doc, "doc").select("doc", "text", "own").mapInArrow(cut, "h long, doc long, s int, bytes binary")
-    return pieces.groupBy(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).applyInArrow(one, SPANS)
+    pieces = texts.join(by_doc, "doc").select("doc", "text", "own").mapInArrow(lean(cut), "h long, doc long, s int, bytes binary")
+    return pieces.groupBy(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).applyInArrow(lean_group(one), SPANS)
 
 
 def repeats(texts: DataFrame) -> DataFrame:
@@ -248,7 +248,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), OUT, strict=True)], schema=OUT)
 
     joined = d.join(spans, d["_doc"] == spans["doc"], "left").select(F.col("doc_id").cast("long"), "text", "spans")
-    return joined.mapInArrow(stream, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(lean(stream), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,7 +280,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     joined = d.join(spans, d["_doc"] == spans["doc"], "left").select("_text", "spans", "_all")
     schema = "_new string, _all " + d.schema["_all"].dataType.simpleString()
-    return joined.mapInArrow(stream, schema).select(*[F.col("_new").alias(c) if c == text_col else F.col(f"_all.`{c}`").alias(c) for c in names])
+    return joined.mapInArrow(lean(stream), schema).select(*[F.col("_new").alias(c) if c == text_col else F.col(f"_all.`{c}`").alias(c) for c in names])
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

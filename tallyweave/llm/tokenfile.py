@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tallyweave.llm.common import partitions, table, text_pieces, written
+from tallyweave.llm.common import lean, partitions, table, text_pieces, written
 from tallyweave.llm.tokens import encoder
 
 TOKENIZER, END, BLOCK, RECORD, PERCENTILE = "byte_bpe_50k.json", 0, 1024, 1 << 18, 90
@@ -132,7 +132,7 @@ def write_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, end: int | None =
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = d.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return written(ordered.mapInArrow(stream, FILE), "tokens")
+    return written(ordered.mapInArrow(lean(stream), FILE), "tokens")
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + ends - lengths), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.mapInArrow(stream, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(lean(stream), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,19 +65,36 @@ def test_packing(spark, docs):
         assert end <= 2048
 
 
+def plain_loop(lengths, capacity):
+    """Best-fit decreasing piece by piece: the contents of the bins."""
+    free, inside = [], []
+    for n in sorted(lengths, reverse=True):
+        fit = [(f, i) for i, f in enumerate(free) if f >= n]
+        if not fit:
+            fit = [(capacity, len(free))]
+            free.append(capacity)
+            inside.append([])
+        free[min(fit)[1]] -= n
+        inside[min(fit)[1]].append(n)
+    return inside
+
+
 def test_best_fit_is_that_of_a_plain_loop():
-    for _ in range(30):
-        lengths = [random.randint(1, 40) for _ in range(random.randint(0, 300))]
-        free: list[int] = []
-        for n in sorted(lengths, reverse=True):
-            fit = [f for f in free if f >= n]
-            if fit:
-                free[free.index(min(fit))] -= n
-            else:
-                free.append(40 - n)
-        runs = packing.best_fit_decreasing(Counter(lengths), 40)
-        used = {b for length, _, n, first, _ in runs for b in range(first, first + n)}
-        assert len(used) == len(free) and sum(n for _, _, n, _, _ in runs) == len(lengths)
+    few = [Counter(random.choices([random.randint(1, 2048) for _ in range(random.randint(1, 6))], k=random.randint(1, 40)).copy()) for _ in range(3000)]
+    many = [Counter(random.randint(1, 40) for _ in range(random.randint(0, 300))) for _ in range(60)]
+    for counts, capacity in [(Counter([400] + [500] * 2 + [600] * 4), 2048), *((c, 2048) for c in few), *((c, 40) for c in many)]:
+        want = plain_loop(list(counts.elements()), capacity)
+        held, seen = defaultdict(list), defaultdict(list)
+        for length, rank, n, first, offset, each in packing.best_fit_decreasing(counts, capacity).tolist():
+            seen[length] += range(rank, rank + n)
+            for k in range(n):
+                held[first + k // each].append((offset + k % each * length, length))
+        assert all(sorted(v) == list(range(counts[k])) for k, v in seen.items()) and len(seen) == len(counts)
+        for v in held.values():
+            v.sort()
+            assert [o for o, _ in v] == [sum(n for _, n in v[:i]) for i in range(len(v))] and sum(n for _, n in v) <= capacity
+        assert len(held) == len(want)
+        assert Counter(sum(n for _, n in v) for v in held.values()) == Counter(map(sum, want))
 
 
 def test_top_k(spark):
