@@ -146,12 +146,12 @@ def lean(stream: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return run
 
 
-def lean_group(f: Callable) -> Callable:
+def lean_group(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
     """The function of a group, with its memory released after each group."""
 
-    def run(*tables):
+    def run(table: pa.Table) -> pa.Table:
         try:
-            return f(*tables)
+            return f(table)
         finally:
             released()
 
