@@ -2,13 +2,22 @@ r"""Operator 9, personal data: base patterns, and candidates judged by boosted t
 
 DataFrame functions only on the executors. Base spans of each kind are the leftmost non-overlapping
 matches of its pattern that pass its check; they always stay. Generators with high recall propose
-further, overlapping candidates (written-out addresses, four numbers, and of each run of digits every
-window of its groups with 7 to 24 digits); gradient
-boosted trees over features of format and context score them, and those that reach the threshold of
-their kind, calibrated for precision on held-out candidates, are added where no base span of the
-kind overlaps, the best first where they overlap each other. The trees are fitted on the driver to a bounded sample of candidates (``SAMPLE``, the
-lowest by a hash of their place), labelled by whether the base rules find them (digits: exactly them), and become one SQL
-expression. All else covers all rows.
+further, overlapping candidates: written-out addresses, four numbers, and of each run of digits every
+window of its groups with 7 to 24 digits. In canonical form (``[at]`` as @, other separators of four
+numbers as dots, digits alone) a candidate is fit for its kind or not; only fit ones can be added.
+
+Gradient boosted trees over features of format and context judge them. Labels don't come from the
+spans that the trees have to find: a candidate counts as positive if it is a base span, or if it is
+fit and a word that announces its kind (mail, call, card, host ...) stands shortly before it. The
+trees see neither those words nor what sets base spans apart from the others (the plus, the @, the
+separators of four numbers), so they learn what announced and rule-conforming data look like, and
+find the same forms where nothing announces them.
+
+Two thirds of the candidates (by a hash of their place) are for fitting: of these a sample of at most
+about ``SAMPLE`` for each kind and label, weighted by what it stands for, goes to the driver, where
+the trees are grown. With all fit candidates of the last third the threshold of each kind is set: the least
+margin from which on ``PRECISION`` of them are positive, and no less than even odds. Candidates that reach it are added where no base
+span lies, by kind in order, the best first where they overlap each other.
 
 Patterns are written with possessive repeats, which match the same spans without backtracking, so
 very long texts neither overflow the matcher's stack nor take quadratic time.
@@ -37,11 +46,15 @@ WIDE = {
     "ip": r"(?<![0-9])[0-9]++[.:_][0-9]++[.:_][0-9]++[.:_][0-9]++",
     "digits": r"[+(]?+[0-9](?:[\x20()./-]{0,2}+[0-9])++",
 }
-FEATURES = ("chars", "digits", "letters", "dots", "spaces", "dashes", "brackets", "plus", "at", "groups", "luhn", "word_before", "word_after", "cue")
-CUES = "(?:mail|contact|write|tel|phone|call|fax|mobile|card|visa|payment|server|host|addr|ip)"
+FEATURES = ("chars", "digits", "letters", "dots", "spaces", "dashes", "groups", "first", "last", "word_before", "word_after")
+#: Words that announce a kind, within the CONTEXT characters before.
+CUES = {"email": r"(?:mail|contact|write|reach)", "ip": r"(?:server|host|addr|\bip\b|node|gateway)", "card": r"(?:card|visa|payment|paid)", "phone": r"(?:tel|phone|call|fax|mobile|dial)"}
+CONTEXT = 24
 #: Digits of a window of groups that is a candidate.
 LEAST, MOST = 7, 24
-SAMPLE, ROUNDS, RATE, PRECISION = 20_000, 24, 0.3, 0.97
+SAMPLE, ROUNDS, RATE, PRECISION = 2_500, 24, 0.3, 0.9
+#: Margins are told apart by this many steps of 1.
+STEPS = 32
 
 
 def _matches(t: Column, pattern: str, needs: Column) -> Column:
@@ -110,28 +123,46 @@ def _count(m: Column, chars: str) -> Column:
     return F.length(m) - F.length(F.translate(m, chars, ""))
 
 
-def _features(t: Column, x: Column) -> Column:
-    m = x["m"]
-    n = F.length(m)
-    before = F.substring(t, F.greatest(x["s"] - 23, F.lit(1)), F.least(x["s"], F.lit(24)))
+def _canonical(kind: str, m: Column) -> Column:
+    if kind == "email":
+        at = F.regexp_replace(m, r"\x20?[\[(](?:at|AT)[\])]\x20?", "@")
+        return F.regexp_replace(at, r"\x20?[\[(](?:dot|DOT)[\])]\x20?", ".")
+    return F.regexp_replace(m, "[:_]", ".") if kind == "ip" else m
+
+
+def _fit(kind: str, canonical: Column) -> Column:
+    if kind == "email":
+        return canonical.rlike("^" + BASE["email"].rpartition("]))")[2] + "$") & F.substring_index(canonical, ".", -1).rlike("^[A-Za-z]{2,}+$")
+    return _passes(kind, canonical)
+
+
+def _context(t: Column, x: Column) -> Column:
+    return F.substring(t, F.greatest(x["s"] - CONTEXT + 1, F.lit(1)), F.least(x["s"], F.lit(CONTEXT)))
+
+
+def _features(t: Column, x: Column, kind: str, m: Column) -> Column:
+    """Features of the canonical form m of the candidate x of text t."""
+    n = F.length(x["m"])
     after = F.substring(t, x["s"] + n + 1, F.lit(1))
     yes = lambda c: c.cast("int")
-    d = _digits(m)
+    groups = F.regexp_extract_all(m, F.lit("[A-Za-z0-9]+"), F.lit(0))
     all_of = {
-        "chars": n, "digits": F.length(d), "letters": F.length(F.regexp_replace(m, "[^A-Za-z]", "")), "dots": _count(m, "."), "spaces": _count(m, " "), "dashes": _count(m, "-"),
-        "brackets": _count(m, "()[]"), "plus": _count(m, "+"), "at": _count(m, "@"), "groups": F.size(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))), "luhn": yes(_luhn(d)),
-        "word_before": yes(before.rlike("[A-Za-z0-9]$")), "word_after": yes(after.rlike("[A-Za-z0-9]")), "cue": yes(ascii_lower(before).rlike(CUES)),
+        "chars": F.length(F.ltrim(m, F.lit("+("))), "digits": F.length(_digits(m)), "letters": F.length(F.regexp_replace(m, "[^A-Za-z]", "")), "dots": _count(m, "."), "spaces": _count(m, " "), "dashes": _count(m, "-"),
+        "groups": F.size(groups), "first": F.length(F.get(groups, F.lit(0))), "last": F.length(F.element_at(groups, -1)),
+        "word_before": yes(_context(t, x).rlike("[A-Za-z0-9]$")), "word_after": yes(after.rlike("[A-Za-z0-9]")),
     }
-    return F.array(*[all_of[f].cast("double") for f in FEATURES])
+    return F.array(*[F.coalesce(all_of[f], F.lit(0)).cast("double") for f in FEATURES])
 
 
 SPAN = "array<struct<k:int,s:int,e:int>>"
 
 
 def found(docs: DataFrame, id_col: str, text_col: str, keep: bool = False) -> DataFrame:
-    """Per row: _id, _base (spans in order) and _more (candidates with features, and whether the
-    base rules find them), and _t where keep says so. The text is read once."""
-    d = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"), *([F.struct(F.col(text_col).isNull().alias("_null"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("_row")] if keep else []))
+    """Per row: _id, _base (spans in order) and _more (candidates with their label y, whether they may be
+    added, whether they lie over a base span of their kind, and features), and _t and _row (whether the
+    text is null, and all other columns) where keep says so. The text is read once."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(0)]
+    d = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t"), *([F.struct(F.col(f"`{text_col}`").isNull().alias("null"), F.struct(*others).alias("all")).alias("_row")] if keep else []))
     t = F.col("_t")
     needs = {"email": t.contains("@"), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike("[0-9]"), "phone": t.contains("+")}
     d = d.select("*", *[_matches(t, BASE[k], needs[k]).alias(f"_{k}") for k in KINDS])
@@ -147,22 +178,29 @@ def found(docs: DataFrame, id_col: str, text_col: str, keep: bool = False) -> Da
     base = F.col("_base")
 
     def candidates(k: int, column: str) -> Column:
+        kind = KINDS[k]
         own = F.filter(base, lambda b: b["k"] == k)
-        touches = lambda x: F.exists(own, lambda b: (b["s"] < x["s"] + F.length(x["m"])) & (x["s"] < b["e"]))
+        over = lambda spans, x: F.exists(spans, lambda b: (b["s"] < x["s"] + F.length(x["m"])) & (x["s"] < b["e"]))
         is_own = lambda x: F.exists(own, lambda b: (b["s"] == x["s"]) & (x["s"] + F.length(x["m"]) == b["e"]))
-        y = is_own if k > 1 else touches
-        return F.transform(column, lambda x: F.struct(F.lit(k).alias("k"), x["s"].alias("s"), (x["s"] + F.length(x["m"])).alias("e"), y(x).alias("y"), touches(x).alias("o"), _features(t, x).alias("f")))
+
+        def one(x: Column, m: Column) -> Column:
+            good = _fit(kind, m) & ~over(base, x)
+            y = (is_own(x) if k > 1 else over(own, x)) | good & ascii_lower(_context(t, x)).rlike(CUES[kind])
+            return F.struct(F.lit(k).alias("k"), x["s"].alias("s"), (x["s"] + F.length(x["m"])).alias("e"), y.alias("y"), good.alias("good"), over(own, x).alias("o"), _features(t, x, kind, m).alias("f"))
+
+        return F.transform(column, lambda x: F.transform(F.array(_canonical(kind, x["m"])), lambda m: one(x, m))[0])
 
     more = F.concat(candidates(0, "_email"), candidates(1, "_ip"), candidates(2, "_groups"), candidates(3, "_signed"))
     return d.select("_id", "_base", more.alias("_more"), *(["_t", "_row"] if keep else []))
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, rate: float = RATE, depth: int = 3) -> list:
-    """Logistic gradient boosting with Newton leaves and exact splits; nested (feature, cut, low, high)."""
+def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = ROUNDS, rate: float = RATE, depth: int = 3) -> list:
+    """Logistic gradient boosting of rows of weights w with Newton leaves and exact splits; nested
+    (feature, cut, low, high)."""
     f, trees = np.zeros(len(y)), []
+    w = w / w.mean()
 
     def grow(at: np.ndarray, g: np.ndarray, h: np.ndarray, left: int):
-        leaf = float(g[at].sum() / (h[at].sum() + 1.0))
         best, split = g[at].sum() ** 2 / (h[at].sum() + 1.0) + 1e-6, None
         for j in range(x.shape[1] if left else 0):
             order = at[np.argsort(x[at, j], kind="stable")]
@@ -174,14 +212,15 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, rate: float = RATE
                     best, i = gain.max(), cut[int(gain.argmax())]
                     split = (j, float((v[i] + v[i + 1]) / 2))
         if split is None:
-            return round(rate * leaf, 6)
+            leaf = round(rate * float(g[at].sum() / (h[at].sum() + 1.0)), 6)
+            f[at] += leaf
+            return leaf
         low = x[at, split[0]] <= split[1]
         return (*split, grow(at[low], g, h, left - 1), grow(at[~low], g, h, left - 1))
 
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-f))
-        trees.append(grow(np.arange(len(y)), y - p, p * (1 - p), depth))
-        f += [score_tree(trees[-1], r) for r in x]
+        trees.append(grow(np.arange(len(y)), w * (y - p), w * p * (1 - p), depth))
     return trees
 
 
@@ -197,42 +236,68 @@ def tree_column(tree, f: Column) -> Column:
     return F.when(f[tree[0]] <= tree[1], tree_column(tree[2], f)).otherwise(tree_column(tree[3], f))
 
 
+def margin(trees: list, f: Column) -> Column:
+    return sum((tree_column(t, f) for t in trees), F.lit(0.0))
+
+
 def fit(made: DataFrame, sample: int = SAMPLE) -> dict[int, tuple[list, float]]:
     """Trees and the calibrated threshold (of the margin) for each kind."""
-    rows = made.select(F.xxhash64("_id").alias("r"), F.explode("_more").alias("c")).select("r", "c.*")
-    some = rows.orderBy(F.xxhash64("r", "k", "s"), "r", "k", "s").limit(sample).collect()
-    models = {}
-    for k in range(len(KINDS)):
+    place = F.xxhash64("_id", "c.k", "c.s", "c.e")
+    rows = made.select("_id", F.explode("_more").alias("c")).select(place.alias("h"), "c.k", "c.y", "c.good", "c.o", "c.f")
+    # A candidate that only touches a base span of its kind is neither.
+    rows = rows.where(F.col("y") | ~F.col("o")).withColumn("held", F.pmod("h", F.lit(3)) == 0)
+    counts = {(r["k"], r["y"]): r["count"] for r in rows.where("not held").groupBy("k", "y").count().collect()}
+    kinds = [k for k in range(len(KINDS)) if counts.get((k, True))]
+    if not kinds:
+        return {}
+    part = 1 << 40
+    share = {key: min(1.0, sample / n) for key, n in counts.items()}
+    drawn = F.lit(False)
+    for (k, y), p in share.items():
+        if k in kinds:
+            drawn = drawn | (F.col("k") == k) & (F.col("y") == y) & (F.pmod(F.xxhash64("h"), F.lit(part)) < int(p * part))
+    some = rows.where(~F.col("held") & drawn).select("k", "y", "f").collect()
+    trees = {}
+    for k in kinds:
         own = [r for r in some if r["k"] == k]
-        x, y = np.array([r["f"] for r in own], float).reshape(len(own), len(FEATURES)), np.array([r["y"] for r in own], float)
-        held = np.arange(len(y)) % 3 == 0
-        if not (y[~held].any() and y[held].any()):
-            continue
-        trees = boost(x[~held], y[~held])
-        margin = np.array([sum(score_tree(t, r) for t in trees) for r in x[held]])
-        order = np.argsort(-margin, kind="stable")
-        precise = np.cumsum(y[held][order]) / np.arange(1, held.sum() + 1)
-        last = np.flatnonzero((precise >= PRECISION) & np.append(np.diff(-margin[order]) != 0, True))
-        if len(last):
-            models[k] = (trees, max(float(margin[order][last[-1]]), 1.0))
+        y = np.array([r["y"] for r in own], float)
+        if y.all():
+            trees[k] = []  # nothing speaks against any form
+        elif y.any():
+            trees[k] = boost(np.array([r["f"] for r in own], float), y, np.array([1 / share[k, r["y"]] for r in own]))
+    if not trees:
+        return {}
+    each = F.lit(0.0)
+    for k, t in trees.items():
+        each = F.when(F.col("k") == k, margin(t, F.col("f"))).otherwise(each)
+    # Margins are told apart by 1 / STEPS and bounded by the number and rate of the trees: few rows.
+    bins = rows.where(F.col("held") & F.col("k").isin(*trees) & (F.col("good") | F.col("y"))).groupBy("k", F.floor(each * STEPS).alias("bin")).agg(F.count("*").alias("n"), F.sum(F.col("y").cast("int")).alias("p")).collect()
+    models = {}
+    for k, t in trees.items():
+        n = p = 0
+        for r in sorted((r for r in bins if r["k"] == k), key=lambda r: -r["bin"]):
+            n, p = n + r["n"], p + r["p"]
+            if p >= PRECISION * n:
+                models[k] = (t, max(r["bin"] / STEPS, 0.0))
     return models
 
 
 def spans(made: DataFrame, models: dict[int, tuple[list, float]]) -> DataFrame:
     """made plus _spans: base spans and the added ones, by kind and start."""
-    c = F.col("_more")
-
-    def chosen(k: int, trees: list, least: float) -> Column:
-        own = F.filter(c, lambda x: (x["k"] == k) & ~x["o"])
-        scored = F.transform(own, lambda x: F.struct((-sum((tree_column(t, x["f"]) for t in trees), F.lit(0.0))).alias("m"), (x["s"] - x["e"]).alias("n"), x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
+    def chosen(k: int, trees: list, least: float, taken: Column) -> Column:
+        over = lambda a, x: F.exists(a, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+        own = F.filter("_more", lambda x: (x["k"] == k) & x["good"])
+        scored = F.transform(own, lambda x: F.struct((-margin(trees, x["f"])).alias("m"), (x["s"] - x["e"]).alias("n"), x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
         # Of candidates that overlap the one with the highest margin stays, then the longest, then the first.
         best = F.array_sort(F.filter(scored, lambda x: x["m"] <= -least))
         span = lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"))
-        return F.aggregate(best, F.array().cast(SPAN), lambda a, x: F.when(F.exists(a, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])), a).otherwise(F.concat(a, F.array(span(x)))))
+        return F.aggregate(best, taken, lambda a, x: F.when(over(a, x), a).otherwise(F.concat(a, F.array(span(x)))))
 
-    kept = [chosen(k, *model) for k, model in models.items()]
-    added = F.concat(*kept) if kept else F.array().cast(SPAN)
-    return made.withColumn("_spans", F.array_sort(F.concat("_base", added.cast(SPAN))))
+    added = F.array().cast(SPAN)
+    for k, model in sorted(models.items()):
+        made = made.withColumn("_added", chosen(k, *model, added))
+        added = F.col("_added")
+    return made.withColumn("_spans", F.array_sort(F.concat("_base", added)))
 
 
 def _said(column: str) -> Column:
@@ -260,8 +325,8 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     by_start = F.array_sort(F.transform("_spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
     step = lambda a, x: F.when(x["s"] >= a["at"], F.struct(x["e"].alias("at"), F.concat(a["out"], F.substring(t, a["at"] + 1, x["s"] - a["at"]), names[x["k"]]).alias("out"))).otherwise(F.struct(F.greatest(a["at"], x["e"]).alias("at"), a["out"].alias("out")))
     done = F.aggregate(by_start, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    text = F.when(F.col("_row._null"), F.lit(None)).when(F.size("_spans") == 0, t).otherwise(done)
-    return out.select(*[text.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    text = F.when(F.col("_row.null"), F.lit(None)).when(F.size("_spans") == 0, t).otherwise(done)
+    return out.select(*[text.alias(c) if c == text_col else F.col(f"_row.all.`{c}`").alias(c) for c in docs.columns])
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
