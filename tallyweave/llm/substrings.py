@@ -12,6 +12,12 @@ of suffixes that share ``LENGTH`` bytes have one first start and otherwise repea
 Blocks are named in each batch before they are shuffled, so a passage of a third of all rows is
 sent once by each batch; blocks with an anchor of their own, most of them, go no further.
 
+An anchor whose different blocks have more than ``HOT`` bytes (a common phrase in many surroundings) is
+split: windows are dealt by where the anchor stands in them, in more and more parts, and the bytes that
+all windows of such a part share, anchor included, name a smaller group. With one part for each place
+the group's name is the whole window, and its first occurrence is a plain aggregate. So no shard holds
+much more than ``HOT`` bytes, whatever the corpus repeats.
+
 Names are 64-bit hashes of blocks within one anchor's 64-bit hash. Defined cases: a null text is
 empty; documents with equal ids are ordered by their texts; texts under ``LENGTH`` bytes stay whole.
 """
@@ -32,6 +38,8 @@ from tallyweave.llm.induced import suffix_array
 from tallyweave.llm.jaccard import grouped
 
 LENGTH, GRAM, SHARD = 100, 28, 2 << 20
+#: Bytes of different blocks of one anchor that are split, and the numbers of parts to split into.
+HOT, PARTS = 4 << 20, (2, 8, LENGTH - GRAM + 1)
 #: Window starts of one long text that are looked at together (their places take 24 bits).
 SEGMENT = 1 << 23
 _grams, _blocks = Polynomial(31), Polynomial(32)
@@ -51,14 +59,14 @@ def sliding_least(key: np.ndarray, width: int) -> np.ndarray:
 
 def blocks(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Of each block: the row, its first window's start in the row, its windows, the anchor's hash,
-    and the block's name."""
+    the block's name, and the anchor's place in the first window."""
     n = len(data)
     none = np.empty(0, np.int64)
     if n < length:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none
     if n >= SEGMENT + length and len(offsets) == 2:  # one long text, by ranges of window starts
         found = [(blocks(own := data[a : a + SEGMENT + length - 1], np.array([0, len(own)]), length, gram), a) for a in range(0, n - length + 1, SEGMENT)]
-        return tuple(np.concatenate([x[i] + a * (i == 1) for x, a in found]) for i in range(5))
+        return tuple(np.concatenate([x[i] + a * (i == 1) for x, a in found]) for i in range(6))
     at = np.arange(n - gram + 1)
     sums = _grams.prefix(data)
     h = mix(_grams.of(sums, at, at + gram))
@@ -77,7 +85,7 @@ def blocks(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     b = _blocks.prefix(data)
     name = mix(_blocks.of(b, first, last + length) + ((last - first) * 1009 + anchor[first] - first).astype(np.uint64))
     row = np.searchsorted(offsets, first, "right") - 1
-    return row, first - offsets[row], last - first + 1, h[anchor[first]], name
+    return row, first - offsets[row], last - first + 1, h[anchor[first]], name, anchor[first] - first
 
 
 def joined_runs(doc: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,7 +112,7 @@ def _found(docs: DataFrame) -> DataFrame:
             ids = batch.column(0).to_numpy()
             out = []
             for a, b, data, offsets in text_pieces(batch, "text"):
-                row, s, n, h, c = blocks(data, offsets)
+                row, s, n, h, c, _ = blocks(data, offsets)
                 out.append((h.view(np.int64), c.view(np.int64), ids[a:b][row], s, n))
             h, c, doc, s, n = (np.concatenate(x) for x in zip(*out, strict=True))
             order = np.lexsort((s, doc, c, h))
@@ -151,20 +159,73 @@ def _named(found: DataFrame) -> DataFrame:
 SPANS = "doc long, s int, e int"
 
 
+def parts_of(place: int, windows: int, parts: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """The windows of a block by where the anchor stands in them (`place` in the first one, one less in
+    each that follows): part, first window, windows, and the bytes from and to that all of them and all
+    others of that part share, counted from the block's start."""
+    width = -(-(LENGTH - GRAM + 1) // parts)
+    least = place - windows + 1
+    for part in range(least // width, place // width + 1):
+        low, high = max(least, part * width), min(place, part * width + width - 1)
+        yield part, place - high, high - low + 1, place - part * width, place + LENGTH - min(part * width + width - 1, LENGTH - GRAM)
+
+
+PIECES = "key binary, doc long, s int, n int, bytes binary"
+_PIECES = pa.schema([("key", pa.binary()), ("doc", pa.int64()), ("s", pa.int32()), ("n", pa.int32()), ("bytes", pa.binary())])
+
+
+def split(rows: list[tuple[bytes, int, int, int, bytes]], parts: int) -> Iterator[tuple[bytes, int, int, int, bytes]]:
+    """Pieces (blocks or parts of them) dealt to that many parts."""
+    at = 0
+    while at < len(rows):
+        end, size = at, 0
+        while end < len(rows) and (size == 0 or size + len(rows[end][4]) < 1 << 22):
+            size += len(rows[end][4])
+            end += 1
+        offsets = np.cumsum([0, *(len(r[4]) for r in rows[at:end])])
+        row, _, n, _, _, place = blocks(np.frombuffer(b"".join(r[4] for r in rows[at:end]), np.uint8), offsets, LENGTH, GRAM)
+        for i, windows, where in zip((row + at).tolist(), n.tolist(), place.tolist(), strict=True):
+            _, doc, s, _, raw = rows[i]
+            for part, first, own, a, b in parts_of(where, windows, parts):
+                key = hashlib.blake2b(raw[a:b], digest_size=16, person=part.to_bytes(2, "little")).digest()
+                yield key, doc, s + first, own, raw[first : first + own + LENGTH - 1]
+        at = end
+
+
+def _pieces(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
+
+
+def _split(pieces: DataFrame, parts: int) -> DataFrame:
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for row in split(list(zip(*(c.to_pylist() for c in batch.columns), strict=True)), parts):
+                held.append(row)
+                if len(held) == 20_000:
+                    yield _pieces(held)
+                    held = []
+            if held:
+                yield _pieces(held)
+
+    return pieces.select("key", "doc", "s", "n", "bytes").mapInArrow(lean(stream), PIECES)
+
+
+def _larger(pieces: DataFrame) -> DataFrame:
+    return pieces.groupBy("key").agg(F.sum(F.col("n") + LENGTH).alias("b")).where(F.col("b") > HOT).select("key")
+
+
 def _partial(edges: DataFrame, texts: DataFrame, shards: int) -> DataFrame:
     """The repeats among the windows of different blocks with one anchor: doc, first and last start."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hs, docs, ss, out = [], [], [], []
+            out = []
             for doc, text, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = (text or "").encode()
-                for x in own:
-                    hs.append(x["h"])
-                    docs.append(doc)
-                    ss.append(x["s"])
-                    out.append(raw[x["s"] : x["s"] + x["n"] + LENGTH - 1])
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(docs, pa.int64()), pa.array(ss, pa.int32()), pa.array(out, pa.binary())], names=["h", "doc", "s", "bytes"])
+                out += [(x["h"].to_bytes(8, "little", signed=True), doc, x["s"], x["n"], raw[x["s"] : x["s"] + x["n"] + LENGTH - 1]) for x in own]
+            if out:
+                yield _pieces(out)
 
     def one(t):
         t = t.sort_by([("doc", "ascending"), ("s", "ascending")]).combine_chunks()
@@ -197,9 +258,29 @@ def _partial(edges: DataFrame, texts: DataFrame, shards: int) -> DataFrame:
         base = ends[k] - sizes[k] - 1
         return pa.table({"doc": pa.array(doc[k]), "s": pa.array((s[k] + a - base).astype(np.int32)), "e": pa.array((s[k] + b - base).astype(np.int32))})
 
-    by_doc = edges.groupBy("doc").agg(F.collect_list(F.struct("h", "s", "n")).alias("own"))
-    pieces = texts.join(by_doc, "doc").select("doc", "text", "own").mapInArrow(lean(cut), "h long, doc long, s int, bytes binary")
-    return pieces.groupBy(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).applyInArrow(lean_group(one), SPANS)
+    def pieces(some: DataFrame) -> DataFrame:
+        by_doc = some.groupBy("doc").agg(F.collect_list(F.struct("h", "s", "n")).alias("own"))
+        return texts.join(by_doc, "doc").select("doc", "text", "own").mapInArrow(lean(cut), PIECES)
+
+    hot = edges.groupBy("h").agg(F.sum(F.col("n") + LENGTH).alias("b")).where(F.col("b") > HOT).select("h")
+    if hot.isEmpty():
+        small, singles = pieces(edges), None
+    else:
+        hot = written(hot, "hot")
+        small = pieces(edges.join(hot, "h", "left_anti"))
+        rest = pieces(edges.join(hot, "h", "left_semi"))
+        for parts in PARTS:
+            rest = written(_split(rest, parts), "split")
+            larger = written(_larger(rest), "hot")
+            small = small.union(rest.join(larger, "key", "left_anti"))
+            rest = rest.join(larger, "key", "left_semi")
+            if larger.isEmpty():
+                break
+        # Where one window alone has that many bytes, its first occurrence is all there is to find.
+        firsts = rest.groupBy("key").agg(F.min(F.struct("doc", "s")).alias("first"))
+        singles = rest.join(firsts, "key").where(F.struct("doc", "s") != F.col("first")).select("doc", "s", F.col("s").alias("e"))
+    found = small.groupBy(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")).applyInArrow(lean_group(one), SPANS)
+    return found if singles is None else found.union(singles)
 
 
 def repeats(texts: DataFrame) -> DataFrame:
@@ -255,7 +336,8 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """docs with the repeats taken out of their texts; of a character that a run covers in part all
     bytes stay. All other columns and rows stay as they are."""
     names = docs.columns
-    kept = docs.withColumn("_all", F.struct(F.lit(0).alias("_none"), *[F.col(f"`{c}`") for c in names if c != text_col])).select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), "_all")
+    others = [F.col(f"`{c}`") for c in names if c != text_col] or [F.lit(0)]
+    kept = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.struct(*others).alias("_all"))
     d = ordered(kept, "_id", "_text")
     spans = repeats(d.select(F.col("_doc").alias("doc"), F.col("_text").alias("text")))
 
