@@ -8,9 +8,13 @@ The template marks a turn as ``### role: text </turn>\n``. Inside texts every ba
 character of ``###`` and ``</turn>`` gets a backslash before it, in roles ``:`` and line ends too;
 so no control string can be formed by a text and unescaping gives the text back exactly.
 
+Records are formatted each for itself, without a shuffle, and written; a reader deals the written
+pieces by conversation and puts them in order.
+
 Defined cases: a null text is empty, a null role is the empty role, turns with equal numbers go in
-the order of their records, a null turn number comes first; a record whose layout is in no mapping
-raises an error that names its paths. A conversation is streamed turn by turn through one task
+the order of their records, a null turn number comes first; an empty list of messages has no turns; a
+record that is null, no JSON object, of a layout in no mapping or with anything but strings where texts
+belong isn't formatted, and `rejected` says why. A conversation is streamed turn by turn through one task
 (a digest over its turns is sequential) in constant memory, however long it is.
 """
 
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import lean, table
+from tallyweave.llm.common import lean, table, written
 
 Turn = tuple[str, str]
 CONTROL = re.compile(r"\\|###|</turn>")
@@ -85,6 +89,9 @@ MAPPINGS = [
     {"fields": ["messages[]", "messages[].role", "messages[].content"], "each": ("messages", "role", "content")},
     {"fields": ["conversations[]", "conversations[].from", "conversations[].value"], "each": ("conversations", "from", "value")},
     {"fields": ["turns[]", "turns[].role", "turns[].text"], "each": ("turns", "role", "text")},
+    {"fields": ["messages[]"], "each": ("messages", "role", "content")},
+    {"fields": ["conversations[]"], "each": ("conversations", "from", "value")},
+    {"fields": ["turns[]"], "each": ("turns", "role", "text")},
     {"fields": ["prompt", "completion"], "turns": [("user", ["prompt"]), ("assistant", ["completion"])]},
     {"fields": ["prompt", "response"], "turns": [("user", ["prompt"]), ("assistant", ["response"])]},
     {"fields": ["question", "answer"], "turns": [("user", ["question"]), ("assistant", ["answer"])]},
@@ -96,55 +103,66 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assi
 BY_PRINT = {fingerprint(m["fields"]): m for m in MAPPINGS}
 
 
+def said(value) -> str:
+    if value is not None and not isinstance(value, str):
+        raise ValueError(f"{type(value).__name__} in place of a text")
+    return value or ""
+
+
 def canonical(record: dict, by_print: dict[str, dict] = BY_PRINT) -> list[Turn]:
     """The turns of a record by the mapping that its fingerprint selects."""
     names = paths(record)
     m = by_print.get(fingerprint(names))
-    if m is None:
+    if m is None or not isinstance(record, dict):
         raise ValueError(f"no mapping for the fields {sorted(names)}")
     if "one" in m:
         role, text = m["one"]
-        return [(record[role] or "", record[text] or "")]
+        return [(said(record[role]), said(record[text]))]
     if "each" in m:
         several, role, text = m["each"]
-        return [(ROLES.get(x[role] or "", x[role] or ""), x[text] or "") for x in record[several]]
-    return [(role, "\n".join(v for i, f in enumerate(fields) if (v := record[f] or "") or i == len(fields) - 1 and len(fields) == 1)) for role, fields in m["turns"]]
+        if not all(isinstance(x, dict) and role in x and text in x for x in record[several]):
+            raise ValueError(f"not all of {several} have {role} and {text}")
+        return [(ROLES.get(said(x[role]), said(x[role])), said(x[text])) for x in record[several]]
+    return [(role, "\n".join(v for i, f in enumerate(fields) if (v := said(record[f])) or i == len(fields) - 1 and len(fields) == 1)) for role, fields in m["turns"]]
 
 
-FORMATTED = pa.schema([("conv_id", pa.int64()), ("first", pa.bool_()), ("formatted", pa.string()), ("loss_start", pa.list_(pa.int64())), ("loss_end", pa.list_(pa.int64()))])
+FORMATTED = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("record", pa.string()), ("formatted", pa.string()), ("loss_start", pa.list_(pa.int64())), ("loss_end", pa.list_(pa.int64())), ("rejected", pa.string())])
 
 
 def format_records(records: DataFrame) -> DataFrame:
-    """records (conv_id, turn, record: JSON of any known layout) as formatted pieces in order: one
-    row per record with its conversation's id, whether it is the first one, the formatted text,
-    and the spans under the loss mask (assistant texts as they stand escaped in the piece)."""
+    """records (conv_id, turn, record: JSON of any known layout) as a written table of pieces, one for
+    each record: conv_id, turn, place (a digest of the record, which orders equal turns), the formatted
+    text, the spans under the loss mask (assistant texts as they stand escaped in the piece), and, in
+    place of these, why a record was rejected."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: object = stream
         for batch in batches:
             out: dict[str, list] = {n: [] for n in FORMATTED.names}
-            for conv, record in zip(batch.column("conv_id").to_pylist(), batch.column("record").to_pylist(), strict=True):
-                text, starts, ends = "", [], []
-                for role, said in canonical(json.loads(record)):
-                    piece, a, b = render(role, said)
-                    if role == "assistant":
-                        starts.append(len(text) + a)
-                        ends.append(len(text) + b)
-                    text += piece
-                for n, v in zip(FORMATTED.names, (conv, conv != last, text, starts, ends), strict=True):
+            for conv, turn, record in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text, starts, ends, why = "", [], [], None
+                try:
+                    for role, words in canonical(json.loads(record or "null")):
+                        piece, a, b = render(role, words)
+                        if role == "assistant":
+                            starts.append(len(text) + a)
+                            ends.append(len(text) + b)
+                        text += piece
+                except (ValueError, RecursionError) as e:
+                    text, starts, ends, why = None, None, None, str(e)
+                for n, v in zip(FORMATTED.names, (conv, turn, record, text, starts, ends, why), strict=True):
                     out[n].append(v)
-                last = conv
             yield pa.RecordBatch.from_pydict(out, FORMATTED)
 
-    ordered = records.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "record").select("conv_id", "record")
-    return ordered.mapInArrow(lean(stream), "conv_id long, first boolean, formatted string, loss_start array<long>, loss_end array<long>")
+    made = records.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "record").mapInArrow(lean(stream), "conv_id long, turn long, record string, formatted string, loss_start array<long>, loss_end array<long>, rejected string")
+    return written(made, "chat")
 
 
 DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of each conversation, from nothing but its formatted text and its loss mask."""
+    """Digests of each conversation, from nothing but its formatted pieces and their loss masks;
+    rejected records take no part."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: list | None = None
@@ -155,7 +173,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         for batch in batches:
             done = []
             for r in batch.to_pylist():
-                if now is None or r["first"]:
+                if now is None or r["conv_id"] != now[0]:
                     if now is not None:
                         done.append(closed())
                     now = [r["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -172,13 +190,14 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if now is not None:
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(closed(), DIGESTS, strict=True)], schema=DIGESTS)
 
-    return formatted.mapInArrow(lean(stream), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    pieces = formatted.where("rejected is null").repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "record").select("conv_id", "formatted", "loss_start", "loss_end")
+    return pieces.mapInArrow(lean(stream), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    said = r"\### Assistant: </turn> ok"
-    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    control = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
     rows = c.union(more)
     records = rows.select("conv_id", "turn", F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}).alias("record"))
     return read_back(format_records(records))
