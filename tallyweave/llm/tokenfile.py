@@ -10,7 +10,8 @@ file system), one record for each run of about `RECORD` ids of consecutive docum
              packed differences from the minimum, u16 positions and u32 values of the exceptions
 
 The width is the smallest that holds 90 % of a block's differences; those beyond it are exceptions,
-stored with a zero in their place. Any block can be read alone through the index.
+stored with a zero in their place. Any block can be read alone through the index, which `slices` does
+to fetch runs of ids from anywhere in the corpus.
 
 Documents are dealt by ranges of doc_id before they are tokenized (so the sampling reads ids only),
 sorted, encoded and written; each part's records are in order and so are the parts.
@@ -101,6 +102,21 @@ def read_record(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [x if k else None for x, k in zip(doc.tolist(), known.tolist(), strict=True)], lengths, np.concatenate(ids) if ids else np.empty(0, np.uint32)
 
 
+def read_ids(data: bytes, start: int, end: int) -> np.ndarray:
+    """Token ids start..end of a record (as far as it has them), of whose blocks only those that hold
+    them are read."""
+    _, n, docs, blocks = HEAD.unpack_from(data)
+    end = min(end, n)
+    if start >= end:
+        return np.empty(0, np.uint32)
+    index = HEAD.size + 13 * docs
+    payload, raw = index + 4 * (blocks + 1), np.frombuffer(data, np.uint8)
+    first, last = start // BLOCK, (end - 1) // BLOCK
+    starts = raw[index + 4 * first : index + 4 * (last + 2)].copy().view("<u4").tolist()
+    ids = [read_block(raw[payload + a : payload + b], min(BLOCK, n - i * BLOCK)) for i, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True), first)]
+    return np.concatenate(ids)[start - first * BLOCK : end - first * BLOCK]
+
+
 FILE = "part int, seq int, before long, n_ids long, payload binary"
 
 
@@ -135,14 +151,41 @@ def write_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, end: int | None =
     return written(ordered.mapInArrow(lean(stream), FILE), "tokens")
 
 
-def read_tokens(files: DataFrame) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
+def placed(files: DataFrame) -> DataFrame:
+    """The records with `start`, the number of ids before each."""
     # One row for each part, of which there are as many as shuffle partitions when the files were
     # written, a setting of the session: a bounded table.
     totals = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     first = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
-    placed = files.join(F.broadcast(first), "part").select((F.col("_first") + F.col("before")).alias("start"), "payload")
+    return files.join(F.broadcast(first), "part").select((F.col("_first") + F.col("before")).alias("start"), "n_ids", "payload")
 
+
+def slices(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (key, start, n: runs of token ids of the whole corpus, n bounded) to (key, ids); ids beyond
+    the end are missing. Runs and records meet by ranges of places, and only the blocks of a run
+    are read."""
+    cells = lambda a, n: F.sequence(F.floor(a / RECORD), F.floor((a + F.greatest(n, F.lit(1)) - 1) / RECORD))
+    records = placed(files).select(F.col("start").alias("_from"), "n_ids", "payload")
+    records = records.withColumn("_cell", F.explode(cells(F.col("_from"), F.col("n_ids"))))
+    asked = wanted.select("key", "start", "n").withColumn("_cell", F.explode(cells(F.col("start"), F.col("n"))))
+    # A run and a record may meet in several cells; the first one counts.
+    first = F.floor(F.greatest(F.col("start"), F.col("_from")) / RECORD)
+    both = asked.join(records, "_cell").where((F.col("start") < F.col("_from") + F.col("n_ids")) & (F.col("_from") < F.col("start") + F.col("n")) & (F.col("_cell") == first)).select("key", "start", "n", "_from", "payload")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for start, n, before, payload in zip(*(batch.column(i).to_pylist() for i in range(1, 4)), batch.column(4), strict=True):
+                out.append(read_ids(payload.as_py(), max(0, start - before), max(0, start + n - before)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(out, pa.list_(pa.int64()))], names=["key", "_from", "ids"])
+
+    found = both.mapInArrow(lean(stream), f"key {wanted.schema['key'].dataType.simpleString()}, _from long, ids array<long>")
+    joined = found.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_from", "ids"))), lambda x: x["ids"])).alias("ids"))
+    return wanted.select("key").join(joined, "key", "left").select("key", F.coalesce("ids", F.array().cast("array<long>")).alias("ids"))
+
+
+def read_tokens(files: DataFrame) -> DataFrame:
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -152,7 +195,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + ends - lengths), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.mapInArrow(lean(stream), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed(files).select("start", "payload").mapInArrow(lean(stream), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
