@@ -144,6 +144,14 @@ def word_bucket(word: bytes, buckets: int) -> int:
     return zlib.crc32(word) % buckets
 
 
+def by_bucket(words, buckets: int) -> dict[int, list[bytes]]:
+    """The words of each bucket that has any, in order."""
+    lists: dict[int, list[bytes]] = {}
+    for w in sorted(words):
+        lists.setdefault(word_bucket(w, buckets), []).append(w)
+    return lists
+
+
 def squeeze(*arrays: np.ndarray) -> bytes:
     """The arrays (64-bit, of one length), the first as differences, compressed."""
     n = len(arrays[0])
@@ -168,7 +176,8 @@ def ask(buckets: int):
         part = Part(t)
         counts, b = part.train_counts(), bucket_of(part.u, buckets)
         order = np.argsort(b, kind="stable")
-        bounds = np.searchsorted(b[order], np.arange(buckets + 1))
+        names, at = np.unique(b[order], return_index=True)
+        spans = dict(zip(names.tolist(), zip(at.tolist(), [*at[1:].tolist(), len(b)], strict=True), strict=True))
         seen: Counter = Counter()
         for held, words in zip(part.held, part.words, strict=True):
             if not held:
@@ -178,13 +187,11 @@ def ask(buckets: int):
                 for w in words:
                     if w not in seen:
                         seen[w] = 0
-        lists: list[list[bytes]] = [[] for _ in range(buckets)]
-        for w in sorted(seen):
-            lists[word_bucket(w, buckets)].append(w)
+        lists = by_bucket(seen, buckets)
         rows = []
-        for k in range(buckets):
-            own = order[bounds[k] : bounds[k + 1]]
-            rows.append((k, key[0].as_py(), squeeze(part.u[own], counts[own]), pa.compress(b" ".join(lists[k]), codec="zstd", asbytes=True) if lists[k] else b"", np.array([len(b" ".join(lists[k])), *(seen[w] for w in lists[k])], np.int64).tobytes()))
+        for k in sorted(spans.keys() | lists.keys()):  # a bucket that has nothing of this part gets no block
+            own, words = order[slice(*spans.get(k, (0, 0)))], lists.get(k, [])
+            rows.append((k, key[0].as_py(), squeeze(part.u[own], counts[own]), pa.compress(b" ".join(words), codec="zstd", asbytes=True) if words else b"", np.array([len(b" ".join(words)), *(seen[w] for w in words)], np.int64).tobytes()))
         return pa.Table.from_pydict(dict(zip(("bucket", "part", "grams", "words", "counts"), zip(*rows, strict=True), strict=True)), pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("grams", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())]))
 
     return one
@@ -315,12 +322,9 @@ def finish(buckets: int, n: int, v: int, ends: int):
         got = {k: (x, c) for k, x, c in zip(answers.column("bucket").to_pylist(), answers.column("logs").to_pylist(), answers.column("counts").to_pylist(), strict=True)}
         value, b = np.zeros(len(part.u)), bucket_of(part.u, buckets)
         order = np.argsort(b, kind="stable")
-        value[order] = np.concatenate([np.frombuffer(got[k][0], np.float32) for k in range(buckets)])
+        value[order] = np.concatenate([np.frombuffer(got[k][0], np.float32) for k in sorted(got)])
         score = part.sums(value)
-        lists: list[list[bytes]] = [[] for _ in range(buckets)]
-        for w in sorted(set().union(*part.words)):
-            lists[word_bucket(w, buckets)].append(w)
-        count = {w: c for k in range(buckets) for w, c in zip(lists[k], np.frombuffer(got[k][1], np.int64).tolist(), strict=True)}
+        count = {w: c for k, words in by_bucket(set().union(*part.words), buckets).items() for w, c in zip(words, np.frombuffer(got[k][1], np.int64).tolist(), strict=True)}
         total = math.log10(n + v + 1)
         log = {w: math.log10(c + 1) - total for w, c in count.items()}
         end = math.log10(ends + 1) - total
@@ -340,7 +344,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = d.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     parts = size // PART + 1
-    buckets = int(min(max(parts, 16), 2048))
+    buckets = int(max(parts, 16))
     d = d.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
     blocks = written(d.groupBy("part").applyInArrow(ask(buckets), BLOCK), "lm-blocks")
     sums = blocks.groupBy("bucket").applyInArrow(add_up, SUMS).groupBy("kind", "key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")).toArrow()
