@@ -27,12 +27,12 @@ def components(links: DataFrame) -> DataFrame:
     return mapped
 
 
-def ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with _doc, a number that orders them: the id where ids are unique, or else the place in
-    a written copy that is sorted by id and text."""
-    ids = docs.select(F.col(id_col).cast("long").alias("i"))
+def ordered(docs: DataFrame, id_col: str, text_col: str, name: str = "_doc") -> DataFrame:
+    """docs with a column `name`, a number that orders them: the id where ids are unique, or else the
+    place in a written copy that is sorted by id and text."""
+    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"))
     if ids.groupBy("i").count().where("count > 1 or i is null").isEmpty():
-        return docs.withColumn("_doc", F.col(id_col).cast("long"))
+        return docs.withColumn(name, F.col(f"`{id_col}`").cast("long"))
     n = max(partitions(docs.sparkSession), 2)
-    by = [F.col(id_col).asc_nulls_first(), F.col(text_col).asc_nulls_first()]
-    return written(docs.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_doc", F.monotonically_increasing_id()), "ordered")
+    by = [F.col(f"`{id_col}`").asc_nulls_first(), F.col(f"`{text_col}`").asc_nulls_first()]
+    return written(docs.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn(name, F.monotonically_increasing_id()), "ordered")

@@ -3,7 +3,7 @@
 A document's set is that of its distinct word shingles, as 64-bit hashes. Equal sets are one class.
 Classes are brought together by the prefix rule: in one order of all shingles, two sets of Jaccard
 similarity t or more share a shingle among the first n - ceil(t n) + 1 of each. The order puts up to
-``HEAVY`` frequent shingles last (any order is exact; this one keeps groups small). In the group of
+``HEAVY`` of the most frequent shingles last (any order is exact; this one keeps groups small). In the group of
 a shingle each class is a point: how many of its shingles hash to each of ``DIMS`` cells. An R-tree
 over the points bounds the overlap of a set with all below a node by the summed coordinate minima
 with the node's upper corner, and with the size rule prunes what can't link; surviving pairs are
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import Polynomial, lean, mix, partitions, table, text_pieces, written
+from tallyweave.llm.common import Polynomial, lean, mix, partitions, table, text_pieces, unused, written
 from tallyweave.llm.components import components, ordered
 
 DIMS, HEAVY, GROUP, LEAF = 256, 1 << 16, 2048, 32
@@ -363,13 +363,27 @@ def _routed(stars: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     return m.join(labels.select("c", "label"), "c").join(texts, "c").select("key", "c", "label", "text")
 
 
+def _least_of_heavy(counts: DataFrame) -> int:
+    """The least count from which on at most HEAVY shingles are left. Counts are told apart by a
+    sixteenth of a power of two, so what the driver gets is a thousand rows at most."""
+    step = F.floor(16 * F.log2("n"))
+    left, least = HEAVY, 1 << 62
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("m"), F.min("n").alias("least")).collect(), key=lambda r: -r["step"]):
+        left -= r["m"]
+        if left < 0:
+            break
+        least = r["least"]
+    return least
+
+
 def jaccard_join(docs: DataFrame, *, k: int = 4, per_cent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest id that links reach)."""
     spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     made = written(_sets(d, k), "sets")
     rows = made.where("kind = 0").drop("kind")
-    often = made.where("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(HEAVY).toArrow()
+    counts = made.where("kind = 1").groupBy("c").agg(F.sum("n").alias("n"))
+    often = counts.where(F.col("n") >= _least_of_heavy(counts)).select("c").toArrow()
     heavy = spark.sparkContext.broadcast(np.sort(often.column("c").to_numpy().view(np.uint64)))
     groups = written(_groups(_prefixes(d, k, per_cent, heavy), per_cent), "groups")
     needed = groups.select("c").distinct()
@@ -406,10 +420,11 @@ def jaccard_join(docs: DataFrame, *, k: int = 4, per_cent: int = 85, id_col: str
 def without_near_duplicates(docs: DataFrame, *, k: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of near duplicates, that with the smallest id (of equal ids,
     the first by text); rows without words all stay."""
-    d = ordered(docs, id_col, text_col)
-    linked = jaccard_join(d.select(F.col("_doc"), F.col(f"`{text_col}`").alias("_text")), k=k, per_cent=per_cent, id_col="_doc", text_col="_text")
-    gone = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("_doc"))
-    return d.join(gone, "_doc", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    place = unused(docs, "_place")
+    d = ordered(docs, id_col, text_col, place)
+    linked = jaccard_join(d.select(F.col(place).alias("doc_id"), F.col(f"`{text_col}`").alias("text")), k=k, per_cent=per_cent)
+    gone = linked.where("doc_id <> component_id").select(F.col("doc_id").alias(place))
+    return d.join(gone, place, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

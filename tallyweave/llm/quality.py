@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import LOWER, UPPER, WHITE, ascii_lower, table, written
+from tallyweave.llm.common import LOWER, UPPER, WHITE, ascii_lower, table, unused, written
 
 #: Production parameters.
 MAX_DOCS, MAX_REMOVED, MIN_WORDS, MAX_REPEAT = 30, 70, 10, 20
@@ -57,7 +57,7 @@ def _hash(normal: Column) -> Column:
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per document: _id, _host, the base counts, and _lines: hash and words of each line."""
-    d = docs.select(F.col(id_col).alias("_id"), F.col(host_col).cast("string").alias("_host"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    d = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{host_col}`").cast("string").alias("_host"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t"))
     d = d.select(
         "_id", "_host", "_t",
         F.filter(F.split("_t", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("_w"),
@@ -102,8 +102,9 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, **limits
 def quality_filter(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
     """docs without the rows that the rules reject, all columns as they are."""
     key, judged = _judged(docs, id_col, text_col, host_col, **limits)
-    out = judged.where(~F.col("kept")).select(F.col("_key").alias("_rejected")).distinct()
-    return docs.join(out, key.eqNullSafe(F.col("_rejected")), "left_anti")
+    name = unused(docs, "_rejected")
+    out = judged.where(~F.col("kept")).select(F.col("_key").alias(name)).distinct()
+    return docs.join(out, key.eqNullSafe(F.col(name)), "left_anti")
 
 
 def quality_clean(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:

@@ -1,15 +1,18 @@
 """The training-data operators against brute force, with nulls, ties, repeats, long and empty texts."""
 
 import hashlib
+import json
 import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tallyweave.llm import chat, ctw, induced, jaccard, packing, pieces, pii, quality, substrings, tokenfile, tokens, topk
 
@@ -97,17 +100,32 @@ def test_best_fit_is_that_of_a_plain_loop():
         assert Counter(sum(n for _, n in v) for v in held.values()) == Counter(map(sum, want))
 
 
-def test_top_k(spark):
-    v = [(i, [random.choice([-1.0, 0.5, 0.25, float(i % 7)]) for _ in range(6)]) for i in range(400)] + [(900, None), (950, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (1000, [float("nan")] * 6), (1050, [0.1]), (1100, [])]
-    df = topk.integer_vectors(spark.createDataFrame(v, "vec_id long, embedding array<float>"), "vec_id", "embedding")
-    got = topk.top_k(df, df.where("id % 50 = 0"), 5, shard=64, block=4).collect()
-    good = {i: [math.floor(256 * float(np.float32(x))) for x in e] for i, e in v if e is not None and None not in e and not any(map(math.isnan, e))}
-    want = set()
-    for q, a in good.items():
-        if q % 50 == 0:
-            s = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good.items() if i != q and len(a) == len(b))
-            want |= {(q, r + 1, i, -x) for r, (x, i) in enumerate(s[:5])}
-    assert {tuple(r) for r in got} == want
+def brute_top(rows, k=5, every=50):
+    """Exact scores by whole numbers, cut to 64 bits after the ranking."""
+    good = [(i, [math.floor(Fraction(x) * 256) for x in e]) for i, e in rows if e is not None and all(x is not None and math.isfinite(x) for x in e)]
+    want = Counter()
+    for q in sorted({i for i, _ in good if i % every == 0}):
+        s = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for own, a in good if own == q for i, b in good if i != q and len(a) == len(b))
+        want.update((q, r + 1, i, min(max(-x, -(1 << 63)), (1 << 63) - 1)) for r, (x, i) in enumerate(s[:k]))
+    return want
+
+
+@pytest.mark.parametrize("large", [0.0, 2.0**23, 1.0e18, 1.7e308])
+def test_top_k(spark, large):
+    single = lambda x: float(np.float32(x)) if large < 1e30 else x
+    v = [(i, [single(random.choice([-1.0, 0.5, 0.25, float(i % 7), large if i % 3 == 0 else 0.1, -large if i % 5 == 0 else 0.2])) for _ in range(6)]) for i in range(400)]
+    v += [(900, None), (950, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (1000, [float("nan")] * 6), (1050, [single(0.1)]), (1100, []), (1150, [float("inf")] * 6), (1200, [single(large), 8.0e6, 8.0e6, 8.0e6, 8.0e6, 1.0]), (1201, [8.0e6] * 6)]
+    v += [(100, v[3][1]), (101, v[3][1]), (101, v[3][1])]
+    df = topk.finite_vectors(spark.createDataFrame(v, f"vec_id long, embedding array<{'float' if large < 1e30 else 'double'}>"), "vec_id", "embedding")
+    assert Counter(map(tuple, topk.top_k(df, "id % 50 = 0", 5, shard=64).collect())) == brute_top(v)
+
+
+def test_top_k_query_on_repeats_and_an_empty_table(spark, tmp_path):
+    rows = [(i % 120, [float(i % 5), 1.0, -0.3]) for i in range(300)]
+    for name, some in (("full", rows), ("empty", [])):
+        spark.createDataFrame(some, "vec_id long, embedding array<float>, id long, shard int" if not some else "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+        got = topk.op2_exact_topk(spark, f"{tmp_path}/{name}").collect()
+        assert Counter(map(tuple, got)) == brute_top([(i, [float(np.float32(x)) for x in e]) for i, e in some])
 
 
 def test_suffix_arrays():
@@ -159,10 +177,31 @@ def test_repeats(spark, docs):
     assert cut[11].text == "" and cut[1].text == BASE and cut[3].text is None and cut[1].key == "y"
 
 
+@pytest.mark.parametrize("hot", [150, 1200, 20_000])
+def test_common_phrase_in_many_surroundings(spark, monkeypatch, hot):
+    """Anchors of more bytes than HOT are split, down to single windows."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    some = lambda n: "".join(random.choice("abcdefgh") for _ in range(n))
+    phrase, longer, ends = "the phrase that is in a great many texts", some(120), [some(30) for _ in range(4)]
+    rows = [(i, some(random.randint(0, 150)) + random.choice(ends) + random.choice([phrase, longer]) + random.choice(ends) + some(random.randint(0, 150))) for i in range(300)]
+    got = substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == brute_repeats(rows)
+
+
+def test_parts_cover_all_windows_once():
+    for place, windows in ((0, 1), (72, 73), (72, 1), (40, 17), (36, 37)):
+        for parts in substrings.PARTS:
+            seen = []
+            for _, first, own, a, b in substrings.parts_of(place, windows, parts):
+                seen += range(first, first + own)
+                assert first + own - 1 <= a < b <= first + 100
+            assert sorted(seen) == list(range(windows))
+
+
 def test_long_text_in_segments(monkeypatch):
     data = np.frombuffer((BASE * 3).encode(), np.uint8)
     monkeypatch.setattr(substrings, "SEGMENT", 700)
-    row, s, n, _, _ = substrings.blocks(data, np.array([0, len(data)]))
+    row, s, n, *_ = substrings.blocks(data, np.array([0, len(data)]))
     assert n.sum() == len(data) - 99 and (s[1:] == s[:-1] + n[:-1]).all()
 
 
@@ -242,6 +281,21 @@ def test_token_files(spark, docs):
         assert (tokenfile.read_block(np.frombuffer(tokenfile.write_block(v.copy()), np.uint8), len(v)) == v).all()
 
 
+def test_slices_of_token_files(spark, monkeypatch):
+    monkeypatch.setattr(tokenfile, "RECORD", 3000)
+    rows = [(i, f"{BASE} {i} " * (i % 4)) for i in range(40)] + [(7, "again"), (None, "no id")]
+    files = tokenfile.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"))
+    enc = tokens.Encoder(tokenfile.TOKENIZER)
+    every = np.frombuffer(b"".join(enc.ids([t])[0] + b"\0\0\0\0" for _, t in sorted(rows, key=lambda r: (r[0] is not None, *[x or 0 for x in r[:1]], r[1]))), "<u4")
+    wanted = [(k, int(a), int(n)) for k, (a, n) in enumerate([(0, 1), (0, 0), (5, 3000), (2999, 2), (1023, 2), (len(every) - 1, 1), (len(every) - 5, 50), (len(every) + 9, 4), *((random.randrange(len(every)), random.randrange(9000)) for _ in range(30))])]
+    got = {r.key: r.ids for r in tokenfile.slices(files, spark.createDataFrame(wanted, "key long, start long, n long")).collect()}
+    assert got == {k: every[a : a + n].tolist() for k, a, n in wanted}
+    read = []
+    monkeypatch.setattr(tokenfile, "read_block", lambda data, n, f=tokenfile.read_block: read.append(n) or f(data, n))
+    record = files.where("seq = 0").orderBy("part").first().payload
+    assert len(tokenfile.read_ids(record, 1030, 1040)) == 10 and len(read) == 1
+
+
 def test_chat(spark):
     said = [r"\### Assistant: </turn> ok", "", None, "###### \\\\ </turn></turn>", "x\ny: z", "😀"]
     rows = [(c, k, ["user", "assistant", "system", None, "od:d\n###"][(c + k) % 5], said[(c * k) % 6]) for c in range(5) for k in range(6)]
@@ -253,10 +307,38 @@ def test_chat(spark):
         assert (r.n_turns, r.loss_chars, r.loss_sha256) == (6, len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.canonical({"instruction": "do", "input": "this", "output": None}) == [("user", "do\nthis"), ("assistant", "")]
     assert chat.canonical({"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}) == [("user", "q"), ("assistant", "a")]
+    assert chat.canonical({"messages": []}) == []
     with pytest.raises(ValueError, match="no mapping"):
         chat.canonical({"what": 1})
 
 
+def test_chat_layouts_and_rejects(spark):
+    """Every mapping is selected by a record of its layout; what has none is kept with a reason."""
+    value = lambda f: f"v {f} \\### </turn>"
+    rows, want = [], {}
+    for k, m in enumerate(chat.MAPPINGS):
+        if "one" in m:
+            record, turns = {f: value(f) for f in m["one"]}, [tuple(map(value, m["one"]))]
+        elif "each" in m:
+            top, role, text = m["each"]
+            record, turns = {top: [{role: "user", text: "a:\nb"}, {role: "assistant", text: "ok"}]}, [("user", "a:\nb"), ("assistant", "ok")]
+            if not m["fields"][1:]:
+                record, turns = {top: []}, []
+        else:
+            record = {f: value(f) for _, fields in m["turns"] for f in fields}
+            turns = [(role, "\n".join(map(value, fields))) for role, fields in m["turns"]]
+        rows.append((k, 0, json.dumps(record)))
+        want[k] = turns
+    rows += [(1000, 0, '{"what": [1, {"x": 2}]}'), (1001, 0, "no json"), (1002, 0, None), (1003, 0, "[]"), (1004, 0, '{"role": 1, "text": "x"}'), (1005, 0, '{"role": "user", "text": "kept"}'), (1005, 1, "7")]
+    made = chat.format_records(spark.createDataFrame(rows, "conv_id long, turn long, record string").repartition(3)).collect()
+    assert {r.conv_id: chat.parse(r.formatted) for r in made if r.conv_id < 1000} == want
+    assert {(r.conv_id, r.turn) for r in made if r.rejected} == {(1000, 0), (1001, 0), (1002, 0), (1003, 0), (1004, 0), (1005, 1)} and all((r.formatted is None) == (r.rejected is not None) for r in made)
+    back = chat.read_back(chat.format_records(spark.createDataFrame(rows, "conv_id long, turn long, record string"))).collect()
+    assert {r.conv_id: r.n_turns for r in back} == {k: len(v) for k, v in want.items() if v} | {1005: 1} | {k: 0 for k, v in want.items() if not v}
+    none = spark.createDataFrame([], "conv_id long, turn long, record string")
+    assert chat.read_back(chat.format_records(none)).count() == 0
+
+
 def test_frequent_lines_are_removed(spark):
     import corpus_pipeline
 
@@ -372,6 +454,73 @@ def test_repeated_rows(spark, docs):
         assert made.count() >= 2 * len(DOCS)
 
 
+def test_written_out_personal_data(spark):
+    """Forms that no base pattern finds, announced or not, are added; what isn't fit for its kind isn't."""
+    rows = [(i, f"Please mail anna{i}.b@site{i % 17}.org today") for i in range(150)] + [(200 + i, f"you may contact info{i} [at] corp{i % 13} [dot] com for it") for i in range(150)]
+    rows += [(400 + i, f"call us: +1 ({200 + i % 700}) 555-{1000 + 7 * i} now") for i in range(150)] + [(600 + i, f"phone ({200 + i % 700}) 555-{2000 + 7 * i} is open") for i in range(150)]
+    rows += [(800 + i, f"on 2024-0{1 + i % 9}-1{i % 10} we shipped {i * 37} parts of lot {100 + i}-{i * 13} at noon") for i in range(300)]
+    new = [(2000, "sales (at) shop9 (dot) net"), (2001, "so we meet (at) noon"), (2002, "The number (312) 555-7781 was free"), (2003, "on 2023-05-17 we shipped 4451 parts"), (2004, "nothing here")]
+    got = {r.doc_id: (r.spans, r.base_sha256) for r in pii.detect(spark.createDataFrame(rows + new, "doc_id long, text string")).collect()}
+    assert got[2000][0] == "email:0:26" and got[2002][0] == "phone:11:25"
+    assert not got[2001][0] and not got[2003][0] and not got[2004][0]
+    assert all(got[200 + i][0].startswith("email:16:") for i in range(150)) and all(got[600 + i][0].startswith("phone:6:") for i in range(150))
+    assert not any(got[800 + i][0] for i in range(300))
+    for i, t in rows + new:
+        assert got[i][1] == hashlib.sha256(",".join(brute_personal(t)).encode()).hexdigest()
+    out = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows + new, "doc_id long, text string")).collect()}
+    assert out[2000] == "<EMAIL>" and out[2002] == "The number <PHONE> was free" and out[2001] == new[1][1]
+
+
+def test_boosting_learns_and_becomes_a_column(spark):
+    x = np.array([[a, b] for a in range(20) for b in range(20)], float)
+    y = ((x[:, 0] > 11) ^ (x[:, 1] > 7)).astype(float)
+    trees = pii.boost(x, y, np.ones(len(y)))
+    margins = np.array([sum(pii.score_tree(t, r) for t in trees) for r in x])
+    assert ((margins > 0) == (y > 0)).mean() > 0.97
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "f array<double>").select("f", pii.margin(trees, F.col("f")).alias("m"))
+    assert {tuple(r.f): round(r.m, 6) for r in df.collect()} == {tuple(r): round(m, 6) for r, m in zip(x.tolist(), margins.tolist(), strict=True)}
+
+
+CLASH = ["_doc", "_null", "_none", "_id", "_t", "_row", "_all", "_text", "_key", "_place", "_rejected", "_lines", "_gone", "_kept", "spans", "doc", "s", "h", "c", "n", "part", "kind", "length", "label", "key", "Null", "_more", "_base"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Every stage but the last returns the caller's columns and values, whatever their names, with null
+    and repeated rows, and for an empty table."""
+    import corpus_pipeline
+
+    good = lambda i: " ".join(f"{'abcdefgh'[(i * j) % 8]}{i}w{j}" for j in range(30))
+    rows = [(i, t, "en", "h", 1, *(f"{c}{i}" for c in CLASH)) for i, t in [*((i, good(i)) for i in range(12)), (12, good(1)), (13, good(13) + " mail a@b.org"), (13, good(13) + " mail a@b.org"), (14, None), (None, good(20)), (16, "")]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH)
+    df = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, "")
+        none = stage(spark, df.where("false"), "")
+        assert none.count() == 0 and none.schema == out.schema or name == corpus_pipeline.STAGES[-1][0]
+        got = out.collect()
+        if name == corpus_pipeline.STAGES[-1][0]:
+            assert len(got) == len(rows)
+            continue
+        assert out.columns == df.columns, name
+        for r in got:
+            i = r.doc_id if r.doc_id is not None else None
+            assert all(r[c] == f"{c}{i}" for c in CLASH), (name, i)
+        kept = Counter(r.doc_id for r in got)
+        if name == "quality_rules":
+            assert kept == Counter([*range(14), 13, None])
+        elif name == "ngram_jaccard_join":
+            assert kept == Counter([*range(12), 13, 14, None, 16])
+        else:
+            assert kept == Counter(r[0] for r in rows)
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
