@@ -31,15 +31,33 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that written() made in this process, in order.
+_folders: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again. It cuts the lineage, so a lost
     executor costs no more than the tasks it ran, and a table that is used twice is made once."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _folders.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, keep: int) -> None:
+    """Deletes what written() has made since it had made `keep` tables, but for the last one. For a caller
+    that has written its result, which then needs none of the others."""
+    while len(_folders) > keep + 1:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folders.pop(keep))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def made() -> int:
+    """How many tables written() has made and discard() hasn't deleted."""
+    return len(_folders)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

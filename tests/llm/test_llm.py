@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.llm import chat, ctw, induced, jaccard, packing, pieces, pii, quality, substrings, tokenfile, tokens, topk
+from tallyweave.llm import chat, common, ctw, induced, jaccard, packing, pieces, pii, quality, substrings, tokenfile, tokens, topk
 
 random.seed(5)
 BASE = "".join(random.choice("abé\n ") for _ in range(900))
@@ -538,4 +538,6 @@ def test_pipeline(spark, tmp_path):
     assert set(seen["quality_rules"]) == {*range(8), 10, 13, 14, 15} and set(seen["ngram_jaccard_join"]) == {*range(8), 13, 14, 15}
     assert "pass30" in seen["suffix_array_dedup"][13] and "pass30" not in seen["suffix_array_dedup"][14]
     assert seen["pii"][15].endswith("mail <EMAIL>")
+    before = common.made()
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {*range(8), 13, 14, 15}
+    assert common.made() == before + 1  # what the stages needed is gone
