@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""Columns as functions, and the contract of the feature table."""

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.functions.contract import DESCRIPTIONS
+
 TOLERANCE = 1e-4
 
 
@@ -84,6 +86,6 @@ def mean_absolute(explained: DataFrame, features: list[str]) -> DataFrame:
 def top_factors(features: list[str], k: int = 3) -> Column:
     """The k reasons of a row: what raises the risk, largest first, then what lowers it, strongest first.
     Whether it raises is told by the rounded contribution that is shown."""
-    parts = [F.struct((F.col("contributions")[i] <= 0).alias("lowers"), (-F.abs(F.col("contributions")[i])).alias("size"), F.lit(i).alias("place"), F.lit(f).alias("feature"), F.round(F.col(f).cast("double"), 6).alias("value"), F.round(F.col("contributions")[i], 6).alias("contribution")) for i, f in enumerate(features)]
-    shown = lambda s: F.struct(s["feature"].alias("feature"), s["value"].alias("value"), s["contribution"].alias("contribution"), F.when(s["contribution"] > 0, "raises_risk").otherwise("lowers_risk").alias("effect"))
+    parts = [F.struct((F.col("contributions")[i] <= 0).alias("lowers"), (-F.abs(F.col("contributions")[i])).alias("size"), F.lit(i).alias("place"), F.lit(f).alias("feature"), F.lit(DESCRIPTIONS.get(f, f)).alias("description"), F.bround(F.col(f).cast("double"), 6).alias("value"), F.bround(F.col("contributions")[i], 6).alias("contribution")) for i, f in enumerate(features)]
+    shown = lambda s: F.struct(s["feature"].alias("feature"), s["description"].alias("description"), s["value"].alias("value"), s["contribution"].alias("contribution"), F.when(s["contribution"] > 0, "raises_risk").otherwise("lowers_risk").alias("effect"))
     return F.transform(F.slice(F.array_sort(F.array(*parts)), 1, k), shown)

@@ -1,28 +1,22 @@
 """The payment graph: pairs, per-account features, fixpoints. Every function is DataFrame to DataFrame.
 
-Fixpoint loops write each round to the checkpoint folder, so the lineage stays short and a lost
+Fixpoint loops write each round to the shared folder, so the lineage stays short and a lost
 executor costs one round's tasks at most."""
 
 from __future__ import annotations
 
-import tempfile
-
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tallyweave.functions.contract import FEATURES
+from tallyweave.work import cut
+
 DAMPING, MIN_REPEATS, MIN_CYCLE, MAX_CYCLE = 0.85, 2, 3, 8
 WINDOW_DAYS = 60.0
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the folder of the session (own one only if unset)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyweave-"))
-    return df.checkpoint()
-
-
 def pairs(ledger: DataFrame) -> DataFrame:
     """One row per ordered pair: weight (payments) and total."""
     return ledger.groupBy("sender", "receiver").agg(F.count("*").alias("weight"), F.sum("amount").alias("total"))
@@ -104,27 +98,37 @@ def clustering(ledger: DataFrame) -> DataFrame:
     return deg.join(per, "i", "left").select(F.col("i").alias("node"), F.when(F.col("t").isNotNull() & (possible > 0), F.col("t") / possible).otherwise(0.0).alias("clustering_coefficient"))
 
 
-def pagerank(ledger: DataFrame, rounds: int = 20, tolerance: float | None = None) -> DataFrame:
-    """PageRank times the number of accounts (mean 1), weighted by payments; dangling mass is spread
-    evenly. A fixed number of rounds, or until the summed change is under tolerance times accounts."""
+def pagerank(ledger: DataFrame, rounds: int = 20, tolerance: float | None = None, scale: bool = True) -> DataFrame:
+    """PageRank times the number of accounts (mean 1; without `scale` the probabilities), weighted by payments;
+    dangling mass is spread evenly. A fixed number of rounds, or until the summed change is under
+    tolerance times accounts (looked at every fifth round).
+
+    Links and accounts are held on disk, dealt by payer, so a round shuffles what accounts give, summed up
+    before, and writes the sums once; the share of accounts that pay nobody comes in the same pass."""
     p = pairs(ledger)
     out = p.groupBy("sender").agg(F.sum("weight").alias("w"))
-    links = cut(p.join(out, "sender").select("sender", "receiver", (F.col("weight") / F.col("w")).alias("share")))
-    every = cut(nodes(ledger).join(out.select(F.col("sender").alias("node"), F.lit(1).alias("pays")), "node", "left"))
+    n_parts = int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = lambda df: df.repartition(n_parts, "node").persist(StorageLevel.DISK_ONLY)
+    links = p.join(out, "sender").select(F.col("sender").alias("node"), "receiver", (F.col("weight") / F.col("w")).alias("share"))
+    every = cut(nodes(ledger))
+    lost = every.join(out.select(F.col("sender").alias("node")), "node", "left_anti").select("node", F.lit(None).cast("string").alias("receiver"), F.lit(1.0).alias("share"))
+    links, names = held(cut(links.union(lost))), held(every)
     n = every.count()
-    rank = every.withColumn("rank", F.lit(1.0))
+    rank = names.select("node", F.lit(1.0).alias("rank"))
     for k in range(rounds):
-        dangling = rank.where("pays is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        got = links.join(rank.select(F.col("node").alias("sender"), "rank"), "sender").groupBy(F.col("receiver").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new = every.join(got, "node", "left").crossJoin(F.broadcast(dangling)).select("node", "pays", (1 - DAMPING + DAMPING * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if tolerance is not None or k % 5 == 4:
-            new = cut(new)
-        if tolerance is not None:
+        got = cut(links.join(rank, "node").groupBy("receiver").agg(F.sum(F.col("rank") * F.col("share")).alias("got")))
+        spread = got.where("receiver is null").agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("lost"))
+        new = names.join(got.withColumnRenamed("receiver", "node"), "node", "left").crossJoin(F.broadcast(spread)).select("node", (1 - DAMPING + DAMPING * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
+        if tolerance is not None and k % 5 == 4:
             change = new.join(rank.select("node", F.col("rank").alias("was")), "node").agg(F.sum(F.abs(F.col("rank") - F.col("was"))).alias("c")).first()["c"]
             if (change or 0.0) < n * tolerance:
-                return new.select("node", F.col("rank").alias("pagerank"))
+                rank = new
+                break
         rank = new
-    return rank.select("node", F.col("rank").alias("pagerank"))
+    made = cut(rank.select("node", (F.col("rank") if scale else F.col("rank") / max(n, 1)).alias("pagerank")))
+    links.unpersist()
+    names.unpersist()
+    return made
 
 
 def repeated(ledger: DataFrame, least: int = MIN_REPEATS) -> DataFrame:
@@ -206,36 +210,75 @@ def internal_ratio(undirected_edges: DataFrame, partition: DataFrame) -> DataFra
     return partition.join(ratio, "community", "left").select("node", F.coalesce("r", F.lit(0.0)).alias("community_internal_ratio"))
 
 
-def communities(u: DataFrame, rounds: int = 10) -> DataFrame:
-    """A deterministic partition of an undirected graph (a, b, weight): accounts move to the community
-    with the largest gain in modularity, ties to the smaller name; halves of the accounts, by hash and
-    round, move in turn, which keeps pairs from swapping for ever."""
-    both = cut(u.select("a", "b", "weight").union(u.select("b", "a", "weight")).toDF("x", "y", "w"))
-    strength = both.groupBy("x").agg(F.sum("w").alias("k"))
-    total = both.agg(F.sum("w").alias("m")).first()["m"] or 1
-    part = strength.select(F.col("x").alias("node"), F.col("x").alias("community"), "k")
-
+def modularity(u: DataFrame, partition: DataFrame, resolution: float = 1.0) -> float:
+    """Of a partition (node, community) of an undirected graph (a, b, weight; a loop counts once)."""
+    e = u.select("a", "b", F.col("weight").cast("double").alias("w"))
+    p = partition.select("node", "community")
+    both = e.join(p.toDF("a", "ca"), "a").join(p.toDF("b", "cb"), "b")
+    inside = both.agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w"))).alias("i"), F.sum("w").alias("m")).first()
+    if not inside["m"]:
+        return 0.0
+    ends = both.select(F.inline(F.array(F.struct(F.col("ca").alias("c"), "w"), F.struct(F.col("cb").alias("c"), "w")))).groupBy("c").agg(F.sum("w").alias("k"))
+    return (inside["i"] or 0.0) / inside["m"] - resolution * ends.agg(F.sum(F.col("k") * F.col("k")).alias("s")).first()["s"] / (2 * inside["m"]) ** 2
+
+
+def _local_moves(both: DataFrame, loops: DataFrame, total: float, rounds: int) -> tuple[DataFrame, bool]:
+    """A level of local moving over both (x, y, w) and loops (node, w): (node, community), and whether any
+    moved. Halves of the accounts, by hash, move in turn, to communities of smaller names and then to those
+    of larger ones, so no two accounts can swap for ever; it ends when all four turns are still."""
+    strength = both.groupBy(F.col("x").alias("node")).agg(F.sum("w").alias("k")).join(loops, "node", "full").select("node", (F.coalesce("k", F.lit(0.0)) + 2 * F.coalesce("w", F.lit(0.0))).alias("k"))
+    part = cut(strength.select("node", F.col("node").alias("community"), "k"))
+    still, any_moved = 0, False
     for r in range(rounds):
         tot = part.groupBy("community").agg(F.sum("k").alias("tot"))
         to = both.join(part.select(F.col("node").alias("y"), "community"), "y").groupBy("x", "community").agg(F.sum("w").alias("kin"))
-        own = part.select(F.col("node").alias("x"), F.col("community").alias("own"), "k")
-        g = to.join(own, "x").join(tot, "community").withColumn("gain", F.col("kin") - F.col("k") * (F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0)) / total)
-        w = Window.partitionBy("x").orderBy(F.desc("gain"), "community")
-        best = g.withColumn("r", F.row_number().over(w)).where("r = 1 and gain > 0").select(F.col("x").alias("node"), F.col("community").alias("target"))
-        moves = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
-        new = cut(part.join(best, "node", "left").select("node", F.when(moves, F.coalesce("target", "community")).otherwise(F.col("community")).alias("community"), "k"))
-        moved = new.join(part.select("node", F.col("community").alias("was")), "node").where("community <> was").isEmpty()
-        part = new
-        if moved and r:
+        own = part.where(F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2).select(F.col("node").alias("x"), F.col("community").alias("own"), "k")
+        # The own community is a choice too, if only with what the account brings along.
+        stay = own.select("x", F.col("own").alias("community"), F.lit(0.0).alias("kin"))
+        choices = to.join(own.select("x"), "x", "left_semi").unionByName(stay).groupBy("x", "community").agg(F.sum("kin").alias("kin"))
+        g = choices.join(own, "x").join(tot, "community").withColumn("gain", F.col("kin") - F.col("k") * (F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)) / total)
+        # Ties stay where they are, then go to the smaller name.
+        best = g.groupBy("x").agg(F.min_by("community", F.struct(-F.round("gain", 9), (F.col("community") != F.col("own")).cast("int"), "community")).alias("target"), F.max(F.round("gain", 9)).alias("top"), F.max(F.when(F.col("community") == F.col("own"), F.round("gain", 9))).alias("now"), F.first("own").alias("own"))
+        moves = best.where("top > now and target < own" if r // 2 % 2 == 0 else "top > now and target > own").select(F.col("x").alias("node"), "target")
+        new = cut(part.join(moves, "node", "left").select("node", F.coalesce("target", "community").alias("community"), "k", F.col("target").isNotNull().alias("moved")))
+        moved = not new.where("moved").isEmpty()
+        part = new.drop("moved")
+        any_moved, still = any_moved or moved, 0 if moved else still + 1
+        if still == 4:
+            break
+    return part.select("node", "community"), any_moved
+
+
+def communities(u: DataFrame, rounds: int = 40, levels: int = 10) -> DataFrame:
+    """A deterministic partition of an undirected graph (a, b, weight) by modularity: accounts move to the
+    community with the largest gain, then communities become the nodes of a smaller graph, on which the
+    same is done, until nothing moves or modularity doesn't rise. (node, community: a member's name)"""
+    e = cut(u.select("a", "b", F.col("weight").cast("double").alias("weight")))
+    total = 2.0 * (e.agg(F.sum("weight").alias("m")).first()["m"] or 0.5)
+    members = cut(e.select(F.col("a").alias("node")).union(e.select("b")).distinct().withColumn("community", F.col("node")))
+    level, best = e, modularity(e, members)
+    for _ in range(levels):
+        apart = level.where("a <> b")
+        both = cut(apart.select("a", "b", "weight").union(apart.select("b", "a", "weight")).toDF("x", "y", "w"))
+        loops = level.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("w"))
+        part, moved = _local_moves(both, loops, total, rounds)
+        if not moved:
+            break
+        merged = cut(members.join(part.toDF("community", "into"), "community", "left").select("node", F.coalesce("into", "community").alias("community")))
+        now = modularity(e, merged)
+        if now <= best + 1e-9:
             break
-    return part.select("node", "community")
+        members, best = merged, now
+        named = level.join(part.toDF("a", "ca"), "a").join(part.toDF("b", "cb"), "b")
+        level = cut(named.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight")))
+    return members
 
 
-def features(ledger: DataFrame, partition: DataFrame | None = None) -> DataFrame:
-    """All eighteen features and the community of every account."""
+def features(ledger: DataFrame, partition: DataFrame | None = None, rounds: int = 200, tolerance: float | None = 1e-4) -> DataFrame:
+    """All eighteen features and the community of every account, in the order of the contract."""
     u = undirected(pairs(ledger))
     partition = communities(u) if partition is None else partition
     out = local_features(ledger)
-    for more in (pagerank(ledger, rounds=100, tolerance=1e-6), clustering(ledger), cycle_participation(ledger), internal_ratio(u, partition), partition):
+    for more in (pagerank(ledger, rounds, tolerance), clustering(ledger), cycle_participation(ledger), internal_ratio(u, partition), partition):
         out = out.join(more, "node", "left")
-    return out
+    return out.select("node", *FEATURES, "community")

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tallyweave.functions.scalars import calibrated
+from tallyweave.work import cut
+
 EPS, RIDGE, TOLERANCE = 1e-6, 1e-8, 1e-10
 
 
@@ -30,15 +33,34 @@ def logistic(train: DataFrame, features: list[str], test: DataFrame, label: str
     return model.transform(scaler.transform(shaped(test))).select(*test.columns, vector_to_array("probability")[1].alias("p"))
 
 
-def fit_boosted(train: DataFrame, features: list[str], label: str = "y", rounds: int = 20):
-    """Gradient boosted trees of depth 4, learning rate 0.05, 0.8 of the rows a round."""
+#: Depth, learning rate, rows and features of a tree, least rows of a leaf, most rounds.
+DEPTH, RATE, ROWS, COLUMNS, LEAF, ROUNDS = 4, 0.05, 0.8, "0.8", 5, 500
+
+
+def fit_boosted(train: DataFrame, features: list[str], label: str = "y", rounds: int = 20, valid: DataFrame | None = None):
+    """Gradient boosted trees with class weights. With `valid` as many rounds as its loss asks for: of a model
+    of `rounds` trees the first ones up to the least loss are kept, and growing stops when it has risen (by
+    Spark's rule, 0.01 of the loss) before. Spark's trees know no L2 penalty and no Hessian weight of leaves;
+    a least number of rows stands for the latter."""
     shaped = VectorAssembler(inputCols=features, outputCol="_x")
-    return GBTClassifier(featuresCol="_x", labelCol=label, weightCol="w", maxDepth=4, stepSize=0.05, subsamplingRate=0.8, maxIter=rounds, seed=42).fit(weighted(shaped.transform(train), label))
+    gbt = GBTClassifier(featuresCol="_x", labelCol=label, weightCol="w", maxDepth=DEPTH, stepSize=RATE, subsamplingRate=ROWS, featureSubsetStrategy=COLUMNS, minInstancesPerNode=LEAF, maxIter=rounds, seed=42)
+    data = weighted(shaped.transform(train).select("_x", label), label)
+    if valid is None:
+        return gbt.fit(data)
+    held = weighted(shaped.transform(valid).select("_x", label), label)
+    both = data.withColumn("_held", F.lit(False)).unionByName(held.withColumn("_held", F.lit(True)))
+    return gbt.setParams(validationIndicatorCol="_held", validationTol=0.01).fit(both)
 
 
-def boosted(train: DataFrame, features: list[str], test: DataFrame, label: str = "y", rounds: int = 20) -> DataFrame:
+def boosted(train: DataFrame, features: list[str], test: DataFrame, label: str = "y", rounds: int = 20, valid: DataFrame | None = None) -> DataFrame:
     """test with p from such trees."""
-    return apply(fit_boosted(train, features, label, rounds), test, features)
+    return apply(fit_boosted(train, features, label, rounds, valid), test, features)
+
+
+def margins(model, df: DataFrame, features: list[str]) -> DataFrame:
+    """df with p and margin, its log-odds, as the model has them: twice the summed trees."""
+    scored = model.transform(VectorAssembler(inputCols=features, outputCol="_x").transform(df))
+    return scored.select(*df.columns, vector_to_array("probability")[1].alias("p"), (2 * vector_to_array("rawPrediction")[1]).alias("margin"))
 
 
 def apply(model, df: DataFrame, features: list[str]) -> DataFrame:
@@ -134,3 +156,36 @@ def ablation(train: DataFrame, test: DataFrame, features: list[str], without: li
     """AUC and average precision with all features and without some."""
     run = lambda name, used: ranking(boosted(train, used, test)).select(F.lit(name).alias("model"), "auc", "ap")
     return run("full", features).union(run("without", [f for f in features if f not in without]))
+
+
+def importance(model, test: DataFrame, features: list[str]) -> DataFrame:
+    """One row per feature, the most important first: gain (the model's) and share (mean absolute contribution,
+    normalised). Raises if the contributions don't add up to the model's log-odds within 1e-4: what explains
+    another model than the one that scores isn't saved."""
+    from tallyweave.operators import attribution
+
+    explained = cut(attribution.contributions(apply(model, test.select(*features), features), model, features))
+    gap = attribution.margin_gap(explained)
+    if not gap <= attribution.TOLERANCE:
+        raise ValueError(f"contributions miss the log-odds by {gap:.2e}")
+    gain = test.sparkSession.createDataFrame([(f, float(g)) for f, g in zip(features, model.featureImportances.toArray(), strict=True)], "feature string, gain double")
+    return attribution.mean_absolute(explained, features).join(gain, "feature").orderBy(F.desc("share"), "feature")
+
+
+def calibration(val: DataFrame, test: DataFrame, score: str = "score", label: str = "y", bins: int = 10) -> DataFrame:
+    """Platt scaling fitted on val, and test before and after it: Brier score, expected calibration error over
+    equal bins (the last one closed), and AUC, which a rising curve leaves as it is."""
+    slope, intercept = platt(val, score, label)
+    both = test.select(F.col(label).alias("y"), F.inline(F.array(*[F.struct(F.lit(stage).alias("stage"), v.alias("p")) for stage, v in (("before", F.col(score).cast("double")), ("after", calibrated(F.col(score), slope, intercept)))])))
+    edges = [i / bins for i in range(1, bins)]
+    place = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("p")))
+    b = both.groupBy("stage", place.alias("bin")).agg(F.count("*").alias("n"), F.sum("p").alias("sp"), F.sum("y").alias("sy"), F.sum((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("sq"))
+    out = b.groupBy("stage").agg((F.sum("sq") / F.sum("n")).alias("brier"), (F.sum(F.abs(F.col("sp") - F.col("sy"))) / F.sum("n")).alias("ece"))
+    return out.join(ranking(both, "p", "y", ("stage",)).select("stage", "auc"), "stage").withColumns({"slope": F.lit(slope), "intercept": F.lit(intercept)})
+
+
+def retained(table: DataFrame) -> DataFrame:
+    """Of an ablation (model: full, without; auc): how much of what the full model has over chance is left."""
+    a = table.groupBy().pivot("model", ["full", "without"]).agg(F.first("auc"))
+    share = F.try_divide(F.col("without") - 0.5, F.col("full") - 0.5)
+    return a.select(F.col("full").alias("auc_full"), F.col("without").alias("auc_without"), share.alias("retained"), F.when(share >= 0.9, "most").when(share >= 0.5, "half").otherwise("little").alias("band"))

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tallyweave.operators.graph import MAX_CYCLE, MIN_CYCLE, closing_edges, core, cut, repeated
+from tallyweave.operators.graph import MAX_CYCLE, MIN_CYCLE, closing_edges, core, repeated
+from tallyweave.work import cut
 
 
 def numbered(partition: DataFrame) -> DataFrame:
@@ -69,33 +73,56 @@ def extend(undirected: DataFrame, partition: DataFrame) -> DataFrame:
     return placed.union(roots.join(fresh, "root").select("node", "community"))
 
 
-def fingerprint(partition: DataFrame) -> str:
-    """Twelve hexadecimal digits over the membership, whatever the labels, and the counts. The digest is fed
-    in order of names from one sorted part after another, so memory holds one part."""
+def fingerprint(partition: DataFrame) -> DataFrame:
+    """One row: twelve hexadecimal digits over the membership in order of names, whatever the labels, and the
+    counts. Ranges of names make up their piece of the text in parallel; one task digests the pieces as they
+    stream past it, for a digest is sequential."""
     named = numbered(partition)
-    digest, n, top = hashlib.sha256(), 0, -1
-    for row in named.orderBy("node").toLocalIterator():
-        digest.update(f"{';' if n else ''}{row.node}:{row.community}".encode())
-        n, top = n + 1, max(top, row.community)
-    return f"{digest.hexdigest()[:12]}/{top + 1}c/{n}n"
 
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for i, batch in enumerate(batches):
+            text = "".join(f";{node}:{community}" for node, community in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            yield pa.RecordBatch.from_pydict({"part": [part], "place": [i], "text": [text], "n": [batch.num_rows], "top": [max(batch.column(1).to_pylist(), default=-1)]})
 
-def cycles(ledger: DataFrame, most: int = 15) -> DataFrame:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha, n, top = hashlib.sha256(), 0, -1
+        for batch in batches:
+            for text, m, most in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                sha.update(text[0 if n else 1 :].encode())
+                n, top = n + m, max(top, most)
+        yield pa.RecordBatch.from_pydict({"fingerprint": [f"{sha.hexdigest()[:12]}/{top + 1}c/{n}n"]})
+
+    made = named.select("node", F.col("community").cast("long")).orderBy("node").mapInArrow(pieces, "part long, place long, text string, n long, top long")
+    nothing = partition.sparkSession.range(1).select(F.lit(-1).cast("long").alias("part"), F.lit(0).cast("long").alias("place"), F.lit("").alias("text"), F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("top"))
+    return made.union(nothing).repartition(1).sortWithinPartitions("part", "place").mapInArrow(digest, "fingerprint string")
+
+
+def cycles(ledger: DataFrame, most: int = 15, budget: int = 200_000) -> DataFrame:
     """The first `most` simple cycles of 3 to 8 accounts over repeated payments, each once from its smallest
-    account, in the order of their paths; `truncated` tells that the limit was reached. Paths only
-    follow edges that lie on some short closed walk."""
+    account, in the order of their paths; `truncated` tells that a limit was reached, either `most` or
+    the budget of paths. Paths only follow edges that lie on some short closed walk, and of each round only
+    the budget's first paths go on: what follows them in order comes after all that they lead to."""
     e = cut(closing_edges(core(repeated(ledger))))
     step = e.select(F.col("u").alias("at"), F.col("v").alias("to"))
-    paths = cut(e.where("u < v").select(F.array("u", "v").alias("path"), F.col("v").alias("at")))
-    found = paths.where("false").select("path")
+    paths = e.where("u < v").select(F.array("u", "v").alias("path"), F.col("v").alias("at"))
+    found, bound, cut_off = paths.where("false").select("path"), None, False
     for size in range(2, MAX_CYCLE + 1):
+        paths = cut(paths)
+        n = paths.count()
+        if not n:
+            break
+        if n > budget:
+            paths = cut(paths.orderBy("path").limit(budget))
+            last = paths.agg(F.max("path").alias("p")).first()["p"]
+            bound, cut_off = last if bound is None or last < bound else bound, True
         on = paths.join(step, "at")
         if size >= MIN_CYCLE:
             found = found.union(on.where("to = path[0]").select("path"))
         if size == MAX_CYCLE:
             break
-        paths = cut(on.where("to > path[0] and not array_contains(path, to)").select(F.concat("path", F.array("to")).alias("path"), F.col("to").alias("at")))
-        if paths.isEmpty():
-            break
+        paths = on.where("to > path[0] and not array_contains(path, to)").select(F.concat("path", F.array("to")).alias("path"), F.col("to").alias("at"))
+    if bound is not None:  # beyond the first path that wasn't followed, the order isn't known
+        found = found.where(F.slice("path", 1, len(bound)) <= F.array(*map(F.lit, bound)))
     shown = found.orderBy("path").limit(most)
-    return shown.crossJoin(F.broadcast(shown.agg((F.count("*") >= most).alias("truncated")))).select(F.array_join("path", ">").alias("cycle"), F.size("path").cast("long").alias("n"), "truncated")
+    return shown.crossJoin(F.broadcast(shown.agg(((F.count("*") >= most) | F.lit(cut_off)).alias("truncated")))).select(F.array_join("path", ">").alias("cycle"), F.size("path").cast("long").alias("n"), "truncated")

@@ -2,17 +2,51 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave.functions import contract
 from tallyweave.operators import attribution, graph, partition
+from tallyweave.sources import files
+from tallyweave.work import cut
 
 DAY = 86_400_000_000
 DRIFT_DAYS = 1.5
-#: The only actions there are. All leave the decision to a person.
-ACTIONS = {"CRITICAL": "PRIORITY_REVIEW", "HIGH": "REVIEW", "MEDIUM": "MONITOR", "LOW": "NONE"}
+BIAS_TOLERANCE = 1e-6
+# The only actions there are, each tier's action, and what no action may be called. All leave
+# the decision to a person; no action blocks anything.
+PERMITTED = ("ALLOW", "FLAG_FOR_REVIEW", "HOLD_FOR_REVIEW", "REQUIRE_ADDITIONAL_AUTH")
+ACTIONS = {"CRITICAL": "HOLD_FOR_REVIEW", "HIGH": "HOLD_FOR_REVIEW", "MEDIUM": "REQUIRE_ADDITIONAL_AUTH", "LOW": "ALLOW"}
+FORBIDDEN = ("BAN_USER", "BLOCK_ACCOUNT", "FREEZE_FUNDS", "SUSPEND_ACCOUNT", "TERMINATE_USER", "AUTO_BLOCK", "AUTO_BAN")
+VERBS = ("BAN", "BLOCK", "FREEZE", "SUSPEND", "TERMINATE", "DISABLE", "REVOKE", "SEIZE", "CLOSE", "LOCK", "QUARANTINE", "RESTRICT", "HALT", "BLACKLIST", "DENY", "LIMIT", "REVERSE")
+
+
+class DefenseOnlyError(ValueError):
+    """An action that isn't one of those that leave the decision to a person."""
+
+
+def allowed(name: Column) -> Column:
+    """Whether a name is a permitted action and holds no forbidden name or verb, in any case. Null is none."""
+    upper = F.upper(name)
+    forbidden = upper.isin(*FORBIDDEN)
+    for verb in VERBS:
+        forbidden = forbidden | upper.contains(verb)
+    return F.coalesce(upper.isin(*PERMITTED) & ~forbidden, F.lit(False))
+
+
+def check_actions(names: tuple[str, ...] | list[str]) -> None:
+    """Raises if one of the names isn't permitted, is forbidden or has a forbidden verb in it."""
+    for name in names:
+        upper = name.upper()
+        if upper not in PERMITTED or upper in FORBIDDEN or any(verb in upper for verb in VERBS):
+            raise DefenseOnlyError(f"{name} is no action that leaves the decision to a person")
+
+
+check_actions([*PERMITTED, *ACTIONS.values()])
 
 
 def reasons(batch: DataFrame) -> DataFrame:
@@ -50,13 +84,26 @@ def diagnostics(merged: DataFrame, context: DataFrame, days: float) -> DataFrame
     return d.withColumn("comparable", F.abs(F.col("observed_days") - days) <= DRIFT_DAYS)
 
 
-def tier(score: Column, threshold: float, break_even: float) -> Column:
-    """Of a score from 0 to 1; others fail. Both sides are rounded to 6 places."""
-    if not 0 < threshold <= 1 or not 0 < break_even < 1:
+def quantized(x: Column) -> Column:
+    """Scores as they are reported and compared: six places, halves to even."""
+    return F.bround(x, 6)
+
+
+def cutoffs(threshold: float, break_even: float) -> dict[str, float]:
+    """The least score of each tier but the lowest. Threshold and break-even are rounded as scores are; the
+    critical one lies half-way from there to 1 and is left as it is."""
+    if not 0 < threshold <= 1 or not 0 < break_even <= 1:
         raise ValueError("threshold and break-even must lie between 0 and 1")
-    s = F.bround(score, 6)
-    checked = F.when(s.between(0, 1), s).otherwise(F.raise_error(F.lit("a score lies outside of 0 to 1")).cast("double"))
-    return F.when(checked >= round(threshold + (1 - threshold) / 2, 6), "CRITICAL").when(checked >= round(threshold, 6), "HIGH").when(checked >= round(min(threshold, break_even), 6), "MEDIUM").otherwise("LOW")
+    t = round(threshold, 6)
+    return {"CRITICAL": t + (1 - t) / 2, "HIGH": t, "MEDIUM": min(round(break_even, 6), t)}
+
+
+def tier(score: Column, threshold: float, break_even: float) -> Column:
+    """Of a score from 0 to 1; others fail."""
+    least = cutoffs(threshold, break_even)
+    s = quantized(score)
+    checked = F.when(score.between(0, 1), s).otherwise(F.raise_error(F.lit("a score lies outside of 0 to 1")).cast("double"))
+    return F.when(checked >= least["CRITICAL"], "CRITICAL").when(checked >= least["HIGH"], "HIGH").when(checked >= least["MEDIUM"], "MEDIUM").otherwise("LOW")
 
 
 def action(level: Column) -> Column:
@@ -67,22 +114,126 @@ def action(level: Column) -> Column:
 
 
 def mismatches(responses: DataFrame, threshold: float, break_even: float) -> DataFrame:
-    """Responses whose tier or action isn't what their score gives; must be empty."""
-    again = tier(F.col("risk_score"), threshold, break_even)
-    return responses.where((F.col("risk_level") != again) | (F.col("action") != action(again)) | ~F.col("action").isin(*ACTIONS.values()))
+    """Responses whose tier or action isn't what their score gives, or whose action isn't permitted; must be
+    empty."""
+    wrong = lambda t: ~F.col("risk_level").eqNullSafe(t) | ~F.col("action").eqNullSafe(action(t)) | ~allowed(F.col("action"))
+    # The tier is computed once, as the element of an array that the rest refers to.
+    return responses.where(F.exists(F.array(tier(F.col("risk_score"), threshold, break_even)), wrong))
+
+
+def attributed(scored: DataFrame, model, features: list[str], explain=attribution.contributions, k: int = 3) -> tuple[DataFrame, list[str]]:
+    """scored (features, p) with contributing_factors, and warnings. The factors of all are withheld, and a
+    warning says why, if contributions and bias don't add up to the model's log-odds (each within 1e-4), or
+    if the bias isn't one number: then names and contributions don't belong together. Scores stay as they are."""
+    none = F.array().cast("array<struct<feature:string,description:string,value:double,contribution:double,effect:string>>")
+    try:
+        explained = cut(explain(scored, model, features))
+    except Exception as e:  # the explanation may fail, the score must not
+        return scored.withColumn("contributing_factors", none), [f"explanations are missing: {type(e).__name__}"]
+    total = F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c)
+    bias = F.element_at("contributions", -1)
+    found = explained.agg(F.count("*").alias("n"), F.max(F.abs(total - F.log(F.col("p") / (1 - F.col("p"))))).alias("gap"), (F.max(bias) - F.min(bias)).alias("spread")).first()
+    if found["n"] and not found["gap"] <= attribution.TOLERANCE:
+        why = f"contributions miss the log-odds by {found['gap']:.2e}; explanations are withheld"
+    elif found["n"] > 1 and not found["spread"] <= BIAS_TOLERANCE:
+        why = f"the bias varies by {found['spread']:.2e}; explanations are withheld"
+    else:
+        return explained.withColumn("contributing_factors", attribution.top_factors(features, k)), []
+    return explained.withColumn("contributing_factors", none), [why]
+
+
+def responses(scored: DataFrame, threshold: float, break_even: float) -> DataFrame:
+    """scored (node, p, contributing_factors, seen_in_context) as responses: the score is rounded before it is
+    tiered, so no tier contradicts the number beside it."""
+    level = tier(F.col("p"), threshold, break_even)
+    return scored.select("node", quantized(F.col("p")).alias("risk_score"), level.alias("risk_level"), action(level).alias("action"), "contributing_factors", F.coalesce("seen_in_context", F.lit(False)).alias("seen_in_context"))
+
 
+def validated(made: DataFrame, threshold: float, break_even: float) -> DataFrame:
+    """The responses, if each tier and action follows from its score and every action is permitted."""
+    made = cut(made)
+    if wrong := mismatches(made, threshold, break_even).select("node").take(3):
+        raise DefenseOnlyError(f"tier or action doesn't follow from the score: {[r['node'] for r in wrong]}")
+    return made
 
-def score_batch(batch: DataFrame, context: DataFrame, frozen: DataFrame, model, features: list[str], threshold: float, break_even: float, days: float = 60.0, with_context: bool = False) -> DataFrame:
+
+def score_batch(batch: DataFrame, context: DataFrame, frozen: DataFrame, model, features: list[str], threshold: float, break_even: float, days: float = 60.0, with_context: bool = False, warnings: list[str] | None = None) -> DataFrame:
     """One row per account of the batch (with_context: of the graph): score, tier, action, factors, and
-    whether the context knows it. Refused payments take no part; the frozen partition is extended."""
+    whether the context knows it. Refused payments take no part; the frozen partition is extended. Why
+    factors are withheld is added to `warnings`."""
     good = reasons(batch).where("reason is null")
-    merged = graph.cut(merge(good, context, days))
+    merged = cut(merge(good, context, days))
     ledger = merged.select(*graph_columns())
     part = partition.extend(graph.undirected(graph.pairs(ledger)), frozen)
-    table = graph.cut(graph.features(ledger, part).na.fill(0.0))
+    table = cut(graph.features(ledger, part).na.fill(0.0))
     asked = table if with_context else table.join(graph.nodes(good), "node", "left_semi")
     scored = model.transform(VectorAssembler(inputCols=features, outputCol="_x").transform(asked)).withColumn("p", vector_to_array("probability")[1])
-    explained = attribution.contributions(scored.select("node", *features, "p"), model, features)
+    explained, said = attributed(scored.select("node", *features, "p"), model, features)
+    if warnings is not None:
+        warnings += said
     known = graph.nodes(context).withColumn("seen_in_context", F.lit(True))
-    level = tier(F.col("p"), threshold, break_even)
-    return explained.join(known, "node", "left").select("node", F.bround("p", 6).alias("risk_score"), level.alias("risk_level"), action(level).alias("action"), attribution.top_factors(features).alias("contributing_factors"), F.coalesce("seen_in_context", F.lit(False)).alias("seen_in_context"))
+    return validated(responses(explained.join(known, "node", "left"), threshold, break_even), threshold, break_even)
+
+
+@dataclass
+class Service:
+    """What scoring needs, frozen when it starts; what is missing is said in `reason` and nothing is scored."""
+
+    model: object | None = None
+    model_version: str = contract.MODEL_VERSION
+    threshold: float | None = None
+    threshold_source: str = "none"
+    break_even: float | None = None
+    context: DataFrame | None = None
+    context_payments: int = 0
+    days: float | None = None
+    frozen: DataFrame | None = None
+    fingerprint: str | None = None
+    contract_verified: bool = False
+    reason: str | None = None
+
+    @property
+    def ready(self) -> bool:
+        return self.reason is None
+
+    def health(self) -> dict:
+        """The readiness document. A missing threshold is null, not a number that would flag everybody."""
+        return {
+            "status": "healthy" if self.ready else "degraded", "model_loaded": self.model is not None, "model_version": self.model_version, "optimal_threshold": self.threshold, "threshold_source": self.threshold_source,
+            "n_features": len(contract.FEATURES), "feature_contract_verified": self.contract_verified, "context_graph_loaded": self.context is not None, "context_transactions": self.context_payments,
+            "partition_fingerprint": self.fingerprint, "detail": self.reason,
+        }
+
+    def score(self, batch: DataFrame, override: float | None = None, with_context: bool = False, warnings: list[str] | None = None) -> DataFrame:
+        """The responses to a batch (sender, receiver, amount, ts)."""
+        if not self.ready:
+            raise RuntimeError(f"not ready: {self.reason}")
+        return score_batch(batch, self.context, self.frozen, self.model, list(contract.FEATURES), override or self.threshold, self.break_even, self.days, with_context, warnings)
+
+
+def start(spark: SparkSession, artifacts: str, data: str) -> Service:
+    """Loads model, threshold, costs and context, freezes the context's partition and takes its fingerprint.
+    It never raises for what is missing: the service starts degraded and says why."""
+    s, missing = Service(), []
+    try:
+        s.model = files.load_model(spark, artifacts)
+        s.contract_verified = True
+    except Exception as e:
+        missing.append(f"model: {type(e).__name__}: {str(e).splitlines()[0][:120]}")
+    s.threshold, s.threshold_source, doc = files.load_metrics(spark, artifacts)
+    s.break_even = files.break_even(doc)
+    if s.threshold is None:
+        missing.append("no usable threshold")
+    if s.break_even is None:
+        missing.append("no costs")
+    try:
+        context = files.read_context(spark, data).select("sender", "receiver", F.col("amount").cast("decimal(18,4)").alias("amount"), F.col("timestamp").alias("ts"))
+        s.context = cut(context)
+        s.context_payments = s.context.count()
+        s.days = files.window_days(spark, data)
+        s.frozen = cut(partition.numbered(graph.communities(graph.undirected(graph.pairs(s.context)))))
+        s.fingerprint = partition.fingerprint(s.frozen).first()["fingerprint"]
+    except Exception as e:
+        missing.append(f"context: {type(e).__name__}: {str(e).splitlines()[0][:120]}")
+    s.reason = "; ".join(missing) or None
+    return s

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.operators import attribution, graph, models, partition, serving
-from tallyweave.plans import evaluation, relational, report
+from tallyweave.operators import graph, models, partition, serving
+from tallyweave.plans import evaluation, labelled, labelled_sql, relational, report, training
 from tallyweave.sources import generator
 from tallyweave.sources import ledger as src
+from tallyweave.work import cut
 
 
 def _rounded(df: DataFrame, *keys: str) -> DataFrame:
@@ -23,6 +24,9 @@ def top_pass_through(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOCAL = ("degree_ratio", "degree_balance", "flow_passthrough", "reciprocity", "fan_in_concentration", "txn_velocity", "burst_ratio", "amount_cv", "counterparty_amount_cv", "repeat_ratio")
 
 
+COUNTS = ("in_degree", "out_degree", "in_amount_sum", "out_amount_sum")
+
+
 def _one(feature: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _rounded(graph.local_features(src.handoff_ledger(spark, sf_dir)).select("node", feature), "node")
@@ -55,22 +59,22 @@ def _local_sql(name: str) -> str:
 
 _P = "p as (select sender as s, receiver as r, count(*) as w from ledger group by 1, 2)"
 _CLUSTER_SQL = f"""
-with ledger as ({src.SQL['ledger']}), {_P}, m as (select i, j, count(*) as k from (select s as i, r as j from p union all select r, s from p) group by 1, 2),
+with ledger as ({{rel}}), {_P}, m as (select i, j, count(*) as k from (select s as i, r as j from p union all select r, s from p) group by 1, 2),
 t as (select a.i, sum(a.k * b.k * c.k) as t from m a join m b on a.j = b.i join m c on b.j = c.i and c.j = a.i where b.j <> a.i group by 1),
 d as (select i, sum(k) as dt, count(*) filter (k = 2) as db from m group by 1)
 select d.i as node, round(case when t is not null and 2 * (dt * (dt - 1) - 2 * db) > 0 then t / (2 * (dt * (dt - 1) - 2 * db)) else 0.0 end, 6) as clustering_coefficient from d left join t on t.i = d.i
 """
 
 
-def _rank_sql(rounds: int = 20) -> str:
-    head = f"with ledger as ({src.SQL['ledger']}), {_P}, o as (select s, sum(w) as ws from p group by 1), v as (select s as node from p union select r from p), l as (select p.s, p.r, p.w / o.ws as share from p join o on p.s = o.s), n as (select count(*) as n from v), r0 as (select node, 1.0::double as k from v)"
+def _rank_sql(rel: str, rounds: int = 20) -> str:
+    head = f"with ledger as ({rel}), {_P}, o as (select s, sum(w) as ws from p group by 1), v as (select s as node from p union select r from p), l as (select p.s, p.r, p.w / o.ws as share from p join o on p.s = o.s), n as (select count(*) as n from v), r0 as (select node, 1.0::double as k from v)"
     for i in range(rounds):
         head += f", r{i + 1} as materialized (select v.node, 0.15 + 0.85 * (coalesce(g.k, 0) + coalesce((select sum(k) from r{i} where node not in (select s from o)), 0) / (select n from n)) as k from v left join (select l.r as node, sum(x.k * l.share) as k from l join r{i} x on x.node = l.s group by 1) g on g.node = v.node)"
-    return head + f" select node, round(k, 6) as pagerank from r{rounds}"
+    return head + f" select node, k as pagerank from r{rounds}"
 
 
 _PEEL = """peel(d, s, r) as (select 0, s, r from rep union all (with cur as (select * from peel where d = (select max(d) from peel)) select d + 1, s, r from cur where s in (select r from cur) and r in (select s from cur) and d < 12))"""
-_CORE = f"with recursive ledger as ({src.SQL['ledger']}), {_P}, rep as (select s, r from p where w >= 2), {_PEEL}, core as (select s, r from peel where d = 12)"
+_CORE = f"with recursive ledger as ({{rel}}), {_P}, rep as (select s, r from p where w >= 2), {_PEEL}, core as (select s, r from peel where d = 12)"
 _CYCLE_SQL = _CORE + """,
 walk(u, v, x, d) as (select a.s, a.r, b.r, 2 from core a join core b on b.s = a.r where b.r <> a.s and b.r <> a.r union select w.u, w.v, c.r, w.d + 1 from walk w join core c on c.s = w.x where w.x <> w.u and c.r <> w.v and w.d < 8),
 cl as (select distinct u, v from walk where x = u), near as (select s as node, r as other from rep union select r, s from rep), hit as (select u as node, v as other from cl union select v, u from cl),
@@ -89,7 +93,7 @@ def f_community_internal_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(graph.internal_ratio(graph.undirected(graph.pairs(ledger)), part), "node")
 
 
-_COMM_SQL = f"""with ledger as ({src.SQL['ledger']}), u as (select distinct least(sender, receiver) as a, greatest(sender, receiver) as b from ledger), e as (select cast(a as bigint) % 10 as ca, cast(b as bigint) % 10 as cb from u),
+_COMM_SQL = """with ledger as ({rel}), u as (select distinct least(sender, receiver) as a, greatest(sender, receiver) as b from ledger), e as (select cast(a as bigint) % 10 as ca, cast(b as bigint) % 10 as cb from u),
 t as (select ca as c, (ca = cb)::int as i from e union all select cb, 0 from e where ca <> cb), r as (select c, sum(i) / count(*) as r from t group by 1), v as (select sender as node from ledger union select receiver from ledger)
 select node, round(coalesce(r, 0.0), 6) as community_internal_ratio from v left join r on r.c = cast(node as bigint) % 10"""
 
@@ -118,20 +122,6 @@ def g_louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.communities(graph.undirected(graph.pairs(src.handoff_ledger(spark, sf_dir))))
 
 
-def g_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.features(src.handoff_ledger(spark, sf_dir))
-
-
-def ml_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = src.scored_frame(spark, sf_dir)
-    return models.logistic(f.where("split = 'train'"), ["score"], f.where("split = 'test'").select("id", "score", "y"))
-
-
-def ml_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = src.scored_frame(spark, sf_dir)
-    return models.boosted(f.where("split = 'train'"), ["score"], f.where("split = 'test'").select("id", "score", "y"))
-
-
 def m_platt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     slope, intercept = models.platt(src.scored_frame(spark, sf_dir).where("split = 'val'"))
     return spark.createDataFrame([(slope, intercept)], "slope double, intercept double")
@@ -140,7 +130,7 @@ def m_platt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = src.scored_frame(spark, sf_dir).where("split = 'test'")
     cluster = F.when(F.col("ring_id") >= 0, F.concat(F.lit("ring:"), "ring_id")).otherwise(F.concat(F.lit("acct:"), "id"))
-    r = models.bootstrap_auc(f.select(cluster.alias("cluster"), "score", "y"), 100)
+    r = models.bootstrap_auc(f.select(cluster.alias("cluster"), "score", "y"), 1000)
     return r.agg(F.percentile("auc", F.lit(0.025)).alias("low"), F.percentile("auc", F.lit(0.975)).alias("high"), F.count("*").alias("rounds"))
 
 
@@ -149,7 +139,7 @@ def _frozen(ledger: DataFrame) -> DataFrame:
 
 
 def g_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(partition.fingerprint(_frozen(src.handoff_ledger(spark, sf_dir))),)], "fingerprint string")
+    return partition.fingerprint(_frozen(src.handoff_ledger(spark, sf_dir)))
 
 
 _PRINT_SQL = f"""with ledger as ({src.SQL['handoff']}), p as (select node, cast(node as bigint) % 10 as c from (select sender as node from ledger union select receiver from ledger)), r as (select c, row_number() over (order by min(node)) - 1 as k from p group by c)
@@ -171,69 +161,33 @@ _ENUM_SQL = _CORE + """, cyc(path, tip) as (select [s, r], r from core where s <
 shown as (select path from cyc join core on core.s = tip and core.r = path[1] where len(path) >= 3 order by path limit 15) select array_to_string(path, '>') as cycle, len(path) as n, count(*) over () >= 15 as truncated from shown"""
 
 
-def _two(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.scored_frame(spark, sf_dir).withColumn("late", F.col("id").cast("double"))
-
-
-def ml_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each fold and, as fold -1, the mean."""
-    c = models.cross_validate(_two(spark, sf_dir), ["score", "late"], 3)
-    return c.union(c.agg(F.lit(-1), F.avg("auc"), F.avg("ap")))
-
-
-def ml_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _two(spark, sf_dir)
-    return models.ablation(f.where("split = 'train'"), f.where("split = 'test'").select("id", "score", "late", "y"), ["score", "late"], ["late"])
-
-
-def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _two(spark, sf_dir)
-    names = ["score", "late"]
-    model = models.fit_boosted(f.where("split = 'train'"), names)
-    return attribution.contributions(models.apply(model, f.where("split = 'test'").select("id", *names), names), model, names)
-
-
-def ml_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _explained(spark, sf_dir).select("id", "p", "contributions", attribution.top_factors(["score", "late"]).alias("factors"))
-
-
-def ml_mean_abs_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attribution.mean_absolute(_explained(spark, sf_dir), ["score", "late"])
-
-
 def s_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last day's payments are scored against all before; the label is a stand-in."""
     ledger = src.handoff_ledger(spark, sf_dir).select(*(F.concat(F.lit("acct-"), c).alias(c) for c in ("sender", "receiver")), "amount", "ts")
     end = ledger.agg(F.max("ts").alias("end"))
-    dated = graph.cut(ledger.crossJoin(F.broadcast(end)).withColumn("new", F.col("ts") > F.col("end") - F.expr("interval 1 day")).drop("end"))
+    dated = cut(ledger.crossJoin(F.broadcast(end)).withColumn("new", F.col("ts") > F.col("end") - F.expr("interval 1 day")).drop("end"))
     context, batch = dated.where("not new").drop("new"), dated.where("new").drop("new")
     frozen = graph.nodes(context).select("node", F.pmod(F.xxhash64("node"), F.lit(10)).alias("community"))
     names = ["degree_balance", "fan_in_concentration", "txn_velocity", "burst_ratio", "amount_cv", "repeat_ratio", "pagerank", "clustering_coefficient", "cycle_participation", "community_internal_ratio"]
-    known = graph.cut(graph.features(context, frozen).na.fill(0.0))
+    known = cut(graph.features(context, frozen).na.fill(0.0))
     labelled = known.withColumn("y", (F.col("pagerank") > 1).cast("int"))
     model = models.fit_boosted(labelled, names, rounds=5)
     return serving.score_batch(batch, context, frozen, model, names, 0.5, relational.P_STAR)
 
 
-QUERIES = relational.QUERIES | evaluation.QUERIES | {
+QUERIES = relational.QUERIES | evaluation.QUERIES | labelled.QUERIES | training.QUERIES | {
     "g_fingerprint": g_fingerprint,
     "g_extend_partition": g_extend_partition,
     "g_cycles_enum": g_cycles_enum,
     "gen_ledger": lambda spark, d: generator.ledger(spark),
     "m_report": report.lines,
-    "ml_cv": ml_cv,
-    "ml_ablation": ml_ablation,
-    "ml_shap": ml_shap,
-    "ml_mean_abs_shap": ml_mean_abs_shap,
     "s_score": s_score,
-    "ml_logreg": ml_logreg,
-    "ml_train": ml_train,
     "m_platt_fit": m_platt_fit,
     "m_bootstrap_ci": m_bootstrap_ci,
     "top_pass_through": top_pass_through,
     "f_local_commerce": _local(src.commerce_ledger),
     "f_local_handoff": _local(src.handoff_ledger),
-    **{f"f_{x}": _one(x) for x in LOCAL},
+    **{f"f_{x}": _one(x) for x in (*LOCAL, *COUNTS)},
     "f_clustering": lambda spark, d: _rounded(graph.clustering(src.commerce_ledger(spark, d)), "node"),
     "f_pagerank": lambda spark, d: _rounded(graph.pagerank(src.commerce_ledger(spark, d)), "node"),
     "g_core_peel": g_core_peel,
@@ -242,20 +196,19 @@ QUERIES = relational.QUERIES | evaluation.QUERIES | {
     "g_bfs_bounded": g_bfs_bounded,
     "g_khop": g_khop,
     "g_louvain": g_louvain,
-    "g_features": g_features,
 }
-SQL = relational.SQL | evaluation.SQL | {
+SQL = relational.SQL | evaluation.SQL | labelled_sql.build(lambda n, rel: _LOCAL_SQL.format(n=n, rel=rel), _CLUSTER_SQL, _rank_sql, _CYCLE_SQL, _COMM_SQL) | {
     "top_pass_through": f"select node, in_degree, out_degree, in_amount_sum, out_amount_sum, flow_passthrough from ({_local_sql('ledger')}) order by flow_passthrough desc, node limit 20",
     "f_local_commerce": _local_sql("ledger"),
     "f_local_handoff": _local_sql("handoff"),
-    **{f"f_{x}": f"select node, {x} from ({_local_sql('handoff')})" for x in LOCAL},
+    **{f"f_{x}": f"select node, {x} from ({_local_sql('handoff')})" for x in (*LOCAL, *COUNTS)},
     "g_fingerprint": _PRINT_SQL,
-    "g_cycles_enum": _ENUM_SQL,
-    "f_clustering": _CLUSTER_SQL,
-    "f_pagerank": _rank_sql(),
-    "g_core_peel": _CORE + " select s as sender, r as receiver from core",
-    "f_cycle_participation": _CYCLE_SQL,
-    "f_community_internal_ratio": _COMM_SQL,
+    "g_cycles_enum": _ENUM_SQL.format(rel=src.SQL["ledger"]),
+    "f_clustering": _CLUSTER_SQL.format(rel=src.SQL["ledger"]),
+    "f_pagerank": f"select node, round(pagerank, 6) as pagerank from ({_rank_sql(src.SQL['ledger'])})",
+    "g_core_peel": (_CORE + " select s as sender, r as receiver from core").format(rel=src.SQL["ledger"]),
+    "f_cycle_participation": _CYCLE_SQL.format(rel=src.SQL["ledger"]),
+    "f_community_internal_ratio": _COMM_SQL.format(rel=src.SQL["ledger"]),
     "g_bfs_bounded": _BFS_SQL,
     "g_khop": _KHOP_SQL,
 }

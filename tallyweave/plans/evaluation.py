@@ -8,14 +8,6 @@ from tallyweave.plans.relational import _BEST, _CONF, FN, FP, P_STAR, _cost, _sw
 #: Outcomes on the test rows at a threshold, as one row.
 _AT = "(select " + _CONF + ", count(*) as n, cast(sum(y) as bigint) as positives from (select *, {t} as t from {{scored}} where split = 'test') x)"
 _PRF = "round(tp * 1.0 / nullif(tp + fp, 0), 9) as p, round(tp * 1.0 / nullif(tp + fn, 0), 9) as r, round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 9) as f1"
-#: Three policies over the same accounts; the higher x, the sooner flagged.
-_POLICIES = "f as (select split, y, 'score' as policy, score as x from {scored} union all select split, y, 'inverse', -score from {scored} union all select split, y, 'late', cast(id as double) from {scored})"
-_RUNNING = """s as (select policy, x, sum(y) as p, sum(1 - y) as n from f where split = 'val' group by policy, x),
-w as (select policy, x, lead(x) over (partition by policy order by x desc) as lower, row_number() over (partition by policy order by x desc) as rn, cast(sum(p) over u as bigint) as tp, cast(sum(n) over u as bigint) as fp, cast(sum(p) over (partition by policy) as bigint) as np, cast(sum(n) over (partition by policy) as bigint) as nn
-  from s window u as (partition by policy order by x desc rows between unbounded preceding and current row))"""
-_ON_TEST = "e as (select policy, t, count_if(y = 1 and x >= t) as tp, count_if(y = 0 and x >= t) as fp, count_if(y = 1 and x < t) as fn, count_if(y = 0 and x < t) as tn from (select f.policy, y, x, t from f join chosen on f.policy = chosen.policy where split = 'test') j group by policy, t)"
-_CAPACITY = f"{_POLICIES}, {_RUNNING}, chosen as (select policy, coalesce(min(case when (tp + fp) * 1000 <= 20 * (np + nn) then x end), cast('Infinity' as double)) as t, count_if((tp + fp) * 1000 <= 20 * (np + nn)) > 0 as feasible from w group by policy), {_ON_TEST}"
-_CHEAPEST = f"{_POLICIES}, {_RUNNING}, c as (select policy as g, x as threshold, lower, rn, {_cost()} as cost from w), {_BEST}, chosen as (select g as policy, t from opt), {_ON_TEST}"
 _BINS = "bins as (select k, cast(k as double) * 0.2 as lo, case when k = 4 then 2.0 else cast(k + 1 as double) * 0.2 end as hi from SERIES(4) q)"
 #: Slope and intercept of a stored calibration.
 _PLATT = "1 / (1 + exp(-(0.7801 * ln(greatest(0.000001, least(0.999999, score)) / (1 - greatest(0.000001, least(0.999999, score)))) - 0.8744)))"
@@ -40,29 +32,17 @@ TEXTS: dict[str, str] = {
     "m_attr_slack": "with a as (select id, ring_id as own, concat(cast(ring_id as varchar(20)), case when id % 11 = 0 then concat('|', cast((ring_id + 1) % 40 as varchar(20))) else '' end) as rings from {scored} where ring_id >= 0), e as (select id, own, split_part(rings, '|', 1) as ring from a union all select id, own, split_part(rings, '|', 2) from a), r as (select id, own, cast(ring as bigint) as ring from e where ring <> ''), k as (select id, count(distinct ring) as rings, count(distinct ring % 3) as types from r group by id) select (select count(*) from k) as n_positives, (select count_if(rings > 1) from k) as multi, (select count_if(types > 1) from k) as bridging, (select count(distinct ring) from r where ring <> own) as short_rings",
     "m_select_points": "with " + _sweep() + ", c as (select 1 as g, threshold, lower, rn, " + _cost() + " as cost from cuts), " + _BEST + " select 'cost_optimal' as point, t as threshold from opt union all select 'capacity', coalesce(min(case when rn > 0 and (tp + fp) * 1000 <= 20 * (np + nn) then threshold end), max(threshold)) from cuts",
     "m_eval_test": "with " + _sweep() + ", c as (select 1 as g, threshold, lower, rn, " + _cost() + " as cost from cuts), " + _BEST + ", e as (select t, " + _CONF + " from (select y, score, t from {scored} cross join opt where split = 'test') x group by t) select t as threshold, tp, fp, tn, fn, " + _PRF + f", fn * {FN} + fp * {FP} as total_cost from e",
-    "m_capacity_fair": "with " + _CAPACITY + f" select e.policy, feasible, tp, fp, {_PRF}, round((tp + fp) * 1000.0 / (tp + fp + fn + tn), 6) as alerts_per_1000, (tp + fp) * 1000 > 20 * (tp + fp + fn + tn) as overflows, fn * {FN} + fp * {FP} as total_cost from e join chosen on e.policy = chosen.policy",
-    "r_overflow": "with " + _CAPACITY + " select policy, round((tp + fp) * 1000.0 / (tp + fp + fn + tn), 6) as alerts_per_1000 from e where (tp + fp) * 1000 > 20 * (tp + fp + fn + tn)",
-    "m_baselines": "with " + _CHEAPEST + f" select policy, t as threshold, tp, fp, {_PRF}, fn * {FN} + fp * {FP} as total_cost from e union all select 'flag_none', null, 0, 0, null, 0.0, 0.0, sum(tp + fn) * {FN} from e where policy = 'score' union all select 'flag_all', 0.0, tp + fn, fp + tn, round((tp + fn) * 1.0 / (tp + fp + fn + tn), 9), 1.0, round(2.0 * (tp + fn) / (2 * tp + fp + 2 * fn + tn), 9), (fp + tn) * {FP} from e where policy = 'score'",
-    "r_best_rival": "with " + _CHEAPEST + f", k as (select policy, fn * {FN} + fp * {FP} as cost from e) select r.policy as rival, r.cost as rival_cost, m.cost as model_cost, r.cost - m.cost as avoided from (select policy, cost from k where policy <> 'score' order by cost, policy limit 1) r cross join (select cost from k where policy = 'score') m",
-    "top_rules": "with " + _CHEAPEST + f" select policy, case when policy = 'inverse' then 'low' else 'high' end as direction, fn * {FN} + fp * {FP} as total_cost from e order by 3, policy limit 10",
-    "r_capped_vs_rule": "with " + _CAPACITY + f" select policy, fn * {FN} + fp * {FP} as capped_cost, round((tp + fp) / nullif(0.02 * (tp + fp + fn + tn), 0), 6) as queue_multiple from e",
-    "m_rule_text": "select policy, concat(policy, case when policy = 'inverse' then ' <= ' else ' >= ' end, cast(cast(round(1000 * abs(t)) as bigint) as varchar(20)), ' / 1000') as rule from (select 'score' as policy, 0.25 as t union all select 'inverse', -0.125) x",
     "m_price_baseline": f"select fn * 100000 + fp * 5000 as total_cost, coalesce(tp * 1.0 / nullif(tp + fp, 0), 0.0) as p, coalesce(tp * 1.0 / nullif(tp + fn, 0), 0.0) as r from {_at('2.0')} c",
     "argmax_f1": "with " + _sweep() + " select threshold, round(2.0 * tp / (tp + fp + np), 9) as f1 from sweep order by 2.0 * tp / (tp + fp + np) desc, threshold desc limit 1",
     "m_platt_apply": "select id, round(" + _PLATT + ", 9) as p from {scored}",
     "m_calib_report": "with " + _BINS + ", b as (" + _calibrated("score") + ") select bin, n, round(m, 9) as predicted, round(o, 9) as observed, round(sq / nullif(n, 0), 9) as brier from b where n > 0",
-    "m_calib_diag": "with " + _BINS + ", b as (" + _calibrated("score") + "), a as (" + _calibrated(_PLATT) + ") select 'before' as stage, round(sum(sq) / sum(n), 9) as brier, round(sum(n * abs(m - o)) / sum(n), 9) as ece from b union all select 'after', round(sum(sq) / sum(n), 9), round(sum(n * abs(m - o)) / sum(n), 9) from a",
-    "r_price_not_peeking": "with " + _CHEAPEST + f", o as (select min(cost) as cost from (select (np - tp) * {FN} + fp * {FP} as cost from (select cast(sum(p) over v as bigint) as tp, cast(sum(n) over v as bigint) as fp, cast(sum(p) over () as bigint) as np from (select x, sum(y) as p, sum(1 - y) as n from f where split = 'test' and policy = 'score' group by x) z window v as (order by x desc rows between unbounded preceding and current row)) z) z) select fn * {FN} + fp * {FP} - o.cost as gap, round((fn * {FN} + fp * {FP} - o.cost) * 1.0 / (fn * {FN} + fp * {FP}), 9) as share from e cross join o where policy = 'score'",
     "r_direction": "with a as (select split, avg(score) as m from {scored} group by split) select p.split as first, q.split as second, case when abs(q.m - p.m) <= 0.0005 then 'flat' when q.m > p.m then 'up' else 'down' end as moved from a p join a q on p.split < q.split",
     "r_fp_reconstruct": f"select round(round((tp + fp) * 1000.0 / n, 1) / 1000 * n) - round(round(tp * 1.0 / positives, 3) * positives) as fp, fp as exact from {_at()} c",
-    "r_auc_retained": "select round((a - 0.5) / (b - 0.5), 9) as retained, case when (a - 0.5) / (b - 0.5) >= 0.9 then 'most' when (a - 0.5) / (b - 0.5) >= 0.5 then 'half' else 'little' end as band from (select 0.9572 as a, 0.9739 as b) x",
     "agg_set_string": "select ring_id, SETTEXT(split) as splits from {scored} where ring_id >= 0 group by ring_id",
     "agg_dataset_panel": "select split, count(*) as accounts, cast(sum(y) as bigint) as positives, round(avg(cast(y as double)), 9) as prevalence, count(distinct case when ring_id >= 0 then ring_id end) as rings, count_if(ring_type = 'fast') as fast, count_if(ring_type = 'stealth') as stealth, count_if(ring_type = 'layered') as layered from {scored} group by split",
     "q_grid": "with w as (select split, min(d) as lo, max(d) as hi from (select o_orderkey as id, floor(MICROS(o_orderdate) / 86400000000) as d from {orders}) o join (select id, split from {scored}) s on o.id = s.id group by split), g as (select split, lo - lag(hi) over (order by lo) as gap, hi - lo + 1 as days from w) select split, cast(gap as bigint) as gap, cast(days as bigint) as days, coalesce(gap = 1, true) as contiguous from g",
-    "q_log1p_rule": "with x as (select receiver, cast(amount as double) as v from {ledger}), k as (select count(*) as n, avg(v) as m, stddev_pop(v) as s, min(v) as low from x), z as (select n, low, avg(power((v - m) / s, 3)) as g from x cross join k group by n, low) select round(g * sqrt(n * (n - 1.0)) / (n - 2), 6) as skew, low >= 0 and g * sqrt(n * (n - 1.0)) / (n - 2) >= 1.5 as use_log1p from z",
     "gen_allocate": "with a as (select 'fast_cycle' as name, 0.35 as share, 1 as o union all select 'stealth_cycle', 0.4, 2 union all select 'layered_fanin', 0.25, 3), r as (select 'train' as split, 40 as n union all select 'val', 24 union all select 'test', 24), e as (select split, name, o, n, floor(n * share) as base, n * share - floor(n * share) as rest from a cross join r), k as (select *, row_number() over (partition by split order by round(rest, 9) desc, o) as rk, n - sum(base) over (partition by split) as spare from e) select split, name, cast(base + case when rk <= spare then 1 else 0 end as bigint) as rings from k",
     "gen_round_nice": "select amount, case when amount >= 10000 then round(amount / 500) * 500 when amount >= 1000 then round(amount / 50) * 50 else greatest(10.0, round(amount / 10) * 10) end as nice from (select distinct cast(amount as double) + 0.125 as amount from {ledger}) x",
-    "s_validate_batch": f"with t as (select id, round(score, 6) as s, case when round(score, 6) >= 0.75 then 'CRITICAL' when round(score, 6) >= 0.5 then 'HIGH' when round(score, 6) >= {P_STAR} then 'MEDIUM' else 'LOW' end as tier from {{scored}}) select id, tier from t where not (tier = 'CRITICAL' and s >= 0.75 or tier = 'HIGH' and s >= 0.5 and s < 0.75 or tier = 'MEDIUM' and s >= {P_STAR} and s < 0.5 or tier = 'LOW' and s < {P_STAR})",
 }
 
 QUERIES, SQL = registered(TEXTS)

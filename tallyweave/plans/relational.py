@@ -43,34 +43,25 @@ def _cost(tp: str = "tp", fp: str = "fp") -> str:
 
 TEXTS: dict[str, str] = {
     # sources, filters, projections
-    "src_edges": "select sender, receiver, cast(amount as double) as amount, MICROS(ts) as us from {ledger}",
-    "src_context": "select sender, receiver, cast(sum(amount) as double) as amount, count(*) as n from {ledger} where sender <> receiver group by sender, receiver",
     "src_window_probe": "select round((max(MICROS(ts)) - min(MICROS(ts))) / 86400000000.0, 6) as days from {ledger}",
-    "src_all_splits": "select split, count(*) as n, cast(sum(y) as bigint) as positives, count_if(score is null) as missing from {scored} group by split",
-    "snk_json_safe": "select id, case when score = 0 then null else round(1 / score, 6) end as inverse from {scored}",
     "flt_self_loop": "select count(*) as n from {ledger} where sender <> receiver",
     "flt_window": "select sender, receiver, MICROS(ts) as us from {handoff} where MICROS(ts) >= (select max(MICROS(ts)) - 7 * 86400000000 from {handoff})",
     "flt_outside": "with b as (select max(MICROS(ts)) as hi, max(MICROS(ts)) - 7 * 86400000000 as lo from {handoff}) select sender, receiver, MICROS(ts) as us, round(greatest(0, lo - MICROS(ts)) / 86400000000.0, 6) as early_days, round(greatest(0, MICROS(ts) - hi) / 86400000000.0, 6) as late_days from {handoff} cross join b where MICROS(ts) < lo or MICROS(ts) > hi",
-    "flt_role": "select ring_type, count(*) as n from {scored} where ring_type = 'organic' or ring_type like 'fast%' group by ring_type",
     "flt_repeat": "select sender, receiver, weight from (" + _PAIRS + ") p where weight >= 2",
     "flt_score_ge": "select id from {scored} where score >= 0.9",
     "flt_mask_fp": "select id, score from {scored} where y = 0 and score >= 0.95",
     "flt_mask_fn": "select id, score from {scored} where y = 1 and score < 0.05",
-    "prj_split": "select split, min(id) as first_id, max(id) as last_id, count(*) as n from {scored} group by split",
     "prj_windows": "with b as (select min(MICROS(ts)) as lo, max(MICROS(ts)) as hi from {handoff}), w as (select 0 as k union all select 1 union all select 2) select cast(k as bigint) as window_id, cast(floor(lo + k * (hi - lo) / 3.0) as bigint) as start_us, cast(case when k = 2 then hi else floor(lo + (k + 1) * (hi - lo) / 3.0) end as bigint) as end_us from b cross join w",
     "prj_shown": "select id, nullif(score, 0.5) as shown, case when ring_id < 0 then null else ring_id end as ring_id from {scored}",
     # graph
     "g_pairs": "select sender, receiver, weight, round(cast(total as double), 4) as total from (" + _PAIRS + ") p",
     "g_nodes": "select sender as node from {ledger} union select receiver from {ledger}",
-    "g_pairs_dash": "select a, b, count(*) as payments, round(cast(sum(amount) as double), 4) as total, cast(max(one_way) as bigint) as one_way from (select least(sender, receiver) as a, greatest(sender, receiver) as b, amount, case when sender < receiver then 1 else 0 end as one_way from {ledger}) x group by a, b",
     "g_window_days": "select round(coalesce((max(MICROS(ts)) - min(MICROS(ts))) / 86400000000.0, 0.0), 6) as days from {handoff}",
     "g_window_scale": "select round(case when d >= 1 then 60 / d else 1.0 end, 9) as scale from (select (max(MICROS(ts)) - min(MICROS(ts))) / 86400000000.0 as d from {handoff}) x",
     "g_undirected": "select least(sender, receiver) as a, greatest(sender, receiver) as b, count(*) as weight, round(cast(sum(amount) as double), 4) as total from {ledger} group by 1, 2",
     "g_members": "select ring_id, count(distinct id) as members from {scored} where ring_id >= 0 group by ring_id",
     "g_ring_options": "select ring_id, concat('ring ', cast(ring_id as varchar(20)), ' (', min(ring_type), ', ', cast(count(*) as varchar(20)), ')') as label from {scored} where ring_id >= 0 group by ring_id",
     "g_classify": "select id, case when y is null then 'unlabelled' when y = 1 and score >= 0.5 then 'caught' when y = 1 then 'missed' when score >= 0.5 then 'false_alarm' when ring_type <> 'organic' then 'victim' else 'clear' end as class from {scored}",
-    "g_victims": "select receiver as node from {ledger} where amount > 50000 except select sender from {ledger} where amount > 50000",
-    "g_label": "select node, min(ring) as first_ring, count(distinct ring) as rings from (select sender as node, cast(receiver as bigint) % 7 as ring from {ledger} where amount > 90000 union all select receiver, cast(receiver as bigint) % 7 from {ledger} where amount > 90000) x group by node",
     # aggregates
     "agg_hash": "select receiver, count(*) as n, round(cast(sum(amount) as double), 4) as total, round(cast(sum(amount) as double) / count(*), 6) as mean, cast(max(amount) as double) as top from {ledger} group by receiver",
     "agg_distinct": "select count(distinct sender) as senders, count(distinct receiver) as receivers from {ledger}",
@@ -123,26 +114,14 @@ TEXTS: dict[str, str] = {
     "m_archetype": "select coalesce(ring_type, 'all') as archetype, count(*) as accounts, count_if(score >= 0.5) as caught, count(distinct ring_id) as rings, count(distinct case when score >= 0.5 then ring_id end) as rings_hit from {scored} where y = 1 group by rollup(ring_type)",
     "m_bootstrap_clusters": "select id, case when ring_id >= 0 then concat('ring:', cast(ring_id as varchar(20))) else concat('acct:', cast(id as varchar(20))) end as cluster from {scored}",
     "m_split_integrity": "select a.split as first, b.split as second, count(*) as shared from (select distinct split, ring_id from {scored} where ring_id >= 0) a join (select distinct split, ring_id from {scored} where ring_id >= 0) b on a.ring_id = b.ring_id and a.split < b.split group by a.split, b.split",
-    "m_rule_baseline": f"with f as (select split, y, 'score' as feature, score as x from {{scored}} union all select split, y, 'inverse', -score from {{scored}} union all select split, y, 'id', cast(id as double) from {{scored}}), s as (select feature, x, sum(y) as p, sum(1 - y) as n from f where split = 'val' group by feature, x), w as (select feature, x, cast(sum(p) over (partition by feature order by x desc rows between unbounded preceding and current row) as bigint) as tp, cast(sum(n) over (partition by feature order by x desc rows between unbounded preceding and current row) as bigint) as fp, cast(sum(p) over (partition by feature) as bigint) as np from s), r as (select feature, x, {_cost()} as cost, row_number() over (partition by feature order by {_cost()}, x desc) as k from w), t as (select feature, x, cost from r where k = 1) select t.feature, t.x as threshold, t.cost as val_cost, cast(sum(case when f.y = 1 and f.x < t.x then {FN} when f.y = 0 and f.x >= t.x then {FP} else 0 end) as bigint) as test_cost from t join f on f.feature = t.feature and f.split = 'test' group by 1, 2, 3",
     "r_bin_side": "select bin, case when p - o > 0.0005 then 'over' when o - p > 0.0005 then 'under' else 'on' end as side from (select cast(least(floor(score * 5), 4) as bigint) as bin, avg(score) as p, avg(cast(y as double)) as o from {scored} group by 1) x",
     "r_missed_archetypes": "select ring_type from {scored} where y = 1 group by ring_type having count(distinct case when score >= 0.999 then ring_id end) < count(distinct ring_id)",
     "ml_spw": "select split, round(sum(1 - y) * 1.0 / sum(y), 9) as weight from {scored} group by split",
     "ml_groups": "select split, count(distinct case when ring_id >= 0 then concat('r', cast(ring_id as varchar(20))) else concat('a', cast(id as varchar(20))) end) as n from {scored} group by split",
     "ml_folds": "with r as (select ring_id, count(*) as n from {scored} where ring_id >= 0 group by ring_id) select ring_id, n, cast((row_number() over (order by n desc, ring_id) - 1) % 5 as bigint) as fold from r",
-    "q_leakage_gate": "select round(max(greatest(auc, 1 - auc)), 9) as strongest, max(greatest(auc, 1 - auc)) < 0.99 as passes from (select f, (sum(case when y = 1 then r end) - np * (np + 1) / 2.0) / (np * (n - np)) as auc from (select f, y, rank() over (partition by f order by x) + (count(*) over (partition by f, x) - 1) / 2.0 as r, cast(sum(y) over (partition by f) as bigint) as np, count(*) over (partition by f) as n from (select 'score' as f, y, score as x from {scored} where split = 'val' union all select 'id', y, cast(id as double) from {scored} where split = 'val') a) b group by f, np, n) c",
     # quality assertions: no rows, or the offending ones
-    "q_entity": "select ring_id, count(distinct split) as splits from {scored} where ring_id >= 0 group by ring_id having count(distinct split) > 1",
-    "q_temporal": "select split, mn, mx from (select split, min(id) as mn, max(id) as mx from {scored} group by split) x where mn > mx",
-    "q_equal_windows": "select max(n) - min(n) as spread from (select split, count(*) as n from {scored} group by split) x",
-    "q_volume": "select round((max(n) - min(n)) * 1.0 / avg(n), 6) as spread from (select split, count(*) as n from {scored} where ring_type = 'organic' group by split) x",
-    "q_sanity": "select count_if(sender = receiver) as self_loops, count_if(amount <= 0) as not_positive, count(*) as n from {ledger}",
     "q_difficulty": "select a.ring_type, round(a.p50, 9) as p50, round(b.p90, 9) as p90, a.p50 <= b.p90 as hard from (select ring_type, PCT(score, 0.5) as p50 from {scored} where y = 1 group by ring_type) a cross join (select PCT(score, 0.9) as p90 from {scored} where y = 0) b",
     # serving
-    "s_validate": "select case when length(sender) < 3 then 'sender' when length(receiver) < 3 then 'receiver' when amount <= 0 or amount > 10000000 then 'amount' when sender = receiver then 'self' else 'ok' end as reason, count(*) as n from {ledger} group by 1",
-    "s_quantize": "select id, round(score, 6) as score from {scored}",
-    "s_cutoffs": f"select 0.5 + (1 - 0.5) / 2 as critical, least({P_STAR}, 0.5) as medium",
-    "s_tier": f"select id, case when round(score, 6) >= 0.75 then 'CRITICAL' when round(score, 6) >= 0.5 then 'HIGH' when round(score, 6) >= {P_STAR} then 'MEDIUM' else 'LOW' end as tier from {{scored}}",
-    "s_action": f"select tier, case tier when 'CRITICAL' then 'PRIORITY_REVIEW' when 'HIGH' then 'REVIEW' when 'MEDIUM' then 'MONITOR' else 'NONE' end as action, count(*) as n from (select case when score >= 0.75 then 'CRITICAL' when score >= 0.5 then 'HIGH' when score >= {P_STAR} then 'MEDIUM' else 'LOW' end as tier from {{scored}}) x group by tier",
     "s_merge": "with b as (select max(MICROS(ts)) as hi from {handoff}), c as (select h.*, 0 as origin from {handoff} h cross join b where MICROS(ts) between hi - 20 * 86400000000 and hi), n as (select h.*, 1 as origin from {handoff} h cross join b where MICROS(ts) > hi - 3 * 86400000000), m as (select *, row_number() over (partition by sender, receiver, amount, ts order by origin) as r from (select * from c union all select * from n) u) select origin, count_if(r = 1) as kept, count_if(r > 1) as dropped from m group by origin",
 }
 

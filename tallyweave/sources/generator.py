@@ -10,10 +10,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from tallyweave.sources.ledger import EDGES
 
-# Shares, intensities and hours of the simulated population.
+# Shares, intensities and hours of the simulated population, and the shapes of rings.
 START, DAYS, SPLITS = 1_735_689_600, 180, ("train", "val", "test")
 ROLES = {"merchant": 0.045, "employer": 0.010, "landlord": 0.030, "biller": 0.015, "gig": 0.050, "trader": 0.040}
 HOURS = (0.4, 0.2, 0.1, 0.1, 0.2, 0.5, 1.2, 2.2, 3.4, 4.6, 5.2, 5.6, 5.4, 4.8, 4.4, 4.6, 5.0, 5.8, 6.6, 7.0, 6.2, 4.4, 2.6, 1.2)
@@ -21,6 +22,10 @@ RINGS = {"train": 40, "val": 24, "test": 24}
 PREFIX = {"train": "MULE_T_", "val": "MULE_V_", "test": "MULE_S_"}
 SOCIAL_PAIRS, SETTLEMENTS, ONE_OFFS, POPULARITY = 1_100, 60, 10_000, 1.1
 SUBSCRIPTIONS = (99, 149, 199, 299, 499, 649, 799)
+PAYDAY_SHARE, PAYDAY_COUNT, PAYDAY_SECONDS = 0.35, (1, 4), (600, 8 * 3_600)
+COVER_PARTNERS, COVER_PAYMENTS, COVER_AMOUNT, COVER_OUT = (1, 3), (2, 6), (80, 4_000), 0.7
+#: Draws of a time in a short span before the last one stands.
+TRIES = 24
 
 
 @dataclass(frozen=True)
@@ -145,6 +150,16 @@ def _hour(d: Draw, *keys: Column) -> Column:
     return sum((F.when(u > c, 1).otherwise(0) for c in cdf), F.lit(0))
 
 
+def diurnal_in_span(d: Draw, start: Column, seconds: Column, *keys: Column) -> Column:
+    """A second of a span too short for whole days, whose hour follows the day's profile as far as the span
+    has it: uniform draws, each accepted with its hour's share of the busiest one's weight."""
+    at = lambda i: (start + F.floor(d.u("try", *keys, i) * seconds)).cast("long")
+    weight = lambda t: F.element_at(F.array(*map(F.lit, HOURS)), (F.floor(F.pmod(t, F.lit(86_400)) / 3_600) + 1).cast("int"))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(TRIES)), lambda i: F.struct(at(i).alias("t"), (d.u("accept", *keys, i) < weight(at(i)) / max(HOURS)).alias("ok")))
+    taken = F.filter(drawn, lambda x: x["ok"])
+    return F.coalesce(F.get(taken, F.lit(0)), F.element_at(drawn, -1))["t"]
+
+
 def _stamp(d: Draw, day: Column, hour: Column, *keys: Column) -> Column:
     """Seconds of a whole day at an hour, with a drawn minute and second."""
     return (F.lit(START) + F.floor(day).cast("long") * 86_400 + hour.cast("long") * 3_600 + F.floor(d.u("second", *keys) * 3_600)).cast("long")
@@ -163,6 +178,17 @@ def organic(spark: SparkSession, accounts: int, seed: int) -> DataFrame:
     amount = F.when(F.col("jitter") == 0, F.col("base")).otherwise(F.greatest(F.lit(10.0), F.col("base") * F.exp(F.col("jitter") * d.normal("amount", *ks) - F.col("jitter") * F.col("jitter") / 2)))
     hour = F.when(F.col("hour") < 0, _hour(d, *ks)).otherwise(F.col("hour"))
     standing = e.select("s", "r", F.round(amount, 2).alias("amount"), _stamp(d, F.col("day"), hour, *ks).alias("t"), "role")
+    # Within hours of a third of the salaries some of the account's other standing payments are made once more.
+    paid = standing.where("role = 'organic_salary'").select(F.col("r").alias("account"), F.col("t").alias("paid"))
+    each = [F.col("account"), F.col("paid")]
+    paid = paid.where(d.u("payday", *each) < PAYDAY_SHARE).withColumn("n", d.whole("payday.n", *PAYDAY_COUNT, *each))
+    other = r.where("role <> 'organic_salary'").select("s", "r", "base", "jitter", F.xxhash64(*key).alias("rel"))
+    once_more = [*each, F.col("rel")]
+    nth = F.row_number().over(Window.partitionBy(*each).orderBy(d.u("payday.o", *once_more), "rel"))
+    burst = paid.join(other, paid["account"] == other["s"]).withColumn("nth", nth).where("nth <= n")
+    spent = F.when(F.col("jitter") == 0, F.col("base")).otherwise(F.greatest(F.lit(10.0), F.col("base") * F.exp(F.col("jitter") * d.normal("payday.a", *once_more) - F.col("jitter") * F.col("jitter") / 2)))
+    when = (F.col("paid") + F.floor(d.between("payday.t", *PAYDAY_SECONDS, *once_more))).cast("long")
+    bursts = burst.select("s", "r", F.round(spent, 2).alias("amount"), when.alias("t"), F.lit("organic_burst").alias("role")).where(F.col("t") < START + DAYS * 86_400)
     # One-off partners are popular by a power law: the inverse of its distribution, then a fixed shuffle.
     me, slope = F.col("id"), POPULARITY - 1
     rank = F.floor(F.pow(1 - d.u("one.r", me) * (1 - (accounts + 1) ** -slope), -1 / slope)) - 1
@@ -172,7 +198,7 @@ def organic(spark: SparkSession, accounts: int, seed: int) -> DataFrame:
     band = d.u("one.b", me)
     size = F.when(band < 0.55, d.between("one.a", 20, 600, me)).when(band < 0.85, d.between("one.a", 600, 4_000, me)).when(band < 0.97, d.between("one.a", 4_000, 25_000, me)).otherwise(d.between("one.a", 25_000, 150_000, me))
     once = spark.range(ONE_OFFS * accounts // 3000).select(d.whole("one.s", 0, accounts - 1, me).alias("s"), to.alias("r"), F.when(d.u("one.n", me) < 0.3, nice(size)).otherwise(F.round(size, 2)).alias("amount"), _stamp(d, d.u("one.d", me) * DAYS, _hour(d, me), me).alias("t"), F.lit("organic_oneoff").alias("role"))
-    return standing.union(once)
+    return standing.union(bursts).union(once)
 
 
 def rings(spark: SparkSession, accounts: int, seed: int) -> DataFrame:
@@ -203,8 +229,23 @@ def rings(spark: SparkSession, accounts: int, seed: int) -> DataFrame:
     grain = d.u("grain", *ks)
     smeared = _stamp(d, F.col("k") * (DAYS // 3) + d.u("day", *ks) * (DAYS // 3), _hour(d, *ks), *ks)
     span = (F.col("b0") + d.u("span", ring) * (F.col("b1") - F.col("b0"))) * 3_600
-    burst = (F.lit(START) + F.col("origin") * 86_400 + d.u("at", *ks) * span).cast("long")
-    return e.select("sender", "receiver", F.when(grain < 0.16, nice(amount)).when(grain < 0.31, F.round(amount)).otherwise(F.round(amount, 2)).alias("amount"), F.when(F.col("b1") == 0, smeared).otherwise(burst).alias("t"), "edge_role", "ring_id", "ring_type", F.col("k").alias("k"))
+    burst = diurnal_in_span(d, (F.lit(START) + F.floor(F.col("origin") * 86_400)).cast("long"), span, *ks)
+    inside = e.select("sender", "receiver", F.when(grain < 0.16, nice(amount)).when(grain < 0.31, F.round(amount)).otherwise(F.round(amount, 2)).alias("amount"), F.when(F.col("b1") == 0, smeared).otherwise(burst).alias("t"), "edge_role", "ring_id", "ring_type", F.col("k").alias("k"))
+    # New accounts get a thin ordinary life: partners of their own, none of whom has a seat or another mule.
+    own = F.xxhash64("node", "k", "p")
+    mules = df.select("k", "prefix", "hijack", "n", "ring_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).where(d.u("hijack", ring, i) >= F.col("hijack"))
+    # As many rows as the rings have seats, a few hundred.
+    mules = mules.select("k", F.concat("prefix", F.lpad(slot(i).cast("string"), 4, "0")).alias("node"), (F.row_number().over(Window.orderBy(slot(i))) - 1).cast("long").alias("place"))
+    partner = mules.select("*", F.posexplode(F.sequence(F.lit(1), d.whole("cover", *COVER_PARTNERS, F.col("node")).cast("int"))).alias("p", "_")).withColumn("at", F.lit(number * 8).cast("long") + F.col("place") * COVER_PARTNERS[1] + F.col("p"))
+    free = F.when(F.col("at") < width, _name(F.lit(low) + (F.col("at") * stride) % width)).otherwise(F.raise_error(F.lit("too few consumers for the mules' partners")).cast("string"))
+    partner = partner.select("k", "node", free.alias("other"), (d.u("cover.out", own) < COVER_OUT).alias("out"), own.alias("key"), d.whole("cover.n", *COVER_PAYMENTS, own).alias("m"))
+    cover = partner.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("j"))
+    js = [F.col("key"), F.col("j")]
+    cover = cover.select(
+        F.when(F.col("out"), F.col("node")).otherwise(F.col("other")).alias("sender"), F.when(F.col("out"), F.col("other")).otherwise(F.col("node")).alias("receiver"), F.round(d.between("cover.a", *COVER_AMOUNT, *js), 2).alias("amount"),
+        _stamp(d, F.col("k") * (DAYS // 3) + d.u("cover.d", *js) * (DAYS // 3), _hour(d, *js), *js).alias("t"), F.lit("organic_camouflage").alias("edge_role"), F.lit(-1).alias("ring_id"), F.lit("organic").alias("ring_type"), "k",
+    )
+    return inside.unionByName(cover)
 
 
 def ledger(spark: SparkSession, accounts: int = 3000, seed: int = 42) -> DataFrame:

@@ -57,10 +57,10 @@ def test_extend(spark, seed):
 
 def test_fingerprint(spark):
     rows = [("b", 7), ("a", 3), ("c", 7), ("d", 1)]
-    one = partition.fingerprint(spark.createDataFrame(rows, "node string, community int"))
-    two = partition.fingerprint(spark.createDataFrame([(n, -c) for n, c in rows], "node string, community int"))
+    one = partition.fingerprint(spark.createDataFrame(rows, "node string, community int")).first()[0]
+    two = partition.fingerprint(spark.createDataFrame([(n, -c) for n, c in rows], "node string, community int")).first()[0]
     assert one == two == hashlib.sha256(b"a:0;b:1;c:1;d:2").hexdigest()[:12] + "/3c/4n"
-    assert partition.fingerprint(spark.createDataFrame([], "node string, community int")) == hashlib.sha256(b"").hexdigest()[:12] + "/0c/0n"
+    assert partition.fingerprint(spark.createDataFrame([], "node string, community int")).first()[0] == hashlib.sha256(b"").hexdigest()[:12] + "/0c/0n"
 
 
 def test_cycles(spark):
