@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import mix, table, text_pieces, written
+from tallyweave.llm.common import discard, made, mix, table, text_pieces, written
 
 DEPTH, TOP, PART, ROWS, MODULUS, HELD = 5, 3, 8 << 20, 1 << 16, 7, 2
 PAD = 255  # no byte of UTF-8
@@ -346,6 +346,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     parts = size // PART + 1
     buckets = int(max(parts, 16))
     d = d.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
+    before = made()
     blocks = written(d.groupBy("part").applyInArrow(ask(buckets), BLOCK), "lm-blocks")
     sums = blocks.groupBy("bucket").applyInArrow(add_up, SUMS).groupBy("kind", "key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")).toArrow()
     kind = sums.column("kind").to_numpy()
@@ -355,6 +356,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n, v = int(col("zeros")[words].sum()) + ends, int(col("ones")[words].sum()) + (ends > 0)
     top = spark.sparkContext.broadcast(Top(*(col(c)[~words] for c in ("key", "zeros", "ones", "below"))))
     answers = written(blocks.groupBy("bucket").applyInArrow(answer(top), "part int, bucket int, logs binary, counts binary"), "lm-answers")
+    discard(spark, before)  # the answers are written, so nothing reads the blocks any more
     return d.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(finish(buckets, n, v, ends), SCORES)
 
 
