@@ -22,7 +22,7 @@ def numbered(partition: DataFrame) -> DataFrame:
     return partition.join(rank, "community").select("node", F.col("rank").alias("community"))
 
 
-def _components(edges: DataFrame, members: DataFrame) -> DataFrame:
+def components(edges: DataFrame, members: DataFrame) -> DataFrame:
     """The smallest node reachable by edges (x, y, both directions) among members (node)."""
     inner = cut(edges.join(members.toDF("x"), "x", "left_semi").join(members.toDF("y"), "y", "left_semi").select("x", "y"))
     label = cut(members.select("node", F.col("node").alias("root")))
@@ -68,7 +68,7 @@ def extend(undirected: DataFrame, partition: DataFrame) -> DataFrame:
     if remaining.isEmpty():
         return placed
     first = partition.agg(F.coalesce(F.max("community") + 1, F.lit(0))).first()[0]
-    roots = _components(both.select("x", "y"), remaining)
+    roots = components(both.select("x", "y"), remaining)
     fresh = roots.select("root").distinct().withColumn("community", (F.row_number().over(Window.orderBy("root")) - 1 + first).cast("long"))
     return placed.union(roots.join(fresh, "root").select("node", "community"))
 

@@ -197,7 +197,7 @@ QUERIES = relational.QUERIES | evaluation.QUERIES | labelled.QUERIES | training.
     "g_khop": g_khop,
     "g_louvain": g_louvain,
 }
-SQL = relational.SQL | evaluation.SQL | labelled_sql.build(lambda n, rel: _LOCAL_SQL.format(n=n, rel=rel), _CLUSTER_SQL, _rank_sql, _CYCLE_SQL, _COMM_SQL) | {
+SQL = relational.SQL | evaluation.SQL | training.SQL | labelled_sql.build(lambda n, rel: _LOCAL_SQL.format(n=n, rel=rel), _CLUSTER_SQL, _rank_sql, _CYCLE_SQL, _COMM_SQL) | {
     "top_pass_through": f"select node, in_degree, out_degree, in_amount_sum, out_amount_sum, flow_passthrough from ({_local_sql('ledger')}) order by flow_passthrough desc, node limit 20",
     "f_local_commerce": _local_sql("ledger"),
     "f_local_handoff": _local_sql("handoff"),

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyweave.functions import contract, scalars
-from tallyweave.operators import graph, labels, policies, serving
+from tallyweave.operators import graph, labels, models, partition, policies, serving
 from tallyweave.plans.relational import FN, FP, P_STAR
-from tallyweave.sources import files
+from tallyweave.sources import files, generator
 from tallyweave.sources import ledger as src
 from tallyweave.streaming import ledger as stream
 from tallyweave.work import cut, work_path
@@ -439,7 +439,56 @@ def st_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").groupBy("risk_level", "action").count().withColumnRenamed("count", "n")
 
 
+# What holds for results that SQL can't give.
+
+
+def q_louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All accounts have a community, and the partition is no worse than that into components."""
+    u = cut(graph.undirected(graph.pairs(src.handoff_ledger(spark, sf_dir))))
+    part = cut(graph.communities(u))
+    names = u.select(F.col("a").alias("node")).union(u.select("b")).distinct()
+    whole = partition.components(u.select("a", "b").union(u.select("b", "a")).toDF("x", "y"), names).withColumnRenamed("root", "community")
+    better = graph.modularity(u, part) >= graph.modularity(u, whole) - 1e-9
+    n = names.agg(F.count("*").alias("accounts"))
+    return n.crossJoin(F.broadcast(names.join(part, "node").agg(F.count("*").alias("placed")))).withColumn("no_worse", F.lit(better))
+
+
+def q_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All accounts are placed, and those of the frozen partition stay where they were."""
+    ledger = cut(src.handoff_ledger(spark, sf_dir))
+    known = graph.nodes(ledger).select("node", (F.col("node").cast("long") % 10).alias("community")).where(F.col("node").cast("long") % 3 > 0)
+    grown = cut(partition.extend(graph.undirected(graph.pairs(ledger)), known))
+    kept = grown.join(known.withColumnRenamed("community", "was"), "node").where("community = was").agg(F.count("*").alias("kept"))
+    return grown.agg(F.count("*").alias("placed"), F.count_distinct("node").alias("accounts")).crossJoin(F.broadcast(kept))
+
+
+def q_generator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ring = F.when(F.col("ring_id") >= 0, F.col("ring_id"))
+    return generator.ledger(spark).groupBy("split").agg(F.count_if(F.col("sender") == F.col("receiver")).alias("self_loops"), F.count_if(F.col("amount") <= 0).alias("not_positive"), F.count_distinct(ring).alias("rings"), F.count_distinct(F.when(ring.isNotNull(), F.col("ring_type"))).alias("kinds"))
+
+
+def q_platt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted slope and intercept are a stationary point of the smoothed loss."""
+    val = src.scored_frame(spark, sf_dir).where("split = 'val'")
+    slope, intercept = models.platt(val)
+    n = val.agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
+    t = F.when(F.col("y") == 1, (F.col("p") + 1) / (F.col("p") + 2)).otherwise(1 / (F.col("q") + 2))
+    e = scalars.calibrated(F.col("score"), slope, intercept) - t
+    g = val.crossJoin(F.broadcast(n)).agg(F.abs(F.avg(e * scalars.logit(F.col("score")))).alias("a"), F.abs(F.avg(e)).alias("b"))
+    return g.select((F.col("a") < 1e-6).alias("slope_is_still"), (F.col("b") < 1e-6).alias("intercept_is_still"))
+
+
+def q_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval of 1,000 draws of clusters holds the AUC of the rows themselves."""
+    f = src.scored_frame(spark, sf_dir).where("split = 'test'")
+    cluster = F.when(F.col("ring_id") >= 0, F.concat(F.lit("ring:"), "ring_id")).otherwise(F.concat(F.lit("acct:"), "id"))
+    r = models.bootstrap_auc(f.select(cluster.alias("cluster"), "score", "y"), 1000)
+    ci = r.agg(F.percentile("auc", F.lit(0.025)).alias("low"), F.percentile("auc", F.lit(0.975)).alias("high"), F.count("*").alias("rounds"))
+    return ci.crossJoin(F.broadcast(models.ranking(f, "score"))).select("rounds", F.col("auc").between(F.col("low"), F.col("high")).alias("holds"))
+
+
 QUERIES = {f.__name__: f for f in (
+    q_louvain, q_extension, q_generator, q_platt, q_bootstrap,
     src_edges_csv, src_context_csv, src_features_csv, src_all_splits, src_request_json, snk_json_safe, prj_tz, flt_role, prj_split, ord_ts, g_pairs_dash, g_graph_dash, g_label, g_victims, g_khop_induced, prj_features, g_process, g_features,
     g_pagerank, q_contract, q_entity, q_temporal, q_equal_windows, q_volume, q_sanity, q_log1p_rule, m_rule_baseline, m_rule_baseline_f1, top_rules, m_rule_text, m_capacity_fair, r_overflow, r_capped_vs_rule, r_best_rival, m_baselines,
     q_leakage_gate, m_row_report, r_price_not_peeking, m_sigmoid, s_validate, s_quantize, s_cutoffs, s_tier, s_action, s_build, s_validate_batch, s_allowlist, st_hourly, st_replays, st_scored,

