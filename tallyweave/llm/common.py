@@ -78,7 +78,7 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
-def text_pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_pieces(batch: pa.RecordBatch, column: str, most: int = (1 << 21) - 1) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of a batch with about `most` bytes of text each (one row at least): first row,
     row after the last, the UTF-8 bytes of all of them, and where each starts and the last ends.
     Null texts are empty."""
@@ -113,7 +113,7 @@ class Powers:
     """Powers of one odd base and of its inverse modulo 2**64, as far as the longest batch needs them;
     one table for all hashes of a worker, and no more than ``KEPT`` powers of it outlive a batch."""
 
-    KEPT, base = 1 << 22, 0x5851F42D4C957F2D
+    KEPT, base = 1 << 21, 0x5851F42D4C957F2D
     up = down = np.ones(1, np.uint64)
 
     @classmethod

@@ -33,6 +33,8 @@ from tallyweave.llm.common import Polynomial, lean, mix, partitions, table, text
 from tallyweave.llm.components import components, ordered
 
 DIMS, HEAVY, GROUP, LEAF = 256, 1 << 16, 2048, 32
+#: Bytes of text that are hashed together, and shingles that are counted together.
+PIECE, COUNTED = (1 << 19) - 1, 2_000_000
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
 _TIMES = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -95,7 +97,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for a, b, data, offsets in text_pieces(batch, "text"):
+            for a, b, data, offsets in text_pieces(batch, "text", PIECE):
                 rows = []
                 for doc, u in zip(ids[a:b], shingles(data, offsets, k), strict=True):
                     rows.append((0, doc, len(u), c := class_of(u), point(u)))
@@ -104,7 +106,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                         size += len(u)
                         seen.add(c)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["kind", "doc_id", "n", "c", "point"])
-                if size > 4_000_000:
+                if size > COUNTED:
                     yield often()
                     held, size, seen = [], 0, set()
         if held:
@@ -121,7 +123,7 @@ def _prefixes(docs: DataFrame, k: int, per_cent: int, heavy) -> DataFrame:
         seen: set[int] = set()
         often = heavy.value
         for batch in batches:
-            for _, _, data, offsets in text_pieces(batch, "text"):
+            for _, _, data, offsets in text_pieces(batch, "text", PIECE):
                 ts, ns, cs = [], [], []
                 for u in shingles(data, offsets, k):
                     if not len(u) or (c := class_of(u)) in seen:
@@ -291,7 +293,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, per_cent: int) -> Data
         for batch in batches:
             a, b = (batch.column(i).to_pylist() for i in (0, 1))
             out = []
-            for x, y, data, offsets in text_pieces(batch, "text"):
+            for x, y, data, offsets in text_pieces(batch, "text", PIECE):
                 for p, q, u in zip(a[x:y], b[x:y], shingles(data, offsets, k), strict=True):
                     if q is None:
                         now, own = p, u
@@ -319,7 +321,7 @@ def _within(routed: DataFrame, k: int, per_cent: int) -> DataFrame:
         for t in grouped(batches, "key"):
             t = t.combine_chunks()
             key, c, label = (t.column(x).to_numpy() for x in ("key", "c", "label"))
-            sets = [u for b in t.to_batches() for _, _, data, offsets in text_pieces(b, "text") for u in shingles(data, offsets, k)]
+            sets = [u for b in t.to_batches() for _, _, data, offsets in text_pieces(b, "text", PIECE) for u in shingles(data, offsets, k)]
             heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             out = []
             for x, y in zip(heads.tolist(), np.append(heads[1:], len(key)).tolist(), strict=True):
@@ -392,7 +394,7 @@ def jaccard_join(docs: DataFrame, *, k: int = 4, per_cent: int = 85, id_col: str
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             want = batch.column(1).to_numpy(zero_copy_only=False)
-            found = [class_of(u) for _, _, data, offsets in text_pieces(batch, "text") for u in shingles(data, offsets, k)]
+            found = [class_of(u) for _, _, data, offsets in text_pieces(batch, "text", PIECE) for u in shingles(data, offsets, k)]
             ok = pa.array(np.array(found, np.int64) == want)
             yield pa.RecordBatch.from_arrays([batch.column(1).filter(ok), batch.column(0).filter(ok)], names=["c", "text"])
 

@@ -111,7 +111,7 @@ def _found(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             out = []
-            for a, b, data, offsets in text_pieces(batch, "text"):
+            for a, b, data, offsets in text_pieces(batch, "text", (1 << 20) - 1):
                 row, s, n, h, c, _ = blocks(data, offsets)
                 out.append((h.view(np.int64), c.view(np.int64), ids[a:b][row], s, n))
             h, c, doc, s, n = (np.concatenate(x) for x in zip(*out, strict=True))
