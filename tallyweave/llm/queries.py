@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from tallyweave.llm import chat, ctw, jaccard, packing, pieces, pii, quality, substrings, tokenfile, topk
+from tallyweave.llm import chat, ctw, divergence, jaccard, packing, pieces, pii, quality, substrings, tokenfile, topk
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_pii": pii.op9_pii,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
-SQL = {"op2_exact_topk": topk.SQL, "op4_quality_rules": quality.SQL, "op7_chat_formatting": chat.SQL}
+SQL = {"op2_exact_topk": topk.SQL, "op4_quality_rules": quality.SQL, "op7_chat_formatting": chat.SQL, "op13_source_divergence": divergence.SQL}
