@@ -99,6 +99,41 @@ def text_pieces(batch: pa.RecordBatch, column: str, most: int = (1 << 21) - 1) -
         at = end
 
 
+def bit_set(cells: DataFrame, bits: int, block: int = 1 << 13) -> np.ndarray:
+    """A set of `bits` bits, packed, in which the cells (long, 0 to bits - 1) are one. Tasks pack their own
+    cells by blocks, which are merged by block; what comes to the driver is `bits` bits at most."""
+    block = min(block, bits)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.empty(0, np.int64)
+        for batch in batches:
+            found = np.union1d(found, batch.column(0).to_numpy())
+        heads = np.flatnonzero(np.diff(found // block, prepend=-1))
+        rows = [(int(found[a]) // block, (found[a:b] % block).astype("<u2").tobytes()) for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(found)], strict=True)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary()), strict=True)], names=["block", "cells"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, seen = None, np.zeros(block, bool)
+        closed = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(seen).tobytes()])], names=["block", "bits"])
+        for batch in batches:
+            for k, own in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if k != at:
+                    if at is not None:
+                        yield closed()
+                    at, seen = k, np.zeros(block, bool)
+                seen[np.frombuffer(own, "<u2")] = True
+        if at is not None:
+            yield closed()
+
+    n = max(2, min(bits // block, partitions(cells.sparkSession)))
+    merged = cells.mapInArrow(lean(pack), "block int, cells binary").repartition(n, "block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary")
+    out = np.zeros(bits // 8, np.uint8)
+    for k, part in merged.collect():
+        out[k * block // 8 : (k + 1) * block // 8] = np.frombuffer(part, np.uint8)
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (in place where possible)."""
     x = x ^ (x >> np.uint64(32))

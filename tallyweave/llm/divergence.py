@@ -5,8 +5,10 @@ a level counts, for each language and byte prefix, the distinct documents with a
 and drops prefixes below the threshold; only terms below a prefix that is left are extended to the next
 level's length, which is twice as long. Each term ends in an end mark, so a prefix that holds it is a
 complete term, which leaves the loop with its exact count. Levels grow with the logarithm of the longest
-kept term, and what a level shuffles are counts, summed before. A document's prefixes are told apart
-within its own row, so nothing but counts leaves the task that read it.
+kept term. A document's terms lie in one row, so its prefixes are told apart there, and tasks
+shuffle nothing but counts that they have summed. What is left of a level is known to the tasks of the
+next by one bit for each prefix's hash, in a set of ``BITS`` bits, whatever the input: two prefixes
+with one bit cost a count that the threshold drops, never a term.
 
 Sources of a language are then compared over the kept terms with exact whole numbers. All pairs of
 sources are asked for; they are summed in cells of two blocks of sources and one block of terms, so a
@@ -15,65 +17,129 @@ task holds two small matrices, and a term that neither source has needs no row.
 Defined cases: null text, lang and source are empty strings; a row without terms makes a group without
 terms; each row is a document, repeated rows too; a language without kept terms gives its pairs the
 value 0; an empty table gives an empty result; further columns don't matter, whatever their names; texts
-and terms are read whole, however long.
+and terms are read whole, however long; a text is held by its task, one at a time.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import ascii_lower, lean_group, table, written
+from tallyweave.llm.common import LOWER, UPPER, bit_set, lean, lean_group, table, written
 
 #: Production parameters: documents of a kept term, smoothing, units, ranks of the terms' part.
 MIN_DOCS, SMOOTH, UNITS, TOP = 30, 5, 1_000_000_000, 50
-#: Bytes of the first level's prefixes; terms and sources of a block; bytes that may be broadcast.
-FIRST, TERMS, SOURCES, SMALL = 3, 1024, 64, 16 << 20
+#: Bytes of the first level's prefixes; bits of the set of a level's prefixes; sums that a task holds.
+FIRST, BITS, HELD = 3, 1 << 26, 250_000
+#: Terms and sources of a block.
+TERMS, SOURCES = 1024, 64
 #: Stands after each term and in no term.
-END = "\0"
-_BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+END = b"\0"
+#: A byte of a term as it is compared; all others are spaces.
+_AS = bytes(ord(LOWER[UPPER.index(chr(b))]) if chr(b) in UPPER else b if chr(b) in LOWER or b >= 128 else 32 for b in range(256))
 
 
-def _bytes(text: Column) -> Column:
-    """The text with a character for each of its UTF-8 bytes, so that characters are counted as bytes."""
-    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+def documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """lang, source, terms (the distinct ones in order, each with its end mark, a space between) and counts
+    of each row."""
+    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("terms", pa.binary()), ("counts", pa.list_(pa.int64()))])
 
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, rows, size, at = batch.column(2).cast(pa.binary()), [], 0, 0
+            for i in range(batch.num_rows):
+                found = Counter(texts[i].as_py().translate(_AS).split())
+                terms = sorted(found)
+                rows.append(((END + b" ").join(terms) + END if terms else b"", [found[t] for t in terms]))
+                size += len(rows[-1][0])
+                if size > 8 << 20 or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), batch.column(1).slice(at, len(rows)), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[2:], strict=True))], schema=schema)
+                    rows, size, at = [], 0, i + 1
 
-def _text(chars: Column) -> Column:
-    return F.decode(F.encode(chars, "ISO-8859-1"), "UTF-8")
+    empty = lambda c, name: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(name)
+    return docs.select(empty(lang_col, "lang"), empty(source_col, "source"), empty(text_col, "text")).mapInArrow(lean(stream), "lang string, source string, terms binary, counts array<bigint>")
 
 
-def _near(df: DataFrame, chars: Column) -> DataFrame:
-    """df, to be broadcast if its rows are known to fit in SMALL bytes."""
-    n = df.agg(F.sum(chars + 100)).first()[0] or 0
-    return F.broadcast(df) if n <= SMALL else df
+def _place(lang: bytes, prefix: bytes) -> int:
+    return zlib.crc32(prefix, zlib.crc32(lang + END)) % BITS
 
 
-def documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """lang, source, terms (all in order, in bytes), own (the distinct ones) of each row."""
-    empty = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    d = docs.select(empty(lang_col).alias("lang"), empty(source_col).alias("source"), F.split(ascii_lower(_bytes(empty(text_col))), _BETWEEN).alias("t"))
-    d = d.select("lang", "source", F.filter("t", lambda x: x != "").alias("terms"))
-    return d.select("*", F.array_distinct("terms").alias("own"))
+def _set(df: DataFrame) -> Callable[[str], Callable[[bytes], bool]]:
+    """For tasks: of a language, whether its prefix may be one of df (lang, prefix)."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_place(x.encode(), p) for x, p in zip(*(c.to_pylist() for c in batch.columns), strict=True)], pa.int64())], names=["cell"])
+
+    bits = df.sparkSession.sparkContext.broadcast(bit_set(df.select("lang", "prefix").mapInArrow(places, "cell long"), BITS).tobytes())
+
+    def of(lang: str) -> Callable[[bytes], bool]:
+        name, known = lang.encode(), {}
+
+        def may(prefix: bytes) -> bool:
+            if (found := known.get(prefix)) is None:
+                if len(known) > HELD:
+                    known.clear()
+                at = _place(name, prefix)
+                found = known[prefix] = bool(bits.value[at >> 3] >> (7 - at % 8) & 1)
+            return found
+
+        return may
+
+    return of
+
+
+def _summed(held: dict[tuple, Counter]) -> Iterator[pa.RecordBatch]:
+    """The sums of each key, which are then given up."""
+    for key, sums in held.items():
+        if sums:
+            names = [pa.array([k] * len(sums), pa.string()) for k in key]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64())], names=[*"ab"[: len(key)], "x", "n"])
+            sums.clear()
+
+
+def _level(docs: DataFrame, before: int, level: int, left: Callable | None) -> DataFrame:
+    """lang, prefix, n: documents with a longer term that starts with the prefix of `level` bytes, as summed
+    by tasks."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, Counter] = {}
+        may: dict[str, Callable] = {}
+        n = 0
+        for batch in batches:
+            for lang, terms in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums = held.setdefault((lang,), Counter())
+                was = len(sums)
+                if left is None:
+                    sums.update({t[:level] for t in terms.split()})
+                else:
+                    ok = may.setdefault(lang, left(lang)) if lang not in may else may[lang]
+                    sums.update({t[:level] for t in terms.split() if len(t) > before and ok(t[:before])})
+                n += len(sums) - was
+                if n > HELD:
+                    yield from _summed(held)
+                    n = 0
+        yield from _summed(held)
+
+    return docs.select("lang", "terms").mapInArrow(lean(stream), "lang string, prefix binary, n long")
 
 
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, first: int = FIRST) -> DataFrame:
     """lang, term and n_docs of the terms in at least min_docs documents of their language."""
     level, before, done, left = first, 0, [], None
     while True:
-        longer = F.filter("own", lambda x: F.length(x) >= before) if before else F.col("own")  # noqa: B023
-        prefixes = docs.select("lang", F.explode(F.array_distinct(F.transform(longer, lambda x: F.substring(F.concat(x, F.lit(END)), 1, level)))).alias("prefix"))  # noqa: B023
-        if left is not None:
-            prefixes = prefixes.withColumn("above", F.substring("prefix", 1, before)).join(left, ["lang", "above"], "left_semi")
-        level_kept = written(prefixes.groupBy("lang", "prefix").count().where(F.col("count") >= min_docs), "prefixes")
-        whole = F.col("prefix").endswith(END)
-        done.append(level_kept.where(whole).select("lang", F.expr("substring(prefix, 1, length(prefix) - 1)").alias("term"), F.col("count").alias("n_docs")))
-        left = level_kept.where(~whole).select("lang", F.col("prefix").alias("above"))
-        if left.isEmpty():
+        found = written(_level(docs, before, level, left).groupBy("lang", "prefix").agg(F.sum("n").alias("n_docs")).where(F.col("n_docs") >= min_docs), "level")
+        whole = F.col("prefix").endswith(F.lit(END))
+        done.append(found.where(whole).select("lang", F.expr("cast(substring(prefix, 1, octet_length(prefix) - 1) as string)").alias("term"), "n_docs"))
+        if found.where(~whole).isEmpty():
             break
-        left = _near(left, F.length("above"))
+        left = _set(found.where(~whole))
         before, level = level, 2 * level
     out = done[0]
     for x in done[1:]:
@@ -81,6 +147,32 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, first: int = FIRST) ->
     return out
 
 
+def counts_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """lang, source, term, n: how often each kept term occurs in each group."""
+    left = _set(kept.select("lang", F.concat(F.encode("term", "UTF-8"), F.lit(END)).alias("prefix")))
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, Counter] = {}
+        may: dict[str, Callable] = {}
+        size = 0
+        for batch in batches:
+            for lang, source, terms, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ok, sums = may[lang] if lang in may else may.setdefault(lang, left(lang)), held.setdefault((lang, source), Counter())
+                was = len(sums)
+                for t, k in zip(terms.split(), n, strict=True):
+                    if ok(t):
+                        sums[t] += k
+                size += len(sums) - was
+                if size > HELD:
+                    yield from _summed(held)
+                    size = 0
+        yield from _summed(held)
+
+    sums = docs.mapInArrow(lean(stream), "lang string, source string, prefix binary, n long").groupBy("lang", "source", "prefix").agg(F.sum("n").alias("n"))
+    term = F.expr("cast(substring(prefix, 1, octet_length(prefix) - 1) as string)")
+    return sums.select("lang", "source", term.alias("term"), "n").join(kept, ["lang", "term"], "left_semi")
+
+
 def _share(count: Column, total: Column, terms: Column) -> Column:
     """1 + floor(UNITS * (count + SMOOTH) / (total + SMOOTH * terms)), exactly; 0 where there are no terms."""
     top = F.lit(UNITS).cast("decimal(12,0)") * (count + SMOOTH).cast("decimal(20,0)")
@@ -122,11 +214,7 @@ def divergence(docs: DataFrame, *, min_docs: int = MIN_DOCS, top: int = TOP, tex
     language over all kept terms, part `term` gives the terms that it has more than its language has."""
     d = written(documents(docs, text_col, lang_col, source_col), "terms")
     kept = written(kept_terms(d, min_docs), "kept")
-    near = kept.agg(F.sum(F.length("term") + 100)).first()[0] or 0
-    found = d.select("lang", "source", F.explode("terms").alias("term"))
-    few = lambda x: x.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    found = few(found.withColumn("n", F.lit(1)).join(F.broadcast(kept), ["lang", "term"], "left_semi")) if near <= SMALL else few(found.withColumn("n", F.lit(1))).join(kept, ["lang", "term"], "left_semi")
-    counts = written(found, "counts")
+    counts = written(counts_of(d, kept), "counts")
     sizes = kept.groupBy("lang").agg(F.count("*").alias("v"))
     sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("n_all"))
     groups = d.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(sizes, "lang", "left")
@@ -153,12 +241,10 @@ def divergence(docs: DataFrame, *, min_docs: int = MIN_DOCS, top: int = TOP, tex
     pair = pair.withColumn("rank", F.row_number().over(by))
 
     langs = counts.groupBy("lang", "term").agg(F.sum("n").alias("n_term"))
-    if near <= SMALL:
-        langs = F.broadcast(langs)
     more = counts.join(groups, ["lang", "source"]).join(langs, ["lang", "term"])
     p, q = _share(F.col("n"), F.col("n_all"), F.col("v")), _share(F.col("n_term"), F.col("n_lang"), F.col("v"))
     term = more.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (p - q).alias("value")).where(F.col("value") > 0)
-    term = term.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top).withColumn("item", _text(F.col("item")))
+    term = term.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
     return pair.union(term).select("lang", "source", "part", "item", "value", F.col("rank").cast("int").alias("rank"))
 
 
