@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,6 +105,26 @@ def _summed(held: dict[tuple, Counter]) -> Iterator[pa.RecordBatch]:
             sums.clear()
 
 
+def _exploded(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch, pa.Array, np.ndarray]]:
+    """Of each language of a run of rows with some 8 MB of terms: its rows, their terms, and the row of each."""
+    ends = np.cumsum(pc.binary_length(batch.column("terms")).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (8 << 20), "right")))
+        some = batch.slice(at, end - at)
+        names = some.column("lang").dictionary_encode()
+        for k, lang in enumerate(names.dictionary.to_pylist()):
+            own = some.filter(pc.equal(names.indices, k))
+            parts = pc.split_pattern(own.column("terms"), pattern=b" ")
+            yield lang, own, parts.flatten(), np.repeat(np.arange(own.num_rows), np.diff(parts.offsets.to_numpy()))
+        at = end
+
+
+def _flags(values: pa.DictionaryArray, ok: Callable[[bytes], bool]) -> np.ndarray:
+    """Of each value whether ok says so."""
+    return np.array([ok(x) for x in values.dictionary.to_pylist()], bool)[values.indices.to_numpy()]
+
+
 def _level(docs: DataFrame, before: int, level: int, left: Callable | None) -> DataFrame:
     """lang, prefix, n: documents with a longer term that starts with the prefix of `level` bytes, as summed
     by tasks."""
@@ -111,20 +132,21 @@ def _level(docs: DataFrame, before: int, level: int, left: Callable | None) -> D
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, Counter] = {}
         may: dict[str, Callable] = {}
-        n = 0
         for batch in batches:
-            for lang, terms in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sums = held.setdefault((lang,), Counter())
-                was = len(sums)
-                if left is None:
-                    sums.update({t[:level] for t in terms.split()})
-                else:
-                    ok = may.setdefault(lang, left(lang)) if lang not in may else may[lang]
-                    sums.update({t[:level] for t in terms.split() if len(t) > before and ok(t[:before])})
-                n += len(sums) - was
-                if n > HELD:
+            for lang, _, terms, row in _exploded(batch):
+                keep = pc.binary_length(terms).to_numpy() > before
+                if left is not None:
+                    if lang not in may:
+                        may[lang] = left(lang)
+                    keep &= _flags(pc.binary_slice(terms, 0, before).dictionary_encode(), may[lang])
+                # A row's terms are in order, so those with one prefix stand together.
+                prefix, row = pc.binary_slice(terms.filter(pa.array(keep)), 0, level).dictionary_encode(), row[keep]
+                code = prefix.indices.to_numpy()
+                new = np.ones(len(code), bool)
+                new[1:] = (code[1:] != code[:-1]) | (row[1:] != row[:-1])
+                held.setdefault((lang,), Counter()).update(dict(zip(prefix.dictionary.to_pylist(), np.bincount(code[new], minlength=len(prefix.dictionary)).tolist(), strict=True)))
+                if sum(map(len, held.values())) > HELD:
                     yield from _summed(held)
-                    n = 0
         yield from _summed(held)
 
     return docs.select("lang", "terms").mapInArrow(lean(stream), "lang string, prefix binary, n long")
@@ -154,18 +176,22 @@ def counts_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, Counter] = {}
         may: dict[str, Callable] = {}
-        size = 0
         for batch in batches:
-            for lang, source, terms, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ok, sums = may[lang] if lang in may else may.setdefault(lang, left(lang)), held.setdefault((lang, source), Counter())
-                was = len(sums)
-                for t, k in zip(terms.split(), n, strict=True):
-                    if ok(t):
-                        sums[t] += k
-                size += len(sums) - was
-                if size > HELD:
+            for lang, own, terms, row in _exploded(batch):
+                if lang not in may:
+                    may[lang] = left(lang)
+                names, sources = terms.dictionary_encode(), own.column("source").dictionary_encode()
+                keep = _flags(names, may[lang]) & (pc.binary_length(terms).to_numpy() > 0)
+                code, counts = names.indices.to_numpy()[keep], np.zeros(len(keep), np.int64)
+                counts[pc.binary_length(terms).to_numpy() > 0] = own.column("counts").flatten().to_numpy()
+                place = sources.indices.to_numpy()[row[keep]].astype(np.int64) * len(names.dictionary) + code
+                sums = pa.table([pa.array(place), pa.array(counts[keep])], names=["k", "n"]).group_by("k").aggregate([("n", "sum")])
+                words, wheres = names.dictionary.to_pylist(), sources.dictionary.to_pylist()
+                for k, n in zip(sums["k"].to_pylist(), sums["n_sum"].to_pylist(), strict=True):
+                    own_sums = held.setdefault((lang, wheres[k // len(words)]), Counter())
+                    own_sums[words[k % len(words)]] += n
+                if sum(map(len, held.values())) > HELD:
                     yield from _summed(held)
-                    size = 0
         yield from _summed(held)
 
     sums = docs.mapInArrow(lean(stream), "lang string, source string, prefix binary, n long").groupBy("lang", "source", "prefix").agg(F.sum("n").alias("n"))
