@@ -23,7 +23,6 @@ and terms are read whole, however long; a text is held by its task, one at a tim
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,36 +31,46 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import LOWER, UPPER, bit_set, lean, lean_group, table, written
+from tallyweave.llm.common import LOWER, UPPER, bit_set, lean, lean_group, table, text_pieces, written
 
 #: Production parameters: documents of a kept term, smoothing, units, ranks of the terms' part.
 MIN_DOCS, SMOOTH, UNITS, TOP = 30, 5, 1_000_000_000, 50
-#: Bytes of the first level's prefixes; bits of the set of a level's prefixes; sums that a task holds.
+#: Bytes of the first level's prefixes; bits of the set of a level's prefixes; answers that a task remembers.
 FIRST, BITS, HELD = 3, 1 << 26, 250_000
 #: Terms and sources of a block.
 TERMS, SOURCES = 1024, 64
 #: Stands after each term and in no term.
 END = b"\0"
 #: A byte of a term as it is compared; all others are spaces.
-_AS = bytes(ord(LOWER[UPPER.index(chr(b))]) if chr(b) in UPPER else b if chr(b) in LOWER or b >= 128 else 32 for b in range(256))
+_AS = np.array([ord(LOWER[UPPER.index(chr(b))]) if chr(b) in UPPER else b if chr(b) in LOWER or b >= 128 else 32 for b in range(256)], np.uint8)
 
 
 def documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """lang, source, terms (the distinct ones in order, each with its end mark, a space between) and counts
     of each row."""
-    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("terms", pa.binary()), ("counts", pa.list_(pa.int64()))])
+    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("terms", pa.large_binary()), ("counts", pa.list_(pa.int64()))])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, rows, size, at = batch.column(2).cast(pa.binary()), [], 0, 0
-            for i in range(batch.num_rows):
-                found = Counter(texts[i].as_py().translate(_AS).split())
-                terms = sorted(found)
-                rows.append(((END + b" ").join(terms) + END if terms else b"", [found[t] for t in terms]))
-                size += len(rows[-1][0])
-                if size > 8 << 20 or i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), batch.column(1).slice(at, len(rows)), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[2:], strict=True))], schema=schema)
-                    rows, size, at = [], 0, i + 1
+            for a, b, data, offsets in text_pieces(batch, "text", (4 << 20) - 1):
+                low = _AS[data]
+                word = low != 32
+                first = word.copy()
+                first[1:] &= ~word[:-1]
+                heads = offsets[:-1][offsets[:-1] < len(data)]
+                first[heads] = word[heads]
+                row = np.searchsorted(offsets, np.flatnonzero(first), "right") - 1
+                letters = low[word]
+                places = np.append(np.flatnonzero(first[word]), len(letters)).astype(np.int32)
+                terms = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(places), pa.py_buffer(letters)]).dictionary_encode()
+                order = pc.array_sort_indices(terms.dictionary).to_numpy()
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                own, n = np.unique(row * max(1, len(order)) + rank[terms.indices.to_numpy()], return_counts=True)
+                marked = pc.binary_join_element_wise(terms.dictionary.take(pa.array(order)), pa.scalar(END), pa.scalar(b"")).cast(pa.large_binary())
+                ends = pa.array(np.searchsorted(own // max(1, len(order)), np.arange(b - a + 1)).astype(np.int32))
+                joined = pc.binary_join(pa.ListArray.from_arrays(ends, marked.take(pa.array(own % max(1, len(order))))), pa.scalar(b" ", pa.large_binary()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), joined, pa.ListArray.from_arrays(ends, pa.array(n))], schema=schema)
 
     empty = lambda c, name: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(name)
     return docs.select(empty(lang_col, "lang"), empty(source_col, "source"), empty(text_col, "text")).mapInArrow(lean(stream), "lang string, source string, terms binary, counts array<bigint>")
@@ -96,15 +105,6 @@ def _set(df: DataFrame) -> Callable[[str], Callable[[bytes], bool]]:
     return of
 
 
-def _summed(held: dict[tuple, Counter]) -> Iterator[pa.RecordBatch]:
-    """The sums of each key, which are then given up."""
-    for key, sums in held.items():
-        if sums:
-            names = [pa.array([k] * len(sums), pa.string()) for k in key]
-            yield pa.RecordBatch.from_arrays([*names, pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64())], names=[*"ab"[: len(key)], "x", "n"])
-            sums.clear()
-
-
 def _exploded(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch, pa.Array, np.ndarray]]:
     """Of each language of a run of rows with some 8 MB of terms: its rows, their terms, and the row of each."""
     ends = np.cumsum(pc.binary_length(batch.column("terms")).to_numpy())
@@ -130,7 +130,6 @@ def _level(docs: DataFrame, before: int, level: int, left: Callable | None) -> D
     by tasks."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, Counter] = {}
         may: dict[str, Callable] = {}
         for batch in batches:
             for lang, _, terms, row in _exploded(batch):
@@ -144,10 +143,8 @@ def _level(docs: DataFrame, before: int, level: int, left: Callable | None) -> D
                 code = prefix.indices.to_numpy()
                 new = np.ones(len(code), bool)
                 new[1:] = (code[1:] != code[:-1]) | (row[1:] != row[:-1])
-                held.setdefault((lang,), Counter()).update(dict(zip(prefix.dictionary.to_pylist(), np.bincount(code[new], minlength=len(prefix.dictionary)).tolist(), strict=True)))
-                if sum(map(len, held.values())) > HELD:
-                    yield from _summed(held)
-        yield from _summed(held)
+                n = np.bincount(code[new], minlength=len(prefix.dictionary))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), prefix.dictionary.cast(pa.binary()), pa.array(n, pa.int64())], names=["lang", "prefix", "n"])
 
     return docs.select("lang", "terms").mapInArrow(lean(stream), "lang string, prefix binary, n long")
 
@@ -174,25 +171,20 @@ def counts_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
     left = _set(kept.select("lang", F.concat(F.encode("term", "UTF-8"), F.lit(END)).alias("prefix")))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, Counter] = {}
         may: dict[str, Callable] = {}
         for batch in batches:
             for lang, own, terms, row in _exploded(batch):
                 if lang not in may:
                     may[lang] = left(lang)
                 names, sources = terms.dictionary_encode(), own.column("source").dictionary_encode()
-                keep = _flags(names, may[lang]) & (pc.binary_length(terms).to_numpy() > 0)
-                code, counts = names.indices.to_numpy()[keep], np.zeros(len(keep), np.int64)
-                counts[pc.binary_length(terms).to_numpy() > 0] = own.column("counts").flatten().to_numpy()
-                place = sources.indices.to_numpy()[row[keep]].astype(np.int64) * len(names.dictionary) + code
-                sums = pa.table([pa.array(place), pa.array(counts[keep])], names=["k", "n"]).group_by("k").aggregate([("n", "sum")])
-                words, wheres = names.dictionary.to_pylist(), sources.dictionary.to_pylist()
-                for k, n in zip(sums["k"].to_pylist(), sums["n_sum"].to_pylist(), strict=True):
-                    own_sums = held.setdefault((lang, wheres[k // len(words)]), Counter())
-                    own_sums[words[k % len(words)]] += n
-                if sum(map(len, held.values())) > HELD:
-                    yield from _summed(held)
-        yield from _summed(held)
+                there = pc.binary_length(terms).to_numpy() > 0
+                keep = _flags(names, may[lang]) & there
+                counts = np.zeros(len(keep), np.int64)
+                counts[there] = own.column("counts").flatten().to_numpy()
+                place = sources.indices.to_numpy()[row[keep]].astype(np.int64) * len(names.dictionary) + names.indices.to_numpy()[keep]
+                sums = pa.table([pa.array(place), pa.array(counts[keep])], names=["k", "n"]).group_by("k").aggregate([("n", "sum")]).combine_chunks()
+                k = sums["k"].to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), sources.dictionary.take(pa.array(k // max(1, len(names.dictionary)))), names.dictionary.take(pa.array(k % max(1, len(names.dictionary)))).cast(pa.binary()), pa.array(sums["n_sum"].to_numpy())], names=["lang", "source", "prefix", "n"])
 
     sums = docs.mapInArrow(lean(stream), "lang string, source string, prefix binary, n long").groupBy("lang", "source", "prefix").agg(F.sum("n").alias("n"))
     term = F.expr("cast(substring(prefix, 1, octet_length(prefix) - 1) as string)")
