@@ -169,7 +169,9 @@ class Powers:
 
 class Polynomial:
     """64-bit hashes of any substrings of a byte array, all computed at once: prefix sums of byte
-    values times powers of an odd base, modulo 2**64; powers of the inverse align each substring."""
+    values times powers of an odd base, modulo 2**64; powers of the inverse align each substring. For
+    substrings of up to some 200 bytes: longer ones with the pattern of the Thue-Morse word have equal
+    hashes whatever the base and the values."""
 
     def __init__(self, seed: int):
         self.values = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -22,6 +22,7 @@ words than a shingle the whole sequence is the one shingle; repeated rows are on
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
 _TIMES = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _hash = Polynomial(8)
+#: Bytes of the longest word that is hashed as a polynomial.
+LONG = 128
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -57,6 +60,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarr
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     sums = _hash.prefix(low)
     h = mix(_hash.of(sums, start, end) + (end - start).astype(np.uint64))
+    for i in np.flatnonzero(end - start > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(low[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
     s = np.zeros(max(0, len(h) - k + 1), np.uint64)
     for i in range(k):
         s += h[i : len(h) - k + 1 + i] * _TIMES[i]

@@ -3,10 +3,10 @@
 Pre-tokenizers of both vocabularies never join characters across a space or line feed that has a
 character other than white space on at least one side, except that it belongs to what follows it,
 and never join a letter and a full stop or comma after it. So texts are cut before these, and cuts
-repeat a lot: a batch's cuts are told apart by 128 bits of hashes, the tokenizers library encodes
-those alone that a bounded memo (sorted arrays) doesn't hold, and the ids are gathered back into
-place. A text with a longer run of white space, where the cut would matter, goes to the
-library whole.
+repeat a lot: a batch's cuts are brought together by hashes and compared byte by byte, the
+tokenizers library encodes those alone that a bounded memo (sorted arrays, with their bytes) doesn't
+hold, and the ids are gathered back into place. Equal ids are never taken from equal hashes. A text
+with a longer run of white space, where the cut would matter, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -43,6 +43,27 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return at
 
 
+#: Bytes of the longest cut that is compared by words and held in the memo.
+LONG = 256
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number, zeros after the end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+def same(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the `size` bytes of x (as _words) from a on equal those of y from b on."""
+    out, todo, i = np.ones(len(a), bool), np.flatnonzero(size > 0), 0
+    while len(todo):
+        left = size[todo] - i
+        out[todo] &= (x[a[todo] + i] ^ y[b[todo] + i]) & _MASKS[np.minimum(left, 8)] == 0
+        todo, i = todo[left > 8], i + 8
+    return out
+
+
 class Encoder:
     def __init__(self, name: str, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,11 +71,12 @@ class Encoder:
 
         self.library = Tokenizer.from_file(public_tokenizers.path(name))
         self.library.encode_special_tokens = True
-        self.most, self.hash, self.hash2 = memo, Polynomial(11), Polynomial(12)
+        self.most, self.hash = memo, Polynomial(11)
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.checks = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.keys, self.place, self.length = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.bytes, self.held = np.zeros(1 << 20, np.uint8), 0
         self.begin, self.size = np.empty(0, np.int64), np.empty(0, np.int32)
         self.tokens, self.used = np.empty(1 << 20, np.uint32), 0
 
@@ -86,32 +108,55 @@ class Encoder:
         start = np.flatnonzero(at)
         end = np.append(start[1:], len(data))[: len(start)]
         key = self.hash.of(self.hash.prefix(data), start, end) + (end - start).astype(np.uint64)
-        check = self.hash2.of(self.hash2.prefix(data), start, end)
+        length = end - start
         u, first, which = np.unique(key, return_index=True, return_inverse=True)
-        if (check[first][which] != check).any():  # two cuts with one hash: each place for itself
-            order = np.argsort(key, kind="stable")
-            u, first, which = key[order], order, np.argsort(order, kind="stable")
-        c, a, b = check[first], start[first], end[first]
+        twin = np.flatnonzero(first[which] != np.arange(len(key)))
+        one, two = start[twin], start[first[which[twin]]]
+        words = _words(data)
+        equal = length[twin] == length[first[which[twin]]]
+        short = equal & (length[twin] <= LONG)
+        equal[short] = same(words, one[short], words, two[short], length[twin][short])
+        for i in np.flatnonzero(equal & ~short).tolist():
+            n = int(length[twin[i]])
+            equal[i] = raw[one[i] : one[i] + n] == raw[two[i] : two[i] + n]
+        others: dict[bytes, int] = {}  # cuts with the hash of others
+        for i in twin[~equal].tolist():
+            which[i] = len(u) + others.setdefault(raw[start[i] : end[i]], len(others))
+        a, b = start[first], end[first]
         if len(self.keys) > self.most:
             self._forget()
         pos = np.searchsorted(self.keys, u)
         hit = np.zeros(len(u), bool)
         if len(self.keys):
             near = np.minimum(pos, len(self.keys) - 1)
-            hit = (self.keys[near] == u) & (self.checks[near] == c)
+            found = np.flatnonzero((self.keys[near] == u) & (self.length[near] == b - a))
+            memo = np.ndarray((len(self.bytes) - 7,), "<u8", self.bytes, 0, (1,))
+            hit[found] = same(words, a[found], memo, self.place[near[found]], (b - a)[found])
+            clash = (self.keys[near] == u) & ~hit
+        else:
+            clash = hit
         begin, size = np.zeros(len(u), np.int64), np.zeros(len(u), np.int32)
         begin[hit], size[hit] = self.begin[pos[hit]], self.size[pos[hit]]
         new = np.flatnonzero(~hit)
         whole = np.isin(a[new], np.fromiter(own, np.int64, len(own)))
-        once, new = new[whole], new[~whole]
+        once, new = new[whole | clash[new] | (b - a > LONG)[new]], new[~(whole | clash[new] | (b - a > LONG)[new])]
         for x in range(0, len(new), 20_000):
             some = new[x : x + 20_000]
             begin[some], size[some] = self._keep(self._encode([raw[i:j].decode() for i, j in zip(a[some].tolist(), b[some].tolist(), strict=True)]))
         used = self.used
         if len(once):
-            begin[once], size[once] = self._keep([own[i] for i in a[once].tolist()])
-        tokens, self.used = self.tokens, used  # whole texts don't come again
-        self.keys, self.checks = np.insert(self.keys, pos[new], u[new]), np.insert(self.checks, pos[new], c[new])
+            begin[once], size[once] = self._keep([own[i] if i in own else self._encode([raw[i:j].decode()])[0] for i, j in zip(a[once].tolist(), b[once].tolist(), strict=True)])
+        if others:
+            more = self._keep(self._encode([x.decode() for x in others]))
+            begin, size = np.append(begin, more[0]), np.append(size, more[1])
+        tokens, self.used = self.tokens, used  # long and whole texts don't come again
+        length = (b - a)[new]
+        place = self.held + np.cumsum(length) - length
+        self.held += int(length.sum())
+        if self.held + 8 > len(self.bytes):
+            self.bytes = np.resize(self.bytes, 2 * self.held + 8)
+        self.bytes[self.held - int(length.sum()) : self.held] = np.frombuffer(b"".join([raw[i:j] for i, j in zip(a[new].tolist(), b[new].tolist(), strict=True)]), np.uint8)
+        self.keys, self.place, self.length = np.insert(self.keys, pos[new], u[new]), np.insert(self.place, pos[new], place), np.insert(self.length, pos[new], length.astype(np.int32))
         self.begin, self.size = np.insert(self.begin, pos[new], begin[new]), np.insert(self.size, pos[new], size[new])
         each = size[which]
         ends = np.cumsum(each)
