@@ -18,22 +18,21 @@ TOLERANCE = 1e-4
 def leaves(model) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
     """Each leaf of a boosted model as (value in log-odds, conditions), a condition per feature of its path:
     (feature, low, high, share): the leaf asks low < x <= high, and without the feature known a row
-    follows the path with the share of training rows that did."""
+    follows the path with the share of training rows (by Hessian weight) that did."""
     found = []
 
-    def walk(node, scale: float, path: dict[int, tuple[float, float, float]]) -> None:
-        if node.getClass().getSimpleName() == "LeafNode":
-            found.append((scale * node.prediction(), [(f, *c) for f, c in path.items()]))
+    def walk(tree, node: int, path: dict[int, tuple[float, float, float]]) -> None:
+        f = tree.feature[node]
+        if f < 0:
+            found.append((tree.value[node], [(f, *c) for f, c in path.items()]))
             return
-        split, total = node.split(), node.impurityStats().count()
-        f, cutoff = split.featureIndex(), split.threshold()
+        cutoff, total = tree.cut[node], tree.cover[node]
         low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
-        for child, bounds in ((node.leftChild(), (low, min(high, cutoff))), (node.rightChild(), (max(low, cutoff), high))):
-            walk(child, scale, path | {f: (*bounds, share * child.impurityStats().count() / total)})
+        for child, bounds in ((tree.left[node], (low, min(high, cutoff))), (tree.right[node], (max(low, cutoff), high))):
+            walk(tree, child, path | {f: (*bounds, share * tree.cover[child] / total)})
 
-    for tree, weight in zip(model.trees, model.treeWeights):
-        # The probability is the logistic function of twice the summed trees.
-        walk(tree._call_java("rootNode"), 2.0 * weight, {})
+    for tree in model.trees:
+        walk(tree, 0, {})
     return found
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tallyweave.functions.scalars import calibrated
+from tallyweave.operators import trees
 from tallyweave.work import cut
 
 EPS, RIDGE, TOLERANCE = 1e-6, 1e-8, 1e-10
@@ -33,23 +34,13 @@ def logistic(train: DataFrame, features: list[str], test: DataFrame, label: str
     return model.transform(scaler.transform(shaped(test))).select(*test.columns, vector_to_array("probability")[1].alias("p"))
 
 
-#: Depth, learning rate, rows and features of a tree, least rows of a leaf, most rounds.
-DEPTH, RATE, ROWS, COLUMNS, LEAF, ROUNDS = 4, 0.05, 0.8, "0.8", 5, 500
+DEPTH, RATE, ROWS, ROUNDS = trees.DEPTH, trees.RATE, trees.ROWS, trees.ROUNDS
 
 
-def fit_boosted(train: DataFrame, features: list[str], label: str = "y", rounds: int = 20, valid: DataFrame | None = None):
-    """Gradient boosted trees with class weights. With `valid` as many rounds as its loss asks for: of a model
-    of `rounds` trees the first ones up to the least loss are kept, and growing stops when it has risen (by
-    Spark's rule, 0.01 of the loss) before. Spark's trees know no L2 penalty and no Hessian weight of leaves;
-    a least number of rows stands for the latter."""
-    shaped = VectorAssembler(inputCols=features, outputCol="_x")
-    gbt = GBTClassifier(featuresCol="_x", labelCol=label, weightCol="w", maxDepth=DEPTH, stepSize=RATE, subsamplingRate=ROWS, featureSubsetStrategy=COLUMNS, minInstancesPerNode=LEAF, maxIter=rounds, seed=42)
-    data = weighted(shaped.transform(train).select("_x", label), label)
-    if valid is None:
-        return gbt.fit(data)
-    held = weighted(shaped.transform(valid).select("_x", label), label)
-    both = data.withColumn("_held", F.lit(False)).unionByName(held.withColumn("_held", F.lit(True)))
-    return gbt.setParams(validationIndicatorCol="_held", validationTol=0.01).fit(both)
+def fit_boosted(train: DataFrame, features: list[str], label: str = "y", rounds: int = 20, valid: DataFrame | None = None) -> trees.Boosted:
+    """Gradient boosted trees, a positive weighing as much as the negatives that there are for each; with `valid`
+    as many as its average precision asks for."""
+    return trees.fit(train, features, label, rounds, valid)
 
 
 def boosted(train: DataFrame, features: list[str], test: DataFrame, label: str = "y", rounds: int = 20, valid: DataFrame | None = None) -> DataFrame:
@@ -57,15 +48,14 @@ def boosted(train: DataFrame, features: list[str], test: DataFrame, label: str =
     return apply(fit_boosted(train, features, label, rounds, valid), test, features)
 
 
-def margins(model, df: DataFrame, features: list[str]) -> DataFrame:
-    """df with p and margin, its log-odds, as the model has them: twice the summed trees."""
-    scored = model.transform(VectorAssembler(inputCols=features, outputCol="_x").transform(df))
-    return scored.select(*df.columns, vector_to_array("probability")[1].alias("p"), (2 * vector_to_array("rawPrediction")[1]).alias("margin"))
+def margins(model: trees.Boosted, df: DataFrame, features: list[str]) -> DataFrame:
+    """df with p and margin, its log-odds: the sum of the trees."""
+    return model.scored(df)
 
 
-def apply(model, df: DataFrame, features: list[str]) -> DataFrame:
+def apply(model: trees.Boosted, df: DataFrame, features: list[str]) -> DataFrame:
     """df with p from a fitted model."""
-    return model.transform(VectorAssembler(inputCols=features, outputCol="_x").transform(df)).select(*df.columns, vector_to_array("probability")[1].alias("p"))
+    return model.scored(df).drop("margin")
 
 
 def platt(df: DataFrame, score: str = "score", label: str = "y", rounds: int = 100) -> tuple[float, float]:
@@ -142,20 +132,28 @@ def folds(df: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return df.join(dealt, "ring_id", "left").withColumn("fold", F.coalesce("_dealt", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(k)).cast("int"))).drop("_dealt")
 
 
-def cross_validate(df: DataFrame, features: list[str], k: int = 5, seed: int = 42, fit=boosted) -> DataFrame:
-    """AUC and average precision of each fold, fitted on the others."""
-    d = folds(df, k, seed)
-    parts = [ranking(fit(d.where(F.col("fold") != i), features, d.where(F.col("fold") == i))).select(F.lit(i).alias("fold"), "auc", "ap") for i in range(k)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+def cross_validate(df: DataFrame, features: list[str], k: int = 5, seed: int = 42, rounds: int = 100) -> DataFrame:
+    """Each fold (its AUC and average precision, fitted on the others), with the mean and the deviation (of all
+    folds) of both in all rows. All folds grow together, `rounds` trees each: there is no third part to stop by."""
+    d = cut(folds(df, k, seed))
+    copies = d.withColumn("model", F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: i != F.col("fold")))).withColumn("valid", F.lit(False))
+    fitted = trees.fit_many(copies, features, "y", rounds)
+    held = [fitted[i].scored(d.where(F.col("fold") == i)) for i in range(k) if i in fitted]
+    scored = held[0]
+    for h in held[1:]:
+        scored = scored.union(h)
+    r = cut(ranking(scored, "p", "y", ("fold",)).select("fold", "auc", "ap"))
+    return r.crossJoin(F.broadcast(r.agg(*[f(c).alias(f"{c}_{n}") for c in ("auc", "ap") for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])))
 
 
-def ablation(train: DataFrame, test: DataFrame, features: list[str], without: list[str]) -> DataFrame:
-    """AUC and average precision with all features and without some."""
-    run = lambda name, used: ranking(boosted(train, used, test)).select(F.lit(name).alias("model"), "auc", "ap")
-    return run("full", features).union(run("without", [f for f in features if f not in without]))
+def ablation(train: DataFrame, test: DataFrame, features: list[str], without: list[str], valid: DataFrame | None = None, rounds: int = ROUNDS) -> tuple[DataFrame, dict[str, trees.Boosted]]:
+    """AUC and average precision with all features and without some, of two models that grow together; and these."""
+    part = lambda df, v: df.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("model"), F.lit(v).alias("valid"), "y", *features)
+    both = part(train, False) if valid is None else part(train, False).unionByName(part(valid, True))
+    fitted = trees.fit_many(both, features, "y", rounds, without={1: without})
+    named = {"full": fitted[0], "without": fitted[1]}
+    run = lambda name: ranking(named[name].scored(test)).select(F.lit(name).alias("model"), "auc", "ap")
+    return run("full").union(run("without")), named
 
 
 def importance(model, test: DataFrame, features: list[str]) -> DataFrame:
@@ -168,7 +166,7 @@ def importance(model, test: DataFrame, features: list[str]) -> DataFrame:
     gap = attribution.margin_gap(explained)
     if not gap <= attribution.TOLERANCE:
         raise ValueError(f"contributions miss the log-odds by {gap:.2e}")
-    gain = test.sparkSession.createDataFrame([(f, float(g)) for f, g in zip(features, model.featureImportances.toArray(), strict=True)], "feature string, gain double")
+    gain = test.sparkSession.createDataFrame([(f, float(g)) for f, g in zip(features, model.importances(), strict=True)], "feature string, gain double")
     return attribution.mean_absolute(explained, features).join(gain, "feature").orderBy(F.desc("share"), "feature")
 
 

@@ -102,12 +102,11 @@ def _clean(value):
 
 
 def save_artifacts(spark: SparkSession, folder: str, model, features: list[str], metrics: dict) -> None:
-    """A model (Spark's format), the names of its features in order, and metrics.json, which has no number
-    that JSON doesn't know."""
+    """A model, the names of its features in order, and metrics.json, which has no number that JSON doesn't
+    know."""
     contract.check_names(features)
-    model.write().save(f"{folder}/model")
-    for name, doc in (("features", {"features": list(features)}), ("metrics", _clean(metrics))):
-        spark.createDataFrame([(json.dumps(doc, allow_nan=False),)], "value string").coalesce(1).write.text(f"{folder}/{name}.json")
+    for name, text in (("model", model.text()), ("features", json.dumps({"features": list(features)})), ("metrics", json.dumps(_clean(metrics), allow_nan=False))):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}/{name}.json")
 
 
 def _document(spark: SparkSession, path: str) -> dict | None:
@@ -121,11 +120,11 @@ def _document(spark: SparkSession, path: str) -> dict | None:
 
 def load_model(spark: SparkSession, folder: str):
     """The stored model, if its features are those of the contract, in order; raises else."""
-    from pyspark.ml.classification import GBTClassificationModel
+    from tallyweave.operators.trees import Boosted
 
     names = (_document(spark, f"{folder}/features.json") or {}).get("features", [])
     contract.check_names(names)
-    model = GBTClassificationModel.load(f"{folder}/model")
+    model = Boosted.read("\n".join(r["value"] for r in spark.read.text(f"{folder}/model.json", wholetext=True).collect()))
     if model.numFeatures != len(names):
         raise contract.ContractError(f"the model takes {model.numFeatures} features")
     return model
