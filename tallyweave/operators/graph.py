@@ -148,20 +148,46 @@ def core(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def _walks(front: DataFrame, seen: list[DataFrame], wanted: DataFrame, step: DataFrame) -> DataFrame:
+    """The next hop of walks (end, x, via) from the wanted ends: of each end and account two first hops are kept
+    at most, those of earlier rounds counted, so that one is left whichever is forbidden."""
+    reached = front.join(wanted, "end", "left_semi").join(step, "x").where("y <> end").groupBy("end", F.col("y").alias("x")).agg(F.array_distinct(F.array(F.min("via"), F.max("via"))).alias("new"))
+    before = seen[0]
+    for more in seen[1:]:
+        before = before.union(more)
+    before = before.join(wanted, "end", "left_semi").groupBy("end", "x").agg(F.collect_set("via").alias("old"))  # two at most
+    fresh = reached.join(before, ["end", "x"], "left").withColumn("old", F.coalesce("old", F.array().cast("array<string>")))
+    return cut(fresh.select("end", "x", F.explode(F.slice(F.array_except("new", "old"), 1, 2 - F.size("old"))).alias("via")))
+
+
 def closing_edges(edges: DataFrame) -> DataFrame:
-    """The edges u->v of a core that lie on a directed cycle of 3 to 8 accounts: a walk from v back to
-    u whose first hop isn't u, which doesn't enter v again, in at most 7 hops."""
+    """The edges u->v of a core that lie on a directed cycle of 3 to 8 accounts: a way from v back to u of at
+    most 7 hops, other than the one hop v->u.
+
+    Walks go out from v and back from u in turn, and meet: for cycles of 3 after a hop each, for those of 8 after
+    four and three. An edge whose shortest cycle is found is dropped, and walks go on from the ends of those alone
+    that are left; in a dense core these are few after two rounds. A walk is known by its ends and its first hop,
+    of which two are kept, as one may be the hop v->u."""
     succ = edges.select(F.col("sender").alias("x"), F.col("receiver").alias("y"))
-    at = cut(edges.select(F.col("sender").alias("u"), F.col("receiver").alias("v")).join(succ.select(F.col("x").alias("v"), F.col("y").alias("x")), "v").where("x <> u and x <> v").select("u", "v", "x"))
-    seen, closed = at, at.where("x = u")
-    for _ in range(MAX_CYCLE - 2):
-        step = at.where("x <> u").join(succ, "x").where("y <> v").select("u", "v", F.col("y").alias("x")).distinct()
-        at = cut(step.join(seen, ["u", "v", "x"], "left_anti"))
-        if at.isEmpty():
+    pred = succ.toDF("y", "x")
+    left = cut(edges.select(F.col("sender").alias("u"), F.col("receiver").alias("v")).distinct())
+    outs = [cut(succ.select(F.col("x").alias("end"), F.col("y").alias("x"), F.col("y").alias("via")).where("end <> x"))]
+    backs = [cut(succ.select(F.col("y").alias("end"), "x", F.col("x").alias("via")).where("end <> x"))]
+    closed = None
+    for length in range(3, MAX_CYCLE + 1):
+        if length > 3:
+            if length % 2 == 0:
+                outs.append(_walks(outs[-1], outs, left.select(F.col("v").alias("end")).distinct(), succ))
+            else:
+                backs.append(_walks(backs[-1], backs, left.select(F.col("u").alias("end")).distinct(), pred))
+        out, back = outs[-1].toDF("v", "x", "first"), backs[-1].toDF("u", "x", "last")
+        met = left.join(out, "v").where("x <> u and first <> u").join(back, ["u", "x"]).where("x <> v and last <> v").select("u", "v").distinct()
+        met = cut(met)
+        closed = met if closed is None else closed.union(met)
+        left = cut(left.join(met, ["u", "v"], "left_anti"))
+        if left.isEmpty():
             break
-        seen = seen.union(at)
-        closed = closed.union(at.where("x = u"))
-    return closed.select("u", "v").distinct()
+    return closed
 
 
 def cycle_participation(ledger: DataFrame) -> DataFrame:

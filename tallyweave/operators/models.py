@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tallyweave.functions.scalars import calibrated
-from tallyweave.operators import trees
+from tallyweave.operators import scan, trees
 from tallyweave.work import cut
 
 EPS, RIDGE, TOLERANCE = 1e-6, 1e-8, 1e-10
@@ -93,20 +96,68 @@ def platt(df: DataFrame, score: str = "score", label: str = "y", rounds: int = 1
     return a, b
 
 
-def bootstrap_auc(df: DataFrame, rounds: int, seed: int = 7) -> DataFrame:
-    """AUC of each round, clusters drawn with replacement (Poisson multiplicities by a seeded hash, so
-    no draw depends on the order of rows); rounds of one class are left out."""
-    u = (F.pmod(F.xxhash64("cluster", "round", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+def multiplicities(cluster: np.ndarray, rounds: int, seed: int) -> np.ndarray:
+    """Rows of how often a cluster (the hash of its name) is drawn in each round: Poisson numbers by the hash of
+    cluster, round and seed, so no draw depends on the order of rows."""
+    one, two, three, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+
+    def hashed(number: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """xxHash64 of a 32-bit number, seeded by h, as xxhash64() chains its columns."""
+        h = (h + five + np.uint64(4)) ^ (number.astype(np.uint64) * one)
+        h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * two + three
+        h = (h ^ (h >> np.uint64(33))) * two
+        h = (h ^ (h >> np.uint64(29))) * three
+        return h ^ (h >> np.uint64(32))
+
+    h = hashed(np.array([seed]), hashed(np.arange(1, rounds + 1)[None, :], cluster.view(np.uint64)[:, None]))
+    u = ((h & np.uint64((1 << 30) - 1)).astype(float) + 0.5) / float(1 << 30)
     cdf, total, term = [], 0.0, math.exp(-1)
     for k in range(8):
         total += term
         cdf.append(total)
         term /= k + 1
-    m = sum((F.when(u > x, 1).otherwise(0) for x in cdf), F.lit(0))
-    drawn = df.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("m", m).where("m > 0")
-    s = drawn.groupBy("round", "score").agg(F.sum(F.col("m") * F.col("y")).alias("p"), F.sum(F.col("m") * (1 - F.col("y"))).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy("round").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = s.withColumn("won", F.col("p") * (below + F.col("n") / 2)).groupBy("round").agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return sum((u > x).astype(np.int64) for x in cdf)
+
+
+def bootstrap_auc(df: DataFrame, rounds: int, seed: int = 7) -> DataFrame:
+    """AUC of each round, clusters drawn with replacement; rounds of one class are left out.
+
+    Rows are dealt once, by ranges of score. A task goes through its range with vectors of one weight for each
+    round: positives and negatives so far, and the pairs that positives have won; what a range gives is one row of
+    three vectors, and ranges meet by round."""
+    schema = pa.schema([("range", pa.int32()), ("p", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("won", pa.list_(pa.float64()))])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, n, won = np.zeros(rounds, np.int64), np.zeros(rounds, np.int64), np.zeros(rounds)
+        now, tie_p, tie_n, at = None, np.zeros(rounds, np.int64), np.zeros(rounds, np.int64), None
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                at, score, y = part.column(0)[0].as_py(), part.column(1).to_numpy(), part.column(3).to_numpy()
+                m = multiplicities(part.column(2).to_numpy(), rounds, seed)
+                heads = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
+                ps, ns = (np.add.reduceat(m * w[:, None], heads, 0) for w in (y, 1 - y))
+                if score[0] == now:  # the last score of the rows before goes on
+                    ps[0] += tie_p
+                    ns[0] += tie_n
+                else:
+                    won += tie_p * (n + tie_n / 2)
+                    p, n = p + tie_p, n + tie_n
+                now, tie_p, tie_n = score[-1], ps[-1], ns[-1]
+                below = n + np.cumsum(ns, 0) - ns
+                won += (ps[:-1] * (below[:-1] + ns[:-1] / 2)).sum(0)
+                p, n = p + ps[:-1].sum(0), n + ns[:-1].sum(0)
+        if at is not None:
+            won += tie_p * (n + tie_n / 2)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([at], [p + tie_p], [n + tie_n], [won]), schema, strict=True)], schema=schema)
+
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Equal scores are in one range: a score's rows beyond what a task can stream make no range larger in memory.
+    dealt = df.select(F.col("score").cast("double").alias("score"), F.xxhash64("cluster").alias("c"), F.col("y").cast("long").alias("y")).repartitionByRange(parts, "score").sortWithinPartitions("score")
+    vectors = cut(dealt.select(F.spark_partition_id().alias("range"), "score", "c", "y").mapInArrow(stream, "range int, p array<long>, n array<long>, won array<double>"))
+    each = vectors.select("range", F.posexplode(F.arrays_zip("p", "n", "won")).alias("round", "v")).select((F.col("round") + 1).alias("round"), "range", "v.p", "v.n", "v.won")
+    below = F.coalesce(F.sum("n").over(Window.partitionBy("round").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    r = each.withColumn("won", F.col("won") + F.col("p") * below).groupBy("round").agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return r.where("p > 0 and n > 0").select("round", (F.col("won") / (F.col("p") * F.col("n"))).alias("auc"))
 
 
@@ -128,7 +179,8 @@ def ranking(df: DataFrame, score: str = "p", label: str = "y", by: tuple[str, ..
 def folds(df: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """df with `fold`: whole rings, largest first, are dealt in turn; others by a seeded hash of their id."""
     rings = df.where("ring_id >= 0").groupBy("ring_id").agg(F.count("*").alias("n"))
-    dealt = rings.select("ring_id", ((F.row_number().over(Window.orderBy(F.desc("n"), F.xxhash64("ring_id", F.lit(seed)))) - 1) % k).alias("_dealt"))
+    order = [F.desc("n"), F.xxhash64("ring_id", F.lit(seed)), F.col("ring_id")]
+    dealt = scan.running(rings, order, place="_place").select("ring_id", ((F.col("_place") - 1) % k).cast("int").alias("_dealt"))
     return df.join(dealt, "ring_id", "left").withColumn("fold", F.coalesce("_dealt", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(k)).cast("int"))).drop("_dealt")
 
 

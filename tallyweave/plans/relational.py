@@ -6,8 +6,11 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallyweave.operators import scan, selection
 from tallyweave.sources import ledger as src
+from tallyweave.work import cut
 
 #: Prices of a missed positive and of a false alarm, and the break-even probability.
 FN, FP = 200000, 15000
@@ -181,3 +184,62 @@ def registered(texts: dict[str, str]) -> tuple[dict, dict[str, str]]:
 
 
 QUERIES, SQL = registered(TEXTS)
+
+
+# Orders over all rows: DataFrame programs whose SQL, the texts above, has plain windows.
+
+_SWEPT = query("with " + _sweep() + f" select threshold, tp, fp, np, nn, rn, {_cost()} as cost from sweep")
+
+
+def w_avg_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of equal scores are told apart by nothing: all get the middle one."""
+    s = src.scored_frame(spark, sf_dir).select("id", "split", "score")
+    by_score = scan.running(s.groupBy("split", "score").agg(F.count("*").alias("n")), [F.col("split"), F.col("score")], {"upto": F.col("n")})
+    first = by_score.groupBy("split").agg(F.min(F.col("upto") - F.col("n")).alias("before"))
+    ranks = by_score.join(F.broadcast(first), "split").select("split", "score", (F.col("upto") - F.col("n") - F.col("before") + 1 + (F.col("n") - 1) / 2.0).alias("avg_rank"))
+    return s.join(ranks, ["split", "score"]).select("id", "avg_rank")
+
+
+def w_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _SWEPT(spark, sf_dir).select("threshold", (F.col("tp") * 1.0 / F.col("np")).alias("r"))
+    return scan.neighbour(s, [F.desc("threshold")], F.col("r"), "was", ahead=False).select("threshold", F.round(F.col("r") - F.coalesce("was", F.lit(0.0)), 9).alias("gained"))
+
+
+def w_lead_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.neighbour(_SWEPT(spark, sf_dir).select("threshold"), [F.desc("threshold")], F.col("threshold"), "lower_bound", ahead=True)
+
+
+def w_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = cut(_SWEPT(spark, sf_dir))
+    cheapest = s.join(F.broadcast(s.agg(F.min("cost").alias("cost"))), "cost")
+    m = scan.running(cheapest, [F.desc("threshold")], place="k")
+    return m.groupBy((F.col("rn") - F.col("k")).alias("island")).agg(F.min("cost").alias("cost"), F.max("threshold").alias("hi"), F.min("threshold").alias("lo"), F.count("*").alias("n"))
+
+
+def w_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = src.scored_frame(spark, sf_dir).where("y = 1").select("id")
+    return scan.running(s, [F.col("id")], place="k").select("id", ((F.col("k") - 1) % 5).alias("fold"))
+
+
+def w_canonical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = src.scored_frame(spark, sf_dir).where("ring_id >= 0").select("id", "ring_id")
+    rings = scan.running(s.groupBy("ring_id").agg(F.min("id").alias("m")), [F.col("m")], place="k")
+    return s.join(rings, "ring_id").select("id", (F.col("k") - 1).alias("community"))
+
+
+def ml_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rings = src.scored_frame(spark, sf_dir).where("ring_id >= 0").groupBy("ring_id").agg(F.count("*").alias("n"))
+    return scan.running(rings, [F.desc("n"), F.col("ring_id")], place="k").select("ring_id", "n", ((F.col("k") - 1) % 5).alias("fold"))
+
+
+def agg_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = selection.quantiles(src.scored_frame(spark, sf_dir), ["ring_type"], "score", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    return q.select("ring_type", *[F.round(c, 9).alias(c) for c in ("p50", "p90", "p99")])
+
+
+def agg_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = selection.quantiles(src.scored_frame(spark, sf_dir), ["split", "ring_type"], "score", {"median_score": 0.5})
+    return q.select("split", "ring_type", F.round("median_score", 9).alias("median_score"))
+
+
+QUERIES |= {q.__name__: q for q in (w_avg_rank, w_diff, w_lead_bound, w_islands, w_round_robin, w_canonical_rank, ml_folds, agg_quantile, agg_median)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.plans import evaluation, relational
+from tallyweave.plans import evaluation, labelled, relational
 
 BEGIN, END = "<!-- results:begin -->", "<!-- results:end -->"
 
@@ -25,7 +25,7 @@ def share(x: float | None) -> str:
 
 def render(spark: SparkSession, sf_dir: str) -> str:
     """The tables behind it have a row per policy, ratio, rate or bin."""
-    every = relational.QUERIES | evaluation.QUERIES
+    every = relational.QUERIES | evaluation.QUERIES | labelled.QUERIES
     rows = lambda name: every[name](spark, sf_dir).collect()
     test, trivial = rows("m_eval_test")[0], {r.split: r for r in rows("m_trivial")}["test"]
     auc = {r.split: r.auc for r in rows("m_auc")}
