@@ -37,7 +37,7 @@ from tallyweave.llm.topk import finite_vectors
 #: Bytes of the sample that is fitted and of the centroids; rows of a part of a list.
 SAMPLE, CENTROIDS, PART, LEAST_PART = 16 << 20, 8 << 20, 16384, 256
 #: Columns of a block; deviations of the test; share of the sample's neighbours that the probed lists hold.
-COLUMNS, SURE, COVERED = 16, 3.0, 0.96
+COLUMNS, SURE, COVERED = 16, 2.1, 0.96
 
 
 @functools.lru_cache(4)

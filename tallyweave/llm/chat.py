@@ -101,6 +101,8 @@ MAPPINGS = [
 ]
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 BY_PRINT = {fingerprint(m["fields"]): m for m in MAPPINGS}
+#: Fields beside a conversation that say nothing in it.
+IGNORED = frozenset({"id", "uuid", "source", "dataset", "metadata", "meta", "tags", "created_at", "score", "lang", "language"})
 
 
 def said(value) -> str:
@@ -109,10 +111,16 @@ def said(value) -> str:
     return value or ""
 
 
-def canonical(record: dict, by_print: dict[str, dict] = BY_PRINT) -> list[Turn]:
-    """The turns of a record by the mapping that its fingerprint selects."""
+def prints(mappings: list[dict]) -> dict[str, dict]:
+    """Mappings by the fingerprint of their fields."""
+    return {fingerprint(m["fields"]): m for m in mappings}
+
+
+def canonical(record: dict, by_print: dict[str, dict] = BY_PRINT, ignored: frozenset[str] | set[str] = IGNORED) -> list[Turn]:
+    """The turns of a record by the mapping that its fingerprint selects: that of all its fields or, where there
+    is none, of those whose first name isn't an ignored one."""
     names = paths(record)
-    m = by_print.get(fingerprint(names))
+    m = by_print.get(fingerprint(names)) or by_print.get(fingerprint(n for n in names if n.partition(".")[0].partition("[")[0] not in ignored))
     if m is None or not isinstance(record, dict):
         raise ValueError(f"no mapping for the fields {sorted(names)}")
     if "one" in m:
@@ -129,11 +137,13 @@ def canonical(record: dict, by_print: dict[str, dict] = BY_PRINT) -> list[Turn]:
 FORMATTED = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("record", pa.string()), ("formatted", pa.string()), ("loss_start", pa.list_(pa.int64())), ("loss_end", pa.list_(pa.int64())), ("rejected", pa.string())])
 
 
-def format_records(records: DataFrame) -> DataFrame:
+def format_records(records: DataFrame, mappings: list[dict] | None = None, ignored: frozenset[str] | set[str] = IGNORED) -> DataFrame:
     """records (conv_id, turn, record: JSON of any known layout) as a written table of pieces, one for
     each record: conv_id, turn, place (a digest of the record, which orders equal turns), the formatted
     text, the spans under the loss mask (assistant texts as they stand escaped in the piece), and, in
-    place of these, why a record was rejected."""
+    place of these, why a record was rejected: no layout that the mappings (by default MAPPINGS) know, or texts that
+    no encoding holds."""
+    by_print = BY_PRINT if mappings is None else prints(mappings)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +151,8 @@ def format_records(records: DataFrame) -> DataFrame:
             for conv, turn, record in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text, starts, ends, why = "", [], [], None
                 try:
-                    for role, words in canonical(json.loads(record or "null")):
+                    for role, words in canonical(json.loads(record or "null"), by_print, ignored):
+                        (role + words).encode()  # a lone surrogate raises here
                         piece, a, b = render(role, words)
                         if role == "assistant":
                             starts.append(len(text) + a)

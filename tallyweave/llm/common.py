@@ -108,10 +108,11 @@ def bit_set(cells: DataFrame, bits: int, block: int = 1 << 13) -> np.ndarray:
         found = np.empty(0, np.int64)
         for batch in batches:
             found = np.union1d(found, batch.column(0).to_numpy())
+        if not len(found):
+            return
         heads = np.flatnonzero(np.diff(found // block, prepend=-1))
         rows = [(int(found[a]) // block, (found[a:b] % block).astype("<u2").tobytes()) for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(found)], strict=True)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary()), strict=True)], names=["block", "cells"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary()), strict=True)], names=["block", "cells"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, seen = None, np.zeros(block, bool)

@@ -35,8 +35,8 @@ from tallyweave.llm.common import LOWER, UPPER, bit_set, lean, lean_group, table
 
 #: Production parameters: documents of a kept term, smoothing, units, ranks of the terms' part.
 MIN_DOCS, SMOOTH, UNITS, TOP = 30, 5, 1_000_000_000, 50
-#: Bytes of the first level's prefixes; bits of the set of a level's prefixes; answers that a task remembers.
-FIRST, BITS, HELD = 3, 1 << 26, 250_000
+#: Bytes of the first level's prefixes; bits of the set of a level's prefixes; bytes of terms looked at together.
+FIRST, BITS, PIECE = 3, 1 << 26, 4 << 20
 #: Terms and sources of a block.
 TERMS, SOURCES = 1024, 64
 #: Stands after each term and in no term.
@@ -52,7 +52,7 @@ def documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in text_pieces(batch, "text", (4 << 20) - 1):
+            for a, b, data, offsets in text_pieces(batch, "text", PIECE - 1):
                 low = _AS[data]
                 word = low != 32
                 first = word.copy()
@@ -76,29 +76,27 @@ def documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     return docs.select(empty(lang_col, "lang"), empty(source_col, "source"), empty(text_col, "text")).mapInArrow(lean(stream), "lang string, source string, terms binary, counts array<bigint>")
 
 
-def _place(lang: bytes, prefix: bytes) -> int:
-    return zlib.crc32(prefix, zlib.crc32(lang + END)) % BITS
+def _place(lang: bytes, prefix: bytes, bits: int) -> int:
+    return zlib.crc32(prefix, zlib.crc32(lang + END)) % bits
 
 
 def _set(df: DataFrame) -> Callable[[str], Callable[[bytes], bool]]:
     """For tasks: of a language, whether its prefix may be one of df (lang, prefix)."""
 
+    size = BITS
+
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_place(x.encode(), p) for x, p in zip(*(c.to_pylist() for c in batch.columns), strict=True)], pa.int64())], names=["cell"])
+            yield pa.RecordBatch.from_arrays([pa.array([_place(x.encode(), p, size) for x, p in zip(*(c.to_pylist() for c in batch.columns), strict=True)], pa.int64())], names=["cell"])
 
-    bits = df.sparkSession.sparkContext.broadcast(bit_set(df.select("lang", "prefix").mapInArrow(places, "cell long"), BITS).tobytes())
+    bits = df.sparkSession.sparkContext.broadcast(bit_set(df.select("lang", "prefix").mapInArrow(places, "cell long"), size).tobytes())
 
     def of(lang: str) -> Callable[[bytes], bool]:
-        name, known = lang.encode(), {}
+        name = lang.encode()
 
         def may(prefix: bytes) -> bool:
-            if (found := known.get(prefix)) is None:
-                if len(known) > HELD:
-                    known.clear()
-                at = _place(name, prefix)
-                found = known[prefix] = bool(bits.value[at >> 3] >> (7 - at % 8) & 1)
-            return found
+            at = _place(name, prefix, size)
+            return bool(bits.value[at >> 3] >> (7 - at % 8) & 1)
 
         return may
 
@@ -106,11 +104,11 @@ def _set(df: DataFrame) -> Callable[[str], Callable[[bytes], bool]]:
 
 
 def _exploded(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch, pa.Array, np.ndarray]]:
-    """Of each language of a run of rows with some 8 MB of terms: its rows, their terms, and the row of each."""
+    """Of each language of a run of rows with some PIECE bytes of terms: its rows, their terms, and the row of each."""
     ends = np.cumsum(pc.binary_length(batch.column("terms")).to_numpy())
     at = 0
     while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (8 << 20), "right")))
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, "right")))
         some = batch.slice(at, end - at)
         names = some.column("lang").dictionary_encode()
         for k, lang in enumerate(names.dictionary.to_pylist()):
@@ -214,7 +212,7 @@ def _cell(data: pa.Table) -> pa.Table:
     m[at[~base], term.indices.to_numpy(zero_copy_only=False)[~base].astype(np.int64)] = share[~base]
     sides = np.zeros(len(names), np.int64)
     sides[at] = side
-    same = not sides.any()
+    same = data["a"][0].as_py() == data["b"][0].as_py()
     order = np.array(sorted(range(len(names)), key=lambda i: names[i].as_py().encode()), np.int64)
     a, b = order[sides[order] == 0], order if same else order[sides[order] == 1]
     rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
