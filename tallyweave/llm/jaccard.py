@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tallyweave.llm.common import Polynomial, lean, mix, partitions, table, text_pieces, unused, written
 from tallyweave.llm.components import components, ordered
 
-DIMS, HEAVY, GROUP, LEAF = 256, 1 << 16, 2048, 32
+DIMS, HEAVY, GROUP, LEAF, PARTNERS = 256, 1 << 16, 2048, 32, 64
 #: Bytes of text that are hashed together, and shingles that are counted together.
 PIECE, COUNTED = (1 << 19) - 1, 2_000_000
 _WHITE = np.zeros(256, bool)
@@ -290,8 +290,8 @@ def _survivors(members: DataFrame, per_cent: int, every: bool) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, per_cent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link. a's text goes to at most 8 tasks, each with some of
-    its partners, which stream past it."""
+    """The pairs (a, b) whose whole sets link. a's partners are dealt to parts of some PARTNERS; its text goes
+    to each of these, and the partners stream past it."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, np.empty(0, np.uint64)
@@ -311,7 +311,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, per_cent: int) -> Data
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out, strict=True)], names=["a", "b"])
 
-    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(8)).alias("s"))
+    partners = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+    salted = written(pairs.join(partners, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("s")), "salted")
     second = salted.join(texts.select(F.col("c").alias("b"), "text"), "b").select("a", "b", "s", "text")
     first = salted.select("a", "s").distinct().join(texts.select(F.col("c").alias("a"), "text"), "a").select("a", F.lit(None).cast("long").alias("b"), "s", "text")
     dealt = first.union(second).repartition(max(partitions(pairs.sparkSession), 2), "a", "s").sortWithinPartitions("a", "s", F.col("b").asc_nulls_first()).select("a", "b", "text")
