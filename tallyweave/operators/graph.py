@@ -131,6 +131,67 @@ def pagerank(ledger: DataFrame, rounds: int = 20, tolerance: float | None = None
     return made
 
 
+#: Receivers of one row of links, and hops between two written states.
+CHUNK, HOPS = 1024, 5
+
+
+def converged_pagerank(ledger: DataFrame, tolerance: float = 1e-6, scale: bool = True, most: int = 400) -> DataFrame:
+    """PageRank to its fixpoint, by pushes of what is left to send: only accounts with a residual over a share of
+    the tolerance send, so rounds shrink. What accounts that pay nobody hold is spread evenly, which scales all
+    ranks alike; so it isn't sent, and ranks are scaled at the end.
+
+    A hop is one shuffle: accounts meet their links (in rows of CHUNK receivers at most, held dealt by payer), and
+    give out their own state and what others get of it together. The state is written every HOPS hops."""
+    p = pairs(ledger)
+    out = p.groupBy("sender").agg(F.sum("weight").alias("w"), F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    n_parts = int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = p.join(out, "sender").select(F.col("sender").alias("node"), F.pmod(F.xxhash64("receiver"), F.col("chunks")).cast("int").alias("chunk"), F.struct("receiver", (DAMPING * F.col("weight") / F.col("w")).alias("share")).alias("to"))
+    links = links.groupBy("node", "chunk").agg(F.collect_list("to").alias("to"))  # some CHUNK receivers
+    every = cut(nodes(ledger))
+    none = F.array().cast("array<struct<receiver:string,share:double>>")
+    held = cut(links.union(every.select("node", F.lit(-1), none))).repartition(n_parts, "node").persist(StorageLevel.DISK_ONLY)
+    bound = tolerance * (1 - DAMPING) / 2
+    state = every.select("node", F.lit(0.0).alias("rank"), F.lit(1.0).alias("left"))
+    sends = F.col("left") > bound
+    for _ in range(0, most, HOPS):
+        for _ in range(HOPS):
+            own = F.array(F.struct(F.col("node"), (F.col("rank") + F.when(sends, F.col("left")).otherwise(0.0)).alias("rank"), F.when(sends, 0.0).otherwise(F.col("left")).alias("left")))
+            given = F.when(sends, F.transform("to", lambda t: F.struct(t["receiver"].alias("node"), F.lit(0.0).alias("rank"), (t["share"] * F.col("left")).alias("left")))).otherwise(F.array().cast("array<struct<node:string,rank:double,left:double>>"))
+            state = state.join(held, "node").select(F.inline(F.when(F.col("chunk") < 0, own).otherwise(given))).groupBy("node").agg(F.sum("rank").alias("rank"), F.sum("left").alias("left"))
+        state = cut(state)
+        if state.where(sends).isEmpty():
+            break
+    total = state.agg(F.sum("rank").alias("total"), F.count("*").alias("n"))
+    unit = F.col("n") / F.col("total") if scale else 1 / F.col("total")
+    made = cut(state.crossJoin(F.broadcast(total)).select("node", (F.col("rank") * unit).alias("pagerank")))
+    held.unpersist()
+    return made
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of edges (a, b): root is the smallest node that edges lead to. Each round hooks
+    nodes to their smallest neighbour and that one's, and contracts the edges; at least half of the nodes go."""
+    left = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    known: DataFrame | None = None
+    while not left.isEmpty():
+        both = left.union(left.select("b", "a"))
+        hook = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("up")))
+        step = cut(hook.join(hook.select(F.col("node").alias("up"), F.col("up").alias("upper")), "up", "left").select("node", F.coalesce("upper", "up").alias("root")))
+        known = step if known is None else cut(known.withColumnRenamed("root", "was").join(step.withColumnRenamed("node", "was"), "was", "left").select("node", F.coalesce("root", "was").alias("root")))
+        moved = left.join(step.toDF("a", "x"), "a").join(step.toDF("b", "y"), "b").where("x <> y")
+        left = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    return left.select(F.col("a").alias("node"), F.col("b").alias("root")) if known is None else known
+
+
+def connected(u: DataFrame, partition: DataFrame) -> DataFrame:
+    """The partition (node, community) with each community cut into its connected parts, each named by its smallest
+    account. What isn't connected gains nothing by standing together, so modularity doesn't fall."""
+    p = partition.select("node", "community")
+    inside = u.select("a", "b").join(p.toDF("a", "ca"), "a").join(p.toDF("b", "cb"), "b").where("ca = cb").select("a", "b")
+    roots = components(inside)
+    return cut(p.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("community")))
+
+
 def repeated(ledger: DataFrame, least: int = MIN_REPEATS) -> DataFrame:
     return pairs(ledger).where(F.col("weight") >= least).select("sender", "receiver")
 
@@ -278,7 +339,9 @@ def _local_moves(both: DataFrame, loops: DataFrame, total: float, rounds: int) -
 def communities(u: DataFrame, rounds: int = 40, levels: int = 10) -> DataFrame:
     """A deterministic partition of an undirected graph (a, b, weight) by modularity: accounts move to the
     community with the largest gain, then communities become the nodes of a smaller graph, on which the
-    same is done, until nothing moves or modularity doesn't rise. (node, community: a member's name)"""
+    same is done, until nothing moves or modularity doesn't rise. In the end every community is connected: parts that
+    moves have left without a link between them are communities of their own. (node, community: its smallest
+    member's name)"""
     e = cut(u.select("a", "b", F.col("weight").cast("double").alias("weight")))
     total = 2.0 * (e.agg(F.sum("weight").alias("m")).first()["m"] or 0.5)
     members = cut(e.select(F.col("a").alias("node")).union(e.select("b")).distinct().withColumn("community", F.col("node")))
@@ -297,14 +360,15 @@ def communities(u: DataFrame, rounds: int = 40, levels: int = 10) -> DataFrame:
         members, best = merged, now
         named = level.join(part.toDF("a", "ca"), "a").join(part.toDF("b", "cb"), "b")
         level = cut(named.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight")))
-    return members
+    return connected(e, members)
 
 
-def features(ledger: DataFrame, partition: DataFrame | None = None, rounds: int = 200, tolerance: float | None = 1e-4) -> DataFrame:
+def features(ledger: DataFrame, partition: DataFrame | None = None, rounds: int = 20, tolerance: float | None = 1e-4) -> DataFrame:
     """All eighteen features and the community of every account, in the order of the contract."""
     u = undirected(pairs(ledger))
     partition = communities(u) if partition is None else partition
     out = local_features(ledger)
-    for more in (pagerank(ledger, rounds, tolerance), clustering(ledger), cycle_participation(ledger), internal_ratio(u, partition), partition):
+    rank = pagerank(ledger, rounds) if tolerance is None else converged_pagerank(ledger, tolerance)
+    for more in (rank, clustering(ledger), cycle_participation(ledger), internal_ratio(u, partition), partition):
         out = out.join(more, "node", "left")
     return out.select("node", *FEATURES, "community")

@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tallyweave.operators import scan
 from tallyweave.operators.graph import MAX_CYCLE, MIN_CYCLE, closing_edges, core, repeated
 from tallyweave.work import cut
 
 
 def numbered(partition: DataFrame) -> DataFrame:
-    """Communities renamed to the rank of their smallest member, from 0; the window has a row per community."""
+    """Communities renamed to the rank of their smallest member, from 0."""
     least = partition.groupBy("community").agg(F.min("node").alias("least"))
-    rank = least.select("community", (F.row_number().over(Window.orderBy("least")) - 1).alias("rank"))
+    rank = scan.running(least, [F.col("least")], place="place").select("community", (F.col("place") - 1).alias("rank"))
     return partition.join(rank, "community").select("node", F.col("rank").alias("community"))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.operators import graph, models, partition, serving
+from tallyweave.functions import scalars
+from tallyweave.operators import graph, labels, models, partition, serving
 from tallyweave.plans import evaluation, labelled, labelled_sql, relational, report, training
 from tallyweave.sources import generator
 from tallyweave.sources import ledger as src
@@ -122,9 +123,43 @@ def g_louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.communities(graph.undirected(graph.pairs(src.handoff_ledger(spark, sf_dir))))
 
 
+def _communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each account with its community and the account of the same community that it is linked with and that is
+    nearer to the community's smallest member (that one: itself). Hops fall by one along these, so every community
+    is connected."""
+    u = cut(graph.undirected(graph.pairs(src.handoff_ledger(spark, sf_dir))))
+    part = graph.communities(u)
+    both = u.select("a", "b").union(u.select("b", "a"))
+    inside = cut(both.join(part.toDF("a", "ca"), "a").join(part.toDF("b", "cb"), "b").where("ca = cb").select("a", "b"))
+    front = part.where("node = community").select("node", "community", F.col("node").alias("via"), F.lit(0).alias("hops"))
+    seen, k = front, 0
+    while not front.isEmpty():
+        k += 1
+        reached = front.select(F.col("node").alias("a"), "community").join(inside, "a").groupBy(F.col("b").alias("node"), "community").agg(F.min("a").alias("via"))
+        front = cut(reached.join(seen.select("node"), "node", "left_anti").select("node", "community", "via", F.lit(k).alias("hops")))
+        seen = cut(seen.union(front))
+    return part.join(seen.select("node", "via", "hops"), "node", "left").select("node", "community", "via", "hops")
+
+
 def m_platt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     slope, intercept = models.platt(src.scored_frame(spark, sf_dir).where("split = 'val'"))
-    return spark.createDataFrame([(slope, intercept)], "slope double, intercept double")
+    return spark.createDataFrame([(round(slope, 6), round(intercept, 6))], "slope double, intercept double")
+
+
+def m_platt_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All scores, calibrated by what is fitted on the validation split."""
+    s = src.scored_frame(spark, sf_dir)
+    slope, intercept = models.platt(s.where("split = 'val'"))
+    return s.select("id", F.round(scalars.calibrated(F.col("score"), slope, intercept), 6).alias("p"))
+
+
+#: Newton's steps without backtracking, from another start, to the same least loss.
+_PLATT_SQL = f"""with recursive s as ({src.SQL['scored']}), c as (select sum(y)::double as np, sum(1 - y)::double as nn from s where split = 'val'),
+v as (select ln(q / (1 - q)) as x, case when y = 1 then (np + 1) / (np + 2) else 1 / (nn + 2) end as t from (select greatest(1e-6::double, least(1 - 1e-6::double, score)) as q, y from s where split = 'val') cross join c),
+n(k, a, b) as (select 0, 0.0::double, 0.0::double union all select k + 1, a - (bb * ga - ab * gb) / (aa * bb - ab * ab), b - (aa * gb - ab * ga) / (aa * bb - ab * ab)
+  from (select k, a, b, sum(e * x) as ga, sum(e) as gb, sum(h * x * x) + 1e-8 as aa, sum(h * x) as ab, sum(h) + 1e-8 as bb from (select k, a, b, x, q - t as e, q * (1 - q) as h
+    from (select k, a, b, x, t, 1 / (1 + exp(-(a * x + b))) as q from n cross join v where k < 30)) group by k, a, b)),
+f as (select a, b from n where k = 30)"""
 
 
 def m_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,17 +197,15 @@ shown as (select path from cyc join core on core.s = tip and core.r = path[1] wh
 
 
 def s_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last day's payments are scored against all before; the label is a stand-in."""
-    ledger = src.handoff_ledger(spark, sf_dir).select(*(F.concat(F.lit("acct-"), c).alias(c) for c in ("sender", "receiver")), "amount", "ts")
+    """The last day of the test split's payments, scored against all before by the trained model, with all
+    features, the communities of the payments before, and the threshold that is cheapest on the validation split."""
+    e = labelled.edges(spark, sf_dir).where("split = 'test'")
+    ledger = labels.payments(e).select(*(F.concat(F.lit("acct-"), c).alias(c) for c in ("sender", "receiver")), "amount", "ts")
     end = ledger.agg(F.max("ts").alias("end"))
     dated = cut(ledger.crossJoin(F.broadcast(end)).withColumn("new", F.col("ts") > F.col("end") - F.expr("interval 1 day")).drop("end"))
     context, batch = dated.where("not new").drop("new"), dated.where("new").drop("new")
-    frozen = graph.nodes(context).select("node", F.pmod(F.xxhash64("node"), F.lit(10)).alias("community"))
-    names = ["degree_balance", "fan_in_concentration", "txn_velocity", "burst_ratio", "amount_cv", "repeat_ratio", "pagerank", "clustering_coefficient", "cycle_participation", "community_internal_ratio"]
-    known = cut(graph.features(context, frozen).na.fill(0.0))
-    labelled = known.withColumn("y", (F.col("pagerank") > 1).cast("int"))
-    model = models.fit_boosted(labelled, names, rounds=5)
-    return serving.score_batch(batch, context, frozen, model, names, 0.5, relational.P_STAR)
+    frozen = cut(partition.numbered(graph.communities(graph.undirected(graph.pairs(context)))))
+    return serving.score_batch(batch, context, frozen, training.model(spark, sf_dir), training.FEATURES, training.threshold(spark, sf_dir), relational.P_STAR)
 
 
 QUERIES = relational.QUERIES | evaluation.QUERIES | labelled.QUERIES | training.QUERIES | {
@@ -183,6 +216,8 @@ QUERIES = relational.QUERIES | evaluation.QUERIES | labelled.QUERIES | training.
     "m_report": report.lines,
     "s_score": s_score,
     "m_platt_fit": m_platt_fit,
+    "m_platt_apply": m_platt_apply,
+    "m_summary": report.m_summary,
     "m_bootstrap_ci": m_bootstrap_ci,
     "top_pass_through": top_pass_through,
     "f_local_commerce": _local(src.commerce_ledger),
@@ -196,6 +231,8 @@ QUERIES = relational.QUERIES | evaluation.QUERIES | labelled.QUERIES | training.
     "g_bfs_bounded": g_bfs_bounded,
     "g_khop": g_khop,
     "g_louvain": g_louvain,
+    "f_pagerank_converged": lambda spark, d: graph.converged_pagerank(src.commerce_ledger(spark, d), 1e-8).select("node", F.round("pagerank", 4).alias("pagerank")),
+    "g_communities": lambda spark, d: _communities(spark, d),
 }
 SQL = relational.SQL | evaluation.SQL | training.SQL | labelled_sql.build(lambda n, rel: _LOCAL_SQL.format(n=n, rel=rel), _CLUSTER_SQL, _rank_sql, _CYCLE_SQL, _COMM_SQL) | {
     "top_pass_through": f"select node, in_degree, out_degree, in_amount_sum, out_amount_sum, flow_passthrough from ({_local_sql('ledger')}) order by flow_passthrough desc, node limit 20",
@@ -203,8 +240,11 @@ SQL = relational.SQL | evaluation.SQL | training.SQL | labelled_sql.build(lambda
     "f_local_handoff": _local_sql("handoff"),
     **{f"f_{x}": f"select node, {x} from ({_local_sql('handoff')})" for x in (*LOCAL, *COUNTS)},
     "g_fingerprint": _PRINT_SQL,
+    "m_platt_fit": _PLATT_SQL + " select round(a, 6) as slope, round(b, 6) as intercept from f",
+    "m_platt_apply": _PLATT_SQL + " select id, round(1 / (1 + exp(-(a * ln(q / (1 - q)) + b))), 6) as p from (select id, greatest(1e-6::double, least(1 - 1e-6::double, score)) as q from s) cross join f",
     "g_cycles_enum": _ENUM_SQL.format(rel=src.SQL["ledger"]),
     "f_clustering": _CLUSTER_SQL.format(rel=src.SQL["ledger"]),
+    "f_pagerank_converged": f"select node, round(pagerank, 4) as pagerank from ({_rank_sql(src.SQL['ledger'], 130)})",
     "f_pagerank": f"select node, round(pagerank, 6) as pagerank from ({_rank_sql(src.SQL['ledger'])})",
     "g_core_peel": (_CORE + " select s as sender, r as receiver from core").format(rel=src.SQL["ledger"]),
     "f_cycle_participation": _CYCLE_SQL.format(rel=src.SQL["ledger"]),

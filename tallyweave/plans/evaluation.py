@@ -9,9 +9,6 @@ from tallyweave.plans.relational import _BEST, _CONF, FN, FP, P_STAR, _cost, _sw
 _AT = "(select " + _CONF + ", count(*) as n, cast(sum(y) as bigint) as positives from (select *, {t} as t from {{scored}} where split = 'test') x)"
 _PRF = "round(tp * 1.0 / nullif(tp + fp, 0), 9) as p, round(tp * 1.0 / nullif(tp + fn, 0), 9) as r, round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 9) as f1"
 _BINS = "bins as (select k, cast(k as double) * 0.2 as lo, case when k = 4 then 2.0 else cast(k + 1 as double) * 0.2 end as hi from SERIES(4) q)"
-#: Slope and intercept of a stored calibration.
-_PLATT = "1 / (1 + exp(-(0.7801 * ln(greatest(0.000001, least(0.999999, score)) / (1 - greatest(0.000001, least(0.999999, score)))) - 0.8744)))"
-
 
 def _calibrated(value: str) -> str:
     return "select k as bin, count(v) as n, avg(v) as m, avg(case when v is not null then cast(y as double) end) as o, sum((v - y) * (v - y)) as sq from bins left join (select y, " + value + " as v from {scored} where split = 'test') s on v >= lo and v < hi group by k"
@@ -34,7 +31,6 @@ TEXTS: dict[str, str] = {
     "m_eval_test": "with " + _sweep() + ", c as (select 1 as g, threshold, lower, rn, " + _cost() + " as cost from cuts), " + _BEST + ", e as (select t, " + _CONF + " from (select y, score, t from {scored} cross join opt where split = 'test') x group by t) select t as threshold, tp, fp, tn, fn, " + _PRF + f", fn * {FN} + fp * {FP} as total_cost from e",
     "m_price_baseline": f"select fn * 100000 + fp * 5000 as total_cost, coalesce(tp * 1.0 / nullif(tp + fp, 0), 0.0) as p, coalesce(tp * 1.0 / nullif(tp + fn, 0), 0.0) as r from {_at('2.0')} c",
     "argmax_f1": "with " + _sweep() + " select threshold, round(2.0 * tp / (tp + fp + np), 9) as f1 from sweep order by 2.0 * tp / (tp + fp + np) desc, threshold desc limit 1",
-    "m_platt_apply": "select id, round(" + _PLATT + ", 9) as p from {scored}",
     "m_calib_report": "with " + _BINS + ", b as (" + _calibrated("score") + ") select bin, n, round(m, 9) as predicted, round(o, 9) as observed, round(sq / nullif(n, 0), 9) as brier from b where n > 0",
     "r_direction": "with a as (select split, avg(score) as m from {scored} group by split) select p.split as first, q.split as second, case when abs(q.m - p.m) <= 0.0005 then 'flat' when q.m > p.m then 'up' else 'down' end as moved from a p join a q on p.split < q.split",
     "r_fp_reconstruct": f"select round(round((tp + fp) * 1000.0 / n, 1) / 1000 * n) - round(round(tp * 1.0 / positives, 3) * positives) as fp, fp as exact from {_at()} c",

@@ -44,6 +44,12 @@ def model(spark: SparkSession, sf_dir: str):
     return pair(spark, sf_dir)["full"]
 
 
+def threshold(spark: SparkSession, sf_dir: str) -> float:
+    """That of the model which is cheapest on the validation split."""
+    val = model(spark, sf_dir).scored(frames(spark, sf_dir)["val"]).select(F.lit("model").alias("policy"), "y", F.col("p").alias("x"))
+    return policies.cheapest(policies.sweep(val, ["policy"]), ["policy"]).first()["threshold"]
+
+
 def ml_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     test = frames(spark, sf_dir)["test"]
     return models.margins(model(spark, sf_dir), test, FEATURES).select("id", "y", "p", "margin")
@@ -72,6 +78,13 @@ def ml_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policies.union([run(name, m) for name, m in pair(spark, sf_dir).items()])
 
 
+def m_rule_baseline_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-line rules over all features, in both directions, from the stored feature tables."""
+    f = frames(spark, sf_dir)
+    every = policies.union([f[s].withColumn("split", F.lit(s)) for s in ("val", "test")])
+    return policies.rules(every, tuple(FEATURES)).select("feature", "direction", "threshold", "val_cost", "tp", "fp", "p", "r", "f1", "total_cost", "alerts_per_1000", "screen_auc")
+
+
 def scorers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """split, policy, y and x (the higher, the sooner flagged) of all policies that have a score, on val and test:
     the one-line rule that is cheapest on val, logistic regression, trees without graph features, all trees."""
@@ -189,5 +202,5 @@ def m_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, json.dumps(files._clean(v), default=str)) for k, v in doc.items()], "key string, value string")
 
 
-QUERIES = {q.__name__: q for q in (q_training, ml_train, ml_logreg, ml_cv, ml_ablation, m_model_policies, m_model_capacity, r_auc_retained, ml_shap, ml_importance, m_calib_diag, m_payload)} | {"ml_mean_abs_shap": lambda spark, d: attribution.mean_absolute(_explained(spark, d), FEATURES)}
+QUERIES = {q.__name__: q for q in (q_training, ml_train, ml_logreg, ml_cv, ml_ablation, m_rule_baseline_all, m_model_policies, m_model_capacity, r_auc_retained, ml_shap, ml_importance, m_calib_diag, m_payload)} | {"ml_mean_abs_shap": lambda spark, d: attribution.mean_absolute(_explained(spark, d), FEATURES)}
 SQL = {"q_training": f"with e as ({src.SQL['edges']}), v as (select sender as node from e where split = 'test' union select receiver from e where split = 'test') select count(*) as accounts, count(*) as scored, true as consistent from v"}

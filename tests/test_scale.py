@@ -94,3 +94,43 @@ def test_closing_edges(spark, n, m, seed):
     inside = [tuple(r) for r in core.collect()]
     got = [tuple(r) for r in graph.closing_edges(core).collect()] if inside else []
     assert len(got) == len(set(got)) and set(got) == closing(inside) == closing(edges)
+
+
+def numpy_pagerank(edges):
+    names = sorted({x for e in edges for x in e[:2]})
+    at, n = {x: i for i, x in enumerate(names)}, len(names)
+    w = np.zeros((n, n))
+    for a, b, k in edges:
+        w[at[a], at[b]] += k
+    out = w.sum(1)
+    p, r = np.divide(w, out[:, None], out=np.zeros_like(w), where=out[:, None] > 0), np.ones(n)
+    for _ in range(600):
+        r = 0.15 + 0.85 * (r @ p + r[out == 0].sum() / n)
+    return dict(zip(names, r, strict=True))
+
+
+@pytest.mark.parametrize("n, m, seed", [(3, 3, 1), (30, 60, 2), (80, 700, 3), (12, 11, 4)])
+def test_converged_pagerank(spark, monkeypatch, n, m, seed):
+    monkeypatch.setattr(graph, "CHUNK", 4)
+    rng = random.Random(seed)
+    edges = [(str(rng.randrange(n)), str(rng.choice([0, rng.randrange(n)])), rng.randint(1, 3)) for _ in range(m)]
+    ledger = spark.createDataFrame([(a, b) for a, b, k in edges for _ in range(k)], "sender string, receiver string").selectExpr("sender", "receiver", "cast(1 as decimal(18,4)) as amount", "timestamp_seconds(0) as ts")
+    want, got = numpy_pagerank(edges), {r.node: r.pagerank for r in graph.converged_pagerank(ledger, 1e-7).collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-6 for x in want)
+
+
+def test_communities_are_connected(spark):
+    rng = random.Random(9)
+    u = spark.createDataFrame([(f"{a:02d}", f"{b:02d}", 1.0) for a, b in {tuple(sorted(rng.sample(range(60), 2))) for _ in range(110)}], "a string, b string, weight double")
+    split = spark.createDataFrame([("00", "x"), ("01", "x"), ("02", "y"), ("03", "y"), ("04", "y")], "node string, community string")
+    links = spark.createDataFrame([("00", "02", 1.0), ("03", "04", 1.0), ("01", "02", 1.0)], "a string, b string, weight double")
+    assert {r.node: r.community for r in graph.connected(links, split).collect()} == {"00": "00", "01": "01", "02": "02", "03": "03", "04": "03"}
+    part = {r.node: r.community for r in graph.communities(u).collect()}
+    edges = [(r.a, r.b) for r in u.collect()]
+    assert set(part) == {x for e in edges for x in e}
+    for name in set(part.values()):
+        inside, reached, front = {x for x, c in part.items() if c == name}, {name}, {name}
+        while front:
+            front = {y for a, b in edges for x, y in ((a, b), (b, a)) if x in front and y in inside} - reached
+            reached |= front
+        assert name == min(inside) and reached == inside
