@@ -15,6 +15,8 @@ from tallyweave.work import cut
 
 DAMPING, MIN_REPEATS, MIN_CYCLE, MAX_CYCLE = 0.85, 2, 3, 8
 WINDOW_DAYS = 60.0
+#: Neighbours of one row of links, and hops between two written states.
+CHUNK, HOPS = 1024, 5
 
 
 def pairs(ledger: DataFrame) -> DataFrame:
@@ -83,17 +85,27 @@ def local_features(ledger: DataFrame) -> DataFrame:
 
 
 def clustering(ledger: DataFrame) -> DataFrame:
-    """Directed clustering: triangles over all possible ones, from the symmetric multiplicities. Each
-    triangle is found once, from its smallest-degree end, so hubs don't multiply."""
+    """Directed clustering: triangles over all possible ones, from the symmetric multiplicities. Each triangle is
+    found once, at the edge of its two ends with the fewest links: what both of these are linked with further up
+    is where their lists of neighbours meet. Lists are cut into buckets of some CHUNK accounts, so there is a row for
+    each edge and bucket at most, and no list is a hub's."""
     p = pairs(ledger).select("sender", "receiver")
     s = p.union(p.select(F.col("receiver"), F.col("sender"))).toDF("i", "j").groupBy("i", "j").count()
     s = cut(s)
     deg = s.groupBy("i").agg(F.sum("count").alias("dt"), F.count_if(F.col("count") == 2).alias("db"), F.count("*").alias("d"))
     d = deg.select("i", "d")
     up = s.join(d, "i").join(d.select(F.col("i").alias("j"), F.col("d").alias("e")), "j").where("d < e or d = e and i < j").select("i", "j", F.col("count").alias("m"))
-    a, b, c = (up.toDF(*names) for names in (("u", "v", "m1"), ("u", "w", "m2"), ("v", "w", "m3")))
-    t = a.join(b, "u").where("v <> w").join(c, ["v", "w"]).select("u", "v", "w", (F.col("m1") * F.col("m2") * F.col("m3")).alias("t"))
-    per = t.select(F.explode(F.array("u", "v", "w")).alias("i"), "t").groupBy("i").agg((2 * F.sum("t")).alias("t"))
+    up = cut(up)
+    # Neighbours with more links are at most the root of all edges; the same buckets for all, so lists meet by bucket.
+    widest = up.groupBy("i").count().agg(F.max("count")).first()[0] or 0
+    bucket = F.pmod(F.xxhash64("j"), F.lit(max(1, -(-widest // CHUNK))))
+    lists = cut(up.groupBy("i", bucket.alias("bucket")).agg(*[F.collect_list(F.when(F.col("m") == k, F.col("j"))).alias(f"n{k}") for k in (1, 2)]))
+    first, second = lists.toDF("u", "bucket", "a1", "a2"), lists.toDF("v", "bucket", "b1", "b2")
+    both = up.toDF("u", "v", "m").join(first, "u").join(second, ["v", "bucket"])
+    third = lambda x, y: F.transform(F.array_intersect(f"a{x}", f"b{y}"), lambda w: F.struct(w.alias("i"), (F.col("m") * x * y).alias("t")))
+    met = both.select("u", "v", F.concat(third(1, 1), third(1, 2), third(2, 1), third(2, 2)).alias("w")).where(F.size("w") > 0)
+    sums = F.aggregate("w", F.lit(0).cast("long"), lambda n, x: n + x["t"])
+    per = met.select(F.inline(F.concat(F.array(F.struct(F.col("u").alias("i"), sums.alias("t")), F.struct(F.col("v").alias("i"), sums.alias("t"))), "w"))).groupBy("i").agg((2 * F.sum("t")).alias("t"))
     possible = 2 * (F.col("dt") * (F.col("dt") - 1) - 2 * F.col("db"))
     return deg.join(per, "i", "left").select(F.col("i").alias("node"), F.when(F.col("t").isNotNull() & (possible > 0), F.col("t") / possible).otherwise(0.0).alias("clustering_coefficient"))
 
@@ -131,10 +143,6 @@ def pagerank(ledger: DataFrame, rounds: int = 20, tolerance: float | None = None
     return made
 
 
-#: Receivers of one row of links, and hops between two written states.
-CHUNK, HOPS = 1024, 5
-
-
 def converged_pagerank(ledger: DataFrame, tolerance: float = 1e-6, scale: bool = True, most: int = 400) -> DataFrame:
     """PageRank to its fixpoint, by pushes of what is left to send: only accounts with a residual over a share of
     the tolerance send, so rounds shrink. What accounts that pay nobody hold is spread evenly, which scales all
