@@ -35,8 +35,9 @@ from tallyweave.llm.common import LOWER, UPPER, bit_set, lean, lean_group, table
 
 #: Production parameters: documents of a kept term, smoothing, units, ranks of the terms' part.
 MIN_DOCS, SMOOTH, UNITS, TOP = 30, 5, 1_000_000_000, 50
-#: Bytes of the first level's prefixes; bits of the set of a level's prefixes; bytes of terms looked at together.
-FIRST, BITS, PIECE = 3, 1 << 26, 4 << 20
+#: Bytes of the first level's prefixes; bits of the set of a level's prefixes; bytes of terms looked at together;
+#: answers that a task remembers for each language.
+FIRST, BITS, PIECE, HELD = 3, 1 << 26, 4 << 20, 150_000
 #: Terms and sources of a block.
 TERMS, SOURCES = 1024, 64
 #: Stands after each term and in no term.
@@ -92,11 +93,15 @@ def _set(df: DataFrame) -> Callable[[str], Callable[[bytes], bool]]:
     bits = df.sparkSession.sparkContext.broadcast(bit_set(df.select("lang", "prefix").mapInArrow(places, "cell long"), size).tobytes())
 
     def of(lang: str) -> Callable[[bytes], bool]:
-        name = lang.encode()
+        name, known = lang.encode(), {}
 
         def may(prefix: bytes) -> bool:
-            at = _place(name, prefix, size)
-            return bool(bits.value[at >> 3] >> (7 - at % 8) & 1)
+            if (found := known.get(prefix)) is None:
+                if len(known) >= HELD:
+                    known.clear()
+                at = _place(name, prefix, size)
+                found = known[prefix] = bool(bits.value[at >> 3] >> (7 - at % 8) & 1)
+            return found
 
         return may
 
