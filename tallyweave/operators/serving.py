@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,7 +165,7 @@ def score_batch(batch: DataFrame, context: DataFrame, frozen: DataFrame, model,
     part = partition.extend(graph.undirected(graph.pairs(ledger)), frozen)
     table = cut(graph.features(ledger, part).na.fill(0.0))
     asked = table if with_context else table.join(graph.nodes(good), "node", "left_semi")
-    scored = model.transform(VectorAssembler(inputCols=features, outputCol="_x").transform(asked)).withColumn("p", vector_to_array("probability")[1])
+    scored = model.scored(asked)
     explained, said = attributed(scored.select("node", *features, "p"), model, features)
     if warnings is not None:
         warnings += said

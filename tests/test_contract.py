@@ -229,7 +229,7 @@ def test_actions(spark):
 def test_attribution_is_withheld(spark, table):
     names = list(contract.FEATURES)
     train = table.withColumn("y", (F.col("in_degree") > 4).cast("int"))
-    model = models.fit_boosted(train, names, rounds=3)
+    model = models.fit_boosted(train.withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(40)))), names, rounds=3)
     scored = models.apply(model, train.select("node", *names), names).cache()
     good, said = serving.attributed(scored, model, names)
     assert not said and all(len(r.contributing_factors) == 3 and r.contributing_factors[0].description in contract.DESCRIPTIONS.values() for r in good.collect())
@@ -249,7 +249,7 @@ def test_attribution_is_withheld(spark, table):
 def test_importance_refuses(spark, table, monkeypatch):
     names = list(contract.FEATURES)
     train = table.withColumn("y", (F.col("in_degree") > 4).cast("int"))
-    model = models.fit_boosted(train, names, rounds=2)
+    model = models.fit_boosted(train.withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(40)))), names, rounds=2)
     monkeypatch.setattr(attribution, "margin_gap", lambda *_: 0.5)
     with pytest.raises(ValueError, match="log-odds"):
         models.importance(model, train, names)
@@ -263,7 +263,7 @@ def test_service(spark, edges, table, tmp_path):
         nothing.score(edges)
     files.write_splits(edges, f"{tmp_path}/data")
     train = table.withColumn("y", (F.col("in_degree") > 4).cast("int"))
-    model = models.fit_boosted(train, names, rounds=2)
+    model = models.fit_boosted(train.withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(40)))), names, rounds=2)
     doc = {"optimal_threshold": 0.4, "model_version": contract.MODEL_VERSION, "cost_config": {"fn_cost": 200000.0, "fp_cost": 15000.0}, "odd": [float("nan"), {"x": float("inf")}]}
     files.save_artifacts(spark, f"{tmp_path}/model", model, names, doc)
     assert files.load_metrics(spark, f"{tmp_path}/model")[2]["odd"] == [None, {"x": None}]

@@ -9,8 +9,6 @@ import random
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tallyweave.operators import attribution, graph, models, partition, serving
@@ -81,7 +79,7 @@ def test_shapley(spark):
     df = spark.createDataFrame([(i, a, b, c, int(a + b * c > 0.8)) for i, a, b, c in rows], "id long, a double, b double, c double, y int")
     names = ["a", "b", "c"]
     model = models.fit_boosted(df, names, rounds=5)
-    scored = model.transform(VectorAssembler(inputCols=names, outputCol="_x").transform(df)).withColumn("p", vector_to_array("probability")[1])
+    scored = models.apply(model, df, names)
     out = attribution.contributions(scored.select("id", *names, "p"), model, names).cache()
     assert attribution.margin_gap(out) < attribution.TOLERANCE
     held = attribution.leaves(model)
@@ -121,7 +119,7 @@ def test_ranking_and_folds(spark):
     assert models.ranking(df.where("y = 1")).first().auc is None
     f = models.folds(df, 4)
     assert f.count() == 400 and f.where("ring_id >= 0").groupBy("ring_id").agg(F.count_distinct("fold").alias("n")).where("n > 1").isEmpty()
-    cv = models.cross_validate(df.select("id", (F.col("p") + F.col("y")).alias("x"), "y", "ring_id"), ["x"], 3, fit=models.logistic).collect()
+    cv = models.cross_validate(df.select("id", (F.col("p") + F.col("y")).alias("x"), "y", "ring_id"), ["x"], 3, rounds=5).collect()
     assert len(cv) == 3 and all(r.auc > 0.8 for r in cv)
 
 
