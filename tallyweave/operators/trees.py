@@ -102,7 +102,8 @@ class Boosted:
         @F.pandas_udf("struct<p:double,margin:double>")
         def apply(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                m = self.margin(np.column_stack([c.to_numpy(dtype=float) for c in batch]))
+                columns = batch if isinstance(batch, tuple) else (batch,)  # a single column comes alone
+                m = self.margin(np.column_stack([c.to_numpy(dtype=float) for c in columns]))
                 yield pd.DataFrame({"p": 1 / (1 + np.exp(-m)), "margin": m})
 
         held = [c for c in df.columns if c not in ("p", "margin")]
