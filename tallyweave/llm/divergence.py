@@ -31,13 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import LOWER, UPPER, bit_set, lean, lean_group, table, text_pieces, written
+from tallyweave.llm.common import LOWER, UPPER, bit_set, lean, lean_group, mix, table, text_pieces, written
 
 #: Production parameters: documents of a kept term, smoothing, units, ranks of the terms' part.
 MIN_DOCS, SMOOTH, UNITS, TOP = 30, 5, 1_000_000_000, 50
 #: Bytes of the first level's prefixes; bits of the set of a level's prefixes; bytes of terms looked at together;
-#: answers that a task remembers for each language.
-FIRST, BITS, PIECE, HELD = 3, 1 << 26, 4 << 20, 150_000
+#: words of eight bytes of a term that are hashed for all terms at once.
+FIRST, BITS, PIECE, WORDS = 3, 1 << 26, 4 << 20, 16
 #: Terms and sources of a block.
 TERMS, SOURCES = 1024, 64
 #: Stands after each term and in no term.
@@ -77,35 +77,56 @@ def documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     return docs.select(empty(lang_col, "lang"), empty(source_col, "source"), empty(text_col, "text")).mapInArrow(lean(stream), "lang string, source string, terms binary, counts array<bigint>")
 
 
-def _place(lang: bytes, prefix: bytes, bits: int) -> int:
-    return zlib.crc32(prefix, zlib.crc32(lang + END)) % bits
+def _places(seed: np.ndarray | int, values: pa.Array, bits: int, width: int | None = None) -> np.ndarray:
+    """The bit of each value (binary; its first `width` bytes alone), whose language has that seed. Values are read
+    in words of eight bytes, all at once; what is left of those over WORDS words is hashed one by one."""
+    large = pa.types.is_large_binary(values.type)
+    _, offsets, data = values.buffers()
+    offsets = np.frombuffer(offsets, np.int64 if large else np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    word_at = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    at, size = offsets[:-1] - offsets[0], np.diff(offsets)
+    if width is not None:
+        size = np.minimum(size, width)
+    out = mix(size.astype(np.uint64) + np.asarray(seed, np.uint64))
+    live = np.flatnonzero(size > 0)
+    for k in range(WORDS):
+        if not len(live):
+            break
+        rest = np.minimum(size[live] - 8 * k, 8).astype(np.uint64)
+        word = word_at[at[live] + 8 * k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * rest))
+        out[live] = mix(out[live] ^ word)
+        live = live[size[live] > 8 * (k + 1)]
+    for i in live.tolist():
+        out[i] ^= np.uint64(zlib.crc32(raw[at[i] + 8 * WORDS : at[i] + size[i]]))
+    return (mix(out) % np.uint64(bits)).astype(np.int64)
+
 
+def _seed(lang: str) -> int:
+    return zlib.crc32(lang.encode()) << 16
 
-def _set(df: DataFrame) -> Callable[[str], Callable[[bytes], bool]]:
-    """For tasks: of a language, whether its prefix may be one of df (lang, prefix)."""
+
+def _set(df: DataFrame) -> Callable[[str, pa.Array, int | None], np.ndarray]:
+    """For tasks: of a language and values (their first `width` bytes alone), whether each may be one of df (lang,
+    prefix)."""
 
     size = BITS
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_place(x.encode(), p, size) for x, p in zip(*(c.to_pylist() for c in batch.columns), strict=True)], pa.int64())], names=["cell"])
+            names = batch.column(0).dictionary_encode()
+            seeds = np.array([_seed(x) for x in names.dictionary.to_pylist()], np.uint64)[names.indices.to_numpy()]
+            yield pa.RecordBatch.from_arrays([pa.array(_places(seeds, batch.column(1), size))], names=["cell"])
 
     bits = df.sparkSession.sparkContext.broadcast(bit_set(df.select("lang", "prefix").mapInArrow(places, "cell long"), size).tobytes())
 
-    def of(lang: str) -> Callable[[bytes], bool]:
-        name, known = lang.encode(), {}
-
-        def may(prefix: bytes) -> bool:
-            if (found := known.get(prefix)) is None:
-                if len(known) >= HELD:
-                    known.clear()
-                at = _place(name, prefix, size)
-                found = known[prefix] = bool(bits.value[at >> 3] >> (7 - at % 8) & 1)
-            return found
+    def may(lang: str, values: pa.Array, width: int | None = None) -> np.ndarray:
+        at = _places(_seed(lang), values, size, width)
+        return (np.frombuffer(bits.value, np.uint8)[at >> 3] >> (7 - at % 8).astype(np.uint8) & 1).astype(bool)
 
-        return may
-
-    return of
+    return may
 
 
 def _exploded(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch, pa.Array, np.ndarray]]:
@@ -123,26 +144,20 @@ def _exploded(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch, pa.A
         at = end
 
 
-def _flags(values: pa.DictionaryArray, ok: Callable[[bytes], bool]) -> np.ndarray:
-    """Of each value whether ok says so."""
-    return np.array([ok(x) for x in values.dictionary.to_pylist()], bool)[values.indices.to_numpy()]
-
-
 def _level(docs: DataFrame, before: int, level: int, left: Callable | None) -> DataFrame:
     """lang, prefix, n: documents with a longer term that starts with the prefix of `level` bytes, as summed
     by tasks."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may: dict[str, Callable] = {}
         for batch in batches:
             for lang, _, terms, row in _exploded(batch):
                 keep = pc.binary_length(terms).to_numpy() > before
+                terms, row = terms.filter(pa.array(keep)), row[keep]
                 if left is not None:
-                    if lang not in may:
-                        may[lang] = left(lang)
-                    keep &= _flags(pc.binary_slice(terms, 0, before).dictionary_encode(), may[lang])
+                    keep = left(lang, terms, before)
+                    terms, row = terms.filter(pa.array(keep)), row[keep]
                 # A row's terms are in order, so those with one prefix stand together.
-                prefix, row = pc.binary_slice(terms.filter(pa.array(keep)), 0, level).dictionary_encode(), row[keep]
+                prefix = pc.binary_slice(terms, 0, level).dictionary_encode()
                 code = prefix.indices.to_numpy()
                 new = np.ones(len(code), bool)
                 new[1:] = (code[1:] != code[:-1]) | (row[1:] != row[:-1])
@@ -174,14 +189,11 @@ def counts_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
     left = _set(kept.select("lang", F.concat(F.encode("term", "UTF-8"), F.lit(END)).alias("prefix")))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may: dict[str, Callable] = {}
         for batch in batches:
             for lang, own, terms, row in _exploded(batch):
-                if lang not in may:
-                    may[lang] = left(lang)
                 names, sources = terms.dictionary_encode(), own.column("source").dictionary_encode()
                 there = pc.binary_length(terms).to_numpy() > 0
-                keep = _flags(names, may[lang]) & there
+                keep = left(lang, names.dictionary)[names.indices.to_numpy()] & there
                 counts = np.zeros(len(keep), np.int64)
                 counts[there] = own.column("counts").flatten().to_numpy()
                 place = sources.indices.to_numpy()[row[keep]].astype(np.int64) * len(names.dictionary) + names.indices.to_numpy()[keep]
