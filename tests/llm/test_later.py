@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,6 +198,19 @@ def brute_divergence(rows, min_docs, top=50):
     return sorted(out)
 
 
+def test_places_of_prefixes():
+    rng = random.Random(2)
+    values = [bytes(rng.randrange(97, 123) for _ in range(rng.choice([0, 1, 3, 7, 8, 9, 16, 17, 127, 128, 129, 300]))) for _ in range(2000)]
+    place = divergence._places(5, pa.array(values, pa.binary()), 1 << 40)
+    assert len(set(zip(values, place.tolist(), strict=True))) == len(set(values)) == len(set(place.tolist()))
+    for width in (6, 12, 130):  # the first bytes of a term have the place that the prefix itself has
+        cut = divergence._places(np.full(2000, 5, np.uint64), pa.array([x[:width] for x in values], pa.binary()), 1 << 40)
+        assert (divergence._places(5, pa.array(values, pa.large_binary()), 1 << 40, width) == cut).all()
+    assert (divergence._places(5, pa.array(values, pa.binary()).slice(100, 50), 1 << 40) == place[100:150]).all()
+    assert (divergence._places(6, pa.array(values, pa.binary()), 1 << 40) != place).all()
+    assert not len(divergence._places(5, pa.array([], pa.binary()), 1 << 40))
+
+
 def test_divergence(spark, monkeypatch):
     rng = random.Random(5)
     names = ["a", "ab", "abc", "abcdefghijklmnopqrstuvwxyz" * 9, "abcdefghijklmnopqrstuvwxyy", "é", "éa", "日本語", "日本", "Zo", "zO", "x" * 5000, "ÀB"]
