@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from tallyweave.operators import scan
 from tallyweave.operators.graph import MAX_CYCLE, MIN_CYCLE, closing_edges, core, repeated
@@ -70,7 +69,7 @@ def extend(undirected: DataFrame, partition: DataFrame) -> DataFrame:
         return placed
     first = partition.agg(F.coalesce(F.max("community") + 1, F.lit(0))).first()[0]
     roots = components(both.select("x", "y"), remaining)
-    fresh = roots.select("root").distinct().withColumn("community", (F.row_number().over(Window.orderBy("root")) - 1 + first).cast("long"))
+    fresh = scan.running(roots.select("root").distinct(), [F.col("root")], place="place").select("root", (F.col("place") - 1 + first).cast("long").alias("community"))
     return placed.union(roots.join(fresh, "root").select("node", "community"))
 
 
