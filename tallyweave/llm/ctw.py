@@ -13,8 +13,9 @@ block for each bucket; grams are bucketed by the last three bytes of context, so
 depth 3 lies in one bucket. The buckets add up the counts, weigh their trees and pass the sums for
 depth 2, of which there are at most 256**2 times 255, to the driver, which weighs the top of the
 tree; then the buckets answer each block with its grams' log probabilities and its words' counts,
-and each part sums them by row. So nothing that grows with the corpus is held by one task or
-broadcast, and what is gathered grows with the input.
+and each part sums them by row. What is broadcast doesn't grow with the corpus. A bucket holds the
+distinct grams of its contexts once for each part, so the bucket of a common context grows with the
+number of parts. Training texts are scored by counts that hold themselves.
 
 Defined cases: a null text is empty (one end token); a null id counts as the empty text for the
 split; repeated rows are rows of their own; with no training rows every decision has probability

@@ -15,8 +15,9 @@ sent once by each batch; blocks with an anchor of their own, most of them, go no
 An anchor whose different blocks have more than ``HOT`` bytes (a common phrase in many surroundings) is
 split: windows are dealt by where the anchor stands in them, in more and more parts, and the bytes that
 all windows of such a part share, anchor included, name a smaller group. With one part for each place
-the group's name is the whole window, and its first occurrence is a plain aggregate. So no shard holds
-much more than ``HOT`` bytes, whatever the corpus repeats.
+the group's name is the whole window, and its first occurrence is a plain aggregate. So no suffix array
+is over much more than ``HOT`` bytes, whatever the corpus repeats; the naming before it takes the rows of all
+blocks of one anchor (places and hashes, not texts) in one task.
 
 Names are 64-bit hashes of blocks within one anchor's 64-bit hash. Defined cases: a null text is
 empty; documents with equal ids are ordered by their texts; texts under ``LENGTH`` bytes stay whole.
