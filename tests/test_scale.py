@@ -134,3 +134,23 @@ def test_communities_are_connected(spark):
             front = {y for a, b in edges for x, y in ((a, b), (b, a)) if x in front and y in inside} - reached
             reached |= front
         assert name == min(inside) and reached == inside
+
+
+def test_moves_are_the_same_however_links_are_dealt(spark, monkeypatch):
+    rng = random.Random(5)
+    links = [(f"{a:02d}", f"{b:02d}", 1.0) for a, b in {tuple(sorted(rng.sample(range(40), 2))) for _ in range(150)}]
+    both = graph.cut(spark.createDataFrame([t for a, b, w in links for t in ((a, b, w), (b, a, w))], "x string, y string, w double"))
+    none = spark.createDataFrame([], "node string, w double")
+    part, moved = graph._local_moves(both, none, 2.0 * len(links), 8)
+    assert moved and part.count() == 40
+    monkeypatch.setattr(graph, "PART", 60)  # the same moves when links are dealt out
+    assert graph._local_moves(both, none, 2.0 * len(links), 8)[0].exceptAll(part).isEmpty()
+
+
+def test_together_runs_at_the_same_time():
+    from threading import Barrier
+
+    from tallyweave.work import together
+
+    meet = Barrier(3, timeout=30)
+    assert sorted(together(*[meet.wait] * 3)) == [0, 1, 2]
