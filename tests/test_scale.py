@@ -154,3 +154,39 @@ def test_together_runs_at_the_same_time():
 
     meet = Barrier(3, timeout=30)
     assert sorted(together(*[meet.wait] * 3)) == [0, 1, 2]
+
+
+def plain_moves(links, total, rounds, half):
+    """Local moving of all accounts of a half against the state before the round, one account after the other."""
+    names = sorted({x for x, _, _ in links})
+    k, part = defaultdict(float), {x: x for x in names}
+    for x, _, w in links:
+        k[x] += w
+    for r in range(rounds):
+        tot, new = defaultdict(float), dict(part)
+        for x in names:
+            tot[part[x]] += k[x]
+        for x in (x for x in names if half[x] == r % 2):
+            kin = defaultdict(float)
+            for a, b, w in links:
+                if a == x:
+                    kin[part[b]] += w
+            gain = lambda c: round(kin.get(c, 0.0) - k[x] * (tot[c] - (k[x] if c == part[x] else 0.0)) / total, 9)  # noqa: E731, B023
+            best = min(kin, key=lambda c: (-gain(c), c != part[x], c))
+            if gain(best) > gain(part[x]) and (best < part[x] if r // 2 % 2 == 0 else best > part[x]):
+                new[x] = best
+        part = new
+    return part
+
+
+def test_moves_are_those_of_a_plain_version_without_joins_of_links(spark, monkeypatch):
+    rng = random.Random(11)
+    links = [t for a, b in {tuple(sorted(rng.sample(range(45), 2))) for _ in range(140)} for w in (float(rng.randint(1, 4)),) for t in ((f"{a:02d}", f"{b:02d}", w), (f"{b:02d}", f"{a:02d}", w))]
+    both, none, total = spark.createDataFrame(links, "x string, y string, w double"), spark.createDataFrame([], "node string, w double"), sum(w for _, _, w in links)
+    half = {r.x: r.h for r in both.select("x", F.pmod(F.xxhash64("x"), F.lit(2)).alias("h")).distinct().collect()}
+    monkeypatch.setattr(graph, "CHUNK", 2)  # an account's links in several rows
+    rounds, written = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: rounds.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join ")) or written(df))
+    part, moved = graph._local_moves(both, none, total, 7)
+    assert moved and {r.node: r.community for r in part.collect()} == plain_moves(links, total, 7, half)
+    assert rounds[-7:] == [2] * 7  # with the community's strength, and with the rows of links; nothing after these are dealt
