@@ -190,3 +190,14 @@ def test_moves_are_those_of_a_plain_version_without_joins_of_links(spark, monkey
     part, moved = graph._local_moves(both, none, total, 7)
     assert moved and {r.node: r.community for r in part.collect()} == plain_moves(links, total, 7, half)
     assert rounds[-7:] == [2] * 7  # with the community's strength, and with the rows of links; nothing after these are dealt
+
+
+def test_local_features_of_heavy_accounts(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(str(rng.choice([0, rng.randrange(1, 9)])), str(rng.randrange(10, 14)), f"{rng.randint(1, 9999)}.{rng.randint(0, 9999):04d}", 1_700_000_000 + rng.randrange(400_000)) for _ in range(120)]
+    ledger = spark.createDataFrame(rows, "sender string, receiver string, amount string, t long").selectExpr("sender", "receiver", "cast(amount as decimal(18,4)) as amount", "timestamp_seconds(t) as ts")
+    told = lambda: {r[0]: tuple(pytest.approx(v, rel=1e-12) for v in r[1:]) for r in graph.local_features(ledger).collect()}
+    whole = {r[0]: tuple(r[1:]) for r in graph.local_features(ledger).collect()}
+    for most in (0, 12, 30):
+        monkeypatch.setattr(graph, "HEAVY", most)
+        assert whole == told()
