@@ -201,3 +201,26 @@ def test_local_features_of_heavy_accounts(spark, monkeypatch):
     for most in (0, 12, 30):
         monkeypatch.setattr(graph, "HEAVY", most)
         assert whole == told()
+
+
+@pytest.mark.parametrize("chunk", [3, 1024])
+def test_clustering_sorts_no_lists(spark, monkeypatch, capsys, chunk):
+    """Directed clustering by the adjacency matrix; edges that bring lists of neighbours along aren't sorted."""
+    monkeypatch.setattr(graph, "CHUNK", chunk)
+    rng = random.Random(12)
+    edges = sorted({(str(rng.randrange(25)), str(rng.choice([0, 1, rng.randrange(25)]))) for _ in range(170)} - {("0", "0")})
+    ledger = spark.createDataFrame(edges, "sender string, receiver string").selectExpr("sender", "receiver", "cast(1 as decimal(18,4)) as amount", "timestamp_seconds(0) as ts").where("sender <> receiver")
+    names = sorted({x for e in edges if e[0] != e[1] for x in e})
+    a = np.zeros((len(names), len(names)))
+    for x, y in edges:
+        if x != y:
+            a[names.index(x), names.index(y)] = 1
+    s = a + a.T
+    t, d, b = np.diag(s @ s @ s), s.sum(1), (a * a.T).sum(1)
+    possible = 2 * (d * (d - 1) - 2 * b)
+    made = graph.clustering(ledger)
+    got = {r[0]: r[1] for r in made.collect()}
+    assert got == pytest.approx({x: t[i] / possible[i] if possible[i] > 0 else 0.0 for i, x in enumerate(names)})
+    made.explain()
+    plan = capsys.readouterr().out.split("== Initial Plan ==")[1]
+    assert "ShuffledHashJoin" in plan and plan.count("SortMergeJoin") <= 2  # by v, and accounts with their sums
