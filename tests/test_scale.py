@@ -224,3 +224,19 @@ def test_clustering_sorts_no_lists(spark, monkeypatch, capsys, chunk):
     made.explain()
     plan = capsys.readouterr().out.split("== Initial Plan ==")[1]
     assert "ShuffledHashJoin" in plan and plan.count("SortMergeJoin") <= 2  # by v, and accounts with their sums
+
+
+def test_rounds_of_moves_deal_numbers(spark, monkeypatch):
+    """Names are numbered in their order, with their half as the last bit; rounds have no names and aren't planned again."""
+    names = ["b", "a", "é", "10", "9"]
+    numbers = {r.node: r.i for r in graph._numbers(spark.createDataFrame([(x,) for x in names], "node string")).collect()}
+    assert sorted(names, key=numbers.get) == ["10", "9", "a", "b", "é"] and len(set(numbers.values())) == 5
+    half = {r.node: r.h for r in spark.createDataFrame([(x,) for x in names], "node string").select("node", F.pmod(F.xxhash64("node"), F.lit(2)).alias("h")).collect()}
+    assert all(i % 2 == half[x] for x, i in numbers.items())
+    seen, written = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: seen.append((dict(df.dtypes), df.sparkSession.conf.get("spark.sql.adaptive.enabled"))) or written(df))
+    u = spark.createDataFrame([("b", "a", 1.0), ("a", "é", 2.0), ("10", "9", 1.0)], "a string, b string, weight double")
+    assert {r.node: r.community for r in graph.communities(u, 1, 1).collect()} == {r.node: r.community for r in graph.communities(u, 1, 1).collect()}
+    rounds = [s for s in seen if "moved" in s[0]]
+    assert rounds and all(t["node"] == t["community"] == "bigint" and adaptive == "false" for t, adaptive in rounds)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
