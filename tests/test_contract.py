@@ -327,3 +327,14 @@ def test_cycles_within_a_budget(spark):
     shown = partition.cycles(e, 15, budget=400).collect()
     every = sorted(p for n in range(3, 9) for p in itertools.islice(itertools.permutations(names, n), 3000) if p[0] == min(p))
     assert all(r.truncated for r in shown) and [r.cycle for r in shown] == [">".join(p) for p in every[: len(shown)]] and shown
+
+
+def test_both_directions_of_a_feature_share_their_sums(spark, monkeypatch):
+    """What is dealt for the rules is a row for each feature and value, and no key's values are one task's window."""
+    rng = random.Random(3)
+    rows = [(("val", "test")[i % 2], int(rng.random() < 0.3), rng.random() * 1e6, float(i % 5)) for i in range(400)]
+    frame, written, cut = spark.createDataFrame(rows, "split string, y int, f double, g double"), [], policies.scan.cut
+    monkeypatch.setattr(policies.scan, "cut", lambda df: written.append(cut(df)) or written[-1])
+    assert policies.rules(frame, ("f", "g")).count() == 4
+    assert [w.count() for w in written] == [sum(len({x[at] for x in rows if x[0] == "val"}) for at in (2, 3))]
+    assert dict(written[0].dtypes)["feature"] == "int" and written[0].select(policies.scan.RANGE).distinct().count() > 1
