@@ -95,3 +95,20 @@ def test_folds(spark):
     for x in r:
         assert (x.auc_mean, x.auc_sd) == (pytest.approx(np.mean([y.auc for y in r])), pytest.approx(np.std([y.auc for y in r])))
     assert np.mean([x.auc for x in r]) > 0.7
+
+
+@pytest.mark.parametrize("few", [16, 1])
+def test_rows_in_parts_give_the_same_trees(spark, monkeypatch, few):
+    """Parts as small as cores ask for, which see no validation rows, whether their sums are shuffled or not."""
+    df = frame(spark, 1200)
+    whole = trees.fit(df, FEATURES, rounds=11, valid=frame(spark, 400, 8))
+    monkeypatch.setattr(trees, "PART", 200)
+    monkeypatch.setattr(trees, "FEW", few, raising=False)
+    dealt, sums = [], trees._sums
+    monkeypatch.setattr(trees, "_sums", lambda rows, *a: dealt.append((rows.rdd.getNumPartitions(), rows.sparkSession.conf.get("spark.sql.adaptive.enabled"), a[-1])) or sums(rows, *a))
+    again = trees.fit(df, FEATURES, rounds=11, valid=frame(spark, 400, 8))
+    assert [vars(t) for t in again.trees] == [vars(t) for t in whole.trees] and again.history == pytest.approx(whole.history)
+    assert set(dealt) == {(8, "false", few < 8)}  # 1,600 rows
+    big = np.zeros(3, np.int64)
+    trees.add(big, np.array([1, 1, 2]), np.array([2**60, 1, -5]))
+    assert big.tolist() == [0, 2**60 + 1, -5]
