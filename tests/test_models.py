@@ -60,3 +60,17 @@ def test_stream(spark, tmp_path):
     q = stream.score_batches(s, lambda df: df.withColumn("high", df.value > 50), lambda df, k: got.append(df.count()), str(tmp_path / "state"))
     q.awaitTermination()
     assert sum(got) == spark.read.parquet(f"{DATA}/events.parquet").count()
+
+
+def test_only_splits_that_a_query_reads_are_made(spark, monkeypatch):
+    from tallyweave.plans import labelled, training
+
+    asked = []
+    monkeypatch.setattr(labelled, "_tables", {})
+    monkeypatch.setattr(labelled, "edges", lambda *a: None)
+    names = ", ".join(f"{f} double" for f in training.FEATURES)
+    empty = spark.createDataFrame([], f"node string, ring_id int, ring_type string, {training.contract.TARGET} int, split string, {names}")
+    monkeypatch.setattr(training.labels, "process", lambda e, split: asked.append(split) or empty)
+    monkeypatch.setattr(training.models, "logistic", lambda train, features, test, log1p: test.withColumn("p", training.F.lit(0.5)))
+    assert training.ml_logreg(spark, "none").columns == ["id", "y", "p"] and sorted(asked) == ["test", "train"]
+    assert sorted(training.frames(spark, "none")) == ["test", "train", "val"] and sorted(asked) == ["test", "train", "val"]
