@@ -184,3 +184,26 @@ def test_batch(spark, made):
     assert {r.node for r in rows} == asked and all(len(r.contributing_factors) == 3 for r in rows)
     assert {r.node for r in rows if not r.seen_in_context} == {"NEW_A", "NEW_B", "NEW_C", "NEW_D"}
     assert serving.mismatches(out, 0.5, 15 / 215).isEmpty()
+
+
+def test_rows_say_why_factors_are_withheld(spark, monkeypatch):
+    t = 1_700_000_000
+    pay = lambda rows: spark.createDataFrame(rows, "sender string, receiver string, t long").selectExpr("sender", "receiver", "cast(5 as decimal(18,4)) as amount", "timestamp_seconds(t) as ts")
+    context = pay([(f"acc{i % 7}", f"acc{(i * 3 + 1) % 8}", t + 9_000 * i) for i in range(60) if i % 7 != (i * 3 + 1) % 8])
+    batch = pay([("acc1", "acc9", t + 500_000), ("acc9", "acc2", t + 510_000)])
+    frozen = graph.nodes(context).select("node", F.lit(0).alias("community"))
+    names = ["in_degree", "out_degree"]
+    table = spark.createDataFrame([(float(i % 5), float(i % 3), int(i % 5 > 2)) for i in range(400)], "in_degree double, out_degree double, y int")
+    model = models.fit_boosted(table, names, rounds=2)
+    score = lambda: serving.score_batch(batch, context, frozen, model, names, 0.5, 15 / 215).collect()
+    rows = score()
+    assert len(rows) == 3 and all(r.factors_withheld is None and r.contributing_factors for r in rows)
+
+    def broken(df, m, f):
+        raise RuntimeError("no tree")
+
+    holes = lambda df, m, f: attribution.contributions(df, m, f).withColumn("contributions", F.when(F.col("node") != "acc9", F.col("contributions")))
+    attributed = serving.attributed
+    for explain, why in ((broken, "no tree"), (holes, "1 of 3 rows")):
+        monkeypatch.setattr(serving, "attributed", lambda *a: attributed(*a, explain))  # noqa: B023
+        assert all(why in r.factors_withheld and r.contributing_factors == [] for r in score())
