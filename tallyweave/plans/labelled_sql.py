@@ -44,6 +44,7 @@ def build(local, cluster: str, rank, cycle: str, community: str) -> dict[str, st
     test = """test as (select c.*, tp, fp, fn, tn, tp / nullif(tp + fp, 0) as p, tp / nullif(tp + fn, 0) as r, 2.0 * tp / nullif(2 * tp + fp + fn, 0) as f1, fn * {fn} + fp * {fp} as total_cost, (tp + fp) * 1000.0 / (tp + fp + fn + tn) as alerts_per_1000
       from chosen c join (select d.feature, d.direction, count(*) filter (where x >= threshold and y = 1) as tp, count(*) filter (where x >= threshold and y = 0) as fp, count(*) filter (where x < threshold and y = 1) as fn, count(*) filter (where x < threshold and y = 0) as tn from cand d join chosen h on d.feature = h.feature and d.direction = h.direction where split = 'test' group by 1, 2) t on c.feature = t.feature and c.direction = t.direction)""".replace("{fn}", str(FN)).replace("{fp}", str(FP))
     auc = "ranks as (select feature, direction, y, rank() over (partition by feature, direction order by x) + (count(*) over (partition by feature, direction, x) - 1) / 2.0 as r from cand where split = 'val'), auc as (select feature, direction, (sum(r) filter (where y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)) as auc from ranks group by 1, 2)"
+    whole = " union all ".join(f"select 'val' as split, y, '{f}' as feature, 'high' as direction, round(cast({f} as double), 6) as x from every" for f in contract.FEATURES)
     by_cost, by_f1, capped = (f"{cand}, {sweep}, {how}, {test}" for how in (cheap, f1, afford))
     six = ", ".join(f"round({f}, 6) as {f}" for f in contract.FEATURES)
     process = f"""with {E}, {rings}, f as ({features(own['val'])}) select f.node, {six}, cast(f.node as bigint) % 10 as louvain_community, 'val' as split, coalesce(r.ring_id, -1) as ring_id, coalesce(r.ring_type, 'organic') as ring_type,
@@ -105,7 +106,7 @@ def build(local, cluster: str, rank, cycle: str, community: str) -> dict[str, st
           union all select 'flag_all', 0.0, np, nn, np / (np + nn), 1.0, 2.0 * np / (2 * np + nn), nn * {FP} from t
           union all select 'rule_by_cost', threshold, tp, fp, p, r, f1, total_cost from (with {by_cost} select * from test order by val_cost, feature, direction limit 1)
           union all select 'rule_by_f1', threshold, tp, fp, p, r, f1, total_cost from (with {by_f1} select * from test order by val_f1 desc, feature, direction limit 1))""",
-        "q_leakage_gate": f"with {cand}, {auc}, g as (select feature, greatest(auc, 1 - auc) as m from auc where direction = 'high') select feature, round(m, 9) as strongest, m < 0.99 as passes from g order by round(m, 9) desc, feature desc limit 1",
+        "q_leakage_gate": f"with {E}, {rings}, f as ({features(own['val'])}), every as materialized (select f.*, case when r.node is null then 0 else 1 end as y from f left join rings r on r.split = 'val' and r.node = f.node), cand as ({whole}), {auc}, g as (select feature, greatest(auc, 1 - auc) as m from auc) select feature, round(m, 9) as strongest, m < 0.99 as passes from g order by round(m, 9) desc, feature desc limit 1",
         "m_row_report": f"""with {scored}, s as (select score as x, sum(y) as p, sum(1 - y) as n from scored where split = 'val' group by 1), t as (select sum(p) as np, sum(n) as nn, max(x) as top from s),
           w as (select x as threshold, sum(p) over (order by x desc) as tp, sum(n) over (order by x desc) as fp from s union all select nextafter(top, cast('inf' as double)), 0, 0 from t)
           select threshold, cast(tp as bigint) as tp, cast(fp as bigint) as fp, cast(nn - fp as bigint) as tn, cast(np - tp as bigint) as fn, round(tp / nullif(tp + fp, 0), 9) as p, round(tp / nullif(np, 0), 9) as r, round(2.0 * tp / (tp + fp + np), 9) as f1, round((tp + fp) * 1000.0 / (np + nn), 9) as alerts_per_1000, cast((np - tp) * {FN} + fp * {FP} as bigint) as total_cost, round(((np - tp) * {FN} + fp * {FP}) / (np + nn), 6) as cost_per_account from w cross join t""",

@@ -74,3 +74,15 @@ def test_only_splits_that_a_query_reads_are_made(spark, monkeypatch):
     monkeypatch.setattr(training.models, "logistic", lambda train, features, test, log1p: test.withColumn("p", training.F.lit(0.5)))
     assert training.ml_logreg(spark, "none").columns == ["id", "y", "p"] and sorted(asked) == ["test", "train"]
     assert sorted(training.frames(spark, "none")) == ["test", "train", "val"] and sorted(asked) == ["test", "train", "val"]
+
+
+def test_the_leakage_gate_sees_features_of_the_graph(spark, monkeypatch):
+    from tallyweave.functions import contract
+    from tallyweave.plans import labelled
+
+    names = ", ".join(f"{f} double" for f in contract.FEATURES)
+    rows = [(*[float(i % 2) if f == "cycle_participation" else float(i * 7 % 5) for f in contract.FEATURES], i % 2) for i in range(40)]
+    monkeypatch.setattr(labelled, "feature_table", lambda *a: spark.createDataFrame(rows, f"{names}, {contract.TARGET} int"))
+    monkeypatch.setattr(labelled, "_ran", lambda *a: labelled.policies.running(labelled.policies.numbered(labelled.feature_table().withColumnRenamed(contract.TARGET, "y"), labelled.LOCAL), ["feature"]))
+    r = labelled.q_leakage_gate(spark, "none").first()
+    assert (r.feature, r.strongest, r.passes) == ("cycle_participation", 1.0, False)
