@@ -112,3 +112,17 @@ def test_rows_in_parts_give_the_same_trees(spark, monkeypatch, few):
     big = np.zeros(3, np.int64)
     trees.add(big, np.array([1, 1, 2]), np.array([2**60, 1, -5]))
     assert big.tolist() == [0, 2**60 + 1, -5]
+
+
+def test_a_task_grows_small_models_alone(spark, monkeypatch):
+    """The same trees and precisions as by a job for each level, which isn't run."""
+    part = lambda n, v, seed: frame(spark, n, seed).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("model"), F.lit(v).alias("valid"), "y", *FEATURES)
+    df = part(1200, False, 3).union(part(300, True, 8))
+    monkeypatch.setattr(trees, "ALONE", 0, raising=False)
+    jobs = trees.fit_many(df, FEATURES, rounds=13, without={1: ["b"]})
+    monkeypatch.undo()
+    monkeypatch.setattr(trees, "_sums", lambda *a: pytest.fail("a job for a level"))
+    alone = trees.fit_many(df.repartition(5), FEATURES, rounds=13, without={1: ["b"]})
+    assert [[vars(t) for t in alone[m].trees] for m in (0, 1)] == [[vars(t) for t in jobs[m].trees] for m in (0, 1)]
+    assert all(alone[m].history == pytest.approx(jobs[m].history, abs=1e-12) for m in (0, 1))
+    assert trees.precision(np.array([0.5, 0.5, 0.2]), np.array([1.0, 0.0, 1.0])) == pytest.approx((1 / 2 + 2 / 3) / 2) and trees.precision(np.ones(2), np.ones(2)) == 0.0
