@@ -240,3 +240,28 @@ def test_rounds_of_moves_deal_numbers(spark, monkeypatch):
     rounds = [s for s in seen if "moved" in s[0]]
     assert rounds and all(t["node"] == t["community"] == "bigint" and adaptive == "false" for t, adaptive in rounds)
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+@pytest.mark.parametrize("kind", ["random", "chain", "weights"])
+def test_communities_of_one_task(spark, monkeypatch, kind):
+    """The same communities as by rounds of jobs, which aren't run."""
+    rng = random.Random(21)
+    n = 50
+    ends = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(120)} if kind != "chain" else {(i, i + 1) for i in range(n)}
+    u = spark.createDataFrame([(f"{a:02d}", f"{b:02d}", float(rng.randint(1, 6)) if kind == "weights" else 1.0) for a, b in sorted(ends)] + [("00", "00", 2.0)], "a string, b string, weight double")
+    want = graph.communities(u)
+    monkeypatch.setattr(graph, "communities", lambda *a: pytest.fail("rounds of jobs"))
+    monkeypatch.setattr(graph.arrays, "CHUNK", 16)
+    got = graph.partitioned(u.repartition(3))
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+def test_pagerank_of_one_task(spark, monkeypatch):
+    rng = random.Random(22)
+    rows = [(str(rng.randrange(40)), str(rng.choice([0, rng.randrange(30, 70)]))) for _ in range(300)]
+    ledger = spark.createDataFrame(rows, "sender string, receiver string").selectExpr("sender", "receiver", "cast(1 as decimal(18,4)) as amount", "timestamp_seconds(0) as ts")
+    runs = (lambda: graph.pagerank(ledger, 9), lambda: graph.pagerank(ledger, 40, 1e-4, False), lambda: graph.converged_pagerank(ledger, 1e-8))
+    held = [{r.node: r.pagerank for r in run().collect()} for run in runs]
+    monkeypatch.setattr(graph, "ALONE", 0)
+    for one, run in zip(held, runs, strict=True):
+        assert one == pytest.approx({r.node: r.pagerank for r in run().collect()}, abs=1e-7) and one
