@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -35,22 +37,53 @@ def work_dir(spark: SparkSession) -> str:
 _folders: list[str] = []
 
 
+#: Seconds between two sweeps, and when the last one ended.
+SWEEP = 3.0
+_swept = [0.0]
+
+
+def swept(spark: SparkSession) -> None:
+    """Lets shuffle files go that no query needs any more. They stay until the driver's JVM collects what refers to
+    them; it does so by its own heap, which is the slower to fill the more each task has to do."""
+    if time.monotonic() - _swept[0] >= SWEEP:
+        gc.collect()
+        for pause in (0.2, 0):  # the first one frees what refers to shuffles, the second one the shuffles
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(pause)
+        _swept[0] = time.monotonic()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again. It cuts the lineage, so a lost
-    executor costs no more than the tasks it ran, and a table that is used twice is made once."""
+    executor costs no more than the tasks it ran, and a table that is used twice is made once. What
+    was shuffled for earlier tables goes before."""
     spark = df.sparkSession
+    swept(spark)
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _folders.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._folder = path
+    return made
+
+
+def _deleted(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that written() has made and nothing reads any more, the caller's result neither."""
+    for table in tables:
+        _folders.remove(table._folder)
+        _deleted(table.sparkSession, table._folder)
 
 
 def discard(spark: SparkSession, keep: int) -> None:
     """Deletes what written() has made since it had made `keep` tables, but for the last one. For a caller
     that has written its result, which then needs none of the others."""
     while len(_folders) > keep + 1:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folders.pop(keep))
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _deleted(spark, _folders.pop(keep))
 
 
 def made() -> int:

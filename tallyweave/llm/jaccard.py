@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import Polynomial, lean, mix, partitions, table, text_pieces, unused, written
+from tallyweave.llm.common import Polynomial, forget, lean, mix, partitions, table, text_pieces, unused, written
 from tallyweave.llm.components import components, ordered
 
 DIMS, HEAVY, GROUP, LEAF, PARTNERS = 256, 1 << 16, 2048, 32, 64
@@ -418,6 +418,7 @@ def jaccard_join(docs: DataFrame, *, k: int = 4, per_cent: int = 85, id_col: str
     labels = written(labels, "labels")
     stars = _survivors(groups.join(labels, "c"), per_cent, every=True)
     more = written(_within(_routed(stars, labels, texts), k, per_cent), "verified")
+    forget(groups, classes, texts, labels)  # the texts are most of what would be left on disk while the result is used
     if not more.isEmpty():
         roots = components(links.union(more))
     named = rows.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))

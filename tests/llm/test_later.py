@@ -352,3 +352,30 @@ def test_records_that_no_encoding_holds_and_callers_mappings(spark):
     got = {r.conv_id: r for r in chat.format_records(df, own, ignored=set()).collect()}
     assert chat.parse(got[3].formatted) == [("user", "p"), ("assistant", "c")] and all(got[i].rejected for i in (1, 2, 4, 5))
     assert json.loads(got[2].record)["id"] == 7
+
+
+def test_shuffles_of_written_tables_go(spark, monkeypatch):
+    shuffled = lambda: sum("shuffle_" in b.toString() for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()))
+    monkeypatch.setattr(common, "SWEEP", 0.0, raising=False)
+    common.written(spark.range(10), "sweep")  # what other tests have left
+    time.sleep(3)
+    before = shuffled()
+    common.written(spark.range(1000, numPartitions=5).repartition(7, "id"), "sweep")
+    assert shuffled() > before
+    common.written(spark.range(10), "sweep")
+    until = time.monotonic() + 10
+    while shuffled() > before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert shuffled() <= before
+
+
+def test_near_duplicates_leave_no_texts_behind(spark):
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30))) for i in range(20)]
+    docs = spark.createDataFrame([*rows, *[(100 + i, t + " more") for i, t in rows[:6]]], "doc_id long, text string")
+    before = common.made()
+    kept = jaccard.without_near_duplicates(docs, k=3, per_cent=80)
+    left = [f.rpartition("/")[2].partition("-")[0] for f in common._folders[before:]]
+    assert "sets" in left and not {"groups", "classes", "texts", "labels"} & set(left)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(20))
